@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm
+from . import lm, mix, shard
 from .common import crc_fold
 
 
@@ -19,6 +19,14 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.deleted_interpolation(docs, fold != 2, fold == 5)
 
 
-QUERIES = {"op4_deleted_interpolation": op4_deleted_interpolation}
+def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.pivotal_mix(_read(spark, sf_dir, "documents"))
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.hilbert_shards(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_deleted_interpolation, op7_pivotal_mix, op8_hilbert_shards)}
 
 ORACLE_SQL: dict[str, str] = {}
