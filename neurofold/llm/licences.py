@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 # Base phrases and their labels.
 PHRASES = {
     "under the mit license": "mit",
@@ -43,18 +45,30 @@ TEMPLATES = [
 #: The rarest licence words of a template that are indexed; the share of them a start must gather.
 INDEXED = 5
 LEAST_SHARE = 0.6
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def lowered(text: str = "text") -> Column:
-    return F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower())
+def lowered(text: Column) -> Column:
+    """A-Z to lower case.  lower() does that faster wherever no other letter turns into an ASCII one."""
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
-def consecutive(words: Column, at: Column, phrase: str) -> Column:
-    """Whether a phrase's words stand at a place (0-based) of the words."""
+def stands(names: Column, places: Column, k: Column, phrase: str) -> Column:
+    """Whether the phrase's words are the licence words from the k-th (1-based) on, without a word between them."""
     parts = phrase.split()
-    return F.slice(words, at + 1, len(parts)) == F.array(*map(F.lit, parts))
+    last = F.get(places, k + len(parts) - 2)
+    return (k > 0) & (F.slice(names, F.greatest(k, F.lit(1)), len(parts)) == F.array(*map(F.lit, parts))) & (last == F.get(places, k - 1) + len(parts) - 1)
+
+
+def licence_words(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """doc_id, uid (a hash that tells repeated ids apart), n_words, and the licence words of each text with their places."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.filter(F.split(lowered(text), OUTSIDE), lambda w: w != "")
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("uid"), words.alias("words")).select("doc_id", "uid", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    return materialise(rows.select("doc_id", "uid", "n_words", F.col("hits.w").alias("names"), F.col("hits.i").alias("places")), "licence-words")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -64,65 +78,43 @@ def scan(docs: DataFrame) -> DataFrame:
     base_labels, labels (base ones and the method's), score (largest share of a verified template's indexed words, 1 for a base phrase).
     """
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in PHRASES for w in p.split()})
-    # A document without one of these words has neither a base phrase nor a template's key phrase.
-    needed = sorted({max(k.split(), key=len) for _, _, k in TEMPLATES} | {max(p.split(), key=len) for p in PHRASES})
-    split = F.filter(F.split(F.col("low"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    rows = rows.withColumn("maybe", F.col("text").rlike("(?i)" + "|".join(needed)))
-    # Only documents that name a licence word are split into words; the others are counted.
-    n_words = F.regexp_count("text", F.lit(WORD)).cast("long")
-    near = rows.where("maybe").withColumn("low", lowered()).withColumn("words", split)
-    found = near.select(
-        "doc_id",
-        "uid",
-        F.size("words").cast("long").alias("n_words"),
-        F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull()).alias("hits"),
-    )
-    # Document frequency of the licence words, over all documents (those that were not split hold none of the rare ones).
-    frequency = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("total"))
+    found = licence_words(docs, sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in PHRASES for w in p.split()}))
+    # Document frequency of the licence words over all documents, and the index: a fixed number of postings.
+    frequency = found.select(F.explode(F.array_distinct("names")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     postings = spark.createDataFrame([(k, label, w, i) for k, (label, t, _) in enumerate(TEMPLATES) for i, w in enumerate(t.split())], "template int, label string, w string, place int")
-    idf = F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + F.lit(0.0)
-    ranked = postings.join(frequency, "w", "left").crossJoin(total).select("template", "label", "w", "place", idf.alias("idf"))
-    best = ranked.groupBy("template", "label").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("less"), "w", "place"))), 1, INDEXED).alias("rare"))
-    # One row with every posting of the index: a fixed number of entries.
-    index = best.select("template", "label", F.size("rare").alias("needs"), F.explode("rare").alias("r")).agg(
-        F.collect_list(F.struct("template", "label", "needs", F.col("r.w").alias("w"), F.col("r.place").alias("place"))).alias("postings")
-    )
-    votes = F.flatten(
-        F.transform("hits", lambda h: F.transform(F.filter("postings", lambda p: p["w"] == h["w"]), lambda p: F.struct(p["template"].alias("template"), p["label"].alias("label"), p["needs"].alias("needs"), (h["i"] - p["place"]).alias("start"))))
-    )
-    # Words by place, to verify phrases after the words themselves are gone: only licence words matter.
-    at = lambda hits, start, phrase: F.forall(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(j).alias("j")) for j, w in enumerate(phrase.split()))), lambda q: F.exists(hits, lambda h: (h["w"] == q["w"]) & (h["i"] == start + q["j"])))
-    keys = F.lit(False)
+    ranked = postings.join(frequency, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("df", "w", "place"))), 1, INDEXED)
+    entries = ranked.groupBy("template", "label").agg(rarest.alias("rare")).select("template", "label", F.size("rare").alias("needs"), F.explode("rare").alias("r"))
+    index = entries.agg(F.collect_list(F.struct("template", "label", "needs", F.col("r.w").alias("w"), F.col("r.place").alias("place"))).alias("postings"))
+    rare = found.where(F.size("names") > 0).crossJoin(F.broadcast(index))
+    hits = F.filter(F.arrays_zip("names", "places"), lambda h: F.exists("postings", lambda p: p["w"] == h["names"]))
+    # Votes: each rare word in a document against its postings, by the start that the two places imply.
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.filter("postings", lambda p: p["w"] == h["names"]), lambda p: F.struct(p["template"].alias("template"), p["label"].alias("label"), p["needs"].alias("needs"), (h["places"] - p["place"]).alias("start")))))
+    whole = F.lit(False)
     for k, (_, text, key) in enumerate(TEMPLATES):
-        place = text.split().index(key.split()[0]) if text.split().index(key.split()[0]) >= 0 else 0
-        place = next(i for i in range(place, len(text.split())) if text.split()[i : i + len(key.split())] == key.split())
-        keys = F.when(F.col("template") == k, at(F.col("hits"), F.col("start") + place, key)).otherwise(keys)
-    voted = found.crossJoin(F.broadcast(index)).select("doc_id", "uid", "hits", F.explode(F.array_distinct(F.transform(votes, lambda v: F.struct(v["template"].alias("template"), v["label"].alias("label"), v["needs"].alias("needs"), v["start"].alias("start"), F.size(F.filter(votes, lambda o: (o["template"] == v["template"]) & (o["start"] == v["start"]))).alias("n"))))).alias("v"))
-    verified = voted.select("doc_id", "uid", "hits", "v.*").withColumn("share", F.col("n") / F.col("needs")).where(F.col("share") >= LEAST_SHARE).where(keys)
-    own = verified.groupBy("doc_id", "uid").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
-    # Base phrases, by place.
-    base = F.array_sort(F.concat(*(
-        F.transform(F.filter("hits", lambda h, p=None: h["w"] == phrase.split()[0]), lambda h: h["i"]) if False else starts_of(phrase, label)
-        for phrase, label in PHRASES.items()
-    )))
-    based = found.select("doc_id", "uid", "n_words", base.alias("places"))
-    labels = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    place = lambda x: x["i"].cast("long")
-    base_labels = F.transform("places", lambda x: x["label"])
-    scored = based.join(own, ["doc_id", "uid"], "left").select(
+        at = text.split()
+        offset = next(i for i in range(len(at)) if at[i : i + len(key.split())] == key.split())
+        position = F.array_position("places", F.col("v.start") + offset).cast("int")
+        whole = F.when(F.col("v.template") == k, stands(F.col("names"), F.col("places"), position, key)).otherwise(whole)
+    voted = rare.select("doc_id", "uid", "names", "places", F.explode(votes).alias("v")).where(F.coalesce(whole, F.lit(False))).select("doc_id", "uid", "v.*")
+    shares = voted.groupBy("doc_id", "uid", "template", "label", "start", "needs").agg((F.least(F.count("*"), F.col("needs")) / F.col("needs")).alias("share"))
+    own = shares.where(F.col("share") >= LEAST_SHARE).groupBy("doc_id", "uid").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
+    starts = F.concat(*(starts_of(phrase, label) for phrase, label in PHRASES.items()))
+    based = found.select("doc_id", "uid", "n_words", starts.alias("base"))
+    listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    return based.join(own, ["doc_id", "uid"], "left").select(
         "doc_id",
         "n_words",
-        F.size("places").cast("long").alias("n_base"),
-        F.array_min(F.transform("places", place)).alias("first_word"),
-        F.array_max(F.transform("places", place)).alias("last_word"),
-        labels(base_labels).alias("base_labels"),
-        labels(F.concat(base_labels, F.coalesce("own", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
-    )
-    none = rows.where("not maybe").select(
-        "doc_id", n_words.alias("n_words"), F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score")
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.at").alias("first_word"),
+        F.array_max("base.at").alias("last_word"),
+        listed(F.col("base.label")).alias("base_labels"),
+        listed(F.concat(F.col("base.label"), F.coalesce("own", F.array().cast("array<string>")))).alias("labels"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
-    return scored.unionByName(none)
+
+
+def starts_of(phrase: str, label: str) -> Column:
+    """Places of a base phrase, as an array of (at, label)."""
+    ks = F.filter(F.sequence(F.lit(1), F.greatest(F.size("names"), F.lit(1))), lambda k: F.coalesce(F.get("names", k - 1) == phrase.split()[0], F.lit(False)) & F.coalesce(stands(F.col("names"), F.col("places"), k, phrase), F.lit(False)))
+    return F.transform(ks, lambda k: F.struct(F.get("places", k - 1).cast("long").alias("at"), F.lit(label).alias("label")))

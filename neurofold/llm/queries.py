@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mix, shard
+from . import licences, lm, mix, shard
 from .common import crc_fold
 
 
@@ -27,6 +27,10 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.hilbert_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_deleted_interpolation, op7_pivotal_mix, op8_hilbert_shards)}
+def op9_rare_token_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_deleted_interpolation, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences)}
 
 ORACLE_SQL: dict[str, str] = {}
