@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one part of a document table holds, and the least number of parts.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 LEAST_PARTS = 64
 #: Text bytes handled at once inside a task; bounds the numpy temporaries.
 CHUNK = 2 << 20
@@ -162,14 +162,30 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(n: np.ndarray) -> bytes:
-    """Small counts as bytes, a column of wider ones as 32 or 64 bits."""
-    top = int(n.max()) if len(n) else 0
-    code = "<u1" if top < 256 else "<u4" if top < 1 << 32 else "<u8"
-    return code[2].encode() + n.astype(code).tobytes()
+    """Counts as compressed byte planes: the high bytes of small numbers cost next to nothing."""
+    planes = np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    width = int(max((int(n.max()) if len(n) else 0).bit_length() + 7, 8)) // 8
+    return bytes([width]) + len(n).to_bytes(8, "little") + pa.compress(planes[:width].tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[:1].decode()}", offset=1).astype(np.int64)
+    width, size = blob[0], int.from_bytes(blob[1:9], "little")
+    out = np.zeros((size, 8), np.uint8)
+    if size:
+        out[:, :width] = np.frombuffer(pa.decompress(blob[9:], width * size, codec="zstd", asbytes=True), np.uint8).reshape(width, size).T
+    return out.view("<i8").ravel()
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    return x.dtype.str.lstrip("|").encode() + b"|" + len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(blob: bytes) -> np.ndarray:
+    kind, rest = blob.split(b"|", 1)
+    kind, size = np.dtype(kind.decode()), int.from_bytes(rest[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    return np.frombuffer(pa.decompress(rest[8:], size * kind.itemsize, codec="zstd", asbytes=True), kind)
 
 
 def ranges_of(keys: np.ndarray, count: int) -> np.ndarray:
@@ -196,8 +212,12 @@ def ask(part: int, keys: np.ndarray, counts: list[np.ndarray], ranges: int) -> p
     )
 
 
-def told_total(table: pa.Table) -> pa.Table:
-    """Adds up one range: for each part that asked, the totals of its keys in order; sums: all keys, and keys and counts of each kind."""
+def told_total(table: pa.Table, told: int, elect: bool) -> pa.Table:
+    """Adds up one range: for each part that asked, the totals of its keys in order (of the first ``told`` kinds); sums: all keys, and keys and counts of each kind.
+
+    elect: one more column, 1 where the part is the least that asked for the key.
+    """
+    table = table.sort_by("part")
     part, blobs, counts = (table.column(c).to_pylist() for c in ("part", "keys", "counts"))
     keys = [unpack(b) for b in blobs]
     ends = np.cumsum([0, *map(len, keys)])
@@ -212,30 +232,35 @@ def told_total(table: pa.Table) -> pa.Table:
     for kind in range(len(counts[0])):
         n = np.bincount(slot, np.concatenate([unpack_counts(c[kind]) for c in counts])).astype(np.int64)
         totals.append(n)
+    first = np.zeros(len(every), np.int64)
+    first[order[new]] = 1
+    given = lambda i: [pack_counts(n[slot[ends[i] : ends[i + 1]]]) for n in totals[:told]] + [pack_counts(first[ends[i] : ends[i + 1]])] * elect
     sums = [int(new.sum()), *(x for n in totals for x in (int((n > 0).sum()), int(n.sum())))]
     return pa.table(
         {
             "part": pa.array(part, pa.int32()),
             "range": pa.array(table.column("range").to_pylist(), pa.int32()),
-            "counts": pa.array([[pack_counts(n[slot[ends[i] : ends[i + 1]]]) for n in totals] for i in range(len(part))], pa.list_(pa.binary())),
+            "counts": pa.array([given(i) for i in range(len(part))], pa.list_(pa.binary())),
             "sums": pa.array([sums] * len(part), pa.list_(pa.int64())),
         }
     )
 
 
-def totals_of(told: pa.Table, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
+def totals_of(answer: pa.Table, told: int, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
     """What came back to a part, as arrays in the order of its sorted keys, and the sums of the ranges it asked."""
-    if not told.num_rows:
-        return [np.zeros(0, np.int64)] * kinds, np.zeros(1 + 2 * kinds, np.int64)
-    told = told.sort_by("range")
-    counts = told.column("counts").to_pylist()
-    return [np.concatenate([unpack_counts(c[k]) for c in counts]) for k in range(kinds)], np.array(told.column("sums").to_pylist()).sum(0)
+    if not answer.num_rows:
+        return [np.zeros(0, np.int64)] * told, np.zeros(1 + 2 * kinds, np.int64)
+    answer = answer.sort_by("range")
+    counts = answer.column("counts").to_pylist()
+    return [np.concatenate([unpack_counts(c[k]) for c in counts]) for k in range(told)], np.array(answer.column("sums").to_pylist()).sum(0)
 
 
-def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, kinds: int = 1) -> DataFrame:
+def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, kinds: int = 1, told: int = 1, elect: bool = False) -> DataFrame:
     """Counts keys over all parts of ``dealt`` (which has an int column ``part``) and hands each part its totals.
 
-    keys_of(table) -> (sorted distinct uint64 keys, [counts by kind]); use(table, totals, sums) -> Arrow table of ``schema``.
+    keys_of(table) -> (sorted distinct uint64 keys, [counts of each of ``kinds`` kinds]); use(table, totals, sums) -> Arrow
+    table of ``schema``.  Totals come back for the first ``told`` kinds, sums for all;
+    elect adds a 0/1 column that is 1 for one part of those that have the key.
     Both see the whole part, which holds a bounded amount of text.
     """
 
@@ -243,12 +268,12 @@ def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, kinds: int
         keys, counts = keys_of(table)
         return ask(table.column("part")[0].as_py(), keys, counts, ranges)
 
-    def receive(table: pa.Table, told: pa.Table) -> pa.Table:
-        return use(table, *totals_of(told, kinds))
+    def receive(table: pa.Table, answer: pa.Table) -> pa.Table:
+        return use(table, *totals_of(answer, told + elect, kinds))
 
     asked = dealt.groupBy("part").applyInArrow(send, ASK)
-    told = asked.groupBy("range").applyInArrow(told_total, TOLD)
-    return dealt.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(receive, schema)
+    answers = asked.groupBy("range").applyInArrow(lambda table: told_total(table, told, elect), TOLD)
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(receive, schema)
 
 
 PARCEL = "part int, parcel binary"
@@ -282,9 +307,9 @@ def parcels(docs: DataFrame, parts: int, key: str = "doc_id") -> DataFrame:
 
 
 def unparcel(table: pa.Table) -> pa.Table:
-    """A part's rows, ordered by doc_id where they have one so that reruns agree."""
+    """A part's rows, ordered by doc_id and text so that reruns agree."""
     rows = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("parcel").to_pylist()]).combine_chunks()
-    return rows.sort_by("doc_id") if "doc_id" in rows.column_names else rows
+    return rows.sort_by([(c, "ascending") for c in ("doc_id", "text") if c in rows.column_names])
 
 
 def crc_fold(column: Column, folds: int) -> Column:

@@ -87,6 +87,15 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return every[order], [*counts, counts[0] * is_word[order]]
 
 
+def planes(counts: np.ndarray) -> bytes:
+    """Counts as four byte planes, which the table's compression shrinks well."""
+    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 TERMS = "doc_id bigint, held_out boolean, fold boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, vocabulary bigint, word binary, pair binary, less_word binary, less_pair binary"
 
 
@@ -101,10 +110,9 @@ def _terms(table: pa.Table, totals: list[np.ndarray], sums: np.ndarray) -> pa.Ta
     base = np.add.reduceat(np.log10((c + 1) / (n_tokens + vocabulary + 1)), first[:-1]) if len(c) else np.zeros(0)
     known = np.add.reduceat((c > 0).astype(np.int64), first[:-1]) if len(c) else np.zeros(0, np.int64)
     is_fold = rows.column("fold").to_numpy().astype(bool)
-    cut = lambda x, keep: [x[first[i] : first[i + 1]].astype("<u4").tobytes() if keep[i] else None for i in range(len(first) - 1)]
+    cut = lambda x, keep: [planes(x[first[i] : first[i + 1]]) if keep[i] else None for i in range(len(first) - 1)]
     all_rows = np.ones(len(is_fold), bool)
     lost_end = np.full(len(first) - 1, int(totals[1][np.searchsorted(every, END)]) if len(c) else 0)
-    del train, fold
     return pa.table(
         {
             "doc_id": rows.column("doc_id"),
@@ -117,7 +125,7 @@ def _terms(table: pa.Table, totals: list[np.ndarray], sums: np.ndarray) -> pa.Ta
             "vocabulary": pa.array([vocabulary] * len(is_fold), pa.int64()),
             "word": pa.array(cut(c, all_rows), pa.binary()),
             "pair": pa.array(cut(pair, all_rows), pa.binary()),
-            "less_word": pa.array([lost_end[i : i + 1].astype("<u4").tobytes() + b if b is not None else None for i, b in enumerate(cut(lost_one, is_fold))], pa.binary()),
+            "less_word": pa.array([planes(np.append(lost_end[i], lost_one[first[i] : first[i + 1]])) if f else None for i, f in enumerate(is_fold)], pa.binary()),
             "less_pair": pa.array(cut(lost_two, is_fold), pa.binary()),
         }
     ).combine_chunks()
@@ -134,7 +142,7 @@ def _held_out(batches):
     for batch in batches:
         grid: dict[tuple[int, int, int], int] = {}
         for word, pair, less_word, less_pair, total, lost, vocabulary, end in zip(*(batch.column(c).to_pylist() for c in ("word", "pair", "less_word", "less_pair", "train_tokens", "fold_tokens", "vocabulary", "ends")), strict=True):
-            word, pair, less_word, less_pair = (np.frombuffer(x, "<u4").astype(np.int64) for x in (word, pair, less_word, less_pair))
+            word, pair, less_word, less_pair = map(numbers, (word, pair, less_word, less_pair))
             before = np.append(end - less_word[0], (word - less_word[1:])[:-1])
             bucket, two, one, floor = _estimates(word - less_word[1:], pair - less_pair, before, total - lost, vocabulary)
             step = lambda p: np.where(p > 0, np.clip(np.round(np.log10(np.maximum(p, 1e-300) / floor) * STEPS), -STEPS * DECADES, STEPS * DECADES), -(STEPS * DECADES + 1)).astype(np.int64)
@@ -180,7 +188,7 @@ def deleted_interpolation(docs: DataFrame, train, fold) -> DataFrame:
     held = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held(train).alias("train"), held(train & fold).alias("fold"))
     parts = part_count(text_size(docs))
-    terms = materialise(counted(parcels(own, parts), _keys, _terms, TERMS, parts, kinds=3), "lm-terms")
+    terms = materialise(counted(parcels(own, parts), _keys, _terms, TERMS, parts, kinds=3, told=2), "lm-terms")
     folds = terms.where("fold")
     lost = folds.agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).first()
     ends = terms.where("not held_out").count()
@@ -192,7 +200,7 @@ def deleted_interpolation(docs: DataFrame, train, fold) -> DataFrame:
         for batch in batches:
             out = []
             for word, pair, total, vocabulary in zip(*(batch.column(c).to_pylist() for c in ("word", "pair", "train_tokens", "vocabulary")), strict=True):
-                word, pair = np.frombuffer(word, "<u4").astype(np.int64), np.frombuffer(pair, "<u4").astype(np.int64)
+                word, pair = numbers(word), numbers(pair)
                 bucket, two, one, floor = _estimates(word, pair, np.append(ends, word[:-1]), total, vocabulary)
                 lam = weights[bucket]
                 out.append(float(np.log10(lam[:, 0] * two + lam[:, 1] * one + lam[:, 2] * floor).sum()))
