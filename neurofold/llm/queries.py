@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licences, lm, mix, shard
+from . import jaccard, licences, lm, mix, shard, substrings
 from .common import crc_fold
 
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_prefix_free_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -35,6 +39,6 @@ def op9_rare_token_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_deleted_interpolation, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences)}
+QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op4_deleted_interpolation, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences)}
 
 ORACLE_SQL: dict[str, str] = {}
