@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licences, lm, mix, shard, substrings
+from . import decontaminate, jaccard, licences, lm, mix, shard, substrings, token_counts
 from .common import crc_fold
 
 
@@ -27,6 +27,10 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.deleted_interpolation(docs, fold != 2, fold == 5)
 
 
+def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.pivotal_mix(_read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op9_rare_token_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op4_deleted_interpolation, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences)}
+def op10_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op4_deleted_interpolation, op5_trie_token_counts, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences, op10_pigeonhole_edits)}
 
 ORACLE_SQL: dict[str, str] = {}
