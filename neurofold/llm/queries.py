@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, lm, mix, shard, substrings, token_counts
+from . import decontaminate, jaccard, licences, lm, mix, quality, shard, substrings, token_counts, vectors
 from .common import crc_fold
 
 
@@ -21,6 +21,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 5) == 0)
+
+
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     fold = crc_fold(F.col("doc_id"), 7)
@@ -31,6 +35,10 @@ def op5_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op6_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.pivotal_mix(_read(spark, sf_dir, "documents"))
 
@@ -47,6 +55,6 @@ def op10_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op4_deleted_interpolation, op5_trie_token_counts, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences, op10_pigeonhole_edits)}
+QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op3_attention_quality, op4_deleted_interpolation, op5_trie_token_counts, op6_subspace_pigeonhole, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences, op10_pigeonhole_edits)}
 
 ORACLE_SQL: dict[str, str] = {}
