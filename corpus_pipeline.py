@@ -1,11 +1,80 @@
-"""Corpus pipeline: from raw documents to balanced, ordered shards."""
+"""Corpus pipeline: from raw documents to balanced, ordered shards.
 
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and
+returns a DataFrame; all but the last return the columns of ``documents``.
+
+1. quality: documents that the attention classifier rejects go.
+2. near_duplicates: of each component of the n-gram Jaccard join the document of the
+   least doc_id stays.
+3. decontaminate: documents that hold a benchmark item within its edit budget go.
+4. mix: every source is brought to its target words; a document appears once for each
+   copy that the mix takes.
+5. shard: the copies are put in Hilbert-curve order and cut into shards.
+
+A null doc_id never matches a decision and its document stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from neurofold.llm.common import crc_fold
+from neurofold.llm.decontaminate import contaminated
+from neurofold.llm.jaccard import near_duplicates
+from neurofold.llm.mix import pivotal_mix
+from neurofold.llm.quality import quality_scores
+from neurofold.llm.shard import hilbert_shards
+
+#: The classifier and the search are trained statistics and distances: no SQL form.
 ORACLE_SQL = None
-STAGES = []
+SHARDS = 16
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts.  It learns from all labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_scores(docs, labels, crc_fold(F.col("doc_id"), 5) == 0)
+    rejected = scored.where("predicted = 0").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each component of near duplicates."""
+    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = contaminated(docs, benchmark).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    taken = pivotal_mix(docs).where("taken > 0")
+    # Rows that repeat are taken together: once in the join, as often as all of them are taken in the result.
+    copies = taken.groupBy(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid")).agg(F.sum("copies").cast("int").alias("__copies"))
+    keyed = docs.withColumn("__uid2", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["__uid2", "doc_id"])
+    joined = keyed.join(copies, (F.col("__uid2") == F.col("__uid")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and curve of every copy."""
+    return hilbert_shards(docs, SHARDS)
+
+
+STAGES = [("quality", quality), ("near_duplicates", one_of_each), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; a stage's rows are written as Parquet and read again as the next one's."""
+    from neurofold.llm.common import materialise
 
-def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -99,7 +99,7 @@ STATE = "uid bigint, doc_id bigint, source string, size bigint, node bigint, lev
 def pivotal_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
     """Whole copies of each row of docs (doc_id, text, source) so that sources reach their target words.
 
-    Returns doc_id, size, source_size, target, taken and uid (a hash of the row, which tells repeated ids apart).
+    Returns doc_id, size, source_size, target, taken, copies and uid (a hash of the row, which tells repeated ids apart).
     """
     uid = F.xxhash64("doc_id", "source", "text")
     rows = docs.select("doc_id", "source", word_count().alias("size"), uid.alias("uid"))
@@ -128,4 +128,5 @@ def pivotal_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: fl
         ups = ups.unionByName(d)
     out = ups.join(goal, ups.source.eqNullSafe(goal.source)).select("doc_id", ups.source, "size", "source_size", "target", "up", "uid")
     ratio = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(limit))
-    return out.select("doc_id", "size", "source_size", "target", ((F.floor(ratio + 1e-12) + F.col("up")) * F.col("size")).cast("long").alias("taken"), "uid")
+    copies = (F.floor(ratio + 1e-12) + F.col("up")).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies"), "uid")
