@@ -1,4 +1,652 @@
-"""Registered engine queries and their DuckDB twins."""
+"""Registered engine queries and their DuckDB twins.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Images and traces come from the driver's tables through ``adapters``; float results
+are rounded on both sides, integers are 64 bits wide.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import adapters as A
+from .config import Params
+from .functions.semantics import exceeds, mround, slope, to_index, to_yx
+from .operators import extract, motion, segment, stencil, traces
+from .plans import batch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+H, W = A.HEIGHT, A.WIDTH
+#: Thresholds that suit the adapters' images.
+SEGMENT = Params(br_threshold=250, cont_threshold=5, cell_radius=5)
+WINDOW, PERCENTILE, EPOCH = 20, 15, 15
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a query under its function's name, with its twin over the named views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = A.with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str, name: str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), 6).alias(name)
+
+
+def rolling_sql(w: int, p: float, out: str) -> str:
+    """The rolling percentile by sorted windows; a trace shorter than the window is its own window."""
+    return f"""WITH s AS (SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM tr),
+    k AS (SELECT *, least({w}, n) AS w, greatest(1, least(least({w}, n), CAST(round(least({w}, n) * {p} / 100.0) AS BIGINT))) AS k FROM s),
+    full_ AS (SELECT a.cell_id, a.t, list_sort(list(b.f))[any_value(a.k)] AS f0 FROM k a JOIN tr b ON b.cell_id = a.cell_id AND b.t BETWEEN a.t - CAST(ceil(a.w / 2.0) AS BIGINT) + 1 AND a.t + a.w // 2
+              WHERE a.t >= ceil(a.w / 2.0) AND a.t <= a.n - a.w // 2 GROUP BY a.cell_id, a.t),
+    r AS (SELECT a.cell_id, a.t, a.f, b.f0 FROM k a JOIN full_ b ON a.cell_id = b.cell_id AND b.t = least(greatest(a.t, CAST(ceil(a.w / 2.0) AS BIGINT)), a.n - a.w // 2))
+    {out}"""
+
+
+# Traces
+
+
+@query(rolling_sql(WINDOW, PERCENTILE, "SELECT cell_id, t, round(f0, 6) AS f0 FROM r"), "tr")
+def rolling_percentile(spark, sf_dir):
+    based = traces.rolling_percentile(traces.as_arrays(A.tr(spark, sf_dir)), WINDOW, PERCENTILE)
+    return traces.as_points(based, "f0", "f0").select("cell_id", "t", r6("f0", "f0"))
+
+
+@query(rolling_sql(WINDOW, PERCENTILE, "SELECT cell_id, t, round(f0, 6) AS f0 FROM r"), "tr")
+def rolling_percentile_windows(spark, sf_dir):
+    return traces.rolling_percentile_points(A.tr(spark, sf_dir), WINDOW, PERCENTILE).select("cell_id", "t", r6("f0", "f0"))
+
+
+@query(rolling_sql(600, PERCENTILE, "SELECT cell_id, t, round(f0, 6) AS f0 FROM r"), "tr")
+def rolling_window_clamped(spark, sf_dir):
+    based = traces.rolling_percentile(traces.as_arrays(A.tr(spark, sf_dir)), 600, PERCENTILE)
+    return traces.as_points(based, "f0", "f0").select("cell_id", "t", r6("f0", "f0"))
+
+
+@query("SELECT cell_id, t, round(f, 6) AS f0 FROM tr", "tr")
+def rolling_w1(spark, sf_dir):
+    based = traces.rolling_percentile(traces.as_arrays(A.tr(spark, sf_dir)), 1, PERCENTILE)
+    return traces.as_points(based, "f0", "f0").select("cell_id", "t", r6("f0", "f0"))
+
+
+DFF = rolling_sql(WINDOW, PERCENTILE, "SELECT cell_id, t, round(f0, 6) AS f0, round((f - f0) / (greatest(f0, 0) + 10.0), 6) AS dff FROM r")
+
+
+@query(DFF, "tr")
+def rolling_dff(spark, sf_dir):
+    out = traces.rolling_dff(A.tr(spark, sf_dir), WINDOW, PERCENTILE, 10)
+    return out.select("cell_id", "t", r6("f0", "f0"), r6("dff", "dff"))
+
+
+@query("SELECT cell_id, t, round((f - f / 2) / (greatest(f / 2, 0) + 2.5), 6) AS dff FROM tr", "tr")
+def dff_offset(spark, sf_dir):
+    p = A.tr(spark, sf_dir)
+    return p.select("cell_id", "t", r6(traces.dff(F.col("f"), F.col("f") / 2, 2.5), "dff"))
+
+
+LOW20 = f"w AS (SELECT cell_id, (t - 1) // {EPOCH} AS w, f, max(t) OVER (PARTITION BY cell_id) // {EPOCH} AS windows FROM tr), lo AS (SELECT *, row_number() OVER (PARTITION BY cell_id, w ORDER BY f) AS r FROM w WHERE w < windows), b AS (SELECT cell_id, w, greatest(avg(f), 0) AS b FROM lo WHERE r <= {mround(EPOCH / 5)} GROUP BY ALL)"
+
+
+@query(f"WITH {LOW20} SELECT cell_id, w, round(b, 6) AS b FROM b", "tr")
+def window_low20(spark, sf_dir):
+    return traces.window_low_mean(A.tr(spark, sf_dir), EPOCH).select("cell_id", "w", r6("b", "b"))
+
+
+@query(
+    f"""WITH {LOW20}, m AS (SELECT cell_id, avg(b) FILTER (w < 2) AS b12, count(*) AS n FROM b GROUP BY ALL),
+    s AS (SELECT cell_id, b12, regr_slope(ln(b / b12), CAST({mround(EPOCH / 2)} + w * {EPOCH} AS DOUBLE)) AS slope FROM b JOIN m USING (cell_id) WHERE n >= 2 GROUP BY ALL)
+    SELECT cell_id, t, round(exp(slope * t) * b12, 6) AS fitted, round(f / (exp(slope * t) * b12), 6) AS f FROM tr JOIN s USING (cell_id)""",
+    "tr",
+)
+def exp_bleach_fit(spark, sf_dir):
+    return traces.bleach_fit(A.tr(spark, sf_dir), EPOCH).select("cell_id", "t", r6("fitted", "fitted"), r6("f", "f"))
+
+
+DEMEAN = f"d AS (SELECT cell_id, t, f - avg(f) OVER (PARTITION BY cell_id, (t - 1) % {EPOCH}) AS f FROM (SELECT *, max(t) OVER (PARTITION BY cell_id) AS n FROM tr) WHERE t <= n // {EPOCH} * {EPOCH})"
+
+
+@query(f"WITH {DEMEAN} SELECT cell_id, t, round(f, 6) + 0.0 AS f FROM d", "tr")
+def epoch_demean(spark, sf_dir):
+    return traces.epoch_demean(A.tr(spark, sf_dir), EPOCH).select("cell_id", "t", (F.round("f", 6) + F.lit(0.0)).alias("f"))
+
+
+@query(f"SELECT cell_id, round(min(m), 6) AS base FROM (SELECT cell_id, (t - 1) // {EPOCH} AS e, avg(f) AS m FROM tr GROUP BY ALL) GROUP BY ALL", "tr")
+def min_baseline(spark, sf_dir):
+    return traces.epoch_min(A.tr(spark, sf_dir), EPOCH).select("cell_id", r6("base", "base"))
+
+
+@query("SELECT cell_id, CAST(CASE WHEN t <= 10 THEN 1 WHEN t <= 25 THEN 2 WHEN t <= 30 THEN 3 ELSE 4 END AS BIGINT) AS trial, round(avg(f), 6) AS mean FROM tr WHERE t <= 45 GROUP BY ALL", "tr")
+def trial_average(spark, sf_dir):
+    return traces.trial_average(A.tr(spark, sf_dir), [10, 15, 5, 15]).select("cell_id", "trial", r6("mean", "mean"))
+
+
+@query("WITH n AS (SELECT cell_id, count(*) AS n FROM tr GROUP BY ALL), p AS (SELECT a.cell_id AS a, b.cell_id AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON b.cell_id = a.cell_id + 1) SELECT a, b, round(CASE WHEN na <> nb THEN 0 ELSE corr(x.f, y.f) END, 6) AS r FROM p JOIN tr x ON x.cell_id = a JOIN tr y ON y.cell_id = b AND y.t = x.t GROUP BY a, b, na, nb", "tr")
+def pair_corr(spark, sf_dir):
+    points = A.tr(spark, sf_dir)
+    cells = points.select("cell_id").distinct()
+    pairs = cells.select(F.col("cell_id").alias("a"), (F.col("cell_id") + 1).alias("b")).join(cells.select(F.col("cell_id").alias("b")), "b", "left_semi")
+    return traces.pair_correlation(pairs, points).select("a", "b", r6("r", "r"))
+
+
+EDGES = "e AS (SELECT cell_id, t, q - lag(q) OVER (PARTITION BY cell_id ORDER BY t) AS d FROM (SELECT cell_id, t, round(floor(f / 10) / 0.05) AS q FROM tr))"
+
+
+def _coarse(spark, sf_dir):
+    return A.tr(spark, sf_dir).withColumn("f", F.floor(F.col("f") / 10).cast("double"))
+
+
+@query(f"WITH {EDGES} SELECT cell_id, t, d FROM e WHERE d <> 0", "tr")
+def edge_segments(spark, sf_dir):
+    return traces.edges(_coarse(spark, sf_dir))
+
+
+def _segments(spark, sf_dir):
+    points = _coarse(spark, sf_dir)
+    return traces.debounce(traces.edges(points), points.groupBy("cell_id").agg(F.max("t").alias("last")), 2)
+
+
+# The fold over edges, as a recursion over each cell's ordered marks.
+SEGMENTS = f"""{EDGES}, marks AS (SELECT cell_id, m, row_number() OVER (PARTITION BY cell_id ORDER BY m) AS i FROM (SELECT cell_id, t - 1 AS m FROM e WHERE d <> 0 UNION ALL SELECT cell_id, max(t) FROM tr GROUP BY ALL)),
+walk AS (SELECT cell_id, i, CAST(1 AS BIGINT) AS prev, m AS close, CAST(1 AS BIGINT) AS begin_, true AS kept FROM marks WHERE i = 1
+         UNION ALL SELECT w.cell_id, x.i, CASE WHEN x.m - w.prev > 2 THEN x.m ELSE w.prev END, x.m, w.prev + 1, x.m - w.prev > 2 FROM walk w JOIN marks x ON x.cell_id = w.cell_id AND x.i = w.i + 1),
+seg AS (SELECT cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY i) AS frame, CASE WHEN i = 1 THEN 1 ELSE begin_ END AS b, close AS e_ FROM walk WHERE kept)"""
+
+
+@query(f'WITH {SEGMENTS} SELECT cell_id, frame, b AS "begin", e_ AS "end" FROM seg', "tr")
+def debounce_segments(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+@query(f"WITH {SEGMENTS} SELECT cell_id, frame, round(CASE WHEN any_value(e_ - b) > 0 THEN median(f) ELSE 0 END, 6) AS med, round(CASE WHEN any_value(e_ - b) > 0 THEN avg(f) ELSE 0 END, 6) AS mean FROM seg JOIN tr USING (cell_id) WHERE t BETWEEN b AND e_ GROUP BY cell_id, frame", "tr")
+def frame_stim_align(spark, sf_dir):
+    return traces.align(_segments(spark, sf_dir), A.tr(spark, sf_dir)).select("cell_id", "frame", r6("med", "med"), r6("mean", "mean"))
+
+
+@query("SELECT cell_id, round(regr_slope(f, CAST(t AS DOUBLE)) * (max(t) - 1), 6) AS tilt FROM tr GROUP BY ALL", "tr")
+def linear_tilt(spark, sf_dir):
+    return A.tr(spark, sf_dir).groupBy("cell_id").agg(r6(slope(F.col("f"), F.col("t").cast("double")) * (F.max("t") - 1), "tilt"))
+
+
+# Levels, quantiles and per-pixel scalars
+
+
+@query("SELECT round(avg(v), 6) AS level FROM (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM px) WHERE r <= round(n / 20.0)", "px")
+def bg_level_5pct(spark, sf_dir):
+    return traces.lowest_mean(A.px(spark, sf_dir), "v").select(r6("level", "level"))
+
+
+@query("WITH l AS (SELECT avg(v) AS level FROM (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM px) WHERE r <= round(n / 20.0)) SELECT cell_id, t, round(CAST(CAST(f - level AS FLOAT) AS DOUBLE), 3) AS f FROM tr, l", "px", "tr")
+def bg_subtract(spark, sf_dir):
+    level = traces.lowest_mean(A.px(spark, sf_dir), "v")
+    return traces.subtract(A.tr(spark, sf_dir), level).select("cell_id", "t", F.round(F.col("f").cast("double"), 3).alias("f"))
+
+
+@query("SELECT v AS threshold FROM (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM px) WHERE r = round(0.85 * n)", "px")
+def suggested_threshold_85(spark, sf_dir):
+    return traces.ranked_value(A.px(spark, sf_dir), "v", F.round(F.col("n") * 0.85)).select(F.col("value").alias("threshold"))
+
+
+@query("WITH s AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM px WHERE z = 1), h AS (SELECT 0.85 * max(n) + 0.5 AS h FROM s) SELECT round(max(v) FILTER (r = floor(h)) + (h - floor(h)) * (max(v) FILTER (r = floor(h) + 1) - max(v) FILTER (r = floor(h))), 6) AS threshold FROM s, h GROUP BY h", "px")
+def prctile_hazen_85(spark, sf_dir):
+    plane = A.px(spark, sf_dir).where("z = 1")
+    h = F.col("n") * 0.85 + 0.5
+    low = traces.ranked_value(plane, "v", F.floor(h)).select(F.col("value").alias("a"))
+    high = traces.ranked_value(plane, "v", F.floor(h) + 1).select(F.col("value").alias("b"))
+    n = plane.agg(F.count("*").alias("n"))
+    return n.crossJoin(low).crossJoin(high).select(r6(F.col("a") + (h - F.floor(h)) * (F.col("b") - F.col("a")), "threshold"))
+
+
+P99 = "s AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY v DESC) AS r, count(*) OVER (PARTITION BY z) AS n FROM px), l AS (SELECT z, min(v) AS lo, max(v) FILTER (r = round(n / 100.0)) AS hi FROM s GROUP BY z)"
+
+
+def _per_plane_top(pixels: DataFrame, share: int) -> DataFrame:
+    """(z, lo, hi): least value and the one at rank round(n / share) from the top, by value counts of each plane."""
+    from pyspark.sql import Window
+
+    counts = pixels.groupBy("z", "v").agg(F.count("*").alias("c"))
+    down, whole = Window.partitionBy("z").orderBy(F.desc("v")), Window.partitionBy("z")
+    ranked = counts.withColumn("upto", F.sum("c").over(down)).withColumn("n", F.sum("c").over(whole))
+    return ranked.groupBy("z").agg(F.min("v").alias("lo"), F.max(F.when(F.col("upto") >= F.round(F.col("n") / share), F.col("v"))).alias("hi"), F.max("v").alias("top"), F.max("n").alias("n"))
+
+
+@query(f"WITH {P99} SELECT z, lo, hi FROM l", "px")
+def p99_scale(spark, sf_dir):
+    return _per_plane_top(A.px(spark, sf_dir), 100).select("z", "lo", "hi")
+
+
+@query(f"WITH {P99} SELECT z, y, x, round(least(CAST(v - lo AS DOUBLE) / (hi - lo), 1.0), 6) AS v FROM px JOIN l USING (z)", "px")
+def norm99(spark, sf_dir):
+    p = A.px(spark, sf_dir)
+    scale = _per_plane_top(p, 100)
+    return p.join(F.broadcast(scale), "z").select("z", "y", "x", r6(F.least((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(1.0)), "v"))
+
+
+@query("WITH c AS (SELECT *, row_number() OVER (PARTITION BY z ORDER BY v DESC) AS r, count(*) OVER (PARTITION BY z) AS n FROM px WHERE v > 400), l AS (SELECT z, CASE WHEN any_value(n) > 20 THEN max(v) FILTER (r = round(n / 20.0)) ELSE max(v) END AS hi FROM c GROUP BY z), m AS (SELECT z, min(v) AS lo, max(v) AS top FROM px GROUP BY z) SELECT z, y, x, round(least(CAST(v - lo AS DOUBLE) / (coalesce(hi, top) - lo), 1.0), 6) AS v FROM px JOIN m USING (z) LEFT JOIN l USING (z)", "px")
+def norm95_candidates(spark, sf_dir):
+    p = A.px(spark, sf_dir)
+    lit = _per_plane_top(p.where("v > 400"), 20).select("z", F.when(F.col("n") > 20, F.col("hi")).otherwise(F.col("top")).alias("hi"))
+    whole = p.groupBy("z").agg(F.min("v").alias("lo"), F.max("v").alias("top"))
+    joined = p.join(F.broadcast(whole.join(lit, "z", "left")), "z")
+    return joined.select("z", "y", "x", r6(F.least((F.col("v") - F.col("lo")) / (F.coalesce("hi", "top") - F.col("lo")), F.lit(1.0)), "v"))
+
+
+@query("SELECT z, y, x, CAST(CASE WHEN v * 120 > 63000 THEN v * 120 - 60465 ELSE v * 120 + 2535 END AS BIGINT) AS v FROM px", "px")
+def mbif3_fix(spark, sf_dir):
+    from .sources.mbif3 import fix_error
+
+    return A.px(spark, sf_dir).select("z", "y", "x", fix_error(F.col("v") * 120).cast("long").alias("v"))
+
+
+@query("SELECT z, y, x, CASE WHEN z <= 21 THEN 2 * z - 1 ELSE 2 * (42 - z) END AS slot FROM px WHERE x = 1", "px")
+def z_interleave(spark, sf_dir):
+    slot = F.when(F.col("z") <= 21, F.col("z") * 2 - 1).otherwise((F.lit(42) - F.col("z")) * 2)
+    return A.px(spark, sf_dir).where("x = 1").select("z", "y", "x", slot.alias("slot"))
+
+
+@query("WITH m AS (SELECT y, x, min(v) AS base FROM px GROUP BY ALL) SELECT z, y, x, round(least(greatest(CAST(v AS DOUBLE) / base - 1, 0) * 128, 255), 6) AS v FROM px JOIN m USING (y, x)", "px")
+def ratio_render(spark, sf_dir):
+    p = A.px(spark, sf_dir)
+    base = p.groupBy("y", "x").agg(F.min("v").alias("base"))
+    ratio = F.greatest(F.try_divide(F.col("v").cast("double"), F.col("base")) - 1, F.lit(0.0)) * 128
+    return p.join(base, ["y", "x"]).select("z", "y", "x", r6(F.least(ratio, F.lit(255.0)), "v"))
+
+
+@query("SELECT z, ind, y, x FROM px", "px")
+def lin_index_roundtrip(spark, sf_dir):
+    p = A.px(spark, sf_dir)
+    y, x = to_yx(to_index(F.col("y"), F.col("x"), H), H)
+    return p.select("z", "ind", y.alias("y"), x.alias("x"))
+
+
+@query("SELECT r AS radius, dy, dx FROM (VALUES (3), (4), (7), (10)) t(r), range(-10, 11) a(dy), range(-10, 11) b(dx) WHERE dy * dy + dx * dx <= r * r")
+def disk_offsets(spark, sf_dir):
+    out = None
+    for r in (3, 4, 7, 10):
+        one = stencil.disk_table(spark, r).select(F.lit(r).alias("radius"), "dy", "dx")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT least(199, CAST(floor((v - lo) * 200.0 / (hi - lo)) AS BIGINT)) AS bin, count(*) AS n FROM px, (SELECT min(v) AS lo, max(v) AS hi FROM px) GROUP BY 1", "px")
+def histogram200(spark, sf_dir):
+    p = A.px(spark, sf_dir)
+    ends = p.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    b = F.least(F.lit(199), F.floor((F.col("v") - F.col("lo")) * 200.0 / (F.col("hi") - F.col("lo"))))
+    return p.crossJoin(F.broadcast(ends)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+# Block and slice means
+
+
+@query("SELECT z, (t - 1) // 2 + 1 AS tp, y, x, round(avg(v), 6) AS v FROM stk WHERE t <= (SELECT max(t) // 2 * 2 FROM stk) GROUP BY ALL", "stk")
+def block_mean(spark, sf_dir):
+    return motion.block_means(A.stk(spark, sf_dir), 2).select("z", "tp", "y", "x", r6("v", "v"))
+
+
+@query("SELECT z, y, x, round(avg(v), 6) AS v FROM stk WHERE t IN (1, 3, 4) GROUP BY ALL", "stk")
+def slice_mean(spark, sf_dir):
+    return A.stk(spark, sf_dir).where(F.col("t").isin(1, 3, 4)).groupBy("z", "y", "x").agg(r6(F.avg("v"), "v"))
+
+
+@query("SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY ALL")
+def mean_z_large(spark, sf_dir):
+    return A.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+
+
+# Stencils
+
+
+@query("SELECT z, (y - 1) // 32 AS gy, (x - 1) // 32 AS gx, min(v) AS m FROM px WHERE y <= 96 GROUP BY ALL", "px")
+def grid_min(spark, sf_dir):
+    return stencil.grid_minima(A.px(spark, sf_dir)).select("z", "gy", "gx", "m")
+
+
+CONTRAST = "g AS (SELECT z, (y - 1) // 32 AS gy, (x - 1) // 32 AS gx, (x - 1) // 32 * 3 + (y - 1) // 32 AS g, min(v) AS m FROM px WHERE y <= 96 GROUP BY ALL), o AS (SELECT a.z, a.gy, a.gx, avg(b.m) AS m FROM g a, (SELECT dy, dx FROM range(-1, 2) p(dy), range(-1, 2) q(dx)) d, g b WHERE b.z = a.z AND b.g = a.g + d.dx * 3 + d.dy GROUP BY ALL)"
+
+
+@query(f"WITH {CONTRAST} SELECT p.z, y, x, round(m, 6) AS m FROM px p JOIN o ON o.z = p.z AND gy = (y - 1) // 32 AND gx = (x - 1) // 32 WHERE v - m > 5", "px")
+def local_contrast(spark, sf_dir):
+    return stencil.local_contrast(A.px(spark, sf_dir)).select("z", "y", "x", r6("m", "m"))
+
+
+def neighbours_sql(r: int, source: str = "px") -> str:
+    """Each pixel with its in-image disk neighbours; the centre-offset product is materialised first."""
+    return f"d AS (SELECT dy, dx FROM range(-{r}, {r + 1}) a(dy), range(-{r}, {r + 1}) b(dx) WHERE dy * dy + dx * dx <= {r * r}), c AS MATERIALIZED (SELECT z, y, x, v, y + dy AS ny, x + dx AS nx FROM {source}, d), n AS (SELECT c.z, c.y, c.x, c.v, p.v AS nv FROM c JOIN {source} p ON p.z = c.z AND p.y = c.ny AND p.x = c.nx)"
+
+
+def _plane(name, make, kind="bigint"):
+    return lambda spark, sf_dir: stencil.kernel(A.px(spark, sf_dir), lambda image: {name: make(image)}, {name: kind}).select("z", "y", "x", name)
+
+
+@query(f"WITH {neighbours_sql(3)} SELECT z, y, x, min(nv) AS v FROM n GROUP BY ALL", "px")
+def erode_r3(spark, sf_dir):
+    return _plane("v", lambda i: stencil.erode(i, 3))(spark, sf_dir)
+
+
+@query(f"WITH {neighbours_sql(3)} SELECT z, y, x, max(nv) AS v FROM n GROUP BY ALL", "px")
+def dilate_r3(spark, sf_dir):
+    return _plane("v", lambda i: stencil.dilate(i, 3))(spark, sf_dir)
+
+
+@query(f"WITH {neighbours_sql(7)} SELECT z, y, x, max(nv) AS v FROM n GROUP BY ALL", "px")
+def dilate_r7(spark, sf_dir):
+    return _plane("v", lambda i: stencil.dilate(i, 7))(spark, sf_dir)
+
+
+@query(f"WITH {neighbours_sql(3)} SELECT z, y, x, max(nv) AS v FROM n GROUP BY ALL", "px")
+def dilate_r3_joined(spark, sf_dir):
+    return stencil.offset_join(A.px(spark, sf_dir), 3, H, W).groupBy("z", "y", "x").agg(F.max("nv").alias("v"))
+
+
+@query(f"WITH {neighbours_sql(3)}, e AS MATERIALIZED (SELECT z, y, x, min(nv) AS v FROM n GROUP BY ALL), c2 AS MATERIALIZED (SELECT z, y, x, y + dy AS ny, x + dx AS nx FROM e, d) SELECT c2.z, c2.y, c2.x, max(e.v) AS v FROM c2 JOIN e ON e.z = c2.z AND e.y = c2.ny AND e.x = c2.nx GROUP BY ALL", "px")
+def opening_r3(spark, sf_dir):
+    return _plane("v", lambda i: stencil.opening(i, 3))(spark, sf_dir)
+
+
+@query(f"WITH {neighbours_sql(10)} SELECT z, y, x, count(*) AS n FROM n GROUP BY ALL", "px")
+def maskones_r10(spark, sf_dir):
+    return _plane("n", lambda i: stencil.inside_count(i.shape, 10))(spark, sf_dir)
+
+
+RANK = neighbours_sql(10) + ", k AS MATERIALIZED (SELECT z, y, x, (x - 1) * 100 + y AS ind, CASE WHEN v > 250 THEN CAST(sum(CASE WHEN v >= nv THEN 1 ELSE 0 END) AS DOUBLE) / count(*) ELSE 0 END AS rank, v > 250 AS cand FROM n GROUP BY z, y, x, v)"
+
+
+@query(f"WITH {RANK} SELECT z, y, x, round(rank, 6) AS rank FROM k", "px")
+def local_rank_r10(spark, sf_dir):
+    return stencil.kernel(A.px(spark, sf_dir), lambda i: {"rank": stencil.local_rank(i, i > 250, 10)}, {"rank": "double"}).select("z", "y", "x", r6("rank", "rank"))
+
+
+AVERAGE = RANK + ", d4 AS (SELECT dy, dx FROM d WHERE dy * dy + dx * dx <= 16), c4 AS MATERIALIZED (SELECT z, y, x, ind, (ind - 1 + dx * 100 + dy + 6400) % 6400 + 1 AS ni FROM k, d4 WHERE cand), av AS MATERIALIZED (SELECT c4.z, c4.y, c4.x, c4.ind, CAST(sum(k.rank) / 49 AS FLOAT) AS av FROM c4 JOIN k ON k.z = c4.z AND k.ind = c4.ni GROUP BY ALL)"
+
+
+def _ranked(i):
+    rank = stencil.local_rank(i, i > 250, 10)
+    return stencil.local_average(rank, i > 250, 4)
+
+
+@query(f"WITH {AVERAGE} SELECT z, y, x, round(CAST(av AS DOUBLE), 5) AS average FROM av", "px")
+def local_average_r4(spark, sf_dir):
+    out = stencil.kernel(A.px(spark, sf_dir), lambda i: {"average": _ranked(i).astype(float), "cand": i > 250}, {"average": "double"}, keep=lambda m: m["cand"])
+    return out.select("z", "y", "x", F.round("average", 5).alias("average"))
+
+
+@query(f"WITH {neighbours_sql(10)}, d7 AS (SELECT dy, dx FROM d WHERE dy * dy + dx * dx <= 49), p AS MATERIALIZED (SELECT z, y, x, ind, CASE WHEN v > 250 THEN v ELSE 0 END AS v FROM px), c7 AS MATERIALIZED (SELECT z, y, x, ind, v, (ind - 1 + dx * 100 + dy + 6400) % 6400 + 1 AS ni FROM p, d7 WHERE v > 0) SELECT c7.z, c7.y, c7.x FROM c7 JOIN p ON p.z = c7.z AND p.ind = c7.ni GROUP BY c7.z, c7.y, c7.x, c7.v HAVING max(p.v) <= c7.v", "px")
+def local_max_r7(spark, sf_dir):
+    def make(i):
+        own = (i > 250) * i.astype(float)
+        return {"top": stencil.local_max(own, i > 250, 7)}
+
+    return stencil.kernel(A.px(spark, sf_dir), make, {"top": "boolean"}, keep=lambda m: m["top"]).select("z", "y", "x")
+
+
+@query("WITH d AS (SELECT dy, dx FROM range(-4, 5) a(dy), range(-4, 5) b(dx) WHERE dy * dy + dx * dx <= 16) SELECT DISTINCT z, ind + dx * 100 + dy AS ind FROM px, d WHERE v > 450 AND ind + dx * 100 + dy BETWEEN 1 AND 6400", "px")
+def stamp_round1(spark, sf_dir):
+    return stencil.kernel(A.px(spark, sf_dir), lambda i: {"on": stencil.stamp(i > 450, 4)}, {"on": "boolean"}, keep=lambda m: m["on"]).select("z", "ind")
+
+
+def _stage(name):
+    def run(spark, sf_dir):
+        keep = lambda m: m[name] > 0
+        return stencil.kernel(A.px(spark, sf_dir), lambda i: segment.segment_plane(i, SEGMENT), {}, keep=keep).select("z", "y", "x")
+
+    return run
+
+
+@query()
+def seeds_round1(spark, sf_dir):
+    return _stage("seed1")(spark, sf_dir)
+
+
+@query()
+def exclusion_mask(spark, sf_dir):
+    return _stage("remaining")(spark, sf_dir)
+
+
+@query()
+def seeds_round2(spark, sf_dir):
+    return _stage("seed2")(spark, sf_dir)
+
+
+# Components of a fixed brightness mask, by least-index propagation in the twin.
+MASK = "v > 420"
+COMPONENTS = f"m AS MATERIALIZED (SELECT z, y, x, ind FROM px WHERE {MASK}), nb AS MATERIALIZED (SELECT a.z, a.ind AS a, b.ind AS b FROM m a JOIN m b ON a.z = b.z AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), reach AS (SELECT z, ind, ind AS root FROM m UNION SELECT nb.z, nb.b, reach.root FROM reach JOIN nb ON nb.z = reach.z AND nb.a = reach.ind), lab AS (SELECT z, ind, dense_rank() OVER (PARTITION BY z ORDER BY min(root)) AS label FROM reach GROUP BY z, ind)"
+
+
+def _labelled(spark, sf_dir):
+    return segment.components(A.px(spark, sf_dir).where(MASK))
+
+
+@query(f"WITH {COMPONENTS} SELECT z, ind, label FROM lab", "px")
+def components8(spark, sf_dir):
+    # The kernel's plane ends at the last mask pixel, so indices are taken anew.
+    return _labelled(spark, sf_dir).select("z", to_index(F.col("y"), F.col("x"), H).alias("ind"), "label")
+
+
+@query(f"WITH {COMPONENTS} SELECT z, label, CAST(round(avg(y)) AS BIGINT) AS cy, CAST(round(avg(x)) AS BIGINT) AS cx, count(*) AS area, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max FROM lab JOIN px USING (z, ind) GROUP BY z, label", "px")
+def region_props(spark, sf_dir):
+    return segment.region_properties(_labelled(spark, sf_dir)).select("z", "label", "cy", "cx", "area", "y_min", "y_max", "x_min", "x_max")
+
+
+@query(f"WITH {COMPONENTS} SELECT z, max(label) AS cells FROM lab GROUP BY z", "px")
+def cells_per_plane(spark, sf_dir):
+    return _labelled(spark, sf_dir).groupBy("z").agg(F.max("label").alias("cells"))
+
+
+@query(f"WITH {COMPONENTS} SELECT z, ind, label % 10 AS colour FROM lab", "px")
+def palette_label(spark, sf_dir):
+    return segment.palette(_labelled(spark, sf_dir)).select("z", to_index(F.col("y"), F.col("x"), H).alias("ind"), (F.col("label") % 10).alias("colour"))
+
+
+@query()
+def segment_cells(spark, sf_dir):
+    cells = segment.region_properties(segment.labels(A.px(spark, sf_dir), SEGMENT))
+    return cells.select("cell_id", "z", "cy", "cx", "area", "y_min", "y_max", "x_min", "x_max")
+
+
+# Joins
+
+
+#: Synthetic cells: a lattice of centres on every plane, for the join operators.
+CELLS = "cells AS (SELECT z * 1000 + row_number() OVER (PARTITION BY z ORDER BY ind) AS cell_id, z, y AS cy, x AS cx FROM px WHERE (y + 3 * z) % 11 = 0 AND (x + z) % 7 = 0)"
+
+
+def _cells(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = A.px(spark, sf_dir).where("(y + 3 * z) % 11 = 0 AND (x + z) % 7 = 0")
+    return p.select((F.col("z") * 1000 + F.row_number().over(Window.partitionBy("z").orderBy("ind"))).cast("long").alias("cell_id"), "z", F.col("y").alias("cy"), F.col("x").alias("cx"))
+
+
+STAMPS = CELLS + ", st AS (SELECT z, ind, max(cell_id) AS cell_id FROM (SELECT cell_id, z, (cx - 1) * 100 + cy + dx * 100 + dy AS ind FROM cells, range(-2, 3) a(dy), range(-2, 3) b(dx)) WHERE ind > 0 AND ind < 6400 GROUP BY z, ind)"
+
+
+@query(f"WITH {STAMPS} SELECT z, ind, cell_id FROM st", "px")
+def stamp_5x5(spark, sf_dir):
+    return extract.stamps(_cells(spark, sf_dir), H, W)
+
+
+@query(f"WITH {STAMPS} SELECT DISTINCT a.cell_id AS a, b.cell_id AS b FROM st a JOIN st b ON b.z = a.z + 1 AND b.ind = a.ind", "px")
+def adjacent_overlap(spark, sf_dir):
+    return extract.overlaps(_cells(spark, sf_dir), H, W)
+
+
+@query(f"WITH {STAMPS} SELECT cell_id, t, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 3) AS f FROM (SELECT cell_id, ind FROM st WHERE z = 1) JOIN stk USING (ind) GROUP BY ALL", "px", "stk")
+def roi_mean_trace(spark, sf_dir):
+    pixels = extract.stamps(_cells(spark, sf_dir), H, W).where("z = 1")
+    return extract.roi_means(A.stk(spark, sf_dir), pixels).select("cell_id", "t", F.round(F.col("f").cast("double"), 3).alias("f"))
+
+
+def _cell_points(spark, sf_dir):
+    """Traces of the lattice cells: the brightness around each centre, along columns."""
+    cells = _cells(spark, sf_dir).select("cell_id", "z", "cy")
+    return A.px(spark, sf_dir).select("z", F.col("y").alias("cy"), F.col("x").alias("t"), F.col("v").cast("double").alias("f")).join(cells, ["z", "cy"]).select("cell_id", "t", "f")
+
+
+PAIRS = f"{STAMPS}, ov AS (SELECT DISTINCT a.cell_id AS a, b.cell_id AS b FROM st a JOIN st b ON b.z = a.z + 1 AND b.ind = a.ind), cp AS (SELECT cell_id, x AS t, v AS f FROM px JOIN cells ON cells.z = px.z AND cells.cy = px.y)"
+
+
+@query(f"WITH {PAIRS} SELECT a, b, round(corr(x.f, y.f), 6) AS r FROM ov JOIN cp x ON x.cell_id = a JOIN cp y ON y.cell_id = b AND y.t = x.t GROUP BY a, b", "px")
+def dedup_pairs(spark, sf_dir):
+    pairs = extract.overlaps(_cells(spark, sf_dir), H, W)
+    return traces.pair_correlation(pairs, _cell_points(spark, sf_dir)).select("a", "b", r6("r", "r"))
+
+
+@query()
+def dedup_greedy(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    pairs = extract.duplicate_pairs(cells, _cell_points(spark, sf_dir), H, W)
+    return extract.greedy_duplicates(cells, pairs, H, W, 0.15)
+
+
+GRID = "gp AS (SELECT (gx - 1) * 15 + gy AS grid_idx, gy, gx, (11 + (gx - 1) * 5) * 100 + 11 + (gy - 1) * 5 + 1 AS ind FROM range(1, 16) a(gy), range(1, 9) b(gx))"
+RADIUS = 5
+
+
+@query(f"WITH {GRID} SELECT grid_idx, gy, gx, ind FROM gp", "px")
+def grid_points(spark, sf_dir):
+    return motion.grid(spark, H, W, RADIUS)
+
+
+PATCH = f"{GRID}, pc AS MATERIALIZED (SELECT grid_idx, ind AS start, ind + (c - 1) * 100 + r AS ind FROM gp, range(-5, 6) a(c), range(-5, 6) b(r)), pm AS (SELECT z, grid_idx, start AS ind, avg(v) AS m FROM pc JOIN px USING (ind) GROUP BY ALL)"
+
+
+@query(f"WITH {PATCH} SELECT z, grid_idx, ind, round(m, 6) AS m FROM pm WHERE m > 290", "px")
+def patch_mean(spark, sf_dir):
+    means = motion.patch_means(A.px(spark, sf_dir), motion.grid(spark, H, W, RADIUS), H, RADIUS)
+    return means.where(exceeds(F.col("m"), 290)).select("z", "grid_idx", "ind", r6("m", "m"))
+
+
+@query(f"WITH {PATCH}, b AS (SELECT * FROM pm WHERE m > 290) SELECT a.z, a.grid_idx AS g, round(median(c.m), 6) AS med FROM b a, range(-1, 2) p(dy), range(-1, 2) q(dx), b c WHERE c.z = a.z AND c.grid_idx = a.grid_idx + dx * 15 + dy GROUP BY ALL", "px")
+def median3x3(spark, sf_dir):
+    means = motion.patch_means(A.px(spark, sf_dir), motion.grid(spark, H, W, RADIUS), H, RADIUS).where("m > 290")
+    return stencil.median3x3(means.select("z", F.col("grid_idx").alias("g"), F.col("m").alias("v")), 15).select("z", "g", r6("med", "med"))
+
+
+#: Grid points with tilts that follow from their place, for the join and summary operators.
+POINTS = f"{GRID}, pt AS (SELECT z, grid_idx, (ind - 1) % 100 + 1 AS py, (ind - 1) // 100 + 1 AS px_, ((grid_idx * 7 + z) % 11 - 5) / 4.0 AS med_y, ((grid_idx * 3 + z) % 7 - 3) / 4.0 AS med_x, ((grid_idx + z) % 5 - 2) / 2.0 AS med_z FROM gp, (SELECT DISTINCT z FROM px))"
+
+
+def _points(spark, sf_dir):
+    planes = A.table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / H) + 1).cast("long").alias("z")).distinct()
+    g = motion.grid(spark, H, W, RADIUS)
+    tilt = lambda a, m, d: ((F.pmod(F.col("grid_idx") * a + F.col("z"), F.lit(m)) - m // 2) / float(d))
+    return planes.crossJoin(F.broadcast(g)).select("z", "grid_idx", (F.pmod(F.col("ind") - 1, F.lit(H)) + 1).alias("py"), (F.floor((F.col("ind") - 1) / H) + 1).alias("px"), tilt(7, 11, 4).alias("med_y"), tilt(3, 7, 4).alias("med_x"), tilt(1, 5, 2).alias("med_z"))
+
+
+KNN = f"{CELLS}, {POINTS}, nn AS (SELECT cell_id, grid_idx, med_y, med_x, med_z, row_number() OVER (PARTITION BY cell_id ORDER BY (cy - py) * (cy - py) + (cx - px_) * (cx - px_), grid_idx) AS k FROM cells JOIN pt USING (z))"
+
+
+@query(f"WITH {KNN} SELECT cell_id, grid_idx, k FROM nn WHERE k <= 5", "px")
+def knn5(spark, sf_dir):
+    return motion.nearest(_cells(spark, sf_dir), _points(spark, sf_dir)).select("cell_id", "grid_idx", F.col("k").cast("long").alias("k"))
+
+
+@query(f"WITH {KNN}, mm AS (SELECT cell_id, avg(med_y) AS y, avg(med_x) AS x, avg(med_z) AS z FROM nn WHERE k <= 5 GROUP BY ALL) SELECT cell_id FROM mm WHERE NOT (abs(y) > 0.6 OR abs(x) > 0.6 OR abs(z) > 0.6)", "px")
+def motion_filter(spark, sf_dir):
+    return motion.motion_filter(_cells(spark, sf_dir), _points(spark, sf_dir), 0.6).select("cell_id")
+
+
+@query(f"WITH {POINTS} SELECT z, round(avg(sqrt(med_y * med_y + med_x * med_x) * 0.406), 6) AS xymove_av, round(stddev_samp(sqrt(med_y * med_y + med_x * med_x) * 0.406), 6) AS xymove_sd, round(avg(abs(med_z) * 5), 6) AS zmove_av, round(stddev_samp(abs(med_z) * 5), 6) AS zmove_sd FROM pt GROUP BY z", "px")
+def motion_summary(spark, sf_dir):
+    return motion.summary(_points(spark, sf_dir), 0.406, 5.0).select("z", *(r6(c, c) for c in ("xymove_av", "xymove_sd", "zmove_av", "zmove_sd")))
+
+
+@query(f"WITH {POINTS} SELECT z, CAST(round(med_z) AS BIGINT) AS bin, count(*) AS n FROM pt GROUP BY ALL", "px")
+def motion_z_histogram(spark, sf_dir):
+    return _points(spark, sf_dir).groupBy("z", F.round("med_z").cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("WITH s AS (SELECT z, t AS tp, ind AS g, CAST(v % 7 AS DOUBLE) AS dy, CAST(v % 5 AS DOUBLE) AS dx, CAST(v % 3 AS DOUBLE) AS dz FROM stk WHERE y % 10 = 0 AND x % 8 = 0) SELECT z, tp, (tp - 1) * 150 + 75 AS frame_center, round(avg(sqrt(dy * dy + dx * dx)), 6) AS xy_av, round(stddev_samp(sqrt(dy * dy + dx * dx)), 6) AS xy_sd, round(avg(dz), 6) AS z_av, round(stddev_samp(dz), 6) AS z_sd FROM s GROUP BY ALL", "stk")
+def motion_timecourse(spark, sf_dir):
+    s = A.stk(spark, sf_dir).where("y % 10 = 0 AND x % 8 = 0").select("z", F.col("t").alias("tp"), *((F.col("v") % m).cast("double").alias(n) for n, m in (("dy", 7), ("dx", 5), ("dz", 3))))
+    out = motion.timecourse(s, 150)
+    return out.select("z", "tp", F.col("frame_center").cast("long").alias("frame_center"), *(r6(c, c) for c in ("xy_av", "xy_sd", "z_av", "z_sd")))
+
+
+def _rolled(spark, sf_dir, column="z"):
+    """Copies of plane 1 that are moved round by (t, -2t) pixels, as frames t = 0..4."""
+    t = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")
+    one = A.px(spark, sf_dir).where("z = 1").select("y", "x", "v", t)
+    y, x = F.pmod(F.col("y") - 1 + F.col("s"), F.lit(H)) + 1, F.pmod(F.col("x") - 1 - 2 * F.col("s"), F.lit(W)) + 1
+    return one.select(F.lit(1).cast("long").alias("z"), (F.col("s") + 1).cast("long").alias("t"), y.cast("long").alias("y"), x.cast("long").alias("x"), "v")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS z, t + 1 AS t, -t AS dy, 2 * t AS dx FROM range(0, 5) r(t)")
+def stack_register(spark, sf_dir):
+    return motion.register(_rolled(spark, sf_dir), 1, H, W)
+
+
+@query(f"WITH {GRID} SELECT CAST(1 AS BIGINT) AS z, grid_idx, k + 1 AS tp, CAST(k AS DOUBLE) AS dy, CAST(-2 * k AS DOUBLE) AS dx FROM gp, range(0, 3) r(k) WHERE grid_idx IN (38, 53)", "px")
+def xcorr_shift(spark, sf_dir):
+    frames = _bright_spots(spark)
+    points = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 53)").select(F.lit(1).cast("long").alias("z"), "grid_idx", "ind")
+    reference = frames.where("tp = 1").drop("tp")
+    out = motion.displacements(frames, reference, points, H, W, RADIUS, single_plane=True)
+    return out.select("z", "grid_idx", "tp", "dy", "dx")
+
+
+def _bright_spots(spark):
+    """Frames with one bright pixel in the middle of two patches, moved by (tp - 1) * (1, -2)."""
+    pixel = spark.range(1, H * W + 1).select(F.col("id").alias("ind"))
+    y, x = to_yx(F.col("ind"), H)
+    frames = pixel.select(y.alias("y"), x.alias("x"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("tp"))
+    spot = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 53)")
+    centres = [(r["ind"] - 1) for r in spot.collect()]
+    hit = F.lit(False)
+    for c in centres:
+        cy, cx = c % H + 1, c // H
+        hit = hit | ((F.col("y") == cy + (F.col("tp") - 1)) & (F.col("x") == cx - 2 * (F.col("tp") - 1)))
+    return frames.select(F.lit(1).cast("long").alias("z"), F.col("tp").cast("long").alias("tp"), "y", "x", F.when(hit, F.lit(1000.0)).otherwise(F.lit(0.0)).alias("v"))
+
+
+@query("SELECT z, y, x FROM px WHERE v > 350 AND NOT (v % 3 = 0)", "px")
+def setdiff_keep(spark, sf_dir):
+    p = A.px(spark, sf_dir).where("v > 350")
+    return p.select("z", "y", "x").join(p.where("v % 3 = 0").select("z", "y", "x"), ["z", "y", "x"], "left_anti")
+
+
+@query("SELECT z, y, x, v FROM px WHERE v > 350 AND y <= 96", "px")
+def candidate_semi(spark, sf_dir):
+    p = A.px(spark, sf_dir)
+    return p.select("z", "y", "x", "v").join(p.where("v > 350 AND y <= 96").select("z", "y", "x"), ["z", "y", "x"], "left_semi")
+
+
+# Orchestration tables
+
+
+@query("SELECT * FROM (VALUES ('/a', 'OK', 'OK', 'OK'), ('/b', 'FAIL', 'SKIP', 'SKIP'), ('/c', 'OK', 'FAIL', 'SKIP'), ('/d', 'skipped', 'skipped', 'FAIL')) t(directory, segmentation, motion, timecourse)")
+def batch_status(spark, sf_dir):
+    ran = spark.createDataFrame([("/a", "OK", "OK", "OK"), ("/b", "FAIL", "pending", "pending"), ("/c", "OK", "FAIL", "pending"), ("/d", "skipped", "skipped", "FAIL")], "directory string, segmentation string, motion string, timecourse string")
+    return batch.gated(ran)
+
+
+@query("SELECT * FROM (VALUES ('motion', 1::BIGINT, 1::BIGINT, 1::BIGINT), ('segmentation', 2, 1, 1), ('timecourse', 1, 0, 1)) t(stage, ok, skipped, fail)")
+def status_counts(spark, sf_dir):
+    return batch.status_counts(batch_status(spark, sf_dir))
+
+
+@query("SELECT 120.0::DOUBLE AS threshold, true AS known UNION ALL SELECT NULL, false")
+def infer_threshold(spark, sf_dir):
+    from .sources.sidecar import infer_threshold as infer
+
+    names = spark.createDataFrame([("cellmask_120_5_5.tif",), ("cellmask_120.tif",), ("ave.tif",)], "name string")
+    mixed = spark.createDataFrame([("cellmask_120_5_5.tif",), ("cellmask_90.tif",)], "name string")
+    return infer(names).union(infer(mixed)).select("threshold", F.col("threshold").isNotNull().alias("known"))
+
+
+@query("SELECT 2.5::DOUBLE AS frame_rate, 600::BIGINT AS n_volumes, 2048::BIGINT AS h, 1084::BIGINT AS w, 41::BIGINT AS z, 5.0::DOUBLE AS z_step_um, 1::BIGINT AS frame_start, 600::BIGINT AS frame_end")
+def sidecar_parse(spark, sf_dir):
+    from .sources import sidecar
+
+    text = spark.createDataFrame([('2.5\n240\n600\n', '<a dimensions="2048x1084x41"/><info z_step="5.0"/>', "minframe = 0\nmaxframe = 599")], "rate string, xml string, frames string")
+    return text.select(*sidecar.frame_rate(F.col("rate")), *sidecar.xml_dimensions(F.col("xml")), sidecar.z_step(F.col("xml")), *sidecar.frame_range(F.col("frames"), F.lit(600)))
