@@ -7,7 +7,7 @@ shingles, pairs pass length and positional bounds, and each pair is verified onc
 after a suffix bound, by merging the ordered sets.
 
 A family of thousands of near copies would make a pair of every two members.  Pairs
-that are neighbours (by size) under some prefix shingle are verified first; classes
+that are neighbours (by size, and by hash) under some prefix shingle are verified first; classes
 that are then connected need no further pair, so the full join only pairs classes of
 different components, and under each shingle leaves out its largest component's own
 members.  No link between different components is lost, so components are exact.
@@ -129,18 +129,28 @@ def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= needed
 
 
-def _neighbours(batches):
-    """Pairs of consecutive rows that have the same token."""
-    last = None
-    for batch in batches:
-        token, node = batch.column("token").to_numpy(), batch.column("id").to_numpy()
-        if last is not None:
-            token, node = np.append(last[0], token), np.append(last[1], node)
-        if len(token):
-            last = token[-1], node[-1]
-        same = (token[1:] == token[:-1]) & (node[1:] != node[:-1])
-        a, b = np.minimum(node[1:], node[:-1])[same], np.maximum(node[1:], node[:-1])[same]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def neighbours(rows: DataFrame, order: list, reach: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (token, id, n, place) of one token that stand up to ``reach`` apart in an order and may reach the threshold.
+
+    The order is cut into ranges, a token's rows may lie in several; pairs across a cut are left to the full join.
+    """
+
+    def pair(batches):
+        held = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "id", "n", "place")])], 1)
+            found = []
+            for k in range(1, reach + 1):
+                x, y = held[:, :-k], held[:, k:]
+                needed = -(-percent * (x[2] + y[2]) // (100 + percent))
+                ok = (x[0] == y[0]) & (x[1] != y[1]) & (np.minimum(x[2] - x[3], y[2] - y[3]) >= needed)
+                found.append(np.sort(np.stack([x[1][ok], y[1][ok]]), 0))
+            both = np.concatenate(found, 1)
+            held = held[:, -reach:]
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    ranged = rows.repartitionByRange("token", *order).sortWithinPartitions("token", *order)
+    return ranged.select("token", "id", "n", "place").mapInArrow(pair, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -153,8 +163,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     sets = found.where("ordered is not null").join(classes, ["key_a", "key_b", "n"]).where("doc_id = id").select("id", "n", "tokens", "places", "ordered").dropDuplicates(["id"])
     sets = materialise(sets, "class-sets")
     rows = sets.select("id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "id", "n", F.col("t.places").alias("place"))
-    # Under each prefix shingle, classes of similar size next to each other.
-    chain = rows.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id").select("token", "id").mapInArrow(_neighbours, "a bigint, b bigint").distinct()
+    # Under each prefix shingle, a few classes of similar size and a few at random.
+    chain = neighbours(rows, ["n", "id"], 3, percent).union(neighbours(rows, [F.xxhash64("id"), "id"], 2, percent)).distinct()
     links = materialise(verified(chain, sets, percent), "links")
     joined = components(links).select("id", "component")
     # The rest: pairs of different components under a shingle; one side is not of the shingle's largest component.
@@ -166,7 +176,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     a, b = others.alias("a"), named.alias("b")
     smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
-    most = F.least("a.place", "b.place") + 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) - 1
+    # At its first common shingle a pair has none before, so what is left after it must be enough: one such shingle suffices.
+    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & (smaller * 100 >= larger * percent) & (most >= needed))
     pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     more = materialise(verified(pairs, sets, percent), "links")
