@@ -7,10 +7,12 @@ shingles, pairs pass length and positional bounds, and each pair is verified onc
 after a suffix bound, by merging the ordered sets.
 
 A family of thousands of near copies would make a pair of every two members.  Pairs
-that are neighbours (by size, and by hash) under some prefix shingle are verified first; classes
-that are then connected need no further pair, so the full join only pairs classes of
-different components, and under each shingle leaves out its largest component's own
-members.  No link between different components is lost, so components are exact.
+that are neighbours (by size, and by hash) under some prefix shingle are verified first,
+then classes outside a shingle's largest component against a hub of it; classes that are
+then connected need no further pair, so the full join only pairs classes of different
+components, and under each shingle leaves out its largest component's own members.
+Parity sketches of the sets bound what a pair can share (suffix filter), inside the join.
+No link between different components is lost, so components are exact.
 
 Defined results: a null text is empty; texts without words have no set, size 0 and no
 link; fewer words than n are one shingle; rows that share a doc_id are one document;
@@ -21,13 +23,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Spans, chunks, counted, flat, materialise, mix, parcels, part_count, text_size, unparcel, words
 from .components import components
 
 CHAIN = np.uint64(0xA0761D6478BD642F)
+#: Rounds in which classes are compared with one hub of each shingle's largest component before the full join.
+ATTACH = 1
+#: Words of 64 bits in a parity sketch, a power of two.
+SKETCH = 8
 
 
 def shingles(text: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +64,18 @@ def shingles(text: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), first
 
 
-SETS = "doc_id bigint, n bigint, key_a bigint, key_b bigint, tokens array<bigint>, places array<int>, ordered binary"
+def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * SKETCH buckets: sketches of two sets differ in no more bits than the sets in shingles."""
+    out = np.zeros(((len(first) - 1), SKETCH), np.uint64)
+    if len(h):
+        bits = np.uint64(64 - (SKETCH - 1).bit_length())
+        word = np.repeat(np.arange(len(first) - 1), np.diff(first)) * SKETCH + (h >> bits).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        out.ravel()[word[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << ((h >> (bits - np.uint64(6))) & np.uint64(63)), starts)
+    return out.view(np.int64)
+
+
+SETS = "doc_id bigint, n bigint, key_a bigint, key_b bigint, tokens array<bigint>, places array<int>, sketch array<bigint>, ordered binary"
 
 
 def ordered_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -96,6 +113,7 @@ def ordered_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 "key_b": pa.array(sums[1].view(np.int64)),
                 "tokens": pa.ListArray.from_arrays(pa.array(picked.astype(np.int32)), pa.array(tokens)),
                 "places": pa.ListArray.from_arrays(pa.array(picked.astype(np.int32)), pa.array(places)),
+                "sketch": pa.array([list(map(int, s)) if has[i] else None for i, s in enumerate(sketches(h, first))], pa.list_(pa.int64())),
                 # With each shingle its frequency's rank is implied by the order; the merge needs only membership and place.
                 "ordered": pa.array([ranked[first[i] : first[i + 1]].tobytes() if has[i] else None for i in range(len(sizes))], pa.binary()),
             }
@@ -120,7 +138,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether percent of the union is shared.  Suffix filter: shingles split by value at a probe must overlap enough in both halves."""
+    """Whether percent of the union is shared.  Shingles split by value at a probe must be able to overlap enough in both halves."""
     needed = -(-percent * (len(x) + len(y)) // (100 + percent))
     probe = y[len(y) // 2]
     low_x, low_y = int((x < probe).sum()), int((y < probe).sum())
@@ -153,6 +171,23 @@ def neighbours(rows: DataFrame, order: list, reach: int, percent: int) -> DataFr
     return ranged.select("token", "id", "n", "place").mapInArrow(pair, "a bigint, b bigint")
 
 
+def may_reach(n: str, place: str, other_n: str, other_place: str, percent: int) -> Column:
+    """Length and positional bounds on a pair that meets at these places of its ordered sets.
+
+    At its first common shingle a pair has none before, so what is left after it must be enough: one such shingle suffices.
+    """
+    smaller, larger = F.least(n, other_n), F.greatest(n, other_n)
+    needed = F.ceil((F.col(n) + F.col(other_n)) * percent / (100 + percent))
+    return (smaller * 100 >= larger * percent) & (F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place)) >= needed)
+
+
+def may_differ(a: str, b: str, percent: int) -> Column:
+    """Suffix bound on a pair: the sketches, of what follows the prefix too, may not differ in more bits than the sets in shingles."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    apart = [F.bit_count(F.get(f"{a}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(i)))) for i in range(SKETCH)]
+    return sum(apart[1:], apart[0]) <= n - 2 * F.ceil(n * percent / (100 + percent))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """Components of the documents (doc_id, text) whose n-word shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -160,25 +195,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     """
     found = materialise(ordered_sets(docs, n, percent), "sets")
     classes = materialise(found.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("id")), "classes")
-    sets = found.where("ordered is not null").join(classes, ["key_a", "key_b", "n"]).where("doc_id = id").select("id", "n", "tokens", "places", "ordered").dropDuplicates(["id"])
+    sets = found.where("ordered is not null").join(classes, ["key_a", "key_b", "n"]).where("doc_id = id").select("id", "n", "tokens", "places", "sketch", "ordered").dropDuplicates(["id"])
     sets = materialise(sets, "class-sets")
-    rows = sets.select("id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "id", "n", F.col("t.places").alias("place"))
+    rows = sets.select("id", "n", "sketch", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "id", "n", F.col("t.places").alias("place"), "sketch")
+    plain = rows.drop("sketch")
     # Under each prefix shingle, a few classes of similar size and a few at random.
-    chain = neighbours(rows, ["n", "id"], 3, percent).union(neighbours(rows, [F.xxhash64("id"), "id"], 2, percent)).distinct()
+    chain = neighbours(plain, ["n", "id"], 3, percent).union(neighbours(plain, [F.xxhash64("id"), "id"], 2, percent)).distinct()
     links = materialise(verified(chain, sets, percent), "links")
-    joined = components(links).select("id", "component")
-    # The rest: pairs of different components under a shingle; one side is not of the shingle's largest component.
-    named = materialise(rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
-    counts = named.groupBy("token", "component").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main")
-    mixed = materialise(largest, "mixed")
-    others = materialise(named.join(mixed, "token").where("component <> main").drop("main"), "others")
+    for attempt in range(ATTACH + 1):
+        joined = components(links).select("id", "component")
+        # The rest: pairs of different components under a shingle; one side is not of the shingle's largest component.
+        named = materialise(rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
+        # A component's hub has few shingles that are rarer than this one: it is little edited, so likeliest near to the others.
+        rank = F.struct(F.floor(F.col("place") / (1 + 4 * attempt)), F.xxhash64(F.lit(attempt), "id"), "id", "n", "place")
+        counts = named.groupBy("token", "component").agg(F.count("*").alias("c"), F.min(rank).alias("hub"))
+        largest = counts.groupBy("token").agg(F.max(F.struct("c", "component", "hub")).alias("m"), F.count("*").alias("k")).where("k > 1")
+        mixed = materialise(largest.select("token", F.col("m.component").alias("main"), F.col("m.hub.id").alias("hub"), F.col("m.hub.n").alias("hub_n"), F.col("m.hub.place").alias("hub_place")), "mixed")
+        others = materialise(named.join(mixed, "token").where("component <> main").drop("main"), "others")
+        if attempt < ATTACH:
+            star = others.where(may_reach("n", "place", "hub_n", "hub_place", percent)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            links = links.union(materialise(verified(star, sets, percent), "links"))
     a, b = others.alias("a"), named.alias("b")
-    smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
-    # At its first common shingle a pair has none before, so what is left after it must be enough: one such shingle suffices.
-    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & (smaller * 100 >= larger * percent) & (most >= needed))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & may_reach("a.n", "a.place", "b.n", "b.place", percent) & may_differ("a", "b", percent))
     pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     more = materialise(verified(pairs, sets, percent), "links")
     whole = components(links.union(more))
