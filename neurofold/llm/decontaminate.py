@@ -143,6 +143,8 @@ class Pieces:
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """Yields (text index, item index, distance, end in the text) of the matches within budget."""
         item, at, offset = self.hits(data)
+        if not len(item):
+            return
         doc = np.searchsorted(offsets, at, "right") - 1
         diagonal = at - offset
         order = np.lexsort((diagonal, item, doc))
