@@ -195,7 +195,7 @@ def ranges_of(keys: np.ndarray, count: int) -> np.ndarray:
 
 
 ASK = "range int, part int, keys binary, counts array<binary>"
-TOLD = "part int, range int, counts array<binary>, sums array<bigint>"
+TOLD = "part int, range int, counts array<binary>"
 
 
 def ask(part: int, keys: np.ndarray, counts: list[np.ndarray], ranges: int) -> pa.Table:
@@ -213,7 +213,7 @@ def ask(part: int, keys: np.ndarray, counts: list[np.ndarray], ranges: int) -> p
 
 
 def told_total(table: pa.Table, told: int, elect: bool) -> pa.Table:
-    """Adds up one range: for each part that asked, the totals of its keys in order (of the first ``told`` kinds); sums: all keys, and keys and counts of each kind.
+    """Adds up one range: for each part that asked, the totals of its keys in order (of the first ``told`` kinds).
 
     elect: one more column, 1 where the part is the least that asked for the key.
     """
@@ -235,31 +235,29 @@ def told_total(table: pa.Table, told: int, elect: bool) -> pa.Table:
     first = np.zeros(len(every), np.int64)
     first[order[new]] = 1
     given = lambda i: [pack_counts(n[slot[ends[i] : ends[i + 1]]]) for n in totals[:told]] + [pack_counts(first[ends[i] : ends[i + 1]])] * elect
-    sums = [int(new.sum()), *(x for n in totals for x in (int((n > 0).sum()), int(n.sum())))]
     return pa.table(
         {
             "part": pa.array(part, pa.int32()),
             "range": pa.array(table.column("range").to_pylist(), pa.int32()),
             "counts": pa.array([given(i) for i in range(len(part))], pa.list_(pa.binary())),
-            "sums": pa.array([sums] * len(part), pa.list_(pa.int64())),
         }
     )
 
 
-def totals_of(answer: pa.Table, told: int, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """What came back to a part, as arrays in the order of its sorted keys, and the sums of the ranges it asked."""
+def totals_of(answer: pa.Table, told: int) -> list[np.ndarray]:
+    """What came back to a part, as arrays in the order of its sorted keys."""
     if not answer.num_rows:
-        return [np.zeros(0, np.int64)] * told, np.zeros(1 + 2 * kinds, np.int64)
+        return [np.zeros(0, np.int64)] * told
     answer = answer.sort_by("range")
     counts = answer.column("counts").to_pylist()
-    return [np.concatenate([unpack_counts(c[k]) for c in counts]) for k in range(told)], np.array(answer.column("sums").to_pylist()).sum(0)
+    return [np.concatenate([unpack_counts(c[k]) for c in counts]) for k in range(told)]
 
 
-def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, kinds: int = 1, told: int = 1, elect: bool = False) -> DataFrame:
+def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, told: int = 1, elect: bool = False) -> DataFrame:
     """Counts keys over all parts of ``dealt`` (which has an int column ``part``) and hands each part its totals.
 
-    keys_of(table) -> (sorted distinct uint64 keys, [counts of each of ``kinds`` kinds]); use(table, totals, sums) -> Arrow
-    table of ``schema``.  Totals come back for the first ``told`` kinds, sums for all;
+    keys_of(table) -> (sorted distinct uint64 keys, [counts of each kind]); use(table, totals) -> Arrow table of ``schema``.
+    Totals come back for the first ``told`` kinds;
     elect adds a 0/1 column that is 1 for one part of those that have the key.
     Both see the whole part, which holds a bounded amount of text.
     """
@@ -269,7 +267,7 @@ def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, kinds: int
         return ask(table.column("part")[0].as_py(), keys, counts, ranges)
 
     def receive(table: pa.Table, answer: pa.Table) -> pa.Table:
-        return use(table, *totals_of(answer, told + elect, kinds))
+        return use(table, totals_of(answer, told + elect))
 
     asked = dealt.groupBy("part").applyInArrow(send, ASK)
     answers = asked.groupBy("range").applyInArrow(lambda table: told_total(table, told, elect), TOLD)

@@ -85,7 +85,7 @@ def ordered_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         every, count = np.unique(shingles(unparcel(table).column("text"), n)[0], return_counts=True)
         return every, [count]
 
-    def use(table: pa.Table, totals, _sums):
+    def use(table: pa.Table, totals):
         rows = unparcel(table)
         h, first = shingles(rows.column("text"), n)
         every = np.unique(h)

@@ -82,9 +82,7 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     b, _, counts_b = _ranked(two, train, fold)
     every = np.concatenate([a, b])
     order = np.argsort(every)
-    is_word = np.concatenate([np.ones(len(a), np.int64), np.zeros(len(b), np.int64)])
-    counts = [np.concatenate(x)[order] for x in zip(counts_a, counts_b, strict=True)]
-    return every[order], [*counts, counts[0] * is_word[order]]
+    return every[order], [np.concatenate(x)[order] for x in zip(counts_a, counts_b, strict=True)]
 
 
 def planes(counts: np.ndarray) -> bytes:
@@ -96,18 +94,23 @@ def numbers(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-TERMS = "doc_id bigint, held_out boolean, fold boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, vocabulary bigint, word binary, pair binary, less_word binary, less_pair binary"
+TERMS = "doc_id bigint, held_out boolean, fold boolean, n_tokens bigint, n_known bigint, log_sum double, fresh bigint, word binary, pair binary, less_word binary, less_pair binary"
 
 
-def _terms(table: pa.Table, totals: list[np.ndarray], sums: np.ndarray) -> pa.Table:
-    """A row for each document with the counts that its tokens and pairs have, and the base score."""
+def _terms(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
+    """A row for each document with the counts that its tokens and pairs have, and their sum of logarithms for the base score.
+
+    fresh, on a part's first row: training tokens that this part was elected to count, so that the sum over parts is the vocabulary.
+    """
     rows, one, first, two, train, fold = _split(table)
     every = np.unique(np.concatenate([one, two]))
-    n_tokens, vocabulary = int(sums[6]), int(sums[5])
     at_one, at_two = np.searchsorted(every, one), np.searchsorted(every, two)
     c, pair = totals[0][at_one], totals[0][at_two]
     lost_one, lost_two = totals[1][at_one], totals[1][at_two]
-    base = np.add.reduceat(np.log10((c + 1) / (n_tokens + vocabulary + 1)), first[:-1]) if len(c) else np.zeros(0)
+    logs = np.add.reduceat(np.log10(c + 1.0), first[:-1]) if len(c) else np.zeros(0)
+    fresh = np.zeros(len(first) - 1, np.int64)
+    tokens_here = np.unique(at_one)
+    fresh[:1] = int(((totals[2][tokens_here] > 0) & (totals[0][tokens_here] > 0)).sum())
     known = np.add.reduceat((c > 0).astype(np.int64), first[:-1]) if len(c) else np.zeros(0, np.int64)
     is_fold = rows.column("fold").to_numpy().astype(bool)
     cut = lambda x, keep: [planes(x[first[i] : first[i + 1]]) if keep[i] else None for i in range(len(first) - 1)]
@@ -120,9 +123,8 @@ def _terms(table: pa.Table, totals: list[np.ndarray], sums: np.ndarray) -> pa.Ta
             "fold": pa.array(is_fold),
             "n_tokens": pa.array(np.diff(first)),
             "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array([n_tokens] * len(is_fold), pa.int64()),
-            "base_score": pa.array(base),
-            "vocabulary": pa.array([vocabulary] * len(is_fold), pa.int64()),
+            "log_sum": pa.array(logs),
+            "fresh": pa.array(fresh),
             "word": pa.array(cut(c, all_rows), pa.binary()),
             "pair": pa.array(cut(pair, all_rows), pa.binary()),
             "less_word": pa.array([planes(np.append(lost_end[i], lost_one[first[i] : first[i + 1]])) if f else None for i, f in enumerate(is_fold)], pa.binary()),
@@ -137,14 +139,14 @@ def _estimates(word: np.ndarray, pair: np.ndarray, context: np.ndarray, total: i
     return bucket, np.where(context > 0, pair / np.maximum(context, 1), 0.0), word / max(total, 1), 1.0 / (vocabulary + 1)
 
 
-def _held_out(batches):
-    """Counts the fold's tokens on a grid of (context bucket, pair estimate / floor, word estimate / floor)."""
+def _held_out(batches, total: int, vocabulary: int, end: int):
+    """Counts the fold's tokens on a grid of (context bucket, pair estimate / floor, word estimate / floor); total: training tokens without the fold."""
     for batch in batches:
         grid: dict[tuple[int, int, int], int] = {}
-        for word, pair, less_word, less_pair, total, lost, vocabulary, end in zip(*(batch.column(c).to_pylist() for c in ("word", "pair", "less_word", "less_pair", "train_tokens", "fold_tokens", "vocabulary", "ends")), strict=True):
+        for word, pair, less_word, less_pair in zip(*(batch.column(c).to_pylist() for c in ("word", "pair", "less_word", "less_pair")), strict=True):
             word, pair, less_word, less_pair = map(numbers, (word, pair, less_word, less_pair))
             before = np.append(end - less_word[0], (word - less_word[1:])[:-1])
-            bucket, two, one, floor = _estimates(word - less_word[1:], pair - less_pair, before, total - lost, vocabulary)
+            bucket, two, one, floor = _estimates(word - less_word[1:], pair - less_pair, before, total, vocabulary)
             step = lambda p: np.where(p > 0, np.clip(np.round(np.log10(np.maximum(p, 1e-300) / floor) * STEPS), -STEPS * DECADES, STEPS * DECADES), -(STEPS * DECADES + 1)).astype(np.int64)
             for key, n in zip(*np.unique(np.stack([bucket, step(two), step(one)], 1), axis=0, return_counts=True), strict=True):
                 grid[tuple(key)] = grid.get(tuple(key), 0) + int(n)
@@ -188,24 +190,26 @@ def deleted_interpolation(docs: DataFrame, train, fold) -> DataFrame:
     held = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held(train).alias("train"), held(train & fold).alias("fold"))
     parts = part_count(text_size(docs))
-    terms = materialise(counted(parcels(own, parts), _keys, _terms, TERMS, parts, kinds=3, told=2), "lm-terms")
-    folds = terms.where("fold")
-    lost = folds.agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).first()
-    ends = terms.where("not held_out").count()
-    sized = folds.select("word", "pair", "less_word", "less_pair", "train_tokens", "vocabulary", F.lit(lost["n"] or 0).alias("fold_tokens"), F.lit(ends).alias("ends"))
-    grid = sized.mapInArrow(_held_out, "bucket bigint, two bigint, one bigint, n bigint").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    terms = materialise(counted(parcels(own, parts), _keys, _terms, TERMS, parts, told=2, elect=True), "lm-terms")
+    known = terms.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("fresh"), F.count_if(~F.col("held_out")), F.sum(F.when(F.col("fold"), F.col("n_tokens")))))).first()
+    total, vocabulary, ends, lost = map(int, known)
+    held_out = lambda batches: _held_out(batches, total - lost, vocabulary, ends)
+    folds = terms.where("fold").select("word", "pair", "less_word", "less_pair")
+    grid = folds.mapInArrow(held_out, "bucket bigint, two bigint, one bigint, n bigint").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     weights = fit_weights(np.array(grid.collect(), np.int64).reshape(-1, 4))
 
     def score(batches):
         for batch in batches:
             out = []
-            for word, pair, total, vocabulary in zip(*(batch.column(c).to_pylist() for c in ("word", "pair", "train_tokens", "vocabulary")), strict=True):
+            for word, pair in zip(*(batch.column(c).to_pylist() for c in ("word", "pair")), strict=True):
                 word, pair = numbers(word), numbers(pair)
                 bucket, two, one, floor = _estimates(word, pair, np.append(ends, word[:-1]), total, vocabulary)
                 lam = weights[bucket]
                 out.append(float(np.log10(lam[:, 0] * two + lam[:, 1] * one + lam[:, 2] * floor).sum()))
-            keep = batch.select(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(out, pa.float64())], [*keep.schema.names, "score"])
+            keep = batch.select(["doc_id", "held_out", "n_tokens", "n_known"])
+            n = batch.column("n_tokens").to_numpy()
+            base = batch.column("log_sum").to_numpy() - n * np.log10(total + vocabulary + 1.0)
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(np.full(len(n), total)), pa.array(base), pa.array(out, pa.float64())], [*keep.schema.names, "train_tokens", "base_score", "score"])
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return terms.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "word", "pair", "vocabulary").mapInArrow(score, schema)
+    return terms.select("doc_id", "held_out", "n_tokens", "n_known", "log_sum", "word", "pair").mapInArrow(score, schema)

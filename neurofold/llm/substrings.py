@@ -153,7 +153,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     def follow_keys(table: pa.Table):
         return _unique(entries(*flat(unparcel(table).column("text")), length)[3])
 
-    def follow_use(table: pa.Table, totals, _sums):
+    def follow_use(table: pa.Table, totals):
         _, low, high, key, whole = entries(*flat(unparcel(table).column("text")), length)
         again = totals[0][np.searchsorted(np.unique(key), key)] > 1
         return _state(number(table), low[again], high[again], key[again], whole[again])
@@ -161,7 +161,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     state = materialise(counted(dealt, follow_keys, follow_use, STATE, parts), "parse")
 
     # 2. Entries that occur again; one occurrence of each is chosen.
-    def whole_use(table: pa.Table, totals, _sums):
+    def whole_use(table: pa.Table, totals):
         x = _held(table)
         every, first, slot = np.unique(x["whole"], return_index=True, return_inverse=True)
         chosen = np.zeros(len(slot), bool)
@@ -175,7 +175,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
         x = _held(table)
         return _unique(x["key"][x["chosen"]])
 
-    def chosen_use(table: pa.Table, totals, _sums):
+    def chosen_use(table: pa.Table, totals):
         x = _held(table)
         every = np.unique(x["key"][x["chosen"]])
         open_ = np.zeros(len(x["key"]), bool)
@@ -205,7 +205,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
         every, slot = np.unique(key, return_inverse=True)
         return every, [np.bincount(slot, weight, len(every)).astype(np.int64)]
 
-    def window_use(table: pa.Table, totals, _sums):
+    def window_use(table: pa.Table, totals):
         rows, data, offsets, x, start, key, _ = texts_and_state(table)
         edge = np.zeros(len(data) + length + 1, np.int32)
         low, high = x["low"][x["twice"]], x["high"][x["twice"]]
