@@ -196,7 +196,7 @@ def suggested_threshold_85(spark, sf_dir):
     return traces.ranked_value(A.px(spark, sf_dir), "v", F.round(F.col("n") * 0.85)).select(F.col("value").alias("threshold"))
 
 
-@query("WITH s AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM px WHERE z = 1), h AS (SELECT 0.85 * max(n) + 0.5 AS h FROM s) SELECT round(max(v) FILTER (r = floor(h)) + (h - floor(h)) * (max(v) FILTER (r = floor(h) + 1) - max(v) FILTER (r = floor(h))), 6) AS threshold FROM s, h GROUP BY h", "px")
+@query("WITH s AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM px WHERE z = 1), h AS (SELECT 0.85 * max(n) + 0.5 AS h FROM s) SELECT round(CAST(max(v) FILTER (r = floor(h)) + (h - floor(h)) * (max(v) FILTER (r = floor(h) + 1) - max(v) FILTER (r = floor(h))) AS DOUBLE), 6) AS threshold FROM s, h GROUP BY h", "px")
 def prctile_hazen_85(spark, sf_dir):
     plane = A.px(spark, sf_dir).where("z = 1")
     h = F.col("n") * 0.85 + 0.5
@@ -586,21 +586,21 @@ def stack_register(spark, sf_dir):
     return motion.register(_rolled(spark, sf_dir), 1, H, W)
 
 
-@query(f"WITH {GRID} SELECT CAST(1 AS BIGINT) AS z, grid_idx, k + 1 AS tp, CAST(k AS DOUBLE) AS dy, CAST(-2 * k AS DOUBLE) AS dx FROM gp, range(0, 3) r(k) WHERE grid_idx IN (38, 53)", "px")
+@query(f"WITH {GRID} SELECT CAST(1 AS BIGINT) AS z, grid_idx, k + 1 AS tp, CAST(k AS DOUBLE) AS dy, CAST(-2 * k AS DOUBLE) AS dx FROM gp, range(0, 3) r(k) WHERE grid_idx IN (38, 68)", "px")
 def xcorr_shift(spark, sf_dir):
     frames = _bright_spots(spark)
-    points = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 53)").select(F.lit(1).cast("long").alias("z"), "grid_idx", "ind")
+    points = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 68)").select(F.lit(1).cast("long").alias("z"), "grid_idx", "ind")
     reference = frames.where("tp = 1").drop("tp")
     out = motion.displacements(frames, reference, points, H, W, RADIUS, single_plane=True)
     return out.select("z", "grid_idx", "tp", "dy", "dx")
 
 
 def _bright_spots(spark):
-    """Frames with one bright pixel in the middle of two patches, moved by (tp - 1) * (1, -2)."""
+    """Frames with one bright pixel in the middle of two patches that do not overlap, moved by (tp - 1) * (1, -2)."""
     pixel = spark.range(1, H * W + 1).select(F.col("id").alias("ind"))
     y, x = to_yx(F.col("ind"), H)
     frames = pixel.select(y.alias("y"), x.alias("x"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("tp"))
-    spot = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 53)")
+    spot = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 68)")
     centres = [(r["ind"] - 1) for r in spot.collect()]
     hit = F.lit(False)
     for c in centres:

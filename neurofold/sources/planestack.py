@@ -159,7 +159,8 @@ class StackF(DataSource):
 
 
 def read(spark: SparkSession, path: str, h: int, w: int, **options) -> DataFrame:
-    """Frame blocks (z, t0, n, h, w, px)."""
+    """Frame blocks (z, t0, n, h, w, px).  Switches on Spark's filter pushdown to Python sources, by which planes and frames are pruned."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PlaneStack)
     return spark.read.format("planestack").options(h=h, w=w, **options).load(path)
 
