@@ -2,9 +2,11 @@
 
 A test item of n bytes may occur with k edits.  Cut into k + 1 pieces, one piece must
 occur unchanged (pigeonhole), so documents are scanned for exact piece hits: the first
-bytes of every piece form a key, all keys of a document are one numpy expression, and
-a bitmap passes the few that can be a piece.  Hits on the same diagonal are verified
-once with Myers' bit-parallel distance over the window that the edits allow.
+n // (k + 1) bytes of every piece form a key, all keys of a document are one numpy
+expression, and a bitmap passes the few that can be a piece.  The stated rate alone sets
+k; pieces are as long as it leaves them.  A hit goes on if the window that the edits
+allow has enough of the item's 4-grams (k edits spoil at most 4k of them, so no match is
+lost), and hits on close diagonals are verified once with Myers' bit-parallel distance.
 
 Texts and items are compared in lower case (A-Z) with white space collapsed.  Items go
 out in blocks of bounded bytes, one scan of the documents per block, so nothing that is
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, chunks, flat
 
-#: Edits allowed per byte of an item; least bytes of a piece; bytes of items that one scan searches.
+#: Edits allowed per byte of an item; bytes of items that one scan searches.
 EDIT_RATE = 0.1
-LEAST_PIECE = 12
 BLOCK_BYTES = 4 << 20
 BITMAP = 22
+#: Bytes of the grams that hits are filtered by; bytes of hits' windows that are looked at together.
+GRAM = 4
+WINDOW_BYTES = 1 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -58,8 +62,8 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def budget(n: int) -> int:
-    """Edits that an item of n bytes may have: a share of its bytes, as far as its pieces stay long enough."""
-    return max(0, min(int(EDIT_RATE * n), n // LEAST_PIECE - 1))
+    """Edits that an item of n bytes may have: a share of its bytes."""
+    return int(EDIT_RATE * n)
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -72,7 +76,7 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     word = np.ndarray(len(data) + 8, "<u8", room, strides=(1,))
     if q <= 8:
         x = word[:n] & np.uint64((1 << (8 * q)) - 1)
-        y = np.uint64(q)
+        y = np.full(1, q, np.uint64)
     else:
         x, y = word[:n], word[q - 8 : q - 8 + n]
     h = x * M1
@@ -118,7 +122,7 @@ class Pieces:
             data = np.frombuffer(text, np.uint8)
             for p in range(edits + 1):
                 a = p * len(text) // (edits + 1)
-                q = min(LEAST_PIECE, len(text))
+                q = len(text) // (edits + 1)
                 found.setdefault(q, []).append((int(grams(data[a : a + q], q)[0]), k, a))
         self.tables = {}
         for q, rows in found.items():
@@ -127,29 +131,73 @@ class Pieces:
             bitmap = np.zeros(1 << BITMAP, bool)
             bitmap[key >> np.uint64(64 - BITMAP)] = True
             self.tables[q] = (key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), bitmap)
-
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place, place of the piece in the item) of all piece hits."""
-        out = [(np.zeros(0, np.int64),) * 3]
+        self.length, self.edits = np.array([len(t) for _, t, _ in self.items], np.int64), np.array([e for *_, e in self.items], np.int64)
+        # Which grams an item has, as one bitmap of hashes of both: a clash can only pass a window that the distance then rejects.
+        own = [np.unique(self.marks(grams(np.frombuffer(t, np.uint8), GRAM), np.full(1, k, np.uint64))) for k, (_, t, _) in enumerate(self.items)]
+        marks = np.concatenate([np.zeros(0, np.uint64), *own])
+        self.shift = np.uint64(64 - max(16, (16 * len(marks)).bit_length()))
+        self.has = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.has[marks >> self.shift] = True
+
+    @staticmethod
+    def marks(gram: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return (gram ^ (gram >> np.uint64(31)) ^ ((item + np.uint64(1)) * M2)) * M1
+
+    def hits(self, data: np.ndarray):
+        """Yields (item, place, place of the piece in the item) of all piece hits, a bounded number at once."""
         for q, (key, item, offset, bitmap) in self.tables.items():
             h = grams(data, q)
             at = np.flatnonzero(bitmap[h >> np.uint64(64 - BITMAP)])
             low, high = np.searchsorted(key, h[at], "left"), np.searchsorted(key, h[at], "right")
-            n = high - low
-            slot = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append((item[slot], np.repeat(at, n), offset[slot]))
-        return tuple(map(np.concatenate, zip(*out, strict=True)))
+            at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(n)
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + WINDOW_BYTES, "right")))
+                m = n[i:j]
+                slot = np.repeat(low[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield item[slot], np.repeat(at[i:j], m), offset[slot]
+                i = j
+
+    def likely(self, gram: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether data[low : high] has as many of the item's grams as its edits must leave."""
+        need = self.length[item] - GRAM + 1 - GRAM * self.edits[item]
+        width = np.maximum(0, high - low - GRAM + 1)
+        out = np.ones(len(item), bool)
+        ends = np.cumsum(width)
+        i = 0
+        while i < len(item):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - width[i] + WINDOW_BYTES, "right")))
+            w = width[i:j]
+            first = np.cumsum(w) - w
+            place = np.repeat(low[i:j] - first, w) + np.arange(w.sum())
+            found = self.has[self.marks(gram[place], np.repeat(item[i:j], w).astype(np.uint64)) >> self.shift]
+            total = np.concatenate([[0], np.cumsum(found)])
+            out[i:j] = total[first + w] - total[first] >= need[i:j]
+            i = j
+        return out
 
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """Yields (text index, item index, distance, end in the text) of the matches within budget."""
-        item, at, offset = self.hits(data)
+        gram, kept = grams(data, GRAM), [(np.zeros(0, np.int64),) * 3]
+        for item, at, offset in self.hits(data):
+            doc = np.searchsorted(offsets, at, "right") - 1
+            diagonal = at - offset
+            order = np.lexsort((diagonal, item, doc))
+            item, doc, diagonal = item[order], doc[order], diagonal[order]
+            new = np.ones(len(item), bool)
+            new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (diagonal[1:] != diagonal[:-1])
+            item, doc, diagonal = item[new], doc[new], diagonal[new]
+            low = np.maximum(offsets[doc], diagonal - self.edits[item])
+            high = np.minimum(offsets[doc + 1], diagonal + self.length[item] + self.edits[item])
+            good = self.likely(gram, item, low, high)
+            kept.append((item[good], doc[good], diagonal[good]))
+        item, doc, diagonal = map(np.concatenate, zip(*kept, strict=True))
         if not len(item):
             return
-        doc = np.searchsorted(offsets, at, "right") - 1
-        diagonal = at - offset
         order = np.lexsort((diagonal, item, doc))
         item, doc, diagonal = item[order], doc[order], diagonal[order]
-        edits = np.array([e for *_, e in self.items], np.int64)
+        edits = self.edits
         new = np.ones(len(item), bool)
         # Windows of hits whose diagonals follow each other closely are verified as one.
         new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (diagonal[1:] - diagonal[:-1] > edits[item[1:]] + 1)

@@ -296,6 +296,28 @@ def test_decontaminate(spark, empty):
     assert decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_searches_the_stated_rate(spark):
+    """A fixed tenth of the bytes, whatever the module's own budget says: short items, items at the edge, one past it."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    items = [(i, say(40)[:n].strip() + "z") for i, n in enumerate([9, 11, 15, 19, 22, 29, 33, 47, 80, 81, 100, 150, 229])]
+    rows = []
+    for _, item in items:
+        allowed = len(item) // 10
+        for edits in (allowed, allowed, allowed, allowed + 1):
+            edited = list(item)
+            # Evenly dealt, so that no long piece stays whole.
+            for e in range(edits):
+                at = (2 * e + 1) * len(item) // (2 * edits)
+                edited[at] = rng.choice(["#", "", edited[at] + "#"])
+            rows.append((len(rows), f"{say(3)} {''.join(edited)} {say(4)}"))
+    expected = {(d, i, b) for d, t in rows for i, item in items if (b := brute_distance(item, t)) <= len(item) // 10}
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert listed(got, "doc_id", "item_id", "distance") == sorted(expected)
+    assert {i for _, i, b in expected if b == len(items[i][1]) // 10} >= set(range(1, len(items)))
+    assert {r["item_id"]: r["budget"] for r in got.collect()} == {i: len(items[i][1]) // 10 for _, i, _ in expected}
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
