@@ -609,6 +609,34 @@ def _bright_spots(spark):
     return frames.select(F.lit(1).cast("long").alias("z"), F.col("tp").cast("long").alias("tp"), "y", "x", F.when(hit, F.lit(1000.0)).otherwise(F.lit(0.0)).alias("v"))
 
 
+# The same operators over every plane, frame and grid point.  Those of motion have no twin: SQL is too slow for them.
+
+
+@query("SELECT z, y, x, CASE WHEN z <= 21 THEN 2 * z - 1 ELSE 2 * (42 - z) END AS slot FROM px", "px")
+def z_interleave_all(spark, sf_dir):
+    slot = F.when(F.col("z") <= 21, F.col("z") * 2 - 1).otherwise((F.lit(42) - F.col("z")) * 2)
+    return A.px(spark, sf_dir).select("z", "y", "x", slot.alias("slot"))
+
+
+@query()
+def stack_register_all(spark, sf_dir):
+    return motion.register(A.stk(spark, sf_dir), 1, H, W)
+
+
+@query()
+def xcorr_shift_all(spark, sf_dir):
+    """Frames of stk against its first one; the planes of px are the references of the search in z."""
+    frames = A.stk(spark, sf_dir).select("z", F.col("t").alias("tp"), "y", "x", "v")
+    points = motion.grid(spark, H, W, RADIUS).select(F.lit(1).cast("long").alias("z"), "grid_idx", "ind")
+    return motion.displacements(frames, A.px(spark, sf_dir).select("z", "y", "x", "v"), points, H, W, RADIUS)
+
+
+@query()
+def motion_timecourse_all(spark, sf_dir):
+    out = motion.timecourse(xcorr_shift_all(spark, sf_dir), 150)
+    return out.select("z", "tp", F.col("frame_center").cast("long").alias("frame_center"), *(r6(c, c) for c in ("xy_av", "xy_sd", "z_av", "z_sd")))
+
+
 @query("SELECT z, y, x FROM px WHERE v > 350 AND NOT (v % 3 = 0)", "px")
 def setdiff_keep(spark, sf_dir):
     p = A.px(spark, sf_dir).where("v > 350")
