@@ -58,62 +58,60 @@ def correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float((a * b).sum() / low) if low > 0 else float("nan")
 
 
+SHIFTED = "z bigint, grid_idx bigint, ind bigint, tp bigint, dy double, dx double, patch array<double>"
 SHIFTS = "z bigint, grid_idx bigint, ind bigint, tp bigint, dy double, dx double, dz double"
 
 
 def displacements(blocks: DataFrame, references: DataFrame, points: DataFrame, height: int, width: int, radius: int, single_plane: bool = False) -> DataFrame:
     """Shift of every bright grid point at every timepoint.
 
-    blocks: (z, tp, y, x, v); references: (z, y, x, v) mean images; points: bright (z, grid_idx, ind).  A group holds the
-    block means of one plane and the reference images of its neighbours.
+    blocks: (z, tp, y, x, v); references: (z, y, x, v) mean images; points: bright (z, grid_idx, ind).  A group is one patch
+    at one timepoint with the first timepoint's, then with the reference patches that its shift asks for, so it is bounded
+    by the patch and not by the plane or the recording.
     """
-    near = references.select(F.explode(F.array(*(F.col("z") + s for s in range(-2, 3)))).alias("z"), F.col("z").alias("plane"), "y", "x", "v")
-    none = F.lit(None).cast("bigint")
-    rows = blocks.select("z", F.lit("t").alias("kind"), F.col("tp").alias("k"), ((F.col("x") - 1) * height + F.col("y")).alias("ind"), F.col("v").cast("double").alias("v"))
-    rows = rows.union(near.join(F.broadcast(points.select("z").distinct()), "z").select("z", F.lit("r"), "plane", (F.col("x") - 1) * height + F.col("y"), F.col("v").cast("double")))
-    rows = rows.union(points.select("z", F.lit("g"), "grid_idx", "ind", none.cast("double")))
     roi = 2 * radius + 1
-
-    def run(table: pa.Table) -> pa.Table:
-        z = table.column("z")[0].as_py()
-        kind = np.array(table.column("kind").to_pylist())
-        k, ind = table.column("k").to_numpy(), table.column("ind").to_numpy()
-        v = table.column("v").to_numpy(zero_copy_only=False)
-
-        def images(name):
-            out = {}
-            for i in np.unique(k[kind == name]):
-                image = np.full(height * width, np.nan)
-                pick = (kind == name) & (k == i)
-                image[ind[pick] - 1] = v[pick]
-                out[int(i)] = image
-            return out
-
-        times, planes = images("t"), images("r")
-        step = np.arange(-radius, radius + 1)
-        offset = ((step[None, :] - 1) * height + step[:, None]).ravel(order="F")
-        patch = lambda image, at: image[at - 1 + offset].reshape(roi, roi, order="F")
-        out = []
-        for g, at in sorted(zip(k[kind == "g"].tolist(), ind[kind == "g"].tolist(), strict=True)):
-            source = np.fft.fft2(patch(times[1], at))
-            for tp in sorted(times):
-                target = patch(times[tp], at)
-                dy, dx = patch_shift(source, target, radius)
-                dz = 0
-                if not single_plane:
-                    best = -np.inf
-                    for s in range(-2, 3):
-                        where = at - dx * height - dy + offset
-                        if z + s in planes and where.min() >= 1 and where.max() <= height * width:
-                            r = correlation(target.ravel(order="F"), planes[z + s][where - 1])
-                            if r > best:
-                                best, dz = r, s
-                out.append((z, g, at, tp, float(dy), float(dx), float(dz)))
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 3
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("z", "grid_idx", "ind", "tp", "dy", "dx", "dz"), columns, kinds, strict=True)})
-
-    return rows.groupBy("z").applyInArrow(run, SHIFTS)
+    index = ((F.col("x") - 1) * height + F.col("y")).cast("long")
+    # Pixel k of a patch, columns of the patch first; patches are centred one column left of the start index.
+    place = lambda k: (F.floor(k / roi) - radius - 1) * height + k % roi - radius
+    pixels = blocks.select("z", "tp", index.alias("pixel"), F.col("v").cast("double").alias("v"))
+    asked = points.select("z", "grid_idx", "ind", F.explode(F.sequence(F.lit(0), F.lit(roi * roi - 1))).alias("k")).withColumn("pixel", F.col("ind") + place(F.col("k")))
+    first = pixels.where("tp = 1").select("z", "pixel", F.col("v").alias("v1")).join(asked, ["z", "pixel"])
+    patches = pixels.join(first, ["z", "pixel"]).select("z", "grid_idx", "ind", "tp", "k", "v", "v1")
+
+    def filled(table: pa.Table, column: str) -> np.ndarray:
+        out = np.full(roi * roi, np.nan)
+        out[table.column("k").to_numpy()] = table.column(column).to_numpy(zero_copy_only=False)
+        return out
+
+    def shift(table: pa.Table) -> pa.Table:
+        target, source = filled(table, "v"), filled(table, "v1")
+        image = lambda patch: patch.reshape(roi, roi, order="F")
+        dy, dx = patch_shift(np.fft.fft2(image(source)), image(target), radius)
+        found = {"dy": pa.array([float(dy)]), "dx": pa.array([float(dx)]), "patch": pa.array([target], pa.list_(pa.float64()))}
+        return pa.table({c: table.column(c)[:1].cast(pa.int64()) for c in ("z", "grid_idx", "ind", "tp")} | found)
+
+    shifted = patches.groupBy("z", "grid_idx", "ind", "tp").applyInArrow(shift, SHIFTED)
+    if single_plane:
+        return shifted.select("z", "grid_idx", "ind", "tp", "dy", "dx", F.lit(0.0).alias("dz"))
+
+    moved = shifted.select("z", "grid_idx", "ind", "tp", "dy", "dx", F.posexplode("patch").alias("k", "v"))
+    moved = moved.withColumn("pixel", (F.col("ind") + place(F.col("k")) - F.col("dx") * height - F.col("dy")).cast("long"))
+    moved = moved.withColumn("s", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("plane", F.col("z") + F.col("s"))
+    sides = references.select(F.col("z").cast("long").alias("plane"), index.alias("pixel"), F.col("v").cast("double").alias("r"))
+
+    def depth(table: pa.Table) -> pa.Table:
+        best, dz = -np.inf, 0
+        s, r = table.column("s").to_numpy(), table.column("r")
+        there = r.is_valid().to_numpy()
+        for step in range(-2, 3):
+            side = table.filter(pa.array((s == step) & there))
+            if side.num_rows == roi * roi:
+                value = correlation(filled(side, "v"), filled(side, "r"))
+                if value > best:
+                    best, dz = value, step
+        return pa.table({c: table.column(c)[:1] for c in ("z", "grid_idx", "ind", "tp", "dy", "dx")} | {"dz": pa.array([float(dz)])})
+
+    return moved.join(sides, ["plane", "pixel"], "left").groupBy("z", "grid_idx", "ind", "tp").applyInArrow(depth, SHIFTS)
 
 
 def tilts(shifts: DataFrame) -> DataFrame:

@@ -74,8 +74,7 @@ class Pipeline:
         """(cell_id, t, f0, dff) or, without detrending, (cell_id, t, f)."""
         info, p = self.acquisition(), self.params
         options = {} if self.limit(info) is None else {"t1": self.limit(info)}
-        listed = [(r["cell_id"], r["z"], r["inds"]) for r in self.cells().select("cell_id", "z", "inds").toLocalIterator()]
-        raw = planestack.roi_means(self.frames(info, **options), listed)
+        raw = planestack.cell_means(self.frames(info, **options), self.cells())
         points = traces.subtract(raw, self.background())
         if p.enable_photobleach_fit:
             length = int(-(-info["frame_rate"] * p.baseline_window_seconds // 1))

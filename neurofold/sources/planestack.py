@@ -207,6 +207,24 @@ def roi_means(blocks: DataFrame, cells: list[tuple[int, int, list[int]]]) -> Dat
     return blocks.mapInArrow(run, "cell_id bigint, t bigint, f float")
 
 
+def cell_means(blocks: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell_id, t, f) as roi_means, for cells as a table (cell_id, z, inds): each block meets the cells of its plane in a join."""
+    by_plane = cells.groupBy("z").agg(F.collect_list(F.struct(F.col("cell_id").cast("long").alias("cell_id"), F.col("inds").cast("array<int>").alias("inds"))).alias("cells"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("t0", "n", "h", "w", "px")}
+                own = batch.column("cells")[i].values
+                ids, inds = own.field("cell_id").to_numpy(), own.field("inds")
+                x = np.frombuffer(row["px"], "<u2").reshape(row["n"], row["h"] * row["w"])
+                f = np.stack([x[:, inds[k].values.to_numpy() - 1].mean(1) for k in range(len(ids))], 1).astype(np.float32)
+                t = row["t0"] + np.repeat(np.arange(row["n"]), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, row["n"]).astype(np.int64)), pa.array(t.astype(np.int64)), pa.array(f.ravel())], ["cell_id", "t", "f"])
+
+    return blocks.join(by_plane, "z").mapInArrow(run, "cell_id bigint, t bigint, f float")
+
+
 def read_float(spark: SparkSession, path: str, n_cells: int) -> DataFrame:
     spark.dataSource.register(StackF)
     return spark.read.format("stackf").options(n_cells=n_cells).load(path)

@@ -108,3 +108,10 @@ def test_register_over_all_of_stk(spark):
 
 def test_z_interleave_takes_every_column(spark):
     assert Q.QUERIES["z_interleave_all"](spark, SMALL).select("x").distinct().count() == A.WIDTH
+
+
+def test_displacement_groups_hold_one_patch(spark):
+    """The groups of Python are a patch at a timepoint, not a plane."""
+    plan = Q.QUERIES["xcorr_shift_all"](spark, SMALL)._jdf.queryExecution().toString()
+    groups = [x.split("]")[0] for x in plan.split("FlatMapGroupsInArrow [")[1:]]
+    assert groups and all("grid_idx" in g and "tp" in g for g in groups), groups

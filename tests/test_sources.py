@@ -39,6 +39,13 @@ def test_roi_means(spark, stack):
     assert [r["f"] for r in rows] == pytest.approx([frames[t].ravel()[[0, 1, H]].mean() for t in range(T)])
 
 
+def test_cell_means_joins_the_cells_as_a_table(spark, stack):
+    path, frames = stack
+    cells = spark.createDataFrame([(1, 1, [1, 2, H + 1]), (4, 1, [H * W]), (9, 2, [3])], "cell_id long, z int, inds array<int>")
+    got = {(r["cell_id"], r["t"]): r["f"] for r in planestack.cell_means(planestack.read(spark, str(path), H, W), cells).collect()}
+    assert got == pytest.approx({(i, t + 1): frames[t].ravel()[at].mean() for i, at in ((1, [0, 1, H]), (4, [H * W - 1])) for t in range(T)})
+
+
 def test_plane_stack_is_written_as_it_was_read(spark, stack, tmp_path):
     path, frames = stack
     planestack.write(planestack.read(spark, str(path), H, W), str(tmp_path / "copy"))
