@@ -1,8 +1,9 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
 Templates are short licence grants.  Their words get an inverse document frequency
-from the corpus; each document looks up its rarest licence words in the postings of
-the templates, every hit votes for (template, start = place in the document - place
+from the corpus, and each template's rarest words are indexed; each document looks up
+all its licence words in these postings (its own words are not ranked), every place of
+a template that is found votes once for (template, start = place in the document - place
 in the template), and a start with enough of the template's rare words is verified
 by the template's mandatory key phrase at its own relative place.
 
@@ -89,7 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rare = found.where(F.size("names") > 0).crossJoin(F.broadcast(index))
     hits = F.filter(F.arrays_zip("names", "places"), lambda h: F.exists("postings", lambda p: p["w"] == h["names"]))
     # Votes: each rare word in a document against its postings, by the start that the two places imply.
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.filter("postings", lambda p: p["w"] == h["names"]), lambda p: F.struct(p["template"].alias("template"), p["label"].alias("label"), p["needs"].alias("needs"), (h["places"] - p["place"]).alias("start")))))
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.filter("postings", lambda p: p["w"] == h["names"]), lambda p: F.struct(p["template"].alias("template"), p["label"].alias("label"), p["needs"].alias("needs"), (h["places"] - p["place"]).alias("start"), p["place"].alias("place")))))
     whole = F.lit(False)
     for k, (_, text, key) in enumerate(TEMPLATES):
         at = text.split()
@@ -97,12 +98,13 @@ def scan(docs: DataFrame) -> DataFrame:
         position = F.array_position("places", F.col("v.start") + offset).cast("int")
         whole = F.when(F.col("v.template") == k, stands(F.col("names"), F.col("places"), position, key)).otherwise(whole)
     voted = rare.select("doc_id", "uid", "names", "places", F.explode(votes).alias("v")).where(F.coalesce(whole, F.lit(False))).select("doc_id", "uid", "v.*")
-    shares = voted.groupBy("doc_id", "uid", "template", "label", "start", "needs").agg((F.least(F.count("*"), F.col("needs")) / F.col("needs")).alias("share"))
+    shares = voted.groupBy("doc_id", "uid", "template", "label", "start", "needs").agg((F.countDistinct("place") / F.col("needs")).alias("share"))
     own = shares.where(F.col("share") >= LEAST_SHARE).groupBy("doc_id", "uid").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"))
     starts = F.concat(*(starts_of(phrase, label) for phrase, label in PHRASES.items()))
     based = found.select("doc_id", "uid", "n_words", starts.alias("base"))
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return based.join(own, ["doc_id", "uid"], "left").select(
+    # uid hashes the id too, null or not.
+    return based.join(own.drop("doc_id"), "uid", "left").select(
         "doc_id",
         "n_words",
         F.size("base").cast("long").alias("n_base"),

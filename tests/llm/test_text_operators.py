@@ -259,6 +259,14 @@ def test_licence_templates_add_labels(spark):
     assert {x["doc_id"]: x["labels"] for x in r} == {1: "mit", 2: ""}
 
 
+def test_licences_repeated_rows_and_null_ids(spark):
+    """Two of five rare words stay two whatever the copies, and rows without an id keep the method's labels."""
+    granted = "licensed under the gnu lesser general public license"
+    rows = [(1, "mit license"), (2, "mit license"), (2, "mit license"), (None, "mit license"), (None, "mit license"), (3, granted), (None, granted), (None, granted), (4, "nothing of that kind")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["labels"]) for r in got) == sorted((str(d), "lgpl" if t == granted else "") for d, t in rows)
+
+
 def brute_distance(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
