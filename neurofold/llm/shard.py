@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Rows that are numbered in one window frame.
 BLOCK_ROWS = 5000
 
@@ -67,9 +69,19 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     )
 
 
-def text_rank(column: Column) -> Column:
-    """The first six bytes of a string as an integer, in byte order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("long")
+def value_codes(groups: DataFrame, column: str, bits: int) -> DataFrame:
+    """(column, column_code): each distinct string with the share of groups whose strings lie below it, as ``bits`` bits.
+
+    Whole strings are ordered.  They are numbered in ranges, whose sums are added up.
+    """
+    values = groups.groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(column).withColumn("range", F.spark_partition_id())
+    values = materialise(values, f"{column}-values")
+    sums = values.groupBy("range").agg(F.sum("n").alias("b"))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("range", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.sum("b").over(W.partitionBy()).alias("total"))
+    inside = W.partitionBy("range").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
+    below = F.col("b0") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return values.join(F.broadcast(starts), "range").select(column, F.floor(below * 2**bits / F.col("total")).cast("int").alias(f"{column}_code"))
 
 
 def code_of(value: Column, cuts: Column) -> Column:
@@ -89,19 +101,17 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFram
         (F.length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("text_key"),
-        text_rank(F.coalesce("source", F.lit(""))).alias("source"),
-        text_rank(F.coalesce("lang", F.lit(""))).alias("lang"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
     )
     group = ["text_key", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.min("source").alias("source"), F.min("lang").alias("lang"), F.count("*").alias("rows"))
-    # Quantile cuts of each dimension: a fixed number of values, whatever the input.
+    # Quantile cuts of the size: a fixed number of values, whatever the input.  Strings are ranked themselves.
     cuts = [i / 2**bits for i in range(1, 2**bits)]
-    axes = ["source", "lang", "size"]
-    found = groups.agg(*(F.percentile_approx(a, cuts, 10000).alias(f"{a}_cuts") for a in axes))
-    coded = groups.crossJoin(F.broadcast(found)).select(
-        *group, "rows", *(code_of(F.col(a), F.col(f"{a}_cuts")).alias(f"{a}_code") for a in axes)
-    )
-    codes = [F.greatest(F.col(f"{a}_code"), F.lit(0)) for a in axes]
+    found = groups.agg(F.percentile_approx("size", cuts, 10000).alias("size_cuts"))
+    coded = groups.join(value_codes(groups, "source", bits), "source").join(value_codes(groups, "lang", bits), "lang")
+    coded = coded.crossJoin(F.broadcast(found)).withColumn("size_code", F.greatest(code_of(F.col("size"), F.col("size_cuts")), F.lit(0)))
+    codes = [F.col(f"{a}_code") for a in ("source", "lang", "size")]
     placed = coded.select(*group, "rows", hilbert_index(codes, bits).alias("curve"))
     # Blocks of bounded row count along the order (curve, text_key).
     cells = placed.groupBy("curve").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("pieces"))

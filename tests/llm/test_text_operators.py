@@ -229,6 +229,16 @@ def test_hilbert_shards(docs, empty):
     assert shard.hilbert_shards(empty).count() == 0
 
 
+def test_hilbert_shards_tell_sources_with_a_common_beginning_apart(spark):
+    names = [f"wikipedia_{k}" for k in ("de", "en", "fr", "pl")]
+    rows = [(i, f"text {i:04d}", "en", names[i % 4]) for i in range(400)]
+    got = shard.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 4).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r["shard"], set()).add(names[r["doc_id"] % 4])
+    assert len(got) == 400 and sorted(map(sorted, held.values())) == [[n] for n in names]
+
+
 def test_hilbert_index_is_a_walk(spark):
     """Neighbours on the curve are neighbours in space, and every cell has its own index."""
     cell = spark.range(512).select((F.col("id") % 8).alias("a"), (F.floor(F.col("id") / 8) % 8).alias("b"), F.floor(F.col("id") / 64).alias("c"))
