@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, licences, lm, mix, quality, shard, substrings, token_counts, vectors
 from .common import crc_fold
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,5 +57,3 @@ def op10_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op3_attention_quality, op4_deleted_interpolation, op5_trie_token_counts, op6_subspace_pigeonhole, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences, op10_pigeonhole_edits)}
-
-ORACLE_SQL: dict[str, str] = {}
