@@ -7,21 +7,28 @@ every window of the sought length has a trigger near its begin and belongs to ex
 one (its first trigger).  A trigger with the windows it owns and the bytes that they
 cover is a dictionary entry; the parse is the sequence of entries.
 
-The corpus order of all windows is then only needed inside small classes:
+Windows are put in corpus order only as far as ``length`` bytes and only where they can
+have an equal neighbour in it:
 
-1. windows of two triggers can only be equal if the triggers are followed by the same
-   bytes: triggers whose following bytes are unique leave (most of the corpus);
-2. a dictionary entry that occurs twice makes all its windows repeated; one occurrence
-   is elected to stand for it;
+1. equal windows have equal triggers with equal bytes after them, so triggers whose
+   following bytes are unique in the corpus leave the parse (most of it does);
+2. the dictionary holds each remaining entry once: an entry that the parse has twice
+   makes all its windows repeated, and one occurrence is elected to stand for it;
 3. entries that are alone under their following bytes are settled;
-4. of the entries that remain, the windows themselves are ordered and equal ones found.
+4. the others are spelled out.  An entry carries the bytes that follow its phrase as far
+   as a window reaches, so the order of the parse's suffixes is part of the order of the
+   dictionary's.  The suffix array of a share of the dictionary is built by prefix
+   doubling from exact eight-byte words; windows that are equal over their whole length
+   are neighbours in it, so repeats are decided by bytes.
 
-Every step is a distributed count of keys (``common.counted``): windows are ordered by
-64-bit fingerprints, in ranges, not by comparing suffixes, which keeps a passage that
-a third of all documents share from meeting in one task.
+Steps 1 to 3 are distributed counts of 64-bit keys (``common.counted``); step 4 deals
+entries by their following bytes, and where more than ``CLASS`` entries share them, their
+windows by content, so no passage that a third of all documents share meets in one task.
 
 Defined results: null texts are empty; matches never cross texts; the two copies may
-overlap; texts shorter than the length keep everything.  Extra columns are ignored.
+overlap; texts shorter than the length keep everything; repeated rows and rows of one
+doc_id or of none are texts of their own, each with a row; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ from .common import BASE2, BYTE_CODE2, Spans, counted, expand, flat, materialise
 TRIGGER, PERIOD, REACH = 16, 96, 132
 #: Bytes handled at once.
 STRETCH = 1 << 20
+#: Entries of one class that are ordered together; shares of a range that are ordered one after another.
+CLASS, LANES = 20_000, 16
 
 
 def least_within(h: np.ndarray, n: int) -> np.ndarray:
@@ -117,16 +126,106 @@ def windows(data: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) ->
     return np.concatenate(starts), np.concatenate(keys)
 
 
-STATE = "part int, low binary, high binary, key binary, whole binary, twice binary, chosen binary"
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def suffix_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of text[s : s + length] for the starts, in the order of a suffix array built by prefix doubling: equal strings, equal ranks."""
+    words = np.ndarray(max(0, len(text) - 7), ">u8", text.tobytes(), strides=(1,))
+    rank, known = np.unique(words.astype(np.uint64), return_inverse=True)[1].astype(np.uint64), 8
+    while 2 * known <= length:
+        rank = np.unique(rank[:-known] << np.uint64(32) | rank[known:], return_inverse=True)[1].astype(np.uint64)
+        known *= 2
+    return np.unique(rank[starts] << np.uint64(32) | rank[starts + length - known], return_inverse=True)[1]
+
+
+class Spelling:
+    """The windows of a part's open dictionary entries, as pieces of text in the order of the ranges that settle them."""
+
+    def __init__(self, data: np.ndarray, x: dict[str, np.ndarray], length: int, ranges: int):
+        low, high = x["low"][x["chosen"]], x["high"][x["chosen"]]
+        size = high - low + 1
+        entry, start, share = np.repeat(np.arange(len(low)), size), ragged(low, size), np.zeros(size.sum(), np.uint64)
+        hot = np.flatnonzero(x["split"] > 1)
+        if len(hot):
+            # Windows of a large class are dealt by content: equal ones to one share.
+            at = ragged((np.cumsum(size) - size)[hot], size[hot])
+            share[at] = windows(data, low[hot], high[hot], length)[1] % np.repeat(x["split"][hot], size[hot]).astype(np.uint64)
+        deal = mix(x["key"][entry] ^ mix(share))
+        goal, lane = (deal % np.uint64(ranges)).astype(np.int64), (deal // np.uint64(ranges) % np.uint64(LANES)).astype(np.int64)
+        order = np.lexsort((start, share, entry, lane, goal))
+        entry, share, goal, lane, self.start = entry[order], share[order], goal[order], lane[order], start[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (entry[1:] != entry[:-1]) | (share[1:] != share[:-1])
+        first = np.flatnonzero(new)
+        self.count = np.diff(np.append(first, len(order)))
+        self.data, self.begin = data, self.start[first]
+        self.size = self.start[first + self.count - 1] + length - self.begin
+        self.offset = (self.start - np.repeat(self.begin, self.count)).astype(np.uint8)
+        self.lane, self.twice = lane[first].astype(np.uint8), x["twice"][x["chosen"]][entry[first]]
+        # Where each range's pieces and windows begin, and their end.
+        goal = goal[first]
+        cut = np.append(np.flatnonzero(np.append(True, goal[1:] != goal[:-1])), len(goal)) if len(goal) else np.zeros(1, np.int64)
+        self.ranges, self.pieces = goal[cut[:-1]], cut
+        self.windows = np.append(first, len(order))[cut]
+
+    def messages(self, part: int) -> pa.Table:
+        blobs = []
+        for p, q, a, b in zip(self.pieces[:-1], self.pieces[1:], self.windows[:-1], self.windows[1:], strict=True):
+            text = self.data[ragged(self.begin[p:q], self.size[p:q])]
+            blobs.append([squeeze(v) for v in (self.lane[p:q], self.twice[p:q], self.count[p:q].astype(np.uint8), self.offset[a:b], text)])
+        return pa.table({"range": pa.array(self.ranges, pa.int32()), "part": pa.array([part] * len(blobs), pa.int32()), "pieces": pa.array(blobs, pa.list_(pa.binary()))})
+
+
+MESSAGES, ANSWERS = "range int, part int, pieces array<binary>", "part int, range int, again binary"
+
+
+def settled(table: pa.Table, length: int) -> pa.Table:
+    """For each message of a range, which of its windows occur again: one bit a window, in the message's order."""
+    table = table.sort_by("part")
+    held = [[expand(b) for b in m] for m in table.column("pieces").to_pylist()]
+    bounds = []
+    for lane, _, count, offset, _ in held:
+        last = np.cumsum(count, dtype=np.int64)
+        size = offset[last - 1].astype(np.int64) + length
+        at = np.searchsorted(lane, np.arange(LANES + 1))
+        bounds.append((at, np.append(0, last)[at], np.append(0, np.cumsum(size))[at], size))
+    again = [np.zeros(len(m[3]), bool) for m in held]
+    for k in range(LANES):
+        text, starts, weights, room = [], [], [], 0
+        for (_, twice, count, offset, data), (at, ends, places, size) in zip(held, bounds, strict=True):
+            own = slice(at[k], at[k + 1])
+            n = count[own].astype(np.int64)
+            begin = np.cumsum(size[own]) - size[own]
+            text.append(data[places[k] : places[k + 1]])
+            starts.append(room + np.repeat(begin, n) + offset[ends[k] : ends[k + 1]])
+            weights.append(np.repeat(1 + twice[own], n))
+            room += len(text[-1])
+        starts = np.concatenate(starts)
+        if not len(starts):
+            continue
+        rank = suffix_ranks(np.concatenate(text), starts, length)
+        found, done = np.bincount(rank, np.concatenate(weights))[rank] > 1, 0
+        for mark, (_, ends, *_) in zip(again, bounds, strict=True):
+            n = ends[k + 1] - ends[k]
+            mark[ends[k] : ends[k + 1]] = found[done : done + n]
+            done += n
+    return pa.table({"part": table.column("part"), "range": table.column("range"), "again": pa.array([np.packbits(a).tobytes() for a in again], pa.binary())})
+
+
+COLUMNS = ("low", "high", "key", "whole", "twice", "chosen", "split")
+STATE = "part int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
-def _state(part: int, low, high, key=None, whole=None, twice=None, chosen=None) -> pa.Table:
-    blob = lambda x: pa.array([None if x is None else squeeze(x)], pa.binary())
-    return pa.table({"part": pa.array([part], pa.int32()), "low": blob(np.diff(low, prepend=0).astype(np.int32)), "high": blob((high - low).astype(np.int32)), "key": blob(key), "whole": blob(whole), "twice": blob(twice), "chosen": blob(chosen)})
+def _state(part: int, low, high, **more) -> pa.Table:
+    columns = {"low": np.diff(low, prepend=0).astype(np.int32), "high": (high - low).astype(np.int32)} | more
+    return pa.table({"part": pa.array([part], pa.int32())} | {c: pa.array([squeeze(columns[c]) if c in columns else None], pa.binary()) for c in COLUMNS})
 
 
 def _held(table: pa.Table) -> dict[str, np.ndarray]:
-    out = {c: expand(table.column(c)[0].as_py()) for c in ("low", "high", "key", "whole", "twice", "chosen") if table.column(c)[0].is_valid}
+    out = {c: expand(table.column(c)[0].as_py()) for c in COLUMNS if table.column(c)[0].is_valid}
     out["low"] = np.cumsum(out["low"], dtype=np.int64)
     out["high"] = out["low"] + out["high"]
     return out
@@ -156,7 +255,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     def follow_use(table: pa.Table, totals):
         _, low, high, key, whole = entries(*flat(unparcel(table).column("text")), length)
         again = totals[0][np.searchsorted(np.unique(key), key)] > 1
-        return _state(number(table), low[again], high[again], key[again], whole[again])
+        return _state(number(table), low[again], high[again], key=key[again], whole=whole[again])
 
     state = materialise(counted(dealt, follow_keys, follow_use, STATE, parts), "parse")
 
@@ -166,7 +265,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
         every, first, slot = np.unique(x["whole"], return_index=True, return_inverse=True)
         chosen = np.zeros(len(slot), bool)
         chosen[first] = totals[1] > 0
-        return _state(number(table), x["low"], x["high"], x["key"], None, (totals[0] > 1)[slot] if len(slot) else np.zeros(0, bool), chosen)
+        return _state(number(table), x["low"], x["high"], key=x["key"], twice=(totals[0] > 1)[slot] if len(slot) else np.zeros(0, bool), chosen=chosen)
 
     state = materialise(counted(state, lambda t: _unique(_held(t)["whole"]), whole_use, STATE, parts, elect=True), "dictionary")
 
@@ -178,42 +277,39 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
     def chosen_use(table: pa.Table, totals):
         x = _held(table)
         every = np.unique(x["key"][x["chosen"]])
-        open_ = np.zeros(len(x["key"]), bool)
-        open_[x["chosen"]] = totals[0][np.searchsorted(every, x["key"][x["chosen"]])] > 1
+        size = np.zeros(len(x["key"]), np.int64)
+        size[x["chosen"]] = totals[0][np.searchsorted(every, x["key"][x["chosen"]])]
+        open_ = size > 1
         keep = open_ | x["twice"]
-        return _state(number(table), x["low"][keep], x["high"][keep], None, None, x["twice"][keep], open_[keep])
+        return _state(number(table), x["low"][keep], x["high"][keep], key=x["key"][open_], twice=x["twice"][keep], chosen=open_[keep], split=-(-size[open_] // CLASS))
 
     state = materialise(counted(state, chosen_keys, chosen_use, STATE, parts), "classes")
 
-    # 4. Windows of those entries; what a repeated entry covers counts as found twice.
+    # 4. Their windows in the order of suffix arrays; what a repeated entry covers counts as found twice.
     columns = [c for c in state.columns if c != "part"]
     empty = [F.lit(None).cast("binary").alias(c) for c in columns]
     both = dealt.select("part", "parcel", *empty).union(state.select("part", F.lit(None).cast("binary"), *columns))
 
     def texts_and_state(table: pa.Table):
         is_text = table.column("parcel").is_valid()
-        states = table.filter(pa.compute.invert(is_text))
         rows = unparcel(table.filter(is_text))
         data, offsets = flat(rows.column("text"))
-        x = _held(states)
-        start, key = windows(data, x["low"][x["chosen"]], x["high"][x["chosen"]], length)
-        n = x["high"][x["chosen"]] - x["low"][x["chosen"]] + 1
-        return rows, data, offsets, x, start, key, np.repeat(1 + x["twice"][x["chosen"]], n)
-
-    def window_keys(table: pa.Table):
-        *_, key, weight = texts_and_state(table)
-        every, slot = np.unique(key, return_inverse=True)
-        return every, [np.bincount(slot, weight, len(every)).astype(np.int64)]
-
-    def window_use(table: pa.Table, totals):
-        rows, data, offsets, x, start, key, _ = texts_and_state(table)
+        x = _held(table.filter(pa.compute.invert(is_text)))
+        return rows, data, offsets, x, Spelling(data, x, length, parts)
+
+    def spell(table: pa.Table) -> pa.Table:
+        return texts_and_state(table)[-1].messages(number(table))
+
+    def remove(table: pa.Table, answer: pa.Table) -> pa.Table:
+        rows, data, offsets, x, spelling = texts_and_state(table)
+        again = answer.sort_by("range").column("again").to_pylist()
+        sizes = np.diff(spelling.windows)
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(again, sizes, strict=True)]
+        hit = spelling.start[np.concatenate(bits).astype(bool)] if bits else np.zeros(0, np.int64)
         edge = np.zeros(len(data) + length + 1, np.int32)
-        low, high = x["low"][x["twice"]], x["high"][x["twice"]]
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high + length, -1)
-        hit = start[totals[0][np.searchsorted(np.unique(key), key)] > 1] if len(key) else start
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + length, -1)
+        for low, high in ((x["low"][x["twice"]], x["high"][x["twice"]]), (hit, hit)):
+            np.add.at(edge, low, 1)
+            np.add.at(edge, high + length, -1)
         gone = np.cumsum(edge[: len(data)]) > 0
         removed, spans, digest, kept = [], [], [], []
         for i, j in zip(offsets[:-1], offsets[1:], strict=True):
@@ -226,4 +322,5 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return counted(both, window_keys, window_use, schema, parts)
+    answers = both.groupBy("part").applyInArrow(spell, MESSAGES).groupBy("range").applyInArrow(lambda table: settled(table, length), ANSWERS)
+    return both.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(remove, schema)

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,33 @@ def test_repeated_substrings(docs, empty):
     assert substrings.repeated_substrings(empty).count() == 0
 
 
+def test_repeated_substrings_of_long_texts_and_large_classes(spark, monkeypatch):
+    """Texts over a stretch, repeats across its cuts, and a passage with many contexts whose class is dealt by content."""
+    monkeypatch.setattr(substrings, "CLASS", 3)
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    far = say(700)
+    long = say((1 << 20) - 350) + far + say(1 << 18) + far[100:500] + "zq" * 400
+    line = say(190)
+    texts = [long, None, say(300) + far[50:400], "zq" * 150] + [say(rng.randint(0, 150)) + line + say(rng.randint(0, 150)) for _ in range(60)]
+    texts += [t[3:] for t in texts[-5:]] + [t[:-7] + "#" for t in texts[-20:]]
+    rows = [(i % 50, t) for i, t in enumerate(texts)]
+    expected = sorted((r[0], *b) for r, b in zip(rows, brute_repeats(texts, 200)))
+    got = substrings.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert listed(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
+
+
+def test_suffix_ranks_are_the_order_of_the_strings():
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 99, 3000).astype(np.uint8)
+    text[1500:2300] = text[100:900]
+    starts = np.arange(0, 2800)
+    rank = substrings.suffix_ranks(text, starts, 200)
+    strings = [text[s : s + 200].tobytes() for s in starts]
+    place = {v: k for k, v in enumerate(sorted(set(strings)))}
+    assert rank.tolist() == [place[v] for v in strings] and len(place) < len(starts)
+
+
 def brute_jaccard(rows):
     sets = {}
     for r in rows:
