@@ -4,34 +4,46 @@ Unit vectors with cosine c differ by a squared distance of 2 - 2c.  After a fixe
 rotation the coordinates are split into blocks; if the squared distances of all blocks
 were above their share of the total (in proportion to their size) the total would be
 exceeded, so a pair must be within budget in at least one block.  Each block is joined
-by range: a k-d tree over the block's coordinates, fitted on a bounded sample, deals
-every vector to its leaf and, as a probe, to each leaf within the block's radius, and
-leaves are compared as matrices.  The union of the candidates is verified on the whole
-vectors, so no link is missed and none is added.
-
-Equal vectors are one class, joined once.  Leaves are cut into tiles of bounded rows, so
-a leaf in which a third of all vectors fall is many tasks; the links of such a cluster
+by range over a grid: every vector lies in one cell, and as a probe it visits each cell
+to which its squared gaps, summed over the cut coordinates, stay within the block's
+budget.  Cells are cut at quantiles of a bounded sample, which may cut as finely as the
+input needs; the number of blocks and of cells is the one that costs least by probes
+counted on the sample.
+
+A cell's vectors and probes meet as matrices of block coordinates.  Only vectors that
+have a partner within a block's budget go on; their whole vectors meet once more in the
+same tile, where cosines are taken in double precision, every pair is counted in the
+lowest block that holds it, and a spanning forest stands for the links.  So nothing that
+leaves a task grows with the number of pairs, no link is missed and none is added.
+
+Equal vectors are one class, joined once.  Cells are cut into tiles of bounded rows, so
+a cell in which a third of all vectors fall is many tasks; the links of such a cluster
 are counted all the same (n_links is exact), which is work in proportion to the links.
 
 Defined results: vectors that are null, of another length than most, zero, or hold null
-or non-finite components have no links and are kept; repeated vec_ids are one vector if
-they are equal; extra columns are ignored.
+or non-finite components have no links and are kept; magnitudes from 1e-300 to 1e300 are
+compared alike; repeated vec_ids are one vector if they are equal, and a null vec_id is
+linked and counted like any other but never the least of its component unless it is alone;
+a pair at exactly the cosine is linked; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .components import components
+from .components import components, forest
 
-#: Blocks of the rotated space; vectors in the sample that fits the trees; rows of a leaf; rows of a tile.
-BLOCKS, SAMPLE, LEAF, TILE = 4, 20_000, 2048, 4096
+#: Numbers of blocks to choose from; vectors in the sample that the grids are cut by; sample rows that count probes.
+BLOCKS, SAMPLE, TRIED = (4, 8, 16), 20_000, 512
+#: Most levels of a grid (2**levels cells); rows of a tile; rows that travel together; cost of sending a row, in comparisons.
+LEVELS, TILE, PACK, SEND = 24, 4096, 256, 500
+#: Margins for rounding: of block distances in single precision, and in double.
+LOOSE, TIGHT = 1e-5, 1e-9
 
 
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
@@ -39,37 +51,74 @@ def rotation(dims: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def unit(values: pa.Array, dims: int) -> np.ndarray:
-    """Rows of a list column as unit vectors in double precision."""
+def scaled(values: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a list column in double precision, each divided by the power of two next to its largest magnitude (which is exact)."""
     x = np.array(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-class Tree:
-    """Median splits of a sample, one coordinate a level."""
-
-    def __init__(self, x: np.ndarray, depth: int):
-        self.depth, self.cuts = depth, []
-        leaf = np.zeros(len(x), np.int64)
-        for level in range(depth):
-            v = x[:, level % x.shape[1]]
-            cuts = np.zeros(1 << level)
-            order = np.lexsort((v, leaf))
-            ends = np.searchsorted(leaf[order], np.arange((1 << level) + 1))
-            for k in range(1 << level):
-                own = v[order[ends[k] : ends[k + 1]]]
-                cuts[k] = own[len(own) // 2] if len(own) else 0.0
-            self.cuts.append(cuts)
-            leaf = 2 * leaf + (v >= cuts[leaf])
-
-    def near(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of each leaf whose box is within the radius along every split (radius 0: the own leaf)."""
-        row, leaf = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for level, cuts in enumerate(self.cuts):
-            gap = x[row, level % x.shape[1]] - cuts[leaf]
-            right, left = gap >= -radius, gap < radius if radius else gap < 0
-            row, leaf = np.concatenate([row[left], row[right]]), np.concatenate([2 * leaf[left], 2 * leaf[right] + 1])
-        return row, leaf
+class Grid:
+    """Cells of one block: its coordinates are cut in turn at quantiles of a sample, 2**levels cells together."""
+
+    def __init__(self, x: np.ndarray, levels: int):
+        dims = x.shape[1]
+        bits = [levels // dims + (k < levels % dims) for k in range(dims)]
+        self.cuts = [np.quantile(x[:, k], np.arange(1, 1 << b) / (1 << b)) if b and len(x) else np.zeros(0) for k, b in enumerate(bits)]
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        cell = np.zeros(len(x), np.int64)
+        for k, cuts in enumerate(self.cuts):
+            cell = cell * (len(cuts) + 1) + np.searchsorted(cuts, x[:, k], "right")
+        return cell
+
+    def near(self, x: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of each cell whose squared gaps to the row sum up to the budget at most."""
+        row, cell, spent = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+        for k, cuts in enumerate(self.cuts):
+            if not len(cuts):
+                continue
+            v = x[:, k, None]
+            gap = np.maximum(0, np.maximum(np.append(-np.inf, cuts) - v, v - np.append(cuts, np.inf))) ** 2
+            total = spent[:, None] + gap[row]
+            i, side = np.nonzero(total <= budget)
+            row, cell, spent = row[i], cell[i] * (len(cuts) + 1) + side, total[i, side]
+        return row, cell
+
+
+def plan(sample: np.ndarray, count: int, total: float) -> tuple[list[np.ndarray], np.ndarray, list[Grid]]:
+    """Blocks, budgets and grids that cost least for ``count`` vectors: a probe is sent once and compared with a cell's vectors."""
+    dims, best = sample.shape[1], None
+    tried = sample[:: max(1, len(sample) // TRIED)]
+    for number in sorted({min(b, dims) for b in BLOCKS}):
+        blocks = np.array_split(np.arange(dims), number)
+        budgets = np.array([total * len(b) / dims for b in blocks])
+        for levels in range(LEVELS + 1):
+            if levels and count >> levels < 64:
+                break
+            # Blocks are alike after the rotation: the first one stands for all.
+            grid = Grid(sample[:, blocks[0]], levels)
+            probes = sum(len(grid.near(tried[k : k + 64][:, blocks[0]], budgets[0] + LOOSE)[0]) for k in range(0, len(tried), 64)) / max(1, len(tried))
+            cost = number * probes * (SEND + count / 2**levels)
+            if best is None or cost < best[0]:
+                best = cost, blocks, budgets, levels
+            elif cost > 4 * best[0]:
+                break
+    _, blocks, budgets, levels = best
+    return blocks, budgets, [Grid(sample[:, b], levels) for b in blocks]
+
+
+def close(probes: np.ndarray, own: np.ndarray, budget: float) -> np.ndarray:
+    """Which probes and vectors are within a squared distance, by one matrix product."""
+    left = np.concatenate([probes, (probes * probes).sum(1)[:, None], np.ones((len(probes), 1), probes.dtype)], 1)
+    right = np.concatenate([-2 * own, np.ones((len(own), 1), own.dtype), (own * own).sum(1)[:, None]], 1)
+    return left @ right.T <= budget
+
+
+TILES = "block int, cell bigint, i int, j int"
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -80,70 +129,108 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     sizes = embeddings.groupBy(F.size("embedding").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
     dims = sizes["n"] if sizes else 0
     valid = F.col("embedding").isNotNull() & (F.size("embedding") == dims) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = embeddings.select("vec_id", F.when(valid, F.col("embedding").cast("array<double>")).alias("v"))
+    rows = embeddings.select("vec_id", F.when(valid, F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))).alias("v"))
     if not dims:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    classes = materialise(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("copies")), "vector-classes")
+    # A class of equal vectors goes by its least id, or by a hash where all its ids are null.
+    least_id, copies = F.min("vec_id"), F.countDistinct("vec_id") + F.count_if(F.col("vec_id").isNull())
+    classes = materialise(rows.where("v is not null").groupBy("v").agg(F.coalesce(least_id, F.xxhash64("v")).alias("id"), least_id.alias("named"), copies.alias("copies")), "vector-classes")
     turn = rotation(dims)
-    blocks = np.array_split(np.arange(dims), min(BLOCKS, dims))
-    total = 2 - 2 * cosine
-    # A margin for rounding; candidates are verified.
-    radii = [math.sqrt(total * len(b) / dims) + 1e-9 for b in blocks]
     count = classes.count()
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    x = unit(sample, dims) @ turn if len(sample) else np.zeros((0, dims))
-    depth = max(0, min(math.ceil(math.log2(max(1, count) / LEAF)), int(math.log2(max(1, len(x))))))
-    trees = [Tree(x[:, b], depth) for b in blocks]
+    blocks, budgets, grids = plan(unit(scaled(sample, dims)) @ turn if len(sample) else np.zeros((0, dims)), count, 2 - 2 * cosine)
 
     def deal(batches):
+        """Packs of ids and block coordinates by cell, of the vectors that lie there and of those that probe it."""
         for batch in batches:
-            ids = batch.column("id").to_numpy()
-            x = (unit(batch.column("v"), dims) @ turn).astype(np.float64)
+            every = batch.column("id").to_numpy()
+            turned = unit(scaled(batch.column("v"), dims)) @ turn
             for k, b in enumerate(blocks):
-                for probe, radius in ((False, 0.0), (True, radii[k])):
-                    row, leaf = trees[k].near(x[:, b], radius)
-                    flat = pa.array(np.ascontiguousarray(x[row][:, b]).ravel())
-                    part = pa.ListArray.from_arrays(pa.array((np.arange(len(row) + 1) * len(b)).astype(np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(leaf), pa.array(np.full(len(row), probe)), pa.array(ids[row]), part], ["block", "leaf", "probe", "id", "x"])
-
-    dealt = materialise(classes.select("id", "v").mapInArrow(deal, "block int, leaf bigint, probe boolean, id bigint, x array<double>"), "leaves")
-    # A leaf's vectors and probes are cut into tiles of bounded rows; every tile of probes meets every tile of vectors.
-    counts = dealt.groupBy("block", "leaf").agg(F.ceil(F.count_if(~F.col("probe")) / TILE).cast("int").alias("own"), F.ceil(F.count_if("probe") / TILE).cast("int").alias("probes")).where("own > 0 and probes > 0")
-    joined = dealt.join(materialise(counts, "leaf-sizes"), ["block", "leaf"])
-    tile = F.pmod(F.xxhash64("id"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("own"))).cast("int")
+                for a in range(0, len(every), 1024):
+                    ids, x = every[a : a + 1024], turned[a : a + 1024, b]
+                    for probe, (row, cell) in ((False, (np.arange(len(x)), grids[k].own(x))), (True, grids[k].near(x, budgets[k] + LOOSE))):
+                        order = np.argsort(cell, kind="stable")
+                        row, cell = row[order], cell[order]
+                        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+                        size = np.diff(np.append(first, len(cell)))
+                        pieces = -(-size // PACK)
+                        first = np.repeat(first, pieces) + PACK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                        ends = np.append(first[1:], len(cell))
+                        point = x[row].astype("<f4")
+                        packs = [ids[row[i:j]].astype("<i8").tobytes() + point[i:j].tobytes() for i, j in zip(first, ends, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(cell[first]), pa.array(np.full(len(first), probe)), pa.array((ends - first).astype(np.int32)), pa.array(ids[row[first]]), pa.array(packs, pa.binary())], ["block", "cell", "probe", "n", "head", "pack"])
+
+    dealt = materialise(classes.select("id", "v").mapInArrow(deal, "block int, cell bigint, probe boolean, n int, head bigint, pack binary"), "vector-cells")
+    # A cell's vectors and probes are cut into tiles of bounded rows; every tile of probes meets every tile of vectors.
+    in_tiles = lambda kind: F.ceil(F.sum(F.when(kind, F.col("n"))) / TILE).cast("int")
+    counts = dealt.groupBy("block", "cell").agg(in_tiles(~F.col("probe")).alias("own"), in_tiles(F.col("probe")).alias("probes")).where("own > 0 and probes > 0")
+    joined = dealt.join(materialise(counts, "cell-sizes"), ["block", "cell"])
+    tile = F.pmod(F.xxhash64("head"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("own"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("probe"), F.col("own")).otherwise(F.col("probes")) - 1))
     tiled = joined.withColumn("mine", tile).withColumn("theirs", others)
-    tiled = tiled.select("block", "leaf", F.when(F.col("probe"), F.col("theirs")).otherwise(F.col("mine")).alias("i"), F.when(F.col("probe"), F.col("mine")).otherwise(F.col("theirs")).alias("j"), "probe", "id", "x")
-
-    def compare(table: pa.Table) -> pa.Table:
+    tiled = tiled.select("block", "cell", F.when(F.col("probe"), F.col("theirs")).otherwise(F.col("mine")).alias("i"), F.when(F.col("probe"), F.col("mine")).otherwise(F.col("theirs")).alias("j"), "probe", "n", "pack")
+
+    def partners(table: pa.Table) -> pa.Table:
+        """The vectors and probes of a tile that have a partner within the block's budget."""
+        block = table.column("block")[0].as_py()
+        probe, sizes = table.column("probe").to_numpy(), table.column("n").to_pylist()
+        packs = table.column("pack").to_pylist()
+        ids = [np.frombuffer(p, "<i8", n) for p, n in zip(packs, sizes, strict=True)]
+        points = [np.frombuffer(p, "<f4", offset=8 * n).reshape(n, -1) for p, n in zip(packs, sizes, strict=True)]
+        pick = lambda x, kind, empty: np.concatenate([v for v, p in zip(x, probe, strict=True) if p == kind] or [empty])
+        none, flat = np.zeros(0, np.int64), np.zeros((0, len(blocks[block])), np.float32)
+        own_ids, own = pick(ids, False, none), pick(points, False, flat)
+        order = np.argsort(own_ids)
+        own_ids, own = own_ids[order], own[order]
+        probe_ids, probes = pick(ids, True, none), pick(points, True, flat)
+        met, meets = np.zeros(len(own_ids), bool), np.zeros(len(probe_ids), bool)
+        for k in range(0, len(probes) if len(own) else 0, 1024):
+            hit = close(probes[k : k + 1024], own, budgets[block] + LOOSE)
+            at = np.minimum(np.searchsorted(own_ids, probe_ids[k : k + 1024]), len(own_ids) - 1)
+            itself = np.flatnonzero(own_ids[at] == probe_ids[k : k + 1024])
+            hit[itself, at[itself]] = False
+            meets[k : k + 1024] = hit.any(1)
+            if meets[k : k + 1024].any():
+                met |= hit.any(0)
+        found = np.concatenate([own_ids[met], probe_ids[meets]])
+        same = lambda c, kind: pa.array([table.column(c)[0].as_py()] * len(found), kind)
+        return pa.table({"block": same("block", pa.int32()), "cell": same("cell", pa.int64()), "i": same("i", pa.int32()), "j": same("j", pa.int32()), "probe": pa.array(np.arange(len(found)) >= met.sum()), "id": pa.array(found)})
+
+    close_by = materialise(tiled.groupBy("block", "cell", "i", "j").applyInArrow(partners, f"{TILES}, probe boolean, id bigint"), "vector-partners")
+    starts = np.array([b[0] for b in blocks])
+
+    def verify(table: pa.Table) -> pa.Table:
+        """For each vector of a tile that is linked: links from it as a probe, and the root of its tree in a spanning forest."""
         block, probe = table.column("block")[0].as_py(), table.column("probe").to_numpy()
-        ids = table.column("id").to_numpy()
-        x = np.array(table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
-        own, own_ids = x[~probe], ids[~probe]
-        a, b = [], []
-        for k in range(0, int(probe.sum()), 1024):
-            y, y_ids = x[probe][k : k + 1024], ids[probe][k : k + 1024]
-            d = (y * y).sum(1)[:, None] + (own * own).sum(1)[None, :] - 2 * (y @ own.T)
-            i, j = np.nonzero(d <= radii[block] ** 2 + 1e-9)
-            less = y_ids[i] < own_ids[j]
-            a.append(y_ids[i][less])
-            b.append(own_ids[j][less])
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(a), "b": cat(b)})
-
-    pairs = tiled.groupBy("block", "leaf", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
-    side = lambda k: classes.select(F.col("id").alias(k), F.col("v").alias(f"v_{k}"), F.col("copies").alias(f"copies_{k}"))
-
-    def verify(batches):
-        for batch in batches:
-            u, w = unit(batch.column("v_a"), dims), unit(batch.column("v_b"), dims)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array((u * w).sum(1) >= cosine)) for c in (batch.column(n) for n in ("a", "b", "copies_a", "copies_b"))], ["a", "b", "copies_a", "copies_b"])
-
-    schema = "a bigint, b bigint, copies_a bigint, copies_b bigint"
-    links = materialise(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "copies_a", "copies_b", "v_a", "v_b").mapInArrow(verify, schema), "vector-links")
-    ends = links.select(F.col("a").alias("id"), F.col("copies_b").alias("n")).union(links.select("b", "copies_a"))
-    degree = ends.groupBy("id").agg(F.sum("n").alias("linked"))
-    named = classes.join(degree, "id", "left").join(components(links), "id", "left")
-    named = materialise(named.select("v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vector-components")
-    out = rows.join(named, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        x = scaled(table.column("v").combine_chunks(), dims)
+        norm, turned = (x * x).sum(1), unit(x) @ turn
+        mine, theirs = np.flatnonzero(probe), np.flatnonzero(~probe)
+        n, a, b = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(mine), 256):
+            hit = np.argwhere(close(turned[mine[k : k + 256]][:, blocks[block]], turned[theirs][:, blocks[block]], budgets[block] + LOOSE))
+            for m in range(0, len(hit), 1 << 15):
+                i, j = mine[k + hit[m : m + (1 << 15), 0]], theirs[hit[m : m + (1 << 15), 1]]
+                i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
+                apart = np.add.reduceat((turned[i] - turned[j]) ** 2, starts, 1) if len(i) else np.zeros((0, len(starts)))
+                # Every block decides alike wherever the pair meets: the lowest one that holds it counts it.
+                within = apart <= budgets + TIGHT
+                linked = (x[i] * x[j]).sum(1) / np.sqrt(norm[i] * norm[j]) >= cosine
+                good = within[:, block] & ~within[:, :block].any(1) & linked
+                n += np.bincount(i[good], copies[j[good]], len(ids)).astype(np.int64)
+                nodes, roots = forest(np.append(a[-1], ids[i[good]]), np.append(b[-1], ids[j[good]]))
+                a, b = [nodes], [roots]
+        nodes, roots = a[-1], b[-1]
+        degree = np.zeros(len(nodes), np.int64)
+        np.add.at(degree, np.searchsorted(nodes, ids[n > 0]), n[n > 0])
+        return pa.table({"id": pa.array(nodes), "root": pa.array(roots), "n": pa.array(degree)})
+
+    whole = close_by.join(classes, "id").select("block", "cell", "i", "j", "probe", "id", "copies", "v")
+    links = materialise(whole.groupBy("block", "cell", "i", "j").applyInArrow(verify, "id bigint, root bigint, n bigint"), "vector-links")
+    degree = links.groupBy("id").agg(F.sum("n").alias("linked"))
+    joins = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    named = classes.join(degree, "id", "left").join(joins, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = materialise(named.groupBy("component").agg(F.min("named").alias("least")), "vector-least")
+    named = named.join(least, "component", "left").select("v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least").alias("component_id"))
+    out = rows.join(materialise(named, "vector-components"), "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -6,7 +6,7 @@ from neurofold.llm import vectors
 
 
 def brute(rows, cosine):
-    ok = {i: np.array(v, float) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ok = {i: np.array(v, float) / max(map(abs, v)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = {i: set() for i, _ in rows}
     for a in ok:
         for b in ok:
@@ -46,3 +46,41 @@ def test_empty(spark):
     schema = "vec_id long, embedding array<float>"
     assert vectors.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     assert vectors.near_duplicates(spark.createDataFrame([(1, None), (2, [])], schema)).count() == 2
+
+
+def test_extreme_magnitudes_link_like_any_others(spark):
+    base = np.random.default_rng(3).standard_normal((3, 16))
+    rows = [(10 * k + m, [float(y) for y in b * s]) for k, b in enumerate(base) for m, s in enumerate((1, 1e-200, 1e200, 5e-300))]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted((i, 3, i // 10 * 10) for i, _ in rows)
+
+
+def test_clusters_over_many_cells_and_tiles(spark, monkeypatch):
+    """A family of 500 near copies and scattered ones, with grids of many cells and tiles of few rows."""
+    monkeypatch.setattr(vectors, "TILE", 64)
+    monkeypatch.setattr(vectors, "PACK", 8)
+    monkeypatch.setattr(vectors, "SEND", 1)
+    rng = np.random.default_rng(6)
+    hot = rng.standard_normal(16)
+    x = [hot + rng.standard_normal(16) * 0.15 for _ in range(500)] + [b + rng.standard_normal(16) * s for b in rng.standard_normal((150, 16)) for s in (0.0, 0.2, 0.4)]
+    rows = [(int(i) * 7 - 3000, [float(np.float32(y)) for y in v]) for i, v in enumerate(x)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute(rows, 0.95)
+
+
+def test_null_ids(spark):
+    v, w = [1.0, 0.0, 2.0, 3.0], [1.0, 0.01, 2.0, 3.0]
+    rows = [(None, v), (None, v), (5, w), (None, [0.0, 1.0, 0.0, 0.0]), (None, None), (7, [3.0, -1.0, 0.0, 1.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(None, 2, 5, False)] * 2 + [(5, 2, 5, True)] + [(None, 0, None, True)] * 2 + [(7, 0, 7, True)]))
+
+
+def test_grid_probes_every_cell_in_reach():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 4))
+    grid = vectors.Grid(x, 6)
+    row, cell = grid.near(x, 0.3)
+    probed, own = set(zip(row.tolist(), cell.tolist())), grid.own(x)
+    near = np.argwhere(((x[:, None] - x[None]) ** 2).sum(2) <= 0.3)
+    assert len(near) > 600 and all((int(i), int(own[j])) in probed for i, j in near)
+    assert len(probed) < 400 * 64 / 2
