@@ -4,15 +4,17 @@ Bigram and unigram maximum-likelihood estimates and a uniform floor are mixed;
 the mixture weights depend on how often the context occurs (buckets of its
 frequency, in octaves) and are learned by expectation-maximisation on held-out
 counts: one fold of the training documents is scored by counts from which the
-fold itself has been deleted.
+fold itself has been deleted.  The rounds begin on a grid of rounded estimates, which
+is small, and end on the estimates themselves.
 
 Words and word pairs are counted with ``common.counted``: parts of documents send
 each distinct key once, so the work and the traffic follow the corpus, hot words
 cost one entry a part, and no count table is broadcast.
 
-Defined results: a null text is empty and still has the end token; without any
-training token every base probability is 1 and every score the uniform floor.
-Repeated rows are scored each, extra columns are ignored.
+Defined results: a null text is empty and still has the end token; without any training
+token every base probability is 1 and every score the uniform floor; a null doc_id counts
+as the empty text in the fold conditions of the query; repeated rows and repeated ids are
+scored, and counted, each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Spans, chunks, counted, crc_fold, flat, materialise, mix, parcels, part_count, text_size, unparcel, words
+from .common import LOWER, Spans, chunks, counted, expand, flat, materialise, mix, pack_counts, parcels, part_count, squeeze, text_size, unpack_counts, unparcel, words
 
 #: The end token's key; words get hashed keys.
 END = np.uint64(0x5DEECE66D1234567)
@@ -30,8 +32,10 @@ PAIR = np.uint64(0x9E6C63D0876A9A47)
 PAIRED = np.uint64(0xD1B54A32D192ED03)
 #: Contexts are bucketed by the octave of their training frequency.
 BUCKETS = 24
-#: Grid of the held-out statistics: steps per decade, and decades that a ratio of estimates spans.
+#: Grid of the first held-out statistics: steps per decade, and decades that a ratio of estimates spans.
 STEPS, DECADES = 16, 12
+#: Most exact rounds of expectation-maximisation, the change of a weight that ends them, and a weight's floor.
+ROUNDS, CLOSE, LEAST_WEIGHT = 12, 1e-4, 1e-6
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,52 +89,45 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return every[order], [np.concatenate(x)[order] for x in zip(counts_a, counts_b, strict=True)]
 
 
-def planes(counts: np.ndarray) -> bytes:
-    """Counts as four byte planes, which the table's compression shrinks well."""
-    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def numbers(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-TERMS = "doc_id bigint, held_out boolean, fold boolean, n_tokens bigint, n_known bigint, log_sum double, fresh bigint, word binary, pair binary, less_word binary, less_pair binary"
+TERMS = "part int, doc_id array<bigint>, held_out array<boolean>, size binary, known binary, logs binary, word binary, pair binary, learned bigint, ends bigint, deleted bigint, fresh bigint, fold_word binary, fold_pair binary, fold_before binary"
 
 
 def _terms(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
-    """A row for each document with the counts that its tokens and pairs have, and their sum of logarithms for the base score.
+    """A part's row: its documents, the counts that their tokens and pairs have, and for the fold's tokens those counts, and their contexts', less the fold.
 
-    fresh, on a part's first row: training tokens that this part was elected to count, so that the sum over parts is the vocabulary.
+    fresh: training tokens that this part was elected to count, so that the sum over parts is the vocabulary.
     """
     rows, one, first, two, train, fold = _split(table)
     every = np.unique(np.concatenate([one, two]))
     at_one, at_two = np.searchsorted(every, one), np.searchsorted(every, two)
-    c, pair = totals[0][at_one], totals[0][at_two]
-    lost_one, lost_two = totals[1][at_one], totals[1][at_two]
-    logs = np.add.reduceat(np.log10(c + 1.0), first[:-1]) if len(c) else np.zeros(0)
-    fresh = np.zeros(len(first) - 1, np.int64)
-    tokens_here = np.unique(at_one)
-    fresh[:1] = int(((totals[2][tokens_here] > 0) & (totals[0][tokens_here] > 0)).sum())
-    known = np.add.reduceat((c > 0).astype(np.int64), first[:-1]) if len(c) else np.zeros(0, np.int64)
-    is_fold = rows.column("fold").to_numpy().astype(bool)
-    cut = lambda x, keep: [planes(x[first[i] : first[i + 1]]) if keep[i] else None for i in range(len(first) - 1)]
-    all_rows = np.ones(len(is_fold), bool)
-    lost_end = np.full(len(first) - 1, int(totals[1][np.searchsorted(every, END)]) if len(c) else 0)
+    word, pair = totals[0][at_one], totals[0][at_two]
+    here, sizes, trains, folds = np.unique(at_one), np.diff(first), rows.column("train").to_numpy(), rows.column("fold").to_numpy()
+    per_doc = lambda x: np.add.reduceat(x, first[:-1]) if len(x) else x
+    rest = word - totals[1][at_one]
+    before = np.empty_like(rest)
+    before[1:] = rest[:-1]
+    end = np.searchsorted(every, END)
+    before[first[:-1]] = totals[0][end] - totals[1][end] if len(every) else 0
+    mine = fold > 0
     return pa.table(
         {
-            "doc_id": rows.column("doc_id"),
-            "held_out": pa.array(rows.column("train").to_numpy() == 0),
-            "fold": pa.array(is_fold),
-            "n_tokens": pa.array(np.diff(first)),
-            "n_known": pa.array(known.astype(np.int64)),
-            "log_sum": pa.array(logs),
-            "fresh": pa.array(fresh),
-            "word": pa.array(cut(c, all_rows), pa.binary()),
-            "pair": pa.array(cut(pair, all_rows), pa.binary()),
-            "less_word": pa.array([planes(np.append(lost_end[i], lost_one[first[i] : first[i + 1]])) if f else None for i, f in enumerate(is_fold)], pa.binary()),
-            "less_pair": pa.array(cut(lost_two, is_fold), pa.binary()),
+            "part": table.column("part")[:1],
+            "doc_id": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+            "held_out": pa.array([(trains == 0).tolist()], pa.list_(pa.bool_())),
+            "size": pa.array([pack_counts(sizes)], pa.binary()),
+            "known": pa.array([pack_counts(per_doc((word > 0).astype(np.int64)))], pa.binary()),
+            "logs": pa.array([squeeze(per_doc(np.log10(word + 1.0)))], pa.binary()),
+            "word": pa.array([pack_counts(word)], pa.binary()),
+            "pair": pa.array([pack_counts(pair)], pa.binary()),
+            "learned": pa.array([int(train.sum())], pa.int64()),
+            "ends": pa.array([int(trains.sum())], pa.int64()),
+            "deleted": pa.array([int((sizes * folds).sum())], pa.int64()),
+            "fresh": pa.array([int(((totals[2][here] > 0) & (totals[0][here] > 0)).sum())], pa.int64()),
+            "fold_word": pa.array([pack_counts(rest[mine])], pa.binary()),
+            "fold_pair": pa.array([pack_counts((pair - totals[1][at_two])[mine])], pa.binary()),
+            "fold_before": pa.array([pack_counts(before[mine])], pa.binary()),
         }
-    ).combine_chunks()
+    )
 
 
 def _estimates(word: np.ndarray, pair: np.ndarray, context: np.ndarray, total: int, vocabulary: int):
@@ -139,24 +136,33 @@ def _estimates(word: np.ndarray, pair: np.ndarray, context: np.ndarray, total: i
     return bucket, np.where(context > 0, pair / np.maximum(context, 1), 0.0), word / max(total, 1), 1.0 / (vocabulary + 1)
 
 
-def _held_out(batches, total: int, vocabulary: int, end: int):
-    """Counts the fold's tokens on a grid of (context bucket, pair estimate / floor, word estimate / floor); total: training tokens without the fold."""
+def _fold(batches, total: int, vocabulary: int):
+    """Estimates of the fold's tokens, part by part, by counts without the fold (total: training tokens without it)."""
     for batch in batches:
-        grid: dict[tuple[int, int, int], int] = {}
-        for word, pair, less_word, less_pair in zip(*(batch.column(c).to_pylist() for c in ("word", "pair", "less_word", "less_pair")), strict=True):
-            word, pair, less_word, less_pair = map(numbers, (word, pair, less_word, less_pair))
-            before = np.append(end - less_word[0], (word - less_word[1:])[:-1])
-            bucket, two, one, floor = _estimates(word - less_word[1:], pair - less_pair, before, total, vocabulary)
-            step = lambda p: np.where(p > 0, np.clip(np.round(np.log10(np.maximum(p, 1e-300) / floor) * STEPS), -STEPS * DECADES, STEPS * DECADES), -(STEPS * DECADES + 1)).astype(np.int64)
-            for key, n in zip(*np.unique(np.stack([bucket, step(two), step(one)], 1), axis=0, return_counts=True), strict=True):
-                grid[tuple(key)] = grid.get(tuple(key), 0) + int(n)
-        if grid:
-            keys = np.array(list(grid))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(keys[:, 2]), pa.array(list(grid.values()), pa.int64())], ["bucket", "two", "one", "n"])
+        for word, pair, before in zip(*(batch.column(c).to_pylist() for c in ("fold_word", "fold_pair", "fold_before")), strict=True):
+            yield _estimates(unpack_counts(word), unpack_counts(pair), unpack_counts(before), total, vocabulary)
+
+
+def _grid(parts):
+    """Counts the fold's tokens on a grid of (context bucket, pair estimate / floor, word estimate / floor)."""
+    for bucket, two, one, floor in parts:
+        if len(bucket):
+            step = lambda p: np.where(p > 0, np.clip(np.round(np.log10(np.maximum(p, 1e-300) / floor) * STEPS), -STEPS * DECADES, STEPS * DECADES), -(STEPS * DECADES + 1)).astype(np.int64)  # noqa: B023, E731
+            keys, n = np.unique(np.stack([bucket, step(two), step(one)], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k) for k in (*keys.T, n)], ["bucket", "two", "one", "n"])
+
+
+def _shares(parts, weights: np.ndarray):
+    """The expectation step: how many of each bucket's tokens fall to the pair, the word and the floor estimate."""
+    for bucket, two, one, floor in parts:
+        joint = np.stack([two, one, np.full(len(two), floor)], 1) * weights[bucket]
+        joint /= joint.sum(1, keepdims=True)
+        got = [np.bincount(bucket, joint[:, k], BUCKETS) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), *map(pa.array, got)], ["bucket", "two", "one", "floor"])
 
 
 def fit_weights(grid: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Expectation-maximisation of the mixture weights (pair, word, floor) of each context bucket.
+    """Mixture weights (pair, word, floor) of each context bucket by expectation-maximisation over the grid, from where the exact rounds go on.
 
     grid: rows of bucket, steps of the pair and word estimates over the floor, count.  A bucket without held-out tokens gets the pooled weights.
     """
@@ -171,7 +177,7 @@ def fit_weights(grid: np.ndarray, rounds: int = 60) -> np.ndarray:
             for _ in range(rounds):
                 joint = p * lam
                 lam = ((joint / joint.sum(1, keepdims=True)) * rows[:, 3:4]).sum(0) / rows[:, 3].sum()
-            lam = (lam + 1e-6) / (1 + 3e-6)
+            lam = floored(lam)
         elif pooled is not None:
             lam = pooled
         if bucket is None:
@@ -181,6 +187,11 @@ def fit_weights(grid: np.ndarray, rounds: int = 60) -> np.ndarray:
     return weights
 
 
+def floored(lam: np.ndarray) -> np.ndarray:
+    """No weight is zero, so that every text has a probability."""
+    return (lam + LEAST_WEIGHT) / (1 + 3 * LEAST_WEIGHT)
+
+
 def deleted_interpolation(docs: DataFrame, train, fold) -> DataFrame:
     """Scores every row of docs (doc_id, text) by a bigram model that learns from rows where ``train`` holds.
 
@@ -191,25 +202,35 @@ def deleted_interpolation(docs: DataFrame, train, fold) -> DataFrame:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held(train).alias("train"), held(train & fold).alias("fold"))
     parts = part_count(text_size(docs))
     terms = materialise(counted(parcels(own, parts), _keys, _terms, TERMS, parts, told=2, elect=True), "lm-terms")
-    known = terms.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("fresh"), F.count_if(~F.col("held_out")), F.sum(F.when(F.col("fold"), F.col("n_tokens")))))).first()
-    total, vocabulary, ends, lost = map(int, known)
-    held_out = lambda batches: _held_out(batches, total - lost, vocabulary, ends)
-    folds = terms.where("fold").select("word", "pair", "less_word", "less_pair")
-    grid = folds.mapInArrow(held_out, "bucket bigint, two bigint, one bigint, n bigint").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    total, vocabulary, ends, deleted = (x or 0 for x in terms.agg(F.sum("learned"), F.sum("fresh"), F.sum("ends"), F.sum("deleted")).first())
+    folds = terms.where("deleted > 0").select("fold_word", "fold_pair", "fold_before")
+    estimates = lambda batches: _fold(batches, total - deleted, vocabulary)
+    grid = folds.mapInArrow(lambda batches: _grid(estimates(batches)), "bucket bigint, two bigint, one bigint, n bigint").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     weights = fit_weights(np.array(grid.collect(), np.int64).reshape(-1, 4))
+    # The grid rounds estimates; the last rounds take them as they are.
+    for _ in range(ROUNDS if deleted else 0):
+        step = folds.mapInArrow(lambda batches, at=weights: _shares(estimates(batches), at), "bucket bigint, two double, one double, floor double")
+        got = np.array(step.groupBy("bucket").agg(F.sum("two"), F.sum("one"), F.sum("floor")).orderBy("bucket").drop("bucket").collect())
+        seen = got.sum(1) > 0
+        new = weights.copy()
+        new[seen] = floored(got[seen] / got[seen].sum(1, keepdims=True))
+        moved, weights = np.abs(new - weights).max(), new
+        if moved < CLOSE:
+            break
 
     def score(batches):
         for batch in batches:
-            out = []
-            for word, pair in zip(*(batch.column(c).to_pylist() for c in ("word", "pair")), strict=True):
-                word, pair = numbers(word), numbers(pair)
-                bucket, two, one, floor = _estimates(word, pair, np.append(ends, word[:-1]), total, vocabulary)
+            for r in batch.to_pylist():
+                word, pair, sizes = unpack_counts(r["word"]), unpack_counts(r["pair"]), unpack_counts(r["size"])
+                first = np.cumsum(sizes) - sizes
+                before = np.empty_like(word)
+                before[1:] = word[:-1]
+                before[first] = ends
+                bucket, two, one, floor = _estimates(word, pair, before, total, vocabulary)
                 lam = weights[bucket]
-                out.append(float(np.log10(lam[:, 0] * two + lam[:, 1] * one + lam[:, 2] * floor).sum()))
-            keep = batch.select(["doc_id", "held_out", "n_tokens", "n_known"])
-            n = batch.column("n_tokens").to_numpy()
-            base = batch.column("log_sum").to_numpy() - n * np.log10(total + vocabulary + 1.0)
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(np.full(len(n), total)), pa.array(base), pa.array(out, pa.float64())], [*keep.schema.names, "train_tokens", "base_score", "score"])
+                logs = np.add.reduceat(np.log10(lam[:, 0] * two + lam[:, 1] * one + lam[:, 2] * floor), first)
+                base = expand(r["logs"]) - sizes * np.log10(total + vocabulary + 1.0)
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_id"], pa.int64()), pa.array(r["held_out"], pa.bool_()), pa.array(sizes), pa.array(unpack_counts(r["known"])), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return terms.select("doc_id", "held_out", "n_tokens", "n_known", "log_sum", "word", "pair").mapInArrow(score, schema)
+    return terms.select("doc_id", "held_out", "size", "known", "logs", "word", "pair").mapInArrow(score, schema)

@@ -168,6 +168,56 @@ def test_deleted_interpolation(docs, empty):
     assert lm.deleted_interpolation(empty, F.lit(True), F.lit(False)).count() == 0
 
 
+def brute_interpolation(rows):
+    """log10 probabilities by dictionaries of n-grams and as many rounds of expectation-maximisation."""
+    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
+    texts = [(fold(r[0]), [*WORD.findall(lower(r[1])), None]) for r in rows]
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for f, t in texts:
+        for k in range(2):
+            if f != 2 and (k == 0 or f != 5):
+                words[k].update(t)
+                pairs[k].update(zip([None, *t], t))
+    total, distinct = [sum(w.values()) for w in words], len(words[0])
+
+    def estimates(t, k, a, w):
+        c = words[k][a]
+        bucket = min(int(math.log2(c)) + 1, lm.BUCKETS - 1) if c else 0
+        return bucket, (pairs[k][a, w] / c if c else 0.0, words[k][w] / max(total[k], 1), 1 / (distinct + 1))
+
+    held = [estimates(t, 1, a, w) for f, t in texts if f == 5 for a, w in zip([None, *t], t)]
+    pooled = em([p for _, p in held])
+    weights = {b: em([p for c, p in held if c == b]) for b in {b for b, _ in held}}
+    out = []
+    for _, t in texts:
+        got = [estimates(t, 0, a, w) for a, w in zip([None, *t], t)]
+        out.append(sum(math.log10(sum(x * y for x, y in zip(weights.get(b, pooled), p))) for b, p in got))
+    return out
+
+
+def em(p):
+    p, lam = np.array(p), np.full(3, 1 / 3)
+    for _ in range(60 + lm.ROUNDS):
+        joint = p * lam
+        lam = (joint / joint.sum(1, keepdims=True)).mean(0)
+    return (lam + lm.LEAST_WEIGHT) / (1 + 3 * lm.LEAST_WEIGHT)
+
+
+def test_interpolated_scores(docs):
+    fold = crc_fold(F.col("doc_id"), 7)
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in lm.deleted_interpolation(docs, fold != 2, fold == 5).collect())
+    expected = sorted((r[0], len(WORD.findall(lower(r[1]))) + 1, s) for r, s in zip(cases(), brute_interpolation(cases())))
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], rel=0.01)
+
+
+def test_counts_beyond_32_bits():
+    from neurofold.llm.common import pack_counts, unpack_counts
+
+    n = np.array([0, 1, 5_000_000_000, 2**52])
+    assert unpack_counts(pack_counts(n)).tolist() == n.tolist()
+
+
 def test_mixture_weights_are_likelier_than_a_uniform_mix():
     import numpy as np
 
