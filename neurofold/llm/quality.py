@@ -1,29 +1,33 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages.  Every passage is encoded from its bytes (shares of
-byte-class pairs and a few surface figures) through a learned layer; gated attention
-weights, learned from document labels alone, say how much each passage counts; the
-weighted passage representation is scored by a logistic output.
+A document is a bag of passages.  Every passage is encoded from its bytes and words
+(shares of byte-class pairs, hashed words, a few surface figures) through a learned
+layer; gated attention weights, learned from document labels alone, say how much each
+passage counts; the weighted passage representation is scored by a logistic output.
 
-The network is small and is fitted on a bounded sample of labelled documents
-(``SAMPLE`` documents by hash order, ``SAMPLE_PASSAGES`` passages of each, spread over
-the document).  Scoring reads all passages of every text in one pass, without a shuffle.
+The network is small and is fitted on a bounded sample of labelled documents: the first
+by hash order, at most ``SAMPLE`` of them with ``SAMPLE_BYTES`` of text together, those
+over ``LARGEST`` bytes excepted.  A sampled document takes part with all its passages.
+Scoring reads all passages of every text in one pass, without a shuffle.
 
 Defined results: null and empty texts are one empty passage and get a score; without
-labels every score is 0.5; repeated rows are scored each; extra columns are ignored.
+labels every score is 0.5; labels that repeat count once, by the largest; of rows that
+share a labelled doc_id the shortest text is learned from; null ids have no label;
+repeated rows are scored each; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, flat
+from .common import LOWER, SPACE, Spans, chunks, flat, words
 
-#: Bound of the training sample: documents, and passages of each.
-SAMPLE, SAMPLE_PASSAGES = 6000, 24
+#: Bounds of the training sample: documents, bytes of text of all of them and of one.
+SAMPLE, SAMPLE_BYTES, LARGEST = 6000, 16 << 20, 1 << 20
 #: Bytes of a passage.
 PASSAGE = 512
 #: A document is accepted from this score on.
@@ -33,49 +37,57 @@ CLASS = np.full(256, 15, np.uint8)
 for _k, _bytes in enumerate((b"aeiou", b"bcdfghjklmnpqrstvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\t\n\x0b\x0c\r", b".", b",;:", b"!?", b"|", b"#$%&*+=^~<>", b"()[]{}\"'`", b"/\\@_-")):
     CLASS[list(_bytes)] = _k
 CLASS[128:] = 13
-CLASSES = 16
-FEATURES = CLASSES * CLASSES + 6
-
-
-def passages(text: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of all passages (at most ``most`` of each text, evenly spread) and the first row of each text."""
-    data, offsets = flat(text)
-    sizes = np.diff(offsets)
-    count = np.maximum(1, -(-sizes // PASSAGE))
-    first = np.concatenate([[0], np.cumsum(count)])
-    doc = np.repeat(np.arange(len(sizes)), count)
-    start = offsets[:-1][doc] + (np.arange(len(doc)) - first[:-1][doc]) * PASSAGE
-    stop = np.minimum(start + PASSAGE, offsets[1:][doc])
-    if most:
-        nth = np.arange(len(doc)) - first[:-1][doc]
-        step = np.maximum(1, -(-count // most))[doc]
-        keep = nth % step == 0
-        start, stop, doc = start[keep], stop[keep], doc[keep]
-        first = np.searchsorted(doc, np.arange(len(sizes) + 1))
-    out = np.zeros((len(doc), FEATURES), np.float32)
-    for a in range(0, len(doc), 1024):
-        lo, hi = start[a : a + 1024], stop[a : a + 1024]
-        n = hi - lo
-        row = np.repeat(np.arange(len(lo)), n)
-        byte = data[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+CLASSES, BUCKETS = 16, 256
+FEATURES = CLASSES * CLASSES + BUCKETS + 6
+#: Passages that are encoded at once.
+BATCH = 2048
+
+
+class Passages:
+    """All passages of some texts.  ``first`` is the first passage of each text; features are made for a run of passages at a time."""
+
+    def __init__(self, text: pa.Array):
+        self.data, offsets = flat(text)
+        sizes = np.diff(offsets)
+        count = np.maximum(1, -(-sizes // PASSAGE))
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        doc = np.repeat(np.arange(len(sizes)), count)
+        self.start = offsets[:-1][doc] + (np.arange(len(doc)) - self.first[:-1][doc]) * PASSAGE
+        self.stop, self.size = np.minimum(self.start + PASSAGE, offsets[1:][doc]), sizes[doc]
+        begin, end, _ = words(self.data, offsets)
+        self.word, self.bucket = begin, (Spans(LOWER[self.data])(begin, end) >> np.uint64(56)).astype(np.int64)
+
+    def runs(self):
+        """Feature rows of all passages, ``BATCH`` at once."""
+        for a in range(0, len(self.start), BATCH):
+            yield self.features(a, min(a + BATCH, len(self.start)))
+
+    def features(self, a: int, b: int) -> np.ndarray:
+        lo, hi, size = self.start[a:b], self.stop[a:b], self.size[a:b]
+        out = np.zeros((b - a, FEATURES), np.float32)
+        n, rows = hi - lo, np.arange(b - a)
+        row = np.repeat(rows, n)
+        byte = self.data[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         kind = CLASS[byte].astype(np.int64)
         pair = (row[:-1] * CLASSES + kind[:-1]) * CLASSES + kind[1:]
         pair = pair[row[1:] == row[:-1]]
-        table = np.bincount(pair, minlength=len(lo) * CLASSES * CLASSES).reshape(len(lo), -1)
-        out[a : a + 1024, : CLASSES * CLASSES] = np.sqrt(table / np.maximum(n - 1, 1)[:, None])
-        space = SPACE[byte]
-        begins = ~space & np.concatenate([[True], space[:-1] | (row[1:] != row[:-1])]) if len(byte) else space
-        words = np.bincount(row[begins], minlength=len(lo))
+        table = np.bincount(pair, minlength=len(rows) * CLASSES * CLASSES).reshape(len(rows), -1)
+        out[:, : CLASSES * CLASSES] = np.sqrt(table / np.maximum(n - 1, 1)[:, None])
+        # A word belongs to the passage that it begins in.
+        own = slice(*np.searchsorted(self.word, [lo[0], hi[-1]]))
+        at = np.searchsorted(lo, self.word[own], "right") - 1
+        hashed = np.bincount(at * BUCKETS + self.bucket[own], minlength=len(rows) * BUCKETS).reshape(len(rows), -1)
+        count = hashed.sum(1)
+        out[:, CLASSES * CLASSES : -6] = np.sqrt(hashed / np.maximum(count, 1)[:, None])
         # Repeated lines and words show in how many slots of a small table the passage's 4-byte strings fill.
         gram = np.zeros(len(byte), np.uint32)
         for k in range(4):
             gram[: max(len(byte) - k, 0)] += byte[k:].astype(np.uint32) << np.uint32(8 * k)
-        slots = np.zeros((len(lo), 1024), bool)
+        slots = np.zeros((len(rows), 1024), bool)
         slots[row, (gram * np.uint32(2654435761)) >> np.uint32(22)] = True
-        fresh = slots.sum(1) / np.maximum(n, 1)
-        size = sizes[doc[a : a + 1024]]
-        out[a : a + 1024, CLASSES * CLASSES :] = np.stack([np.log1p(n) / 6, np.log1p(size) / 10, (n - np.bincount(row[space], minlength=len(lo))) / np.maximum(words, 1) / 10, fresh, (size == 0).astype(float), np.ones(len(lo))], 1)
-    return out, first
+        dense = n - np.bincount(row[SPACE[byte]], minlength=len(rows))
+        out[:, -6:] = np.stack([np.log1p(n) / 6, np.log1p(size) / 10, dense / np.maximum(count, 1) / 10, slots.sum(1) / np.maximum(n, 1), (size == 0).astype(float), np.ones(len(rows))], 1)
+        return out
 
 
 class Attention:
@@ -87,25 +99,32 @@ class Attention:
         self.p = {"E": small(FEATURES, hidden), "V": small(hidden, gate), "U": small(hidden, gate), "w": small(gate, 1), "c": small(hidden, 1) * 0, "b": np.zeros((1, 1), np.float32)}
         self.mean, self.scale = np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32)
 
-    def forward(self, x: np.ndarray, first: np.ndarray):
-        p, at = self.p, first[:-1]
-        doc = np.repeat(np.arange(len(at)), np.diff(first))
-        z = (x - self.mean) * self.scale
+    def encode(self, x: np.ndarray):
+        """Standardised features, passage vectors, both gates and attention energies."""
+        p, z = self.p, (x - self.mean) * self.scale
         h = np.tanh(z @ p["E"])
         v, u = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = ((v * u) @ p["w"])[:, 0]
+        return z, h, v, u, ((v * u) @ p["w"])[:, 0]
+
+    def gather(self, h: np.ndarray, e: np.ndarray, first: np.ndarray):
+        """Attention weights, weighted passage vectors, each passage's document, and scores."""
+        at = first[:-1]
+        doc = np.repeat(np.arange(len(at)), np.diff(first))
         e = np.exp(e - np.maximum.reduceat(e, at)[doc])
         a = e / np.add.reduceat(e, at)[doc]
         bag = np.add.reduceat(h * a[:, None], at)
-        logit = (bag @ p["c"] + p["b"])[:, 0]
-        return z, h, v, u, a, bag, doc, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = (bag @ self.p["c"] + self.p["b"])[:, 0]
+        return a, bag, doc, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
-    def scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.forward(x, first)[-1].astype(float)
+    def scores(self, runs, first: np.ndarray) -> np.ndarray:
+        """Scores of documents whose passages' features come in runs; only passage vectors are kept of them."""
+        kept = [self.encode(x)[1::3] for x in runs]
+        return self.gather(np.concatenate([h for h, _ in kept]), np.concatenate([e for _, e in kept]), first)[-1].astype(float)
 
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
-        z, h, v, u, a, bag, doc, s = self.forward(x, first)
+        z, h, v, u, e = self.encode(x)
+        a, bag, doc, s = self.gather(h, e, first)
         d_logit = ((s - y) / len(y))[:, None].astype(np.float32)
         d_bag = d_logit @ p["c"].T
         d_a = (h * d_bag[doc]).sum(1)
@@ -139,18 +158,24 @@ class Attention:
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Attention:
-    """Fits on labelled rows where ``may_learn`` (a condition on doc_id) holds: the first SAMPLE of them by hash of doc_id."""
-    known = labels.where(may_learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """Fits on a bounded sample of labelled rows where ``may_learn`` (a condition on doc_id) holds."""
+    known = labels.where(may_learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    shortest = F.min(F.struct(F.octet_length(text).alias("size"), text.alias("text"))).alias("m")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(shortest).where(F.col("m.size") <= LARGEST)
+    # At most SAMPLE rows are added up.
+    so_far = F.sum("m.size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
 
     def encode(batches):
         for batch in batches:
-            x, first = passages(batch.column("text"), SAMPLE_PASSAGES)
-            blobs = [x[first[i] : first[i + 1]].astype(np.float16).tobytes() for i in range(len(first) - 1)]
+            bags = Passages(batch.column("text"))
+            x = np.concatenate([r.astype(np.float16) for r in bags.runs()]) if batch.num_rows else np.zeros((0, FEATURES), np.float16)
+            blobs = [x[i:j].tobytes() for i, j in zip(bags.first[:-1], bags.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(blobs, pa.binary())], ["doc_id", "quality", "x"])
 
-    found = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(encode, "doc_id bigint, quality int, x binary").collect()
+    found = rows.select("doc_id", F.col("m.text").alias("text"), F.col("quality").cast("int").alias("quality")).repartition(16, "doc_id").mapInArrow(encode, "doc_id bigint, quality int, x binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["x"]))
     model = Attention()
     if not found:
@@ -172,8 +197,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Data
             text, out = batch.column("text"), []
             _, offsets = flat(text)
             for i, j in chunks(offsets, 4 << 20):
-                x, first = passages(text.slice(i, j - i))
-                out.append(model.scores(x, first))
+                bags = Passages(text.slice(i, j - i))
+                out.append(model.scores(bags.runs(), bags.first))
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
