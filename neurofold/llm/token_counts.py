@@ -1,24 +1,29 @@
 """Token counts of a unigram tokenizer by dynamic programming over a trie of pre-tokens.
 
-Pre-tokens (a word mark and a white-space separated word) are deduplicated; the
-distinct ones are walked in sorted order, which is a depth-first walk of their trie:
-the best segmentation score and its number of tokens are kept for each character of
-the current path, so a prefix that pre-tokens share is scored once.  The number at the
-end of a pre-token is its token count, and a text's count is the sum over its words.
-
-Pieces come from a public vocabulary file, whose path is a parameter; a piece's score
-is its Zipf log probability by rank.  Characters that no piece covers cost one token a
-UTF-8 byte.  Ties between segmentations go to fewer tokens.
-
-Counting needs no shuffle: a task's trie grows with the distinct words it has met.
-
-Defined results: null and empty texts have no tokens; repeated rows are rows of their
-own; a word of any length is walked without recursion; extra columns are ignored.
+Pre-tokens (a word mark and a white-space separated word) are deduplicated; each task
+inserts the distinct ones it meets in a trie that it keeps.  A node holds the forward
+score of the string that leads to it, the best segmentation's sum of unigram scores and
+its number of tokens, so a prefix that pre-tokens share is scored once; the number at
+the end of a pre-token is its token count, and a text's count is the sum over its words.
+
+The vocabulary is a public tokenizer's file, whose path is a parameter.  It is not
+trained here and holds no unigram probabilities: a piece's score is its Zipf log
+probability by rank, -log(rank) - log(harmonic sum).  Characters that no piece covers
+cost one token a UTF-8 byte.  Ties between segmentations go to fewer tokens.
+
+Counting needs no shuffle.  A trie of more than ``NODES`` nodes is begun anew, which
+bounds its memory and changes no count.
+
+Defined results: null and empty texts have no tokens; repeated rows, repeated ids and
+null ids are rows of their own; a word of any length is walked without recursion; an
+empty table gives an empty result; extra columns are ignored; a missing vocabulary file
+is an error that names it.
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +33,16 @@ from .common import Spans, chunks, flat, words
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Log probability of one byte of an uncovered character.
-BYTE_SCORE = -20.0
+#: Log probability of one byte of an uncovered character; nodes of a trie.
+BYTE_SCORE, NODES = -20.0, 1_000_000
 
 
 def pieces(path: str = VOCABULARY) -> dict[str, float]:
     """Scores of the vocabulary's pieces (special and byte pieces excluded)."""
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: pass the path of a sentencepiece model that driver and executors have")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     total = math.log(sum(1 / (r + 1) for r in range(model.get_piece_size())))
     return {
@@ -46,37 +53,47 @@ def pieces(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Trie:
-    """Token counts of distinct pre-tokens, scored along shared prefixes."""
+    """Pre-tokens as paths of characters.  A node holds the best (score, -tokens) of the string that leads to it."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.child: dict[tuple[int, str], int] = {}
+        self.best: list[tuple[float, int]] = [(0.0, 0)]
+
+    def count(self, token: str) -> int:
+        """Tokens of a pre-token: its path is walked as far as the trie has it, and the rest is scored and inserted."""
+        child, best, node, path = self.child, self.best, 0, [0]
+        for end, letter in enumerate(token, 1):
+            below = child.get((node, letter))
+            if below is None:
+                below = child[node, letter] = len(best)
+                best.append(self.forward(token, end, path))
+            node = below
+            path.append(node)
+        return -best[node][1]
+
+    def forward(self, token: str, end: int, path: list[int]) -> tuple[float, int]:
+        """The best segmentation of token[:end] from those of its prefixes, whose nodes are the path."""
+        get, best, size = self.scores.get, self.best, len(token[end - 1].encode())
+        score, count = best[path[end - 1]]
+        found = (score + BYTE_SCORE * size, count - size)
+        for begin in range(max(0, end - self.longest), end):
+            s = get(token[begin:end])
+            if s is not None:
+                score, count = best[path[begin]]
+                if (score + s, count - 1) > found:
+                    found = (score + s, count - 1)
+        return found
 
     def counts(self, tokens: list[str]) -> list[int]:
-        """Counts for sorted pre-tokens.  best[d] holds (score, -tokens) of the current path's first d characters."""
-        get, longest = self.scores.get, self.longest
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        path, out = "", []
+        out = []
         for token in tokens:
-            shared = 0
-            for a, b in zip(path, token):
-                if a != b:
-                    break
-                shared += 1
-            del best[shared + 1 :]
-            for end in range(shared + 1, len(token) + 1):
-                size = len(token[end - 1].encode())
-                score, count = best[end - 1]
-                found = (score + BYTE_SCORE * size, count - size)
-                for begin in range(end - longest if end > longest else 0, end):
-                    s = get(token[begin:end])
-                    if s is not None:
-                        score, count = best[begin]
-                        if (score + s, count - 1) > found:
-                            found = (score + s, count - 1)
-                best.append(found)
-            path = token
-            out.append(-best[-1][1])
+            if len(self.best) > NODES:
+                self.clear()
+            out.append(self.count(token))
         return out
 
 
@@ -98,9 +115,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 new = np.flatnonzero(keys[at] != every) if len(keys) else np.arange(len(every))
                 raw = part.tobytes()
                 fresh = [MARK + raw[a:b].decode(errors="replace") for a, b in zip(begin[first[new]].tolist(), stop[first[new]].tolist(), strict=True)]
-                order = sorted(range(len(fresh)), key=fresh.__getitem__)
-                got = np.zeros(len(fresh), np.int64)
-                got[order] = trie.counts([fresh[o] for o in order])
+                got = np.array(trie.counts(fresh), np.int64)
                 place = np.searchsorted(keys, every[new])
                 keys, known = np.insert(keys, place, every[new]), np.insert(known, place, got)
                 each = known[np.searchsorted(keys, every)][slot]
