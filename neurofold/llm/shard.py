@@ -11,8 +11,9 @@ curve cell is cut into blocks of bounded row count, block sums are added up, and
 rows are numbered inside their block; a group of copies is blocked the same way.
 
 Defined results: a null text is empty (all null texts are one group), null metadata
-count as empty strings, documents that repeat are rows of their own, an empty table
-gives an empty result.  Extra columns are ignored.
+count as empty strings, repeated rows, repeated ids and null ids are rows of their own,
+ties along the curve go by a hash of the text, an empty table gives an empty result.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,6 +105,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFram
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
     )
+    # Texts are read once; from here on only their figures.
+    rows = materialise(rows, "shard-rows")
     group = ["text_key", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.min("source").alias("source"), F.min("lang").alias("lang"), F.count("*").alias("rows"))
     # Quantile cuts of the size: a fixed number of values, whatever the input.  Strings are ranked themselves.
@@ -112,14 +115,19 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFram
     coded = groups.join(value_codes(groups, "source", bits), "source").join(value_codes(groups, "lang", bits), "lang")
     coded = coded.crossJoin(F.broadcast(found)).withColumn("size_code", F.greatest(code_of(F.col("size"), F.col("size_cuts")), F.lit(0)))
     codes = [F.col(f"{a}_code") for a in ("source", "lang", "size")]
-    placed = coded.select(*group, "rows", hilbert_index(codes, bits).alias("curve"))
+    placed = materialise(coded.select(*group, "rows", hilbert_index(codes, bits).alias("curve")), "curve")
     # Blocks of bounded row count along the order (curve, text_key).
     cells = placed.groupBy("curve").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("pieces"))
     step = F.floor((F.col("text_key") / float(2**64) + 0.5) * F.col("pieces")).cast("long")  # not falling in text_key
     blocked = placed.join(F.broadcast(cells), "curve").withColumn("block", F.least(step, F.col("pieces") - 1))
     sums = blocked.groupBy("curve", "block").agg(F.sum(F.col("size") * F.col("rows")).alias("b"), F.sum("rows").alias("r"))
-    before = W.orderBy("curve", "block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("curve", "block", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.sum("b").over(W.partitionBy()).alias("total"))
+    # Running sums of the cells (a fixed number), and of the blocks inside each cell.
+    cell_order, block_order = (w.rowsBetween(W.unboundedPreceding, -1) for w in (W.orderBy("curve"), W.partitionBy("curve").orderBy("block")))
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    cell_sums = sums.groupBy("curve").agg(F.sum("b").alias("cb"), F.sum("r").alias("cr"))
+    cell_starts = cell_sums.select("curve", so_far("cb", cell_order).alias("cb0"), so_far("cr", cell_order).alias("cr0"), F.sum("cb").over(W.partitionBy()).alias("total"))
+    starts = sums.select("curve", "block", so_far("b", block_order).alias("b0"), so_far("r", block_order).alias("r0")).join(F.broadcast(cell_starts), "curve")
+    starts = starts.select("curve", "block", (F.col("cb0") + F.col("b0")).alias("b0"), (F.col("cr0") + F.col("r0")).alias("r0"), "total")
     inside = W.partitionBy("curve", "block").orderBy("text_key", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
     grouped = blocked.join(starts, ["curve", "block"]).select(
         *group,
