@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stencil import label8
@@ -35,8 +35,8 @@ def overlaps(cells: DataFrame, height: int, width: int) -> DataFrame:
     return s.withColumnRenamed("cell_id", "a").join(below, ["z", "ind"]).select("a", "b").distinct()
 
 
-def overlap_components(cells: DataFrame, height: int, width: int) -> DataFrame:
-    """(z, label, above, below): components of overlapping stamps of z and z + 1 with their largest ids, no cell removed."""
+def _overlap_labels(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """(z, label, a, b): pixels that stamps of z and z + 1 share, by their component, no cell removed."""
     s = stamps(cells, height, width)
     both = s.withColumnRenamed("cell_id", "a").join(s.select((F.col("z") - 1).alias("z"), "ind", F.col("cell_id").alias("b")), ["z", "ind"])
 
@@ -47,8 +47,12 @@ def overlap_components(cells: DataFrame, height: int, width: int) -> DataFrame:
         label = label8(mask.reshape(height, width, order="F")).ravel(order="F")[ind - 1]
         return pa.table({"z": z, "label": label, "a": a, "b": b})
 
-    labelled = both.select("z", "ind", "a", "b").groupBy("z").applyInArrow(run, "z bigint, label bigint, a bigint, b bigint")
-    return labelled.groupBy("z", "label").agg(F.max("a").alias("above"), F.max("b").alias("below"))
+    return both.select("z", "ind", "a", "b").groupBy("z").applyInArrow(run, "z bigint, label bigint, a bigint, b bigint")
+
+
+def overlap_components(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """(z, label, above, below): components of overlapping stamps of z and z + 1 with their largest ids, no cell removed."""
+    return _overlap_labels(cells, height, width).groupBy("z", "label").agg(F.max("a").alias("above"), F.max("b").alias("below"))
 
 
 def duplicate_pairs(cells: DataFrame, points: DataFrame, height: int, width: int) -> DataFrame:
@@ -56,56 +60,53 @@ def duplicate_pairs(cells: DataFrame, points: DataFrame, height: int, width: int
 
     Removals only shrink or split components, so these pairs are enough whatever is removed on the way.
     """
-    pairs = overlaps(cells, height, width)
-    s = stamps(cells, height, width)
-    both = s.withColumnRenamed("cell_id", "a").join(s.select((F.col("z") - 1).alias("z"), "ind", F.col("cell_id").alias("b")), ["z", "ind"])
-
-    def run(table: pa.Table) -> pa.Table:
-        z, ind, a, b = (table.column(c).to_numpy() for c in ("z", "ind", "a", "b"))
-        mask = np.zeros(height * width, bool)
-        mask[ind - 1] = True
-        label = label8(mask.reshape(height, width, order="F")).ravel(order="F")[ind - 1]
-        return pa.table({"z": z, "label": label, "a": a, "b": b})
-
-    labelled = both.select("z", "ind", "a", "b").groupBy("z").applyInArrow(run, "z bigint, label bigint, a bigint, b bigint")
+    labelled = _overlap_labels(cells, height, width)
     left, right = labelled.select("z", "label", "a").distinct(), labelled.select("z", "label", "b").distinct()
-    pairs = pairs.union(left.join(right, ["z", "label"]).select("a", "b")).distinct()
-    return pair_correlation(pairs, points)
+    return pair_correlation(left.join(right, ["z", "label"]).select("a", "b").distinct(), points)
 
 
 def greedy_duplicates(cells: DataFrame, correlations: DataFrame, height: int, width: int, threshold: float) -> DataFrame:
     """cell_ids that duplicate removal drops, plane by plane: a dropped cell drops no other.
 
-    The fold over planes is one group that holds centres and pair correlations only, never traces.
+    A group is one chain of neighbouring planes that hold cells (an empty plane ends it); it holds centres and the pairs
+    above the threshold, never traces or images of more than two planes.
     """
-    rows = cells.select(F.lit(0).alias("g"), F.lit("c").alias("kind"), "cell_id", "z", "cy", "cx", F.lit(None).cast("double").alias("r"))
-    rows = rows.union(correlations.where(F.col("r") > threshold).where(~F.isnan("r")).select(F.lit(0), F.lit("p"), "a", "b", F.lit(0), F.lit(0), "r"))
+    order = Window.orderBy("z")
+    planes = cells.select(F.col("z").cast("long").alias("z")).distinct()
+    # One row a plane: runs of planes without a gap.
+    chains = planes.withColumn("chain", F.col("z") - F.row_number().over(order))
+    own = cells.join(F.broadcast(chains), "z").select("chain", "cell_id", "z", F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx"))
+    high = correlations.where((F.col("r") > threshold) & ~F.isnan("r")).select(F.col("a").alias("cell_id"), F.col("b").alias("other"))
+    high = high.join(own.select("cell_id", "chain"), "cell_id").select(F.col("chain").alias("own_chain"), "cell_id", "other")
     offset = (np.arange(-2, 3)[None, :] * height + np.arange(-2, 3)[:, None]).ravel()
 
-    def run(table: pa.Table) -> pa.Table:
-        cell: dict[int, list[tuple[int, int]]] = {}
-        high, gone = set(), set()
-        for kind, i, z, cy, cx in zip(*(table.column(c).to_pylist() for c in ("kind", "cell_id", "z", "cy", "cx")), strict=True):
-            if kind == "p":
-                high.add((i, z))
-            else:
-                cell.setdefault(z, []).append((i, (cx - 1) * height + cy))
-
-        def plane(z):
-            out = np.zeros(height * width + 1, np.int64)
-            for i, centre in sorted(cell.get(z, [])):
-                if i not in gone:
-                    at = centre + offset
-                    out[at[(at > 0) & (at < height * width)]] = i
-            return out[1:]
-
-        for z in sorted(cell):
-            above, below = plane(z), plane(z + 1)
+    def run(cell: pa.Table, pair: pa.Table) -> pa.Table:
+        ids, z, cy, cx = (cell.column(c).to_numpy() for c in ("cell_id", "z", "cy", "cx"))
+        order = np.lexsort((ids, z))
+        ids, z, centre = ids[order], z[order], ((cx - 1) * height + cy)[order]
+        linked = set(zip(pair.column("cell_id").to_pylist(), pair.column("other").to_pylist(), strict=True))
+        alive = np.ones(len(ids), bool)
+        ends = np.searchsorted(z, np.arange(z.min(), z.max() + 2)) if len(z) else np.zeros(1, np.int64)
+
+        def plane(k: int) -> np.ndarray:
+            """The largest living id that stamps each pixel."""
+            out = np.zeros(height * width, np.int64)
+            here = np.flatnonzero(alive[ends[k] : ends[k + 1]]) + ends[k]
+            at = (centre[here][:, None] + offset).ravel()
+            ok = (at > 0) & (at < height * width)
+            np.maximum.at(out, at[ok] - 1, np.repeat(ids[here], len(offset))[ok])
+            return out
+
+        for k in range(len(ends) - 2):
+            above, below = plane(k), plane(k + 1)
             label = label8(((above > 0) & (below > 0)).reshape(height, width, order="F")).ravel(order="F")
-            for k in range(1, label.max() + 1 if len(label) else 1):
-                pair = int(above[label == k].max()), int(below[label == k].max())
-                if pair in high:
-                    gone.add(pair[1])
-        return pa.table({"cell_id": pa.array(sorted(gone), pa.int64())})
-
-    return rows.groupBy("g").applyInArrow(run, "cell_id bigint")
+            at = np.flatnonzero(label)
+            tops = np.zeros((2, label.max(initial=0) + 1), np.int64)
+            for side, image in zip(tops, (above, below), strict=True):
+                np.maximum.at(side, label[at], image[at])
+            for pair_ in zip(*tops[:, 1:].tolist(), strict=True):
+                if pair_ in linked:
+                    alive[ends[k + 1] + np.searchsorted(ids[ends[k + 1] : ends[k + 2]], pair_[1])] = False
+        return pa.table({"cell_id": pa.array(ids[~alive], pa.int64())})
+
+    return own.groupBy("chain").cogroup(high.groupBy("own_chain")).applyInArrow(run, "cell_id bigint")

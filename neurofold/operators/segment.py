@@ -94,14 +94,31 @@ def region_properties(labelled: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(planes), "z").withColumn("cell_id", F.col("before") + F.col("label")).drop("before")
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """(z, y, x, ind, label) of the 8-connected components of mask pixels (z, y, x)."""
-    return S.kernel(mask.withColumn("v", F.lit(1).cast("long")), lambda image: {"label": S.label8(image > 0)}, {"label": "bigint"}, keep=lambda m: m["label"] > 0)
+def components(mask: DataFrame, height: int, width: int) -> DataFrame:
+    """(z, y, x, ind, label) of the 8-connected components of mask pixels (z, y, x) of planes of one size."""
+    return S.kernel(mask.withColumn("v", F.lit(1).cast("long")), lambda image: {"label": S.label8(image > 0)}, {"label": "bigint"}, keep=lambda m: m["label"] > 0, size=(height, width))
+
+
+# The ten overlay colours, by label modulo 10.
+COLOURS = [(122, 0, 0), (255, 0, 0), (209, 102, 0), (163, 204, 0), (82, 230, 51), (0, 255, 102), (0, 178, 178), (0, 102, 255), (0, 51, 255), (204, 0, 255)]
 
 
 def palette(labelled: DataFrame) -> DataFrame:
     """(z, y, x, label, red, green, blue): overlay colours of the cell pixels, by label modulo 10."""
-    # The ten overlay colours, by label modulo 10.
-    colours = [(122, 0, 0), (255, 0, 0), (209, 102, 0), (163, 204, 0), (82, 230, 51), (0, 255, 102), (0, 178, 178), (0, 102, 255), (0, 51, 255), (204, 0, 255)]
-    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in colours)), (F.col("label") % 10 + 1).cast("int")).cast("long")
+    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in COLOURS)), (F.col("label") % 10 + 1).cast("int")).cast("long")
     return labelled.select("z", "y", "x", "label", pick(0).alias("red"), pick(1).alias("green"), pick(2).alias("blue"))
+
+
+def overlay(pixels: DataFrame, labelled: DataFrame, width: int, normalised: str = "n") -> DataFrame:
+    """(z, y, x, red, green, blue): two panels of each plane side by side with a white line between.
+
+    pixels: (z, y, x, n) of planes of this width, with n in [0, 1].  The left panel is the image at full brightness, the right one at 150 of 255 with
+    the cells in their colours.
+    """
+    grey = lambda top: F.round(F.col(normalised) * top).cast("long")
+    same = lambda c: [c.alias(n) for n in ("red", "green", "blue")]
+    left = pixels.select("z", "y", "x", *same(grey(255)))
+    line = pixels.select("z", "y").distinct().select("z", "y", F.lit(width + 1).cast("long").alias("x"), *same(F.lit(255).cast("long")))
+    colours = palette(labelled).drop("label")
+    right = pixels.join(colours, ["z", "y", "x"], "left").select("z", "y", (F.col("x") + width + 1).alias("x"), *(F.coalesce(F.col(c), grey(150)).alias(c) for c in ("red", "green", "blue")))
+    return left.union(line).union(right)

@@ -127,17 +127,18 @@ def label8(mask: np.ndarray) -> np.ndarray:
     return out.reshape(mask.shape, order="F")
 
 
-def kernel(pixels: DataFrame, make, columns: dict[str, str], value: str = "v", keep=None) -> DataFrame:
+def kernel(pixels: DataFrame, make, columns: dict[str, str], value: str = "v", keep=None, size: tuple[int, int] | None = None) -> DataFrame:
     """Runs make(image) -> {name: array} on each plane z of pixels (z, y, x, value); rows of the pixels with the results.
 
-    keep(results) may say which pixels become rows.
+    keep(results) may say which pixels become rows.  size: height and width of the planes, which only pixels that fill
+    their planes may leave out.
     """
     schema = PIXEL + "".join(f", {n} {t}" for n, t in columns.items())
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
     def run(table: pa.Table) -> pa.Table:
         z, y, x, v = (table.column(c).to_numpy() for c in ("z", "y", "x", value))
-        image = np.zeros((int(y.max()), int(x.max())), np.int64 if np.issubdtype(v.dtype, np.integer) else np.float64)
+        image = np.zeros(size or (int(y.max()), int(x.max())), np.int64 if np.issubdtype(v.dtype, np.integer) else np.float64)
         image[y - 1, x - 1] = v
         made = make(image)
         pick = np.ones(image.shape, bool) if keep is None else keep(made)

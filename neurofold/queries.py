@@ -247,10 +247,10 @@ def mbif3_fix(spark, sf_dir):
     return A.px(spark, sf_dir).select("z", "y", "x", fix_error(F.col("v") * 120).cast("long").alias("v"))
 
 
-@query("SELECT z, y, x, CASE WHEN z <= 21 THEN 2 * z - 1 ELSE 2 * (42 - z) END AS slot FROM px WHERE x = 1", "px")
+@query("SELECT z, y, x, CASE WHEN z <= 21 THEN 2 * z - 1 ELSE 2 * (42 - z) END AS slot FROM px", "px")
 def z_interleave(spark, sf_dir):
     slot = F.when(F.col("z") <= 21, F.col("z") * 2 - 1).otherwise((F.lit(42) - F.col("z")) * 2)
-    return A.px(spark, sf_dir).where("x = 1").select("z", "y", "x", slot.alias("slot"))
+    return A.px(spark, sf_dir).select("z", "y", "x", slot.alias("slot"))
 
 
 @query("WITH m AS (SELECT y, x, min(v) AS base FROM px GROUP BY ALL) SELECT z, y, x, round(least(greatest(CAST(v AS DOUBLE) / base - 1, 0) * 128, 255), 6) AS v FROM px JOIN m USING (y, x)", "px")
@@ -402,34 +402,64 @@ def _stage(name):
     return run
 
 
-@query()
+def disk_sql(r: int) -> str:
+    return f"(SELECT dy, dx FROM range(-{r}, {r + 1}) p(dy), range(-{r}, {r + 1}) q(dx) WHERE dy * dy + dx * dx <= {r * r})"
+
+
+def around_sql(name: str, source: str, r: int, agg: str) -> str:
+    """An aggregate of v over the in-image disk around each pixel of a source (z, y, x, v)."""
+    return f"{name} AS MATERIALIZED (SELECT a.z, a.y, a.x, {agg}(b.v) AS v FROM (SELECT z, y, x, y + dy AS ny, x + dx AS nx FROM {source}, {disk_sql(r)}) a JOIN {source} b ON b.z = a.z AND b.y = a.ny AND b.x = a.nx GROUP BY ALL)"
+
+
+def opened_sql(name: str, source: str) -> str:
+    return around_sql(f"{name}_e", source, 3, "min") + ", " + around_sql(name, f"{name}_e", 3, "max")
+
+
+def seeds_sql(n: int, candidates: str, reach: int) -> str:
+    """Rank, its average by wrapping indices in single precision, and the local maxima above 0.4; then the stamped mask."""
+    near = lambda source, r: f"(SELECT *, (ind - 1 + dx * 100 + dy + 6400) % 6400 + 1 AS ni FROM {source}, {disk_sql(r)})"
+    return f"""rank{n} AS MATERIALIZED (SELECT a.z, a.y, a.x, a.ind, CAST(sum(CASE WHEN a.v >= b.v THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rank
+      FROM (SELECT *, y + dy AS ny, x + dx AS nx FROM {candidates}, {disk_sql(10)}) a JOIN px b ON b.z = a.z AND b.y = a.ny AND b.x = a.nx GROUP BY a.z, a.y, a.x, a.ind),
+    mean{n} AS MATERIALIZED (SELECT a.z, a.y, a.x, a.ind, CAST(sum(b.rank) / 49 AS FLOAT) AS av FROM {near(f"rank{n}", 4)} a JOIN rank{n} b ON b.z = a.z AND b.ind = a.ni GROUP BY a.z, a.y, a.x, a.ind),
+    seed{n} AS MATERIALIZED (SELECT a.z, a.y, a.x, a.ind FROM {near(f"mean{n}", reach)} a JOIN mean{n} b ON b.z = a.z AND b.ind = a.ni GROUP BY a.z, a.y, a.x, a.ind, a.av HAVING max(b.av) <= a.av AND a.av > CAST(0.4 AS FLOAT)),
+    mask{n} AS MATERIALIZED (SELECT DISTINCT z, ind + dx * 100 + dy AS ind FROM seed{n}, {disk_sql(4)} WHERE ind + dx * 100 + dy BETWEEN 1 AND 6400)"""
+
+
+SEGMENTED = f"""{CONTRAST}, raised AS MATERIALIZED (SELECT p.z, p.y, p.x, CASE WHEN v - m > 5 THEN 1 ELSE 0 END AS v FROM px p LEFT JOIN o ON o.z = p.z AND gy = (p.y - 1) // 32 AND gx = (p.x - 1) // 32),
+    {opened_sql("clean", "raised")}, cand AS MATERIALIZED (SELECT px.z, px.y, px.x, px.ind, px.v FROM px JOIN clean ON clean.z = px.z AND clean.y = px.y AND clean.x = px.x WHERE clean.v > 0 AND px.v > 250),
+    {seeds_sql(1, "cand", 7)}, painted AS MATERIALIZED (SELECT px.z, y, x, CASE WHEN mask1.ind IS NULL THEN 0 ELSE 1 END AS v FROM px LEFT JOIN mask1 ON mask1.z = px.z AND mask1.ind = px.ind),
+    {around_sql("wide", "painted", 7, "max")}, outside AS MATERIALIZED (SELECT z, y, x, 1 - v AS v FROM wide), {opened_sql("free", "outside")},
+    remaining AS MATERIALIZED (SELECT cand.* FROM cand JOIN free ON free.z = cand.z AND free.y = cand.y AND free.x = cand.x WHERE free.v > 0), {seeds_sql(2, "remaining", 4)}"""
+
+
+@query(f"WITH {SEGMENTED} SELECT z, y, x FROM seed1", "px")
 def seeds_round1(spark, sf_dir):
     return _stage("seed1")(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {SEGMENTED} SELECT z, y, x FROM remaining", "px")
 def exclusion_mask(spark, sf_dir):
     return _stage("remaining")(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {SEGMENTED} SELECT z, y, x FROM seed2", "px")
 def seeds_round2(spark, sf_dir):
     return _stage("seed2")(spark, sf_dir)
 
 
 # Components of a fixed brightness mask, by least-index propagation in the twin.
 MASK = "v > 420"
-COMPONENTS = f"m AS MATERIALIZED (SELECT z, y, x, ind FROM px WHERE {MASK}), nb AS MATERIALIZED (SELECT a.z, a.ind AS a, b.ind AS b FROM m a JOIN m b ON a.z = b.z AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), reach AS (SELECT z, ind, ind AS root FROM m UNION SELECT nb.z, nb.b, reach.root FROM reach JOIN nb ON nb.z = reach.z AND nb.a = reach.ind), lab AS (SELECT z, ind, dense_rank() OVER (PARTITION BY z ORDER BY min(root)) AS label FROM reach GROUP BY z, ind)"
+LABELS = "nb AS MATERIALIZED (SELECT a.z, a.ind AS a, b.ind AS b FROM m a JOIN m b ON a.z = b.z AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), reach AS (SELECT z, ind, ind AS root FROM m UNION SELECT nb.z, nb.b, reach.root FROM reach JOIN nb ON nb.z = reach.z AND nb.a = reach.ind), lab AS (SELECT z, ind, dense_rank() OVER (PARTITION BY z ORDER BY min(root)) AS label FROM reach GROUP BY z, ind)"
+COMPONENTS = f"m AS MATERIALIZED (SELECT z, y, x, ind FROM px WHERE {MASK}), {LABELS}"
 
 
 def _labelled(spark, sf_dir):
-    return segment.components(A.px(spark, sf_dir).where(MASK))
+    return segment.components(A.px(spark, sf_dir).where(MASK), H, W)
 
 
 @query(f"WITH {COMPONENTS} SELECT z, ind, label FROM lab", "px")
 def components8(spark, sf_dir):
-    # The kernel's plane ends at the last mask pixel, so indices are taken anew.
-    return _labelled(spark, sf_dir).select("z", to_index(F.col("y"), F.col("x"), H).alias("ind"), "label")
+    return _labelled(spark, sf_dir).select("z", "ind", "label")
 
 
 @query(f"WITH {COMPONENTS} SELECT z, label, CAST(round(avg(y)) AS BIGINT) AS cy, CAST(round(avg(x)) AS BIGINT) AS cx, count(*) AS area, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max FROM lab JOIN px USING (z, ind) GROUP BY z, label", "px")
@@ -442,15 +472,23 @@ def cells_per_plane(spark, sf_dir):
     return _labelled(spark, sf_dir).groupBy("z").agg(F.max("label").alias("cells"))
 
 
-@query(f"WITH {COMPONENTS} SELECT z, ind, label % 10 AS colour FROM lab", "px")
+PALETTE = f"pal(colour, red, green, blue) AS (VALUES {', '.join(str((k, *c)) for k, c in enumerate(segment.COLOURS))})"
+
+
+@query(f"WITH {COMPONENTS}, {PALETTE} SELECT z, ind, label % 10 AS colour, red, green, blue FROM lab JOIN pal ON colour = label % 10", "px")
 def palette_label(spark, sf_dir):
-    return segment.palette(_labelled(spark, sf_dir)).select("z", to_index(F.col("y"), F.col("x"), H).alias("ind"), (F.col("label") % 10).alias("colour"))
+    return segment.palette(_labelled(spark, sf_dir)).select("z", to_index(F.col("y"), F.col("x"), H).alias("ind"), (F.col("label") % 10).alias("colour"), *(F.col(c).cast("int").alias(c) for c in ("red", "green", "blue")))
 
 
-@query()
+@query(
+    f"""WITH {SEGMENTED}, m AS MATERIALIZED (SELECT px.z, px.y, px.x, px.ind FROM px JOIN (SELECT * FROM mask1 UNION SELECT * FROM mask2) u ON u.z = px.z AND u.ind = px.ind), {LABELS},
+    c AS (SELECT z, label, CAST(round(avg(y)) AS BIGINT) AS cy, CAST(round(avg(x)) AS BIGINT) AS cx, count(*) AS area, list(ind ORDER BY ind) AS inds, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max FROM lab JOIN px USING (z, ind) GROUP BY z, label)
+    SELECT row_number() OVER (ORDER BY z, label) AS cell_id, z, cy, cx, area, list_aggregate(inds, 'string_agg', ' ') AS inds, y_min, y_max, x_min, x_max FROM c""",
+    "px",
+)
 def segment_cells(spark, sf_dir):
     cells = segment.region_properties(segment.labels(A.px(spark, sf_dir), SEGMENT))
-    return cells.select("cell_id", "z", "cy", "cx", "area", "y_min", "y_max", "x_min", "x_max")
+    return cells.select(F.col("cell_id").cast("long").alias("cell_id"), "z", "cy", "cx", "area", F.array_join(F.col("inds").cast("array<string>"), " ").alias("inds"), "y_min", "y_max", "x_min", "x_max")
 
 
 # Joins
@@ -566,77 +604,52 @@ def motion_z_histogram(spark, sf_dir):
     return _points(spark, sf_dir).groupBy("z", F.round("med_z").cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT z, t AS tp, ind AS g, CAST(v % 7 AS DOUBLE) AS dy, CAST(v % 5 AS DOUBLE) AS dx, CAST(v % 3 AS DOUBLE) AS dz FROM stk WHERE y % 10 = 0 AND x % 8 = 0) SELECT z, tp, (tp - 1) * 150 + 75 AS frame_center, round(avg(sqrt(dy * dy + dx * dx)), 6) AS xy_av, round(stddev_samp(sqrt(dy * dy + dx * dx)), 6) AS xy_sd, round(avg(dz), 6) AS z_av, round(stddev_samp(dz), 6) AS z_sd FROM s GROUP BY ALL", "stk")
-def motion_timecourse(spark, sf_dir):
-    s = A.stk(spark, sf_dir).where("y % 10 = 0 AND x % 8 = 0").select("z", F.col("t").alias("tp"), *((F.col("v") % m).cast("double").alias(n) for n, m in (("dy", 7), ("dx", 5), ("dz", 3))))
-    out = motion.timecourse(s, 150)
-    return out.select("z", "tp", F.col("frame_center").cast("long").alias("frame_center"), *(r6(c, c) for c in ("xy_av", "xy_sd", "z_av", "z_sd")))
-
-
-def _rolled(spark, sf_dir, column="z"):
-    """Copies of plane 1 that are moved round by (t, -2t) pixels, as frames t = 0..4."""
-    t = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")
-    one = A.px(spark, sf_dir).where("z = 1").select("y", "x", "v", t)
-    y, x = F.pmod(F.col("y") - 1 + F.col("s"), F.lit(H)) + 1, F.pmod(F.col("x") - 1 - 2 * F.col("s"), F.lit(W)) + 1
-    return one.select(F.lit(1).cast("long").alias("z"), (F.col("s") + 1).cast("long").alias("t"), y.cast("long").alias("y"), x.cast("long").alias("x"), "v")
+#: Every shift of every frame against the first one, by all pairs of pixels.
+REGISTER = "p AS (SELECT b.t, (a.y - b.y + 100) % 100 AS sy, (a.x - b.x + 64) % 64 AS sx, sum(a.v * b.v) AS c FROM stk a, stk b WHERE a.t = 1 GROUP BY ALL), best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY t ORDER BY c DESC, sx, sy) = 1)"
 
 
-@query("SELECT CAST(1 AS BIGINT) AS z, t + 1 AS t, -t AS dy, 2 * t AS dx FROM range(0, 5) r(t)")
+@query(f"WITH {REGISTER} SELECT CAST(1 AS BIGINT) AS z, t, CASE WHEN sy >= 50 THEN sy - 100 ELSE sy END AS dy, CASE WHEN sx >= 32 THEN sx - 64 ELSE sx END AS dx FROM best", "stk")
 def stack_register(spark, sf_dir):
-    return motion.register(_rolled(spark, sf_dir), 1, H, W)
-
-
-@query(f"WITH {GRID} SELECT CAST(1 AS BIGINT) AS z, grid_idx, k + 1 AS tp, CAST(k AS DOUBLE) AS dy, CAST(-2 * k AS DOUBLE) AS dx FROM gp, range(0, 3) r(k) WHERE grid_idx IN (38, 68)", "px")
-def xcorr_shift(spark, sf_dir):
-    frames = _bright_spots(spark)
-    points = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 68)").select(F.lit(1).cast("long").alias("z"), "grid_idx", "ind")
-    reference = frames.where("tp = 1").drop("tp")
-    out = motion.displacements(frames, reference, points, H, W, RADIUS, single_plane=True)
-    return out.select("z", "grid_idx", "tp", "dy", "dx")
-
-
-def _bright_spots(spark):
-    """Frames with one bright pixel in the middle of two patches that do not overlap, moved by (tp - 1) * (1, -2)."""
-    pixel = spark.range(1, H * W + 1).select(F.col("id").alias("ind"))
-    y, x = to_yx(F.col("ind"), H)
-    frames = pixel.select(y.alias("y"), x.alias("x"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("tp"))
-    spot = motion.grid(spark, H, W, RADIUS).where("grid_idx IN (38, 68)")
-    centres = [(r["ind"] - 1) for r in spot.collect()]
-    hit = F.lit(False)
-    for c in centres:
-        cy, cx = c % H + 1, c // H
-        hit = hit | ((F.col("y") == cy + (F.col("tp") - 1)) & (F.col("x") == cx - 2 * (F.col("tp") - 1)))
-    return frames.select(F.lit(1).cast("long").alias("z"), F.col("tp").cast("long").alias("tp"), "y", "x", F.when(hit, F.lit(1000.0)).otherwise(F.lit(0.0)).alias("v"))
-
-
-# The same operators over every plane, frame and grid point.  Those of motion have no twin: SQL is too slow for them.
-
-
-@query("SELECT z, y, x, CASE WHEN z <= 21 THEN 2 * z - 1 ELSE 2 * (42 - z) END AS slot FROM px", "px")
-def z_interleave_all(spark, sf_dir):
-    slot = F.when(F.col("z") <= 21, F.col("z") * 2 - 1).otherwise((F.lit(42) - F.col("z")) * 2)
-    return A.px(spark, sf_dir).select("z", "y", "x", slot.alias("slot"))
+    return motion.register(A.stk(spark, sf_dir), 1, H, W)
 
 
-@query()
-def stack_register_all(spark, sf_dir):
-    return motion.register(A.stk(spark, sf_dir), 1, H, W)
+#: Patches of all grid points in all frames, all their circular shifts, then the correlations with the planes around.
+XCORR = f"""{GRID}, pc AS MATERIALIZED (SELECT grid_idx, g.ind, c, r, g.ind + (c - 1) * 100 + r AS pixel FROM gp g, range(-5, 6) a(c), range(-5, 6) b(r)),
+    pt AS MATERIALIZED (SELECT grid_idx, pc.ind, t AS tp, c, r, pixel, v FROM pc JOIN stk ON stk.ind = pixel),
+    sh AS (SELECT b.grid_idx, b.ind, b.tp, (a.r - b.r + 16) % 11 - 5 AS sy, (a.c - b.c + 16) % 11 - 5 AS sx, sum(a.v * b.v) AS p FROM pt a JOIN pt b ON a.grid_idx = b.grid_idx WHERE a.tp = 1 GROUP BY ALL),
+    dd AS MATERIALIZED (SELECT grid_idx, ind, tp, CASE WHEN sy = 5 THEN 6 ELSE -sy END AS dy, -sx AS dx FROM sh QUALIFY row_number() OVER (PARTITION BY grid_idx, tp ORDER BY p DESC, sx, sy) = 1),
+    dr AS (SELECT pt.grid_idx, pt.tp, q.z - 1 AS s, corr(pt.v, q.v) AS r FROM pt JOIN dd ON dd.grid_idx = pt.grid_idx AND dd.tp = pt.tp JOIN px q ON q.z <= 3 AND q.ind = pt.pixel - dx * 100 - dy GROUP BY ALL HAVING count(*) = 121),
+    dz AS (SELECT grid_idx, tp, s FROM dr WHERE NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY grid_idx, tp ORDER BY r DESC, s) = 1),
+    xc AS MATERIALIZED (SELECT CAST(1 AS BIGINT) AS z, dd.grid_idx, dd.ind, dd.tp, CAST(dy AS DOUBLE) AS dy, CAST(dx AS DOUBLE) AS dx, CAST(coalesce(s, 0) AS DOUBLE) AS dz FROM dd LEFT JOIN dz ON dz.grid_idx = dd.grid_idx AND dz.tp = dd.tp)"""
 
 
-@query()
-def xcorr_shift_all(spark, sf_dir):
+@query(f"WITH {XCORR} SELECT * FROM xc", "px", "stk")
+def xcorr_shift(spark, sf_dir):
     """Frames of stk against its first one; the planes of px are the references of the search in z."""
     frames = A.stk(spark, sf_dir).select("z", F.col("t").alias("tp"), "y", "x", "v")
     points = motion.grid(spark, H, W, RADIUS).select(F.lit(1).cast("long").alias("z"), "grid_idx", "ind")
     return motion.displacements(frames, A.px(spark, sf_dir).select("z", "y", "x", "v"), points, H, W, RADIUS)
 
 
-@query()
-def motion_timecourse_all(spark, sf_dir):
-    out = motion.timecourse(xcorr_shift_all(spark, sf_dir), 150)
+@query(f"WITH {XCORR} SELECT z, tp, (tp - 1) * 150 + 75 AS frame_center, round(avg(sqrt(dy * dy + dx * dx)), 6) AS xy_av, round(stddev_samp(sqrt(dy * dy + dx * dx)), 6) AS xy_sd, round(avg(dz), 6) AS z_av, round(stddev_samp(dz), 6) AS z_sd FROM xc GROUP BY ALL", "px", "stk")
+def motion_timecourse(spark, sf_dir):
+    out = motion.timecourse(xcorr_shift(spark, sf_dir), 150)
     return out.select("z", "tp", F.col("frame_center").cast("long").alias("frame_center"), *(r6(c, c) for c in ("xy_av", "xy_sd", "z_av", "z_sd")))
 
 
+@query(
+    f"""WITH {XCORR}, tl AS (SELECT grid_idx, ind, regr_slope(dy, tp) * (max(tp) - 1) AS y, regr_slope(dx, tp) * (max(tp) - 1) AS x, regr_slope(dz, tp) * (max(tp) - 1) AS z FROM xc GROUP BY ALL),
+    md AS (SELECT a.grid_idx, median(b.y) AS y, median(b.x) AS x, median(b.z) AS z FROM tl a, range(-1, 2) p(u), range(-1, 2) q(w), tl b WHERE b.grid_idx = a.grid_idx + u + w * 15 GROUP BY ALL)
+    SELECT CAST(1 AS BIGINT) AS z, grid_idx, tl.ind, round(tl.y, 6) AS tilt_y, round(tl.x, 6) AS tilt_x, round(tl.z, 6) AS tilt_z, round(md.y, 6) AS med_y, round(md.x, 6) AS med_x, round(md.z, 6) AS med_z FROM tl JOIN md USING (grid_idx)""",
+    "px",
+    "stk",
+)
+def motion_points(spark, sf_dir):
+    """Displacements, their tilts and the medians around, over all grid points."""
+    found = motion.median_tilts(motion.tilts(xcorr_shift(spark, sf_dir)), 15)
+    return found.select("z", "grid_idx", "ind", *(r6(c, c) for c in ("tilt_y", "tilt_x", "tilt_z", "med_y", "med_x", "med_z")))
+
+
 @query("SELECT z, y, x FROM px WHERE v > 350 AND NOT (v % 3 = 0)", "px")
 def setdiff_keep(spark, sf_dir):
     p = A.px(spark, sf_dir).where("v > 350")

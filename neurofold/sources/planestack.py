@@ -1,19 +1,27 @@
 """Raw stacks: headerless little-endian uint16 frames or float32 matrices, column-major.
 
 Readers seek to frame ranges, one input partition a block of frames, so a stack is never
-loaded whole; a filter on ``t`` becomes a smaller set of partitions.  Local and mounted
-paths are read with seeks, others through the file system that pyarrow finds for them.
+loaded whole; filters on ``z`` and ``t0`` leave out whole blocks, whose bounds stay those
+of the unfiltered table, and Spark applies them to the rest.  Local and mounted paths are
+read with seeks, others through the file system that pyarrow finds for them.
+
+Writers put every partition's frames into a file of its own and only the driver's commit
+renames those into place, so a task that runs twice leaves nothing behind.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import shutil
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 FRAMES = "z int, t0 int, n int, h int, w int, px binary"
 TRACES = "cell_id bigint, trace array<float>"
@@ -37,6 +45,20 @@ def size_of(path: str) -> int:
     return os.path.getsize(local(path))
 
 
+def stacks(path: str) -> list[tuple[int, str]]:
+    """(z, file) of a stack file, or of all PlaneNN.stack of a directory on any store, by name."""
+    if "://" in path and not path.startswith("file:"):
+        fs, at = pa.fs.FileSystem.from_uri(path)
+        root = path[: len(path) - len(at.lstrip("/"))] if path.endswith(at.lstrip("/")) else ""
+        inside = fs.get_file_info(pa.fs.FileSelector(at)) if fs.get_file_info(at).type == pa.fs.FileType.Directory else None
+        names = None if inside is None else {f.base_name: root + f.path.lstrip("/") for f in inside}
+    else:
+        names = {n: os.path.join(local(path), n) for n in os.listdir(local(path))} if os.path.isdir(local(path)) else None
+    if names is None:
+        return [(int((re.search(r"(\d+)\.stack$", path) or [0, 1])[1]), path)]
+    return [(int(re.search(r"\d+", n)[0]), names[n]) for n in sorted(names) if re.fullmatch(r"Plane\d+\.stack", n)]
+
+
 def frame_count(path: str, h: int, w: int) -> int:
     """Whole frames in a stack file."""
     return size_of(path) // (2 * h * w)
@@ -51,33 +73,31 @@ class StackReader(DataSourceReader):
     """Options: path (one PlaneNN.stack or a directory of them), h, w, block (frames), t0 and t1 (1-based, inclusive)."""
 
     def __init__(self, options):
-        self.path, self.h, self.w = local(options["path"]), int(options["h"]), int(options["w"])
+        self.path, self.h, self.w = options["path"], int(options["h"]), int(options["w"])
         self.block = int(options.get("block", 32))
         self.t0, self.t1 = int(options.get("t0", 1)), int(options.get("t1", 1 << 60))
+        self.kept = []
 
     def pushFilters(self, filters):
+        """Remembers comparisons of z and t0, by which whole blocks are left out; Spark keeps all filters."""
+        tests = {EqualTo: int.__eq__, GreaterThan: int.__gt__, GreaterThanOrEqual: int.__ge__, LessThan: int.__lt__, LessThanOrEqual: int.__le__}
         for f in filters:
-            if isinstance(f, (GreaterThanOrEqual, GreaterThan)) and f.attribute == ("t0",):
-                self.t0 = max(self.t0, f.value + isinstance(f, GreaterThan))
-            elif isinstance(f, (LessThanOrEqual, LessThan)) and f.attribute == ("t0",):
-                self.t1 = min(self.t1, f.value - isinstance(f, LessThan))
+            if type(f) in tests and f.attribute in (("z",), ("t0",)) and isinstance(f.value, int):
+                self.kept.append((f.attribute[0], tests[type(f)], f.value))
             yield f
 
     def partitions(self):
-        import re
-
-        if os.path.isdir(self.path):
-            names = sorted(n for n in os.listdir(self.path) if re.fullmatch(r"Plane\d+\.stack", n))
-            planes = [(int(re.search(r"\d+", n)[0]), os.path.join(self.path, n)) for n in names]
-        else:
-            planes = [(int((re.search(r"(\d+)\.stack$", self.path) or [0, 1])[1]), self.path)]
         out = []
-        for z, path in planes:
+        for z, path in stacks(self.path):
             last = min(self.t1, frame_count(path, self.h, self.w))
-            out += [Block(path, z, t, min(t + self.block, last + 1)) for t in range(max(self.t0, 1), last + 1, self.block)]
+            for t in range(max(self.t0, 1), last + 1, self.block):
+                if all(test(z if column == "z" else t, value) for column, test, value in self.kept):
+                    out.append(Block(path, z, t, min(t + self.block, last + 1)))
         return out
 
     def read(self, part):
+        if part is None:  # Spark's stand-in where there are no partitions
+            return
         size = 2 * self.h * self.w
         with open_file(part.path) as f:
             f.seek((part.first - 1) * size)
@@ -86,30 +106,62 @@ class StackReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([*cols, pa.array([px], pa.binary())], ["z", "t0", "n", "h", "w", "px"])
 
 
-class Message(WriterCommitMessage):
-    pass
+class Written(WriterCommitMessage):
+    """Files that a task has written, each with where it belongs."""
 
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
 
-class StackWriter(DataSourceArrowWriter):
-    """Writes frame blocks to PlaneNN.stack; a plane's blocks must be in one task, in order (see ``write``)."""
+
+class Committed(DataSourceArrowWriter):
+    """Tasks write files below a folder of this job; the driver moves those of successful tasks into place."""
 
     def __init__(self, options, overwrite: bool):
         self.path, self.overwrite = local(options["path"]), overwrite
-        os.makedirs(self.path, exist_ok=True)
+        self.staging = os.path.join(self.path, f"_job-{uuid.uuid4().hex}")
+        os.makedirs(self.staging, exist_ok=True)
+
+    def place(self, files: list[tuple[str, str]]) -> None:
+        raise NotImplementedError
+
+    def commit(self, messages):
+        self.place([f for m in messages if m is not None for f in m.files])
+        shutil.rmtree(self.staging)
+
+    def abort(self, messages):
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+
+class StackWriter(Committed):
+    """Writes frame blocks to PlaneNN.stack; a plane's blocks must be in one task, in order (see ``write``)."""
 
     def write(self, batches):
         opened = {}
         try:
             for batch in batches:
                 for row in batch.to_pylist():
-                    name = os.path.join(self.path, f"Plane{row['z']:02d}.stack")
+                    name = f"Plane{row['z']:02d}.stack"
                     if name not in opened:
-                        opened[name] = open(name, "wb" if self.overwrite else "ab")
+                        opened[name] = open(os.path.join(self.staging, f"{name}-{uuid.uuid4().hex}"), "wb")
                     opened[name].write(row["px"])
         finally:
             for f in opened.values():
                 f.close()
-        return Message()
+        return Written([(f.name, name) for name, f in opened.items()])
+
+    def place(self, files):
+        for file, name in files:
+            target = os.path.join(self.path, name)
+            if self.overwrite or not os.path.exists(target):
+                os.replace(file, target)
+            else:
+                # The longer stack is made beside the old one and takes its place at once.
+                longer = f"{file}-longer"
+                with open(longer, "wb") as out:
+                    for part in (target, file):
+                        with open(part, "rb") as f:
+                            shutil.copyfileobj(f, out, 16 << 20)
+                os.replace(longer, target)
 
 
 class PlaneStack(DataSource):
@@ -134,15 +186,25 @@ class FloatReader(DataSourceReader):
         self.path, self.n, self.block = options["path"], int(options["n_cells"]), int(options.get("block", 256))
 
     def partitions(self):
-        times = size_of(self.path) // (4 * self.n)
-        return [Block(self.path, 0, t, min(t + self.block, times)) for t in range(0, times, self.block)]
+        """Runs of times of a matrix file, or of the part files of a folder one after another (z: times before the file)."""
+        where = local(self.path)
+        folder = "://" not in where and os.path.isdir(where)
+        paths = [os.path.join(where, n) for n in sorted(os.listdir(where)) if re.fullmatch(r"part-\d+\.stackf", n)] if folder else [self.path]
+        out, before = [], 0
+        for path in paths:
+            times = size_of(path) // (4 * self.n)
+            out += [Block(path, before, t, min(t + self.block, times)) for t in range(0, times, self.block)]
+            before += times
+        return out
 
     def read(self, part):
+        if part is None:
+            return
         with open_file(part.path) as f:
             f.seek(4 * self.n * part.first)
             x = np.frombuffer(f.read(4 * self.n * (part.last - part.first)), "<f4").reshape(-1, self.n)
         ids = np.tile(np.arange(1, self.n + 1), len(x))
-        t = np.repeat(np.arange(part.first, part.last) + 1, self.n)
+        t = np.repeat(part.z + np.arange(part.first, part.last) + 1, self.n)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(t), pa.array(x.ravel())], ["cell_id", "t", "f"])
 
 
@@ -157,9 +219,12 @@ class StackF(DataSource):
     def reader(self, schema):
         return FloatReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return FloatWriter(self.options, overwrite)
+
 
 def read(spark: SparkSession, path: str, h: int, w: int, **options) -> DataFrame:
-    """Frame blocks (z, t0, n, h, w, px).  Switches on Spark's filter pushdown to Python sources, by which planes and frames are pruned."""
+    """Frame blocks (z, t0, n, h, w, px).  Switches on Spark's filter pushdown to Python sources, which this source needs to prune blocks."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PlaneStack)
     return spark.read.format("planestack").options(h=h, w=w, **options).load(path)
@@ -186,29 +251,8 @@ def voxels(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "z bigint, t bigint, y bigint, x bigint, ind bigint, v bigint")
 
 
-def roi_means(blocks: DataFrame, cells: list[tuple[int, int, list[int]]]) -> DataFrame:
-    """(cell_id, t, f): mean of each cell's pixels in every frame, straight from blocks; cells: (cell_id, z, inds).
-
-    The pixel lists of one dataset's cells (bounded by the pixels of its planes) go out with the code; no pixel is shuffled.
-    """
-    by_plane: dict[int, list] = {}
-    for i, z, inds in cells:
-        by_plane.setdefault(z, []).append((i, np.asarray(inds) - 1))
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = by_plane.get(row["z"], [])
-                x = np.frombuffer(row["px"], "<u2").reshape(row["n"], row["h"] * row["w"])
-                f = np.stack([x[:, inds].mean(1) for _, inds in own], 1).astype(np.float32) if own else np.zeros((row["n"], 0), np.float32)
-                t = row["t0"] + np.repeat(np.arange(row["n"]), len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile([i for i, _ in own], row["n"]).astype(np.int64)), pa.array(t.astype(np.int64)), pa.array(f.ravel())], ["cell_id", "t", "f"])
-
-    return blocks.mapInArrow(run, "cell_id bigint, t bigint, f float")
-
-
 def cell_means(blocks: DataFrame, cells: DataFrame) -> DataFrame:
-    """(cell_id, t, f) as roi_means, for cells as a table (cell_id, z, inds): each block meets the cells of its plane in a join."""
+    """(cell_id, t, f): mean of each cell's pixels in every frame, straight from blocks; cells: (cell_id, z, inds), joined to the blocks of their plane."""
     by_plane = cells.groupBy("z").agg(F.collect_list(F.struct(F.col("cell_id").cast("long").alias("cell_id"), F.col("inds").cast("array<int>").alias("inds"))).alias("cells"))
 
     def run(batches):
@@ -237,19 +281,34 @@ def write(blocks: DataFrame, path: str, append: bool = False) -> None:
     ordered.write.format("planestack").mode("append" if append else "overwrite").save(path)
 
 
+class FloatWriter(Committed):
+    """Writes (cell_id, t, f) as files of a run of times each, cells fastest; a task's rows must be in order (see ``write_float``)."""
+
+    def write(self, batches):
+        file, first = os.path.join(self.staging, uuid.uuid4().hex), None
+        with open(file, "wb") as f:
+            for batch in batches:
+                if batch.num_rows:
+                    first = batch.column("t")[0].as_py() if first is None else first
+                    f.write(batch.column("f").to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+        return Written([] if first is None else [(file, f"part-{first:012d}.stackf")])
+
+    def place(self, files):
+        for old in os.listdir(self.path) if self.overwrite else []:
+            if re.fullmatch(r"part-\d+\.stackf", old):
+                os.remove(os.path.join(self.path, old))
+        for file, name in files:
+            os.replace(file, os.path.join(self.path, name))
+
+
 def write_float(points: DataFrame, path: str) -> None:
     """(cell_id, t, f) as float32 files of a run of times each, cells fastest; names sort in time order."""
-    folder = local(path)
-    os.makedirs(folder, exist_ok=True)
+    points.sparkSession.dataSource.register(StackF)
+    dealt = points.select("cell_id", F.col("t").cast("long").alias("t"), F.col("f").cast("float").alias("f")).repartitionByRange("t").sortWithinPartitions("t", "cell_id")
+    dealt.write.format("stackf").mode("overwrite").save(path)
 
-    def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if tables:
-            t = pa.concat_tables(tables)
-            name = f"part-{t.column('t')[0].as_py():012d}.stackf"
-            with open(os.path.join(folder, name), "wb") as f:
-                f.write(t.column("f").to_numpy().astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
-
-    dealt = points.select("cell_id", "t", F.col("f").cast("float").alias("f")).repartitionByRange("t").sortWithinPartitions("t", "cell_id")
-    dealt.mapInArrow(run, "file string").count()
+
+def read_float_parts(spark: SparkSession, path: str, n_cells: int) -> DataFrame:
+    """(cell_id, t, f) of a folder that ``write_float`` has written."""
+    spark.dataSource.register(StackF)
+    return spark.read.format("stackf").options(n_cells=n_cells).load(path)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .sidecar import leica_order
@@ -43,30 +45,32 @@ def decode(content: bytes) -> list[np.ndarray]:
     return out
 
 
+def directory(image: np.ndarray, at: int, last: bool) -> bytes:
+    """A page as it stands from byte ``at`` of a file on: its tags, then its one strip; the next page follows unless it is the last."""
+    rgb = image.ndim == 3
+    h, w = image.shape[:2]
+    bits = image.dtype.itemsize * 8
+    tags = [(WIDTH, 4, w), (HEIGHT, 4, h), (BITS, 3, bits), (COMPRESSION, 3, 1), (PHOTOMETRIC, 3, 2 if rgb else 1), (OFFSETS, 4, 0), (SAMPLES, 3, 3 if rgb else 1), (ROWS, 4, h), (COUNTS, 4, image.nbytes), (PLANAR, 3, 1)]
+    end = at + 2 + 12 * len(tags) + 4
+    body = end + (6 if rgb else 0)
+    after = body + image.nbytes + image.nbytes % 2
+    out = bytearray(struct.pack("<H", len(tags)))
+    for tag, kind, value in tags:
+        if tag == BITS and rgb:
+            out += struct.pack("<HHII", tag, kind, 3, end)
+        else:
+            out += struct.pack("<HHII", tag, kind, 1, body if tag == OFFSETS else value)
+    out += struct.pack("<I", 0 if last else after)
+    out += struct.pack("<3H", bits, bits, bits) if rgb else b""
+    return bytes(out) + np.ascontiguousarray(image).tobytes() + b"\x00" * (image.nbytes % 2)
+
+
 def encode(pages: list[np.ndarray]) -> bytes:
     """Little-endian file with one strip a page."""
-    out = bytearray(b"II*\x00" + struct.pack("<I", 8))
+    out = b"II*\x00" + struct.pack("<I", 8)
     for k, image in enumerate(pages):
-        rgb = image.ndim == 3
-        h, w = image.shape[:2]
-        bits = image.dtype.itemsize * 8
-        tags = [(WIDTH, 4, w), (HEIGHT, 4, h), (BITS, 3, bits), (COMPRESSION, 3, 1), (PHOTOMETRIC, 3, 2 if rgb else 1), (OFFSETS, 4, 0), (SAMPLES, 3, 3 if rgb else 1), (ROWS, 4, h), (COUNTS, 4, image.nbytes), (PLANAR, 3, 1)]
-        at = len(out)
-        end = at + 2 + 12 * len(tags) + 4
-        body = end + (6 if rgb else 0)
-        out += struct.pack("<H", len(tags))
-        for tag, kind, value in tags:
-            if tag == BITS and rgb:
-                out += struct.pack("<HHII", tag, kind, 3, end)
-            else:
-                out += struct.pack("<HHII", tag, kind, 1, body if tag == OFFSETS else value)
-        after = body + image.nbytes
-        after += after % 2
-        out += struct.pack("<I", after if k + 1 < len(pages) else 0)
-        out += struct.pack("<3H", bits, bits, bits) if rgb else b""
-        out += np.ascontiguousarray(image).tobytes()
-        out += b"\x00" * (after - len(out))
-    return bytes(out)
+        out += directory(image, len(out), k + 1 == len(pages))
+    return out
 
 
 def read(spark: SparkSession, path: str, include: str = ".*", indices: list[int] | None = None, leica: bool = False) -> DataFrame:
@@ -75,8 +79,6 @@ def read(spark: SparkSession, path: str, include: str = ".*", indices: list[int]
     files = spark.read.format("binaryFile").load(path).where(name.rlike(r"(?i)\.tiff?$") & name.rlike(f"(?i){include}"))
     key = leica_order(name) if leica else name
     if indices:
-        from pyspark.sql import Window
-
         files = files.withColumn("k", F.row_number().over(Window.orderBy(key))).where(F.col("k").isin(indices)).drop("k")
 
     def run(batches):
@@ -103,27 +105,54 @@ def pixels(images: DataFrame) -> DataFrame:
 
 
 def write(pixel_rows: DataFrame, path: str, bits: int = 16, scale: bool = False) -> None:
-    """(z, y, x, v) as one multi-page file; 8-bit output takes floor(255 v), by the largest value if ``scale``.
-
-    Planes are encoded in parallel; the file itself is written by one task, page after page.
-    """
+    """(z, y, x, v) as one multi-page file; 8-bit output takes floor(255 v), by the largest value if ``scale``."""
     top = pixel_rows.agg(F.max("v")).first()[0] or 1
+    value = F.least(F.greatest(F.floor(F.lit(255.0) * F.col("v") / (top if scale else 1)), F.lit(0)), F.lit(255)) if bits == 8 else F.col("v")
+    _save(pixel_rows.select("z", "y", "x", value.cast("long").alias("v")), ["v"], path, bits)
 
-    def page(table: pa.Table) -> pa.Table:
-        z, y, x, v = (table.column(c).to_numpy() for c in ("z", "y", "x", "v"))
-        image = np.zeros((int(y.max()), int(x.max())), f"<u{bits // 8}")
-        image[y - 1, x - 1] = np.clip(np.floor(255.0 * v / (top if scale else 1)), 0, 255) if bits == 8 else v
-        return pa.table({"z": pa.array(z[:1]), "h": pa.array([image.shape[0]]), "w": pa.array([image.shape[1]]), "px": pa.array([image.tobytes()], pa.binary())})
 
-    pages = pixel_rows.select("z", "y", "x", "v").groupBy("z").applyInArrow(page, "z bigint, h bigint, w bigint, px binary")
-    target = path.removeprefix("file://").removeprefix("file:")
+def write_colour(pixel_rows: DataFrame, path: str) -> None:
+    """(z, y, x, red, green, blue) as one multi-page file of 8-bit colours."""
+    _save(pixel_rows, ["red", "green", "blue"], path, 8)
+
 
-    def save(batches):
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["z"])
-        if rows:
-            os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-            with open(target, "wb") as f:
-                f.write(encode([np.frombuffer(r["px"], f"<u{bits // 8}").reshape(r["h"], r["w"]) for r in rows]))
-            yield pa.RecordBatch.from_arrays([pa.array([target])], ["file"])
+def _save(pixel_rows: DataFrame, samples: list[str], path: str, bits: int) -> None:
+    """Pages are encoded in parallel, each to a file of its own, and joined by name to one multi-page file.
 
-    pages.repartition(1).mapInArrow(save, "file string").count()
+    Offsets of a baseline file are 32 bits wide: from 4 GB on an error says so.  Planes are checked before anything is written.
+    """
+    sizes = pixel_rows.groupBy("z").agg(F.max("y").alias("h"), F.max("x").alias("w"))
+    # A page's place follows from the sizes of those before it: one row a page.
+    body = F.col("h") * F.col("w") * len(samples) * (bits // 8)
+    length = body + F.pmod(body, F.lit(2)) + 2 + 12 * 10 + 4 + (6 if len(samples) == 3 else 0)
+    order = Window.orderBy("z")
+    pages = sizes.select("z", "h", "w", length.alias("length"), (F.lit(8) + F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("at"), F.lead("z").over(order).isNull().alias("last"))
+    total = pages.agg(F.sum("length")).first()[0] or 0
+    if total >= 1 << 32:
+        raise ValueError(f"{path}: {total} bytes do not fit a baseline TIFF; write planes to several files")
+    target = path.removeprefix("file://").removeprefix("file:")
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    staging = f"{target}-{uuid.uuid4().hex}"
+    os.makedirs(staging)
+
+    def page(pixel: pa.Table, place: pa.Table) -> pa.Table:
+        h, w, at, last = (place.column(c)[0].as_py() for c in ("h", "w", "at", "last"))
+        y, x = pixel.column("y").to_numpy(), pixel.column("x").to_numpy()
+        image = np.zeros((h, w, len(samples)), f"<u{bits // 8}")
+        for k, name in enumerate(samples):
+            image[y - 1, x - 1, k] = pixel.column(name).to_numpy()
+        written = os.path.join(staging, f"{at:012d}-{uuid.uuid4().hex}")
+        with open(written, "wb") as f:
+            f.write(directory(image if len(samples) > 1 else image[:, :, 0], at, last))
+        return pa.table({"at": pa.array([at], pa.int64()), "file": pa.array([written])})
+
+    dealt = pixel_rows.select(F.col("z").alias("page_z"), "y", "x", *samples).groupBy("page_z").cogroup(pages.groupBy("z"))
+    written = sorted(map(tuple, dealt.applyInArrow(page, "at bigint, file string").collect()))
+    joined = os.path.join(staging, "joined")
+    with open(joined, "wb") as out:
+        out.write(b"II*\x00" + struct.pack("<I", 8 if written else 0))
+        for _, name in written:
+            with open(name, "rb") as f:
+                shutil.copyfileobj(f, out, 16 << 20)
+    os.replace(joined, target)
+    shutil.rmtree(staging)

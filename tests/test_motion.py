@@ -88,8 +88,8 @@ def test_queries_run_over_all_of_stk(spark):
     points = [(1, r["grid_idx"], r["ind"]) for r in motion.grid(spark, A.HEIGHT, A.WIDTH, Q.RADIUS).collect()]
     expected = brute_displacements({(1, t): v for t, v in images.items()}, images, points, Q.RADIUS)
     assert len(expected) == 120 * len(images)
-    assert found(Q.QUERIES["xcorr_shift_all"](spark, SMALL)) == expected
-    course = {r["tp"]: r for r in Q.QUERIES["motion_timecourse_all"](spark, SMALL).collect()}
+    assert found(Q.QUERIES["xcorr_shift"](spark, SMALL)) == expected
+    course = {r["tp"]: r for r in Q.QUERIES["motion_timecourse"](spark, SMALL).collect()}
     assert sorted(course) == sorted(images)
     for t, r in course.items():
         own = [e for e in expected if e[3] == t]
@@ -99,7 +99,7 @@ def test_queries_run_over_all_of_stk(spark):
 
 def test_register_over_all_of_stk(spark):
     images = stk()
-    got = {r["t"]: (r["dy"], r["dx"]) for r in Q.QUERIES["stack_register_all"](spark, SMALL).collect()}
+    got = {r["t"]: (r["dy"], r["dx"]) for r in Q.QUERIES["stack_register"](spark, SMALL).collect()}
     assert sorted(got) == sorted(images)
     for t, image in images.items():
         power = {(dy, dx): (np.roll(image, (dy, dx), (0, 1)) * images[1]).sum() for dy in range(-49, 51) for dx in range(-31, 33)}
@@ -107,11 +107,11 @@ def test_register_over_all_of_stk(spark):
 
 
 def test_z_interleave_takes_every_column(spark):
-    assert Q.QUERIES["z_interleave_all"](spark, SMALL).select("x").distinct().count() == A.WIDTH
+    assert Q.QUERIES["z_interleave"](spark, SMALL).select("x").distinct().count() == A.WIDTH
 
 
 def test_displacement_groups_hold_one_patch(spark):
     """The groups of Python are a patch at a timepoint, not a plane."""
-    plan = Q.QUERIES["xcorr_shift_all"](spark, SMALL)._jdf.queryExecution().toString()
+    plan = Q.QUERIES["xcorr_shift"](spark, SMALL)._jdf.queryExecution().toString()
     groups = [x.split("]")[0] for x in plan.split("FlatMapGroupsInArrow [")[1:]]
     assert groups and all("grid_idx" in g and "tp" in g for g in groups), groups

@@ -33,12 +33,6 @@ def test_one_frame_is_clamped(spark, stack):
     assert sorted(r["v"] for r in last) == sorted(frames[-1].ravel().tolist())
 
 
-def test_roi_means(spark, stack):
-    path, frames = stack
-    rows = planestack.roi_means(planestack.read(spark, str(path), H, W), [(1, 1, [1, 2, H + 1])]).orderBy("t").collect()
-    assert [r["f"] for r in rows] == pytest.approx([frames[t].ravel()[[0, 1, H]].mean() for t in range(T)])
-
-
 def test_cell_means_joins_the_cells_as_a_table(spark, stack):
     path, frames = stack
     cells = spark.createDataFrame([(1, 1, [1, 2, H + 1]), (4, 1, [H * W]), (9, 2, [3])], "cell_id long, z int, inds array<int>")
@@ -53,6 +47,44 @@ def test_plane_stack_is_written_as_it_was_read(spark, stack, tmp_path):
     assert [r["v"] for r in again] == frames.ravel().tolist()
 
 
+def test_filters_leave_out_whole_blocks(spark, tmp_path):
+    """Pushed filters give the rows that Spark's own filter gives, and fewer partitions."""
+    for z in (1, 2):
+        (tmp_path / f"Plane{z:02d}.stack").write_bytes((np.arange(64 * H * W) * z).astype("<u2").tobytes())
+    blocks = planestack.read(spark, str(tmp_path), H, W)
+    every = [(r["z"], r["t0"], r["n"]) for r in blocks.collect()]
+    assert sorted(every) == [(1, 1, 32), (1, 33, 32), (2, 1, 32), (2, 33, 32)]
+    tests = {"t0 <= 40": lambda z, t: t <= 40, "t0 >= 10": lambda z, t: t >= 10, "t0 > 33": lambda z, t: t > 33, "z = 2": lambda z, t: z == 2, "z = 1 and t0 < 33": lambda z, t: z == 1 and t < 33, "z > 5": lambda z, t: z > 5}
+    for text, keep in tests.items():
+        got = blocks.where(text)
+        expected = sorted(e for e in every if keep(*e[:2]))
+        assert sorted((r["z"], r["t0"], r["n"]) for r in got.collect()) == expected, text
+        assert got.rdd.getNumPartitions() == max(1, len(expected)), text
+
+
+def test_append_and_overwrite(spark, stack, tmp_path):
+    path, frames = stack
+    blocks, copy = planestack.read(spark, str(path), H, W), tmp_path / "grown"
+    planestack.write(blocks, str(copy))
+    planestack.write(blocks, str(copy), append=True)
+    assert (copy / "Plane01.stack").read_bytes() == frames.tobytes() * 2
+    planestack.write(blocks, str(copy))
+    assert (copy / "Plane01.stack").read_bytes() == frames.tobytes() and sorted(p.name for p in copy.iterdir()) == ["Plane01.stack"]
+
+
+def test_float_stack(spark, tmp_path):
+    """A matrix file and a folder of parts, read and written."""
+    matrix = np.arange(700 * 3, dtype="<f4")
+    (tmp_path / "m.stackf").write_bytes(matrix.tobytes())
+    points = planestack.read_float(spark, str(tmp_path / "m.stackf"), 3)
+    assert {(r["cell_id"], r["t"]): r["f"] for r in points.collect()} == {(k % 3 + 1, k // 3 + 1): float(v) for k, v in enumerate(matrix)}
+    for _ in range(2):
+        planestack.write_float(points, str(tmp_path / "out"))
+        assert b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*.stackf"))) == matrix.tobytes()
+    again = planestack.read_float_parts(spark, str(tmp_path / "out"), 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, points.collect()))
+
+
 def test_tiff_round_trip(spark, tmp_path):
     pages = [np.arange(12, dtype=np.uint16).reshape(3, 4) * k for k in (1, 100)]
     (tmp_path / "a.tif").write_bytes(tiff.encode(pages))
