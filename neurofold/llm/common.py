@@ -40,9 +40,11 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share.  Only a local session, whose tasks run on this machine, may go without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,8 +67,8 @@ def part_count(size: int, part_bytes: int = PART_BYTES, least: int = LEAST_PARTS
     return max(least, math.ceil(size / part_bytes))
 
 
-def part_of(key: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+def part_of(key: list[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
 
 
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +192,8 @@ def expand(blob: bytes) -> np.ndarray:
 
 def ranges_of(keys: np.ndarray, count: int) -> np.ndarray:
     """Where each of ``count`` equal ranges of the 64-bit keys begins among sorted keys (one more entry at the end)."""
-    cuts = np.array([min((i << 64) // count, (1 << 64) - 1) for i in range(count)], np.uint64)
-    return np.append(np.searchsorted(keys, cuts, "left"), len(keys))
+    width = np.uint64(((1 << 64) - 1) // count)
+    return np.append(np.searchsorted(keys, np.arange(count, dtype=np.uint64) * width, "left"), len(keys))
 
 
 ASK = "range int, part int, keys binary, counts array<binary>"
@@ -201,7 +203,7 @@ TOLD = "part int, range int, counts array<binary>"
 def ask(part: int, keys: np.ndarray, counts: list[np.ndarray], ranges: int) -> pa.Table:
     """Rows that send a part's sorted distinct keys with counts (of one or several kinds) to their ranges."""
     at = ranges_of(keys, ranges)
-    full = [r for r in range(ranges) if at[r + 1] > at[r]]
+    full = np.flatnonzero(np.diff(at)).tolist()
     return pa.table(
         {
             "range": pa.array(full, pa.int32()),
@@ -277,8 +279,8 @@ def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, told: int
 PARCEL = "part int, parcel binary"
 
 
-def parcels(docs: DataFrame, parts: int, key: str = "doc_id") -> DataFrame:
-    """Deals rows into parts by a hash of ``key``, as compressed Arrow batches, so that a text crosses the network once and small.
+def parcels(docs: DataFrame, parts: int) -> DataFrame:
+    """Deals rows into parts by a hash of doc_id and text, as compressed Arrow batches, so that a text crosses the network once and small.
 
     A part is fixed by the row alone, so a task that is run again deals the same rows to the same parts.
     """
@@ -301,7 +303,8 @@ def parcels(docs: DataFrame, parts: int, key: str = "doc_id") -> DataFrame:
                 blobs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "parcel"])
 
-    return docs.withColumn("__part", part_of(F.col(key), parts)).mapInArrow(deal, PARCEL)
+    # Rows of one doc_id, or of none, are told apart by their texts.
+    return docs.withColumn("__part", part_of(["doc_id", "text"], parts)).mapInArrow(deal, PARCEL)
 
 
 def unparcel(table: pa.Table) -> pa.Table:

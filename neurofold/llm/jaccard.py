@@ -14,9 +14,13 @@ components, and under each shingle leaves out its largest component's own member
 Parity sketches of the sets bound what a pair can share (suffix filter), inside the join.
 No link between different components is lost, so components are exact.
 
+Links inside a component are not enumerated beyond what connects it.
+
 Defined results: a null text is empty; texts without words have no set, size 0 and no
-link; fewer words than n are one shingle; rows that share a doc_id are one document;
-extra columns are ignored.
+link; fewer words than n are one shingle; each row is a document of its own, also where
+rows repeat or share a doc_id; a null doc_id links like any other and names a component
+only where all its ids are null (the name is then null); an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,8 +198,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     Returns doc_id, n_shingles and component_id (the least doc_id that links reach).
     """
     found = materialise(ordered_sets(docs, n, percent), "sets")
-    classes = materialise(found.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("id")), "classes")
-    sets = found.where("ordered is not null").join(classes, ["key_a", "key_b", "n"]).where("doc_id = id").select("id", "n", "tokens", "places", "sketch", "ordered").dropDuplicates(["id"])
+    classes = found.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("least"))
+    # A class goes by its least doc_id, or by a hash where that is null or names several classes.
+    several = classes.where("least is not null").groupBy("least").agg(F.count("*").alias("k")).where("k > 1")
+    own = F.when(F.col("k").isNull() & F.col("least").isNotNull(), F.col("least")).otherwise(F.xxhash64("key_a", "key_b", "n"))
+    classes = materialise(classes.join(several, "least", "left").withColumn("id", own).drop("k"), "classes")
+    sets = found.where("ordered is not null").join(classes, ["key_a", "key_b", "n"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    sets = sets.select("id", "n", "tokens", "places", "sketch", "ordered").dropDuplicates(["id"])
     sets = materialise(sets, "class-sets")
     rows = sets.select("id", "n", "sketch", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "id", "n", F.col("t.places").alias("place"), "sketch")
     plain = rows.drop("sketch")
@@ -220,5 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     more = materialise(verified(pairs, sets, percent), "links")
     whole = components(links.union(more))
-    named_classes = materialise(classes.join(whole, "id", "left").select("key_a", "key_b", "n", F.coalesce("component", "id").alias("component_id")), "class-components")
+    inside = classes.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = inside.groupBy("component").agg(F.min("least").alias("component_id"))
+    named_classes = materialise(inside.join(least, "component").select("key_a", "key_b", "n", "component_id"), "class-components")
     return found.select("doc_id", "n", "key_a", "key_b").join(named_classes, ["key_a", "key_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -190,7 +190,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Data
 
     Returns doc_id, held_out, score (0 to 1, higher: better) and predicted (1 from ACCEPT on).
     """
-    model = train(docs, labels, ~held_out)
+    scored = apply(train(docs, labels, ~held_out), docs.select("doc_id", held_out.alias("held_out"), "text"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def apply(model: Attention, docs: DataFrame) -> DataFrame:
+    """The columns of docs but its text, with score and predicted."""
+    others = [c for c in docs.columns if c != "text"]
 
     def score(batches):
         for batch in batches:
@@ -200,6 +206,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Data
                 bags = Passages(text.slice(i, j - i))
                 out.append(model.scores(bags.runs(), bags.first))
             s = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(s), pa.array((s >= ACCEPT).astype(np.int32))], [*others, "score", "predicted"])
 
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
+    schema = docs.select(*others).schema.add("score", "double").add("predicted", "integer")
+    return docs.mapInArrow(score, schema)

@@ -26,9 +26,19 @@ def test_empty_documents(spark):
         assert stage(spark, docs, sf).count() == 0
 
 
-def test_nulls_stay_or_go_by_rule(spark):
+def test_decisions_are_about_rows(spark):
+    """Null and shared ids, repeated rows, near copies and a contaminated text without an id."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0)], docs.schema)
-    for _, stage in P.STAGES:
-        stage(spark, docs.limit(20).union(odd), sf).count()
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    word = lambda k: " ".join(f"{a}{k}" for a in ("alpha", "beta", "gamma", "delta", "rho", "tau", "nu", "xi", "mu", "pi", "eta", "phi"))
+    near = word(1) + " " + word(2) + " " + word(3)
+    rows = [(None, near), (7, near), (7, near), (9, near + " more"), (7, word(5)), (None, word(6)), (None, word(6)), (3, None), (None, ""), (3, " "), (None, f"{word(8)} {item} {word(9)}"), (11, item)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    listed = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    apart = [(7, near), (7, word(5)), (None, word(6)), (3, None), (None, ""), (3, " "), (None, f"{word(8)} {item} {word(9)}"), (11, item)]
+    assert listed(P.one_of_each(spark, odd, sf)) == sorted(apart, key=str)
+    assert listed(P.decontaminate(spark, odd, sf)) == sorted(((i, t) for i, t in rows if not t or item not in t), key=str)
+    assert P.mix(spark, odd, sf).columns == docs.columns and P.shard(spark, odd, sf).count() == len(rows)
+    kept = P.quality(spark, odd, sf)
+    assert kept.columns == docs.columns and {t for _, t in listed(kept)} <= {t for _, t in rows}

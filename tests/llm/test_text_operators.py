@@ -168,6 +168,15 @@ def test_deleted_interpolation(docs, empty):
     assert lm.deleted_interpolation(empty, F.lit(True), F.lit(False)).count() == 0
 
 
+def test_ngram_jaccard_of_null_and_shared_ids(spark):
+    """Each row is a document: classes without ids and classes that share one keep their links."""
+    say = lambda k, n=30: " ".join(f"{chr(97 + (i * k) % 26)}{i}{k}" for i in range(n))
+    rows = [(None, say(1)), (None, say(1) + " tail"), (5, say(1) + " end"), (6, say(2)), (6, say(3)), (9, say(3) + " tail"), (8, say(2) + " tail"), (None, say(4)), (None, say(4) + " x"), (6, None), (None, " ")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = [(None, 5), (None, 5), (5, 5), (6, 6), (6, 6), (9, 6), (8, 6), (None, None), (None, None), (6, 6), (None, None)]
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(names, key=str)
+
+
 def brute_interpolation(rows):
     """log10 probabilities by dictionaries of n-grams and as many rounds of expectation-maximisation."""
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
@@ -433,3 +442,21 @@ def test_quality_hard_cases(docs, empty, spark):
     assert len(got) == len(cases()) and all(0 <= r["score"] <= 1 for r in got)
     assert quality.quality_scores(empty, labels, F.lit(False)).count() == 0
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0), F.lit(False)).collect()} == {0.5}
+
+
+def test_shards_prune_metadata(spark):
+    """A predicate on source, lang and size meets few of the shards' value ranges; shards dealt at random meet it nearly everywhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = shard.hilbert_shards(docs, 16).join(docs.select("doc_id", "source", "lang"), "doc_id").select("shard", "source", "lang", "size").collect()
+
+    def touched(of):
+        boxes = {}
+        for r in rows:
+            boxes.setdefault(of(r), []).append(r)
+        span = {s: [(min(v), max(v)) for v in zip(*((r["source"] or "", r["lang"] or "", r["size"]) for r in b))] for s, b in boxes.items()}
+        asked = {(r["source"] or "", r["lang"] or "", r["size"]) for r in rows[::37]}
+        return sum(all(lo <= v <= hi for v, (lo, hi) in zip(a, s)) for a in asked for s in span.values()) / len(asked) / len(span)
+
+    curve, chance = touched(lambda r: r["shard"]), touched(lambda r: zlib.crc32(repr(tuple(r)[1:]).encode()) % 16)
+    print("shards that a point of (source, lang, size) meets:", curve, "dealt at random:", chance)
+    assert curve < 0.5 * chance
