@@ -4,14 +4,16 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 returns a DataFrame; all but the last return the columns of ``documents``.
 
 1. quality: documents that the attention classifier rejects go.
-2. near_duplicates: of each component of the n-gram Jaccard join the document of the
-   least doc_id stays.
+2. near_duplicates: of each component of the n-gram Jaccard join one row stays, the one
+   of the least doc_id (nulls last, ties by a hash of the text).
 3. decontaminate: documents that hold a benchmark item within its edit budget go.
 4. mix: every source is brought to its target words; a document appears once for each
    copy that the mix takes.
 5. shard: the copies are put in Hilbert-curve order and cut into shards.
 
-A null doc_id never matches a decision and its document stays.
+Decisions are about texts and rows, never about a doc_id alone: rows that share an id, or
+have none, are told apart by their texts, and repeated rows are near duplicates of each
+other.  Rows without words are nobody's near duplicates and stay.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurofold.llm.common import crc_fold
+from neurofold.llm.common import crc_fold, materialise
 from neurofold.llm.decontaminate import contaminated
 from neurofold.llm.jaccard import near_duplicates
 from neurofold.llm.mix import pivotal_mix
-from neurofold.llm.quality import quality_scores
+from neurofold.llm.quality import apply, train
 from neurofold.llm.shard import hilbert_shards
 
 #: The classifier and the search are trained statistics and distances: no SQL form.
@@ -31,25 +33,53 @@ ORACLE_SQL = None
 SHARDS = 16
 
 
+KEY = "__text_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of the text; null counts as empty, as in every operator."""
+    return docs.withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """A document for each row, that goes by its text's key."""
+    return keyed(docs).select(F.col(KEY).alias("doc_id"), "text")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the texts whose keys are the doc_ids of ``gone``."""
+    return keyed(docs).join(gone.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts.  It learns from all labels outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_scores(docs, labels, crc_fold(F.col("doc_id"), 5) == 0)
-    rejected = scored.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    model = train(docs, labels, crc_fold(F.col("doc_id"), 5) != 0)
+    return without(docs, apply(model, by_key(docs)).where("predicted = 0"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each component of near duplicates."""
-    dropped = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of near duplicates."""
+    found = near_duplicates(by_key(docs)).select(F.col("doc_id").alias(KEY), "n_shingles", "component_id").distinct()
+    found = materialise(found, "near-duplicates")
+    rows = keyed(docs).groupBy("doc_id", KEY).agg(F.count("*").alias("k")).join(found.where("n_shingles > 0"), KEY)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(KEY).alias("key"), "k")).alias("m")
+    kept = rows.groupBy("component_id").agg(first).select(F.col("m.key").alias("__key"), F.col("m.id").alias("__id"), "m.k", F.lit(False).alias("__all"))
+    wordless = found.where("n_shingles = 0").select(KEY, F.lit(None).cast("bigint"), F.lit(1).cast("bigint"), F.lit(True))
+    kept = materialise(kept.union(wordless), "near-duplicates-kept")
+    stays = (F.col(KEY) == F.col("__key")) & (F.col("__all") | F.col("doc_id").eqNullSafe(F.col("__id")))
+    stay = lambda which: keyed(docs).join(kept.where(which), stays)
+    out = stay("k = 1").select(docs.columns)
+    # A row that stays may itself be repeated.
+    if not kept.where("k > 1").isEmpty():
+        out = out.union(stay("k > 1").dropDuplicates([KEY, "doc_id"]).select(docs.columns))
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, contaminated(by_key(docs), benchmark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +102,6 @@ STAGES = [("quality", quality), ("near_duplicates", one_of_each), ("decontaminat
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; a stage's rows are written as Parquet and read again as the next one's."""
-    from neurofold.llm.common import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
