@@ -34,12 +34,14 @@ class Params:
     skip_segmentation: bool = False
     skip_motion: bool = False
     force_rerun: bool = False
+    #: Accepted and without effect: Spark decides where the work runs.
+    use_gpu: bool = False
     #: "reference" lets stencils wrap between columns of the linear index, "strict" does not.
     edge_mode: str = "reference"
 
     def digest(self) -> str:
         """Names outputs: results of other parameters are never taken for these."""
-        own = {k: v for k, v in asdict(self).items() if k not in ("force_rerun", "skip_segmentation", "skip_motion")}
+        own = {k: v for k, v in asdict(self).items() if k not in ("force_rerun", "skip_segmentation", "skip_motion", "use_gpu")}
         return hashlib.sha256(json.dumps(own, sort_keys=True).encode()).hexdigest()[:12]
 
     def suffix(self) -> str:

@@ -10,6 +10,134 @@ from pyspark.sql import functions as F
 
 from ..functions.semantics import mean0, mround, slope, std0
 
+#: A mean image a row: little-endian doubles in the order of the linear index.
+IMAGE = "z bigint, tp bigint, h int, w int, image binary"
+#: Patches that are transformed at once.
+PATCHES = 256
+
+
+def block_images(blocks: DataFrame, cycle: int, limit: int | None = None) -> DataFrame:
+    """(z, tp, h, w, image): ``block_means`` from frame blocks (z, t0, n, h, w, px), as images and without a row a pixel.
+
+    Every block of frames is added up where it is read; the sums of a timepoint meet in one group.
+    """
+    last = 1 << 62 if limit is None else limit
+
+    def add(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("z", "t0", "n", "h", "w", "px")}
+                x = np.frombuffer(row["px"], "<u2").reshape(row["n"], -1)
+                t = row["t0"] + np.arange(row["n"])
+                tp = np.where(t <= last, (t - 1) // cycle + 1, 0)
+                for k in np.unique(tp[tp > 0]):
+                    total = x[tp == k].sum(0, dtype=np.int64).astype("<f8")
+                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((row["z"], pa.int64()), (int(k), pa.int64()), (row["h"], pa.int32()), (row["w"], pa.int32()), (int((tp == k).sum()), pa.int64()), (total.tobytes(), pa.binary()))], ["z", "tp", "h", "w", "n", "image"])
+
+    def join(table: pa.Table) -> pa.Table:
+        whole = sum(table.column("n").to_pylist()) == cycle
+        total = sum(np.frombuffer(b.as_py(), "<f8") for b in table.column("image")) / cycle
+        return table.select(["z", "tp", "h", "w"])[: int(whole)].append_column("image", pa.array([total.tobytes()] * whole, pa.binary()))
+
+    sums = blocks.select("z", "t0", "n", "h", "w", "px").mapInArrow(add, "z bigint, tp bigint, h int, w int, n bigint, image binary")
+    return sums.groupBy("z", "tp").applyInArrow(join, IMAGE)
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """(z, h, w, image) of grey pages (page, h, w, bits, px row-major)."""
+
+    def turn(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                image = np.frombuffer(row["px"], f"<u{row['bits'] // 8}").reshape(row["h"], row["w"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["page"]], pa.int64()), pa.array([row["h"]], pa.int32()), pa.array([row["w"]], pa.int32()), pa.array([image.astype("<f8").tobytes(order="F")], pa.binary())], ["z", "h", "w", "image"])
+
+    return pages.select("page", "h", "w", "bits", "px").mapInArrow(turn, "z bigint, h int, w int, image binary")
+
+
+def patch_index(ind: np.ndarray, height: int, radius: int) -> np.ndarray:
+    """0-based linear indices of the patches of start indices, columns of a patch first; patches are centred one column left."""
+    roi = 2 * radius + 1
+    k = np.arange(roi * roi)
+    return ind[:, None] - 1 + ((k // roi - radius - 1) * height + k % roi - radius)[None, :]
+
+
+def patch_means_of_images(images: DataFrame, radius: int) -> DataFrame:
+    """(z, grid_idx, ind, m) as ``patch_means`` over the whole grid, from images (z, h, w, image)."""
+    roi = 2 * radius + 1
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z, h, w = (batch.column(c)[i].as_py() for c in ("z", "h", "w"))
+                image = np.frombuffer(batch.column("image")[i].as_py(), "<f8")
+                ny, nx = max(0, (h - 2 * roi) // radius), max(0, (w - 2 * roi) // radius)
+                gy, gx = np.tile(np.arange(ny), nx), np.repeat(np.arange(nx), ny)
+                ind = (roi + gx * radius) * h + roi + gy * radius + 1
+                m = [image[patch_index(ind[a : a + PATCHES], h, radius)].mean(1) for a in range(0, len(ind), PATCHES)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ind), z)), pa.array(np.arange(len(ind)) + 1), pa.array(ind), pa.array(np.concatenate(m) if m else np.zeros(0))], ["z", "grid_idx", "ind", "m"])
+
+    return images.select("z", "h", "w", "image").mapInArrow(run, "z bigint, grid_idx bigint, ind bigint, m double")
+
+
+def shifts_of_patches(source: np.ndarray, target: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """``patch_shift`` of many patches (one a row, columns of a patch first)."""
+    roi = 2 * radius + 1
+    flat = lambda x: np.fft.fft2(x.reshape(-1, roi, roi))
+    power = np.abs(np.fft.fftshift(np.fft.ifft2(flat(source) * np.conj(flat(target))), (1, 2)))
+    p = power.reshape(len(source), -1).argmax(1) + 1
+    dy = -(p % roi - radius - 1)
+    return np.where(dy == -radius - 1, radius, dy), -(-(-p // roi) - radius - 1)
+
+
+def displacements_of_images(images: DataFrame, references: DataFrame, points: DataFrame, radius: int, single_plane: bool = False) -> DataFrame:
+    """``displacements`` from images: (z, tp, h, w, image), reference images (z, h, w, image) and bright points (z, grid_idx, ind).
+
+    A group is one plane at one timepoint: its image, the plane's first one and up to five references, whatever the recording's length.
+    """
+    asked = points.groupBy("z").agg(F.sort_array(F.collect_list(F.struct("grid_idx", "ind"))).alias("points"))
+    own = images.join(asked, "z")
+    times = own.select("z", "tp", "points")
+    kind = lambda df, name, s: df.select("z", "tp", F.lit(name).alias("kind"), s.alias("s"), "h", "image", "points")
+    rows = kind(own, "own", F.lit(0)).union(kind(images.where("tp = 1").drop("tp").join(times, "z"), "first", F.lit(0)))
+    if not single_plane:
+        sides = references.withColumnRenamed("z", "plane").withColumn("s", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("z", F.col("plane") - F.col("s"))
+        rows = rows.union(kind(sides.join(times, "z"), "side", F.col("s")))
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds, s = table.column("kind").to_pylist(), table.column("s").to_pylist()
+        image = {(k, d): np.frombuffer(table.column("image")[i].as_py(), "<f8") for i, (k, d) in enumerate(zip(kinds, s, strict=True))}
+        h, at = table.column("h")[0].as_py(), kinds.index("own")
+        z, tp, asked = (table.column(c)[at].as_py() for c in ("z", "tp", "points"))
+        grid, ind = (np.array([p[c] for p in asked], np.int64) for c in ("grid_idx", "ind"))
+        found = [[np.zeros(0)] * 3]
+        for a in range(0, len(ind), PATCHES):
+            place = patch_index(ind[a : a + PATCHES], h, radius)
+            target = image["own", 0][place]
+            dy, dx = shifts_of_patches(image["first", 0][place], target, radius)
+            moved, best, dz = place - (dx * h + dy)[:, None], np.full(len(place), -np.inf), np.zeros(len(place))
+            for d in range(-2, 3):
+                side = image.get(("side", d))
+                if side is None:
+                    continue
+                there = (moved.min(1) >= 0) & (moved.max(1) < len(side))
+                r = np.full(len(place), np.nan)
+                r[there] = correlations(target[there], side[moved[there]])
+                better = r > best
+                best, dz = np.where(better, r, best), np.where(better, d, dz)
+            found.append([dy.astype(float), dx.astype(float), dz.astype(float)])
+        dy, dx, dz = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"z": pa.array(np.full(len(ind), z)), "grid_idx": grid, "ind": ind, "tp": pa.array(np.full(len(ind), tp)), "dy": dy, "dx": dx, "dz": dz})
+
+    return rows.groupBy("z", "tp").applyInArrow(run, SHIFTS)
+
+
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``correlation`` of each row of a with the same one of b."""
+    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    low = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    return np.where(low > 0, (a * b).sum(1) / np.where(low > 0, low, 1.0), np.nan)
+
 
 def block_means(frames: DataFrame, cycle: int, limit: int | None = None) -> DataFrame:
     """(z, tp, y, x, v): means of blocks of ``cycle`` frames; the incomplete tail is dropped, ``limit`` is clamped to the stack."""
@@ -189,7 +317,10 @@ def register(frames: DataFrame, reference_t: int, height: int, width: int) -> Da
 
 
 def apply_shift(frames: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Frames moved by their shifts; pixels that nothing moves onto keep their value."""
-    s = frames.join(F.broadcast(shifts), ["z", "t"])
+    """Frames moved by their shifts (z, t, dy, dx) where both differ from 0, as they are where one is 0.
+
+    Pixels that nothing moves onto keep their value.
+    """
+    s = frames.join(F.broadcast(shifts.where("dy <> 0 and dx <> 0")), ["z", "t"])
     moved = s.select("z", "t", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("v").alias("moved"))
     return frames.join(moved, ["z", "t", "y", "x"], "left").select("z", "t", "y", "x", F.coalesce("moved", "v").alias("v"))

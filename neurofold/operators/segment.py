@@ -73,6 +73,19 @@ def labels(pixels: DataFrame, p: Params) -> DataFrame:
     return S.kernel(pixels, lambda image: segment_plane(image, p), {"label": "bigint"}, keep=lambda m: m["label"] > 0)
 
 
+def labels_of_pages(pages: DataFrame, p: Params) -> DataFrame:
+    """``labels`` from grey pages (page, h, w, bits, px row-major), one page a group: only cell pixels become rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        z, h, w, bits = (table.column(c)[0].as_py() for c in ("page", "h", "w", "bits"))
+        image = np.frombuffer(table.column("px")[0].as_py(), f"<u{bits // 8}").reshape(h, w).astype(np.int64)
+        label = segment_plane(image, p)["label"]
+        y, x = np.nonzero(label)
+        return pa.table({"z": pa.array(np.full(len(y), z, np.int64)), "y": pa.array(y + 1), "x": pa.array(x + 1), "ind": pa.array(x * h + y + 1), "label": pa.array(label[y, x])})
+
+    return pages.select("page", "h", "w", "bits", "px").groupBy("page").applyInArrow(run, S.PIXEL + ", label bigint")
+
+
 def region_properties(labelled: DataFrame) -> DataFrame:
     """One row a cell: (cell_id, z, label, cy, cx, area, inds, bounds); ids follow planes and labels, with no gaps.
 
@@ -109,6 +122,22 @@ def palette(labelled: DataFrame) -> DataFrame:
     return labelled.select("z", "y", "x", "label", pick(0).alias("red"), pick(1).alias("green"), pick(2).alias("blue"))
 
 
+def normalised(pixels: DataFrame, threshold: float) -> DataFrame:
+    """Pixels (z, y, x, v) with n: v from the plane's least value to the candidates' 5 % level as 0 to 1, cut at 1.
+
+    Candidates are brighter than the threshold; up to 20 of them, or none, take the plane's largest value as the level.
+    """
+    counts = pixels.where(F.col("v") > threshold).groupBy("z", "v").agg(F.count("*").alias("k"))
+    down = W.partitionBy("z").orderBy(F.desc("v"))
+    # The value at rank round(n / 20) from the top, by running counts of distinct values.
+    ranked = counts.withColumn("so_far", F.sum("k").over(down)).withColumn("n", F.sum("k").over(W.partitionBy("z")))
+    level = ranked.groupBy("z").agg(F.max(F.when((F.col("n") > 20) & (F.col("so_far") >= F.round(F.col("n") / 20)), F.col("v"))).alias("level"))
+    whole = pixels.groupBy("z").agg(F.min("v").alias("lo"), F.max("v").alias("top"))
+    scale = whole.join(level, "z", "left").withColumn("hi", F.coalesce("level", "top"))
+    share = F.coalesce(F.try_divide((F.col("v") - F.col("lo")).cast("double"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    return pixels.join(F.broadcast(scale), "z").select("z", "y", "x", F.least(share, F.lit(1.0)).alias("n"))
+
+
 def overlay(pixels: DataFrame, labelled: DataFrame, width: int, normalised: str = "n") -> DataFrame:
     """(z, y, x, red, green, blue): two panels of each plane side by side with a white line between.
 

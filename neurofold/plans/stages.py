@@ -1,8 +1,14 @@
-"""The three stages over a dataset directory: cells, motion, traces; each a lazy plan and a Parquet table."""
+"""The three stages over a dataset directory: cells, motion, traces; each a lazy plan and a Parquet table.
+
+Planes stay images until cells, points or traces come of them: no stage makes a row a pixel of the raw stacks.
+"""
 
 from __future__ import annotations
 
+import datetime
+import functools
 import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,16 +33,32 @@ class Pipeline:
     def anatomy(self) -> DataFrame:
         return tiff.pixels(tiff.read(self.spark, f"{self.directory}/ave.tif"))
 
-    def acquisition(self) -> dict:
+    @functools.cached_property
+    def _acquired(self) -> dict:
         pages = tiff.read(self.spark, f"{self.directory}/ave.tif").count()
         return sidecar.acquisition(self.spark, self.directory, pages)
 
+    def acquisition(self) -> dict:
+        """The metadata of the directory, read once."""
+        return self._acquired
+
     def segment(self) -> DataFrame:
         """Cells of the anatomy stack, each with its parameters."""
         p = self.params
-        cells = segment.region_properties(segment.labels(self.anatomy(), p))
+        cells = segment.region_properties(self.labelled())
         return cells.withColumn("seg_params", F.struct(F.lit(p.br_threshold).alias("br_threshold"), F.lit(p.cont_threshold).alias("cont_threshold"), F.lit(p.cell_radius).alias("cell_radius")))
 
+    def labelled(self) -> DataFrame:
+        return segment.labels_of_pages(tiff.read(self.spark, f"{self.directory}/ave.tif"), self.params)
+
+    def write_overlay(self) -> str:
+        """The anatomy beside itself with the cells in colour, as one TIFF."""
+        target, p = f"{self.path('cells').removesuffix('.parquet')}_mask.tif", self.anatomy()
+        width = p.agg(F.max("x")).first()[0]
+        segment_image = segment.overlay(segment.normalised(p, self.params.br_threshold), self.labelled(), width)
+        tiff.write_colour(segment_image, target)
+        return target
+
     def cells(self) -> DataFrame:
         return self.spark.read.parquet(self.path("cells"))
 
@@ -55,11 +77,13 @@ class Pipeline:
     def move(self) -> tuple[DataFrame, DataFrame]:
         """Motion points with tilts, and the shifts of every timepoint."""
         info, p = self.acquisition(), self.params
-        h, w, r = info["stack_height"], info["stack_width"], p.grid_radius
-        blocks = motion.block_means(planestack.voxels(self.frames(info)), self.cycle(info), self.limit(info))
-        first = blocks.where("tp = 1").select("z", "y", "x", "v", ((F.col("x") - 1) * h + F.col("y")).alias("ind"))
-        bright = motion.patch_means(first, motion.grid(self.spark, h, w, r), h, r).where(exceeds(F.col("m"), p.brightness_threshold))
-        shifts = motion.displacements(blocks, self.anatomy(), bright.select("z", "grid_idx", "ind"), h, w, r, info["is_single_plane"])
+        h, r = info["stack_height"], p.grid_radius
+        # Means of frame blocks are written: the raw stacks are read once.
+        self.write("block_means", motion.block_images(self.frames(info), self.cycle(info), self.limit(info)))
+        images = self.spark.read.parquet(self.path("block_means"))
+        bright = motion.patch_means_of_images(images.where("tp = 1"), r).where(exceeds(F.col("m"), p.brightness_threshold))
+        references = motion.page_images(tiff.read(self.spark, f"{self.directory}/ave.tif"))
+        shifts = motion.displacements_of_images(images, references, bright.select("z", "grid_idx", "ind"), r, info["is_single_plane"])
         rows = max(0, (h - 2 * (2 * r + 1)) // r)
         points = motion.median_tilts(motion.tilts(shifts), rows)
         return points, shifts
@@ -88,7 +112,9 @@ class Pipeline:
             flat = traces.epoch_demean(out.select("cell_id", "t", F.col(value).cast("double").alias("f")), length)
             gone = extract.greedy_duplicates(keep, extract.duplicate_pairs(keep, flat, h, w), h, w, p.dedup_corr_threshold)
             keep = keep.join(gone, "cell_id", "left_anti")
-        if p.enable_motion_filter:
+        if p.enable_motion_filter and not sidecar._exists(self.spark, self.path("motion_points")):
+            warnings.warn(f"{self.directory}: no motion points, cells are not filtered by motion", sidecar.NoMotionWarning, stacklevel=2)
+        elif p.enable_motion_filter:
             place = self.spark.read.parquet(self.path("motion_points"))
             placed = place.select("z", "grid_idx", (F.pmod(F.col("ind") - 1, F.lit(h)) + 1).alias("py"), (F.floor((F.col("ind") - 1) / h) + 1).alias("px"), "med_y", "med_x", "med_z")
             keep = motion.motion_filter(keep, placed, p.motion_threshold_pixels)
@@ -103,20 +129,53 @@ class Pipeline:
 
     def run_motion(self) -> None:
         info = self.acquisition()
-        points, shifts = self.move()
+        _, shifts = self.move()
         self.write("motion_shifts", shifts)
+        points = motion.median_tilts(motion.tilts(self.spark.read.parquet(self.path("motion_shifts"))), max(0, (info["stack_height"] - 2 * (2 * self.params.grid_radius + 1)) // self.params.grid_radius))
         self.write("motion_points", points)
         step = 0.0 if info["is_single_plane"] else info["z_step_um"]
         self.write("motion_summary", motion.summary(self.spark.read.parquet(self.path("motion_points")), self.params.um_per_pixel, step))
         self.write("motion_tcourse", motion.timecourse(self.spark.read.parquet(self.path("motion_shifts")), self.cycle(info)))
 
+    def baseline_manifest(self) -> DataFrame:
+        """How the baseline was made: one row beside the traces."""
+        p = self.params
+        level = self.background().select(F.first(F.col(self.background().columns[0])).cast("double").alias("background_baseline"))
+        return level.select(
+            F.lit("rolling_percentile").alias("method"),
+            F.lit(p.detrend_window_frames).cast("long").alias("window_frames"),
+            F.lit(p.detrend_percentile).alias("percentile"),
+            F.lit(p.detrend_offset).alias("offset"),
+            "background_baseline",
+            F.lit(p.enable_photobleach_fit).alias("photobleach_fit_first"),
+            F.lit(datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")).alias("created"),
+        )
+
     def run_timecourse(self) -> None:
+        if self.params.enable_detrending:
+            self.write("rolling_baseline", self.baseline_manifest())
         self.write("traces", self.trace())
 
 
 TABLES = {"segmentation": "cells", "motion": "motion_summary", "timecourse": "traces"}
 
 
+def crop(pixels: DataFrame, top: float, left: float, height: float, width: float, stack_height: int, stack_width: int, margin: int = 30) -> DataFrame:
+    """Pixels (y, x, ...) of a rectangle with a margin around, cut at the stack's borders."""
+    y, x = (mround(top - margin), mround(top + height + margin)), (mround(left - margin), mround(left + width + margin))
+    return pixels.where(F.col("y").between(max(y[0], 1), min(y[1], stack_height)) & F.col("x").between(max(x[0], 1), min(x[1], stack_width)))
+
+
+def run_list(spark: SparkSession, list_file: str, params: Params | None = None, abort=lambda: False) -> DataFrame:
+    """run_all over the directories of a batch file; those that are not there are dropped with a warning."""
+    named = [r["directory"] for r in sidecar.batch_list(spark, list_file).collect()]
+    there = [d for d in named if sidecar._exists(spark, d)]
+    for d in named:
+        if d not in there:
+            warnings.warn(f"{d}: no such directory, it is left out", sidecar.MissingDirectoryWarning, stacklevel=2)
+    return run_all(spark, there, params, abort)
+
+
 def run_all(spark: SparkSession, directories: list[str], params: Params | None = None, abort=lambda: False) -> DataFrame:
     """run_status of all stages over all directories; finished ones are skipped unless forced."""
     p = params or Params()

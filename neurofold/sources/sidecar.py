@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,18 @@ class BadFormat(ValueError):
     """A sidecar does not hold what it must."""
 
 
+class AmbiguousMode(UserWarning):
+    """One stack file, but an anatomy of several pages: the dataset is taken as volumetric."""
+
+
+class NoMotionWarning(UserWarning):
+    """Motion filtering is asked for, but motion was not estimated."""
+
+
+class MissingDirectoryWarning(UserWarning):
+    """A directory of a batch list is not there."""
+
+
 def frame_rate(text: Column) -> list[Column]:
     """Stack rate and volume count: the first and third number; null where there are fewer."""
     numbers = F.filter(F.split(F.trim(text), r"[\s,]+"), lambda w: w != "")
@@ -97,23 +111,33 @@ def batch_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("directory") != "") & ~F.col("directory").startswith("#")).orderBy("k").select("directory")
 
 
+def camera_xml(spark: SparkSession, directory: str, names: DataFrame) -> str | None:
+    """Text of ch0_cam1.xml, or else of the first ch0_cam*.xml by name."""
+    found = [r["name"] for r in names.where(F.col("name").rlike(r"^ch0_cam.*\.xml$")).orderBy("name").limit(1).collect()]
+    chosen = "ch0_cam1.xml" if _exists(spark, f"{directory}/ch0_cam1.xml") else (found or ["ch0_cam1.xml"])[0]
+    return read_text(spark, f"{directory}/{chosen}", required=False)
+
+
 def acquisition(spark: SparkSession, directory: str, pages: int) -> dict:
     """All acquisition metadata of a dataset directory: rates, sizes, mode, plane distance, frame range."""
     import struct
 
     d = directory.rstrip("/")
     text = read_text(spark, f"{d}/Stack_frequency.txt")
-    xml = read_text(spark, f"{d}/ch0_cam1.xml", required=False)
+    names = files(spark, d).select("name")
+    xml = camera_xml(spark, d, names)
     rate, volumes = spark.range(1).select(*frame_rate(F.lit(text))).first()
     if rate is None or volumes is None:
         raise BadFormat(f"{d}/Stack_frequency.txt must hold three numbers")
     if _exists(spark, f"{d}/Stack dimensions.log"):
         h, w, z = struct.unpack("<3I", spark.read.format("binaryFile").load(f"{d}/Stack dimensions.log").first()["content"][:12])
-    elif xml:
+    elif xml and _exists(spark, f"{d}/ch0_cam1.xml"):
         h, w, z = spark.range(1).select(*xml_dimensions(F.lit(xml))).first()
     else:
         raise MissingFile(f"{d}/Stack dimensions.log")
-    mode = is_single_plane(files(spark, d).select("name"), pages).first()
+    mode = is_single_plane(names, pages).first()
+    if mode["ambiguous"]:
+        warnings.warn(f"{d}: one plane stack, but an anatomy of {pages} planes; taken as volumetric", AmbiguousMode, stacklevel=2)
     step = spark.range(1).select(z_step(F.lit(xml or ""))).first()[0]
     if step is None and not mode["single_plane"]:
         raise BadFormat(f"{d}: a positive z_step is required")
