@@ -10,11 +10,12 @@ lost), and hits on close diagonals are verified once with Myers' bit-parallel di
 
 Texts and items are compared in lower case (A-Z) with white space collapsed.  Items go
 out in blocks of bounded bytes, one scan of the documents per block, so nothing that is
-sent to the executors grows with the benchmark.
+sent to the executors grows with the benchmark; equal items are searched once.
 
-Defined results: null and empty texts and items match nothing; repeated documents are
-rows of their own in the search, one row per (doc_id, item_id) in the result with the
-least distance; extra columns are ignored.
+Defined results: null and empty texts and items match nothing; the result has one row for
+each (doc_id, item_id) with the least distance over the rows that share them, the earliest
+end among equal ones; null ids are one id; an empty table on either side gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from .common import LOWER, SPACE, chunks, flat
 
 #: Edits allowed per byte of an item; bytes of items that one scan searches.
 EDIT_RATE = 0.1
-BLOCK_BYTES = 4 << 20
-BITMAP = 22
+BLOCK_BYTES = 16 << 20
+#: Least bits of a bitmap of keys, and bits that it has beyond the number of keys; the same for an item's grams.
+BITMAP, SPARSE, SPARSE_GRAMS = 22, 4, 2
 #: Bytes of the grams that hits are filtered by; bytes of hits' windows that are looked at together.
 GRAM = 4
 WINDOW_BYTES = 1 << 20
@@ -67,7 +69,7 @@ def budget(n: int) -> int:
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
-    """A key of data[i : i + q] for each i: equal for equal strings (q up to 16; injective hashing of two words)."""
+    """A key of data[i : i + q] for each i: equal for equal strings (q up to 16, by a hash of two words)."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -115,7 +117,7 @@ def least_distance(pattern: bytes, text: bytes) -> tuple[int, int]:
 class Pieces:
     """The pieces of a block of items, by key."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple]):
         self.items = [(i, t, budget(len(t))) for i, t in items if t]
         found: dict[int, list[tuple[int, int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
@@ -128,14 +130,15 @@ class Pieces:
         for q, rows in found.items():
             rows.sort()
             key = np.array([r[0] for r in rows], np.uint64)
-            bitmap = np.zeros(1 << BITMAP, bool)
-            bitmap[key >> np.uint64(64 - BITMAP)] = True
-            self.tables[q] = (key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), bitmap)
+            shift = np.uint64(64 - max(BITMAP, len(key).bit_length() + SPARSE))
+            bitmap = np.zeros(1 << (64 - int(shift)), bool)
+            bitmap[key >> shift] = True
+            self.tables[q] = (key, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32), bitmap, shift)
         self.length, self.edits = np.array([len(t) for _, t, _ in self.items], np.int64), np.array([e for *_, e in self.items], np.int64)
         # Which grams an item has, as one bitmap of hashes of both: a clash can only pass a window that the distance then rejects.
         own = [np.unique(self.marks(grams(np.frombuffer(t, np.uint8), GRAM), np.full(1, k, np.uint64))) for k, (_, t, _) in enumerate(self.items)]
         marks = np.concatenate([np.zeros(0, np.uint64), *own])
-        self.shift = np.uint64(64 - max(16, (16 * len(marks)).bit_length()))
+        self.shift = np.uint64(64 - max(20, len(marks).bit_length() + SPARSE_GRAMS))
         self.has = np.zeros(1 << (64 - int(self.shift)), bool)
         self.has[marks >> self.shift] = True
 
@@ -145,9 +148,9 @@ class Pieces:
 
     def hits(self, data: np.ndarray):
         """Yields (item, place, place of the piece in the item) of all piece hits, a bounded number at once."""
-        for q, (key, item, offset, bitmap) in self.tables.items():
+        for q, (key, item, offset, bitmap, shift) in self.tables.items():
             h = grams(data, q)
-            at = np.flatnonzero(bitmap[h >> np.uint64(64 - BITMAP)])
+            at = np.flatnonzero(bitmap[h >> shift])
             low, high = np.searchsorted(key, h[at], "left"), np.searchsorted(key, h[at], "right")
             at, low, n = at[high > low], low[high > low], (high - low)[high > low]
             ends = np.cumsum(n)
@@ -225,23 +228,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        block = []
+        named: dict[bytes, list[int | None]] = {}
         for r in rows:
             data = np.frombuffer(r["text"].encode(), np.uint8)
-            block.append((r["item_id"], normal(data, np.array([0, len(data)]))[0].tobytes()))
+            named.setdefault(normal(data, np.array([0, len(data)]))[0].tobytes(), []).append(r["item_id"])
 
-        def scan(batches, block=block):
-            pieces = Pieces(block)
+        def scan(batches, named=named):
+            pieces = Pieces([(ids, text) for text, ids in named.items()])
             for batch in batches:
                 ids = batch.column("doc_id")
                 data, offsets = flat(batch.column("text"))
                 out: list[tuple] = []
                 for i, j in chunks(offsets):
                     part, own = normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    out += [(i + d, *x) for d, *x in pieces.search(part, own)]
-                doc, item, distance, end = zip(*out, strict=True) if out else ((), (), (), ())
+                    out += [(i + d, name, *x) for d, *x in pieces.search(part, own) for name in pieces.items[x[0]][0]]
+                doc, name, item, distance, end = zip(*out, strict=True) if out else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(doc, pa.int64())), pa.array([pieces.items[x][0] for x in item], pa.int64()), pa.array(distance, pa.int32()), pa.array([pieces.items[x][2] for x in item], pa.int32()), pa.array(end, pa.int64())],
+                    [ids.take(pa.array(doc, pa.int64())), pa.array(name, pa.int64()), pa.array(distance, pa.int32()), pa.array([pieces.items[x][2] for x in item], pa.int32()), pa.array(end, pa.int64())],
                     ["doc_id", "item_id", "distance", "budget", "match_end"],
                 )
 
