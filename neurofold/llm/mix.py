@@ -12,7 +12,9 @@ many blocks, and each round of the tree is one shuffle of the left-overs alone.
 Randomness is drawn from a hash of the block's first document: reruns agree.
 
 Defined results: null and empty texts have size 0 and are not taken; a null source
-is a source of its own, sorted last; documents that repeat are rows of their own.
+is a source of its own, sorted last; repeated rows, repeated ids and null ids are rows of
+their own (rows repeated more often than a block holds are dealt to several blocks); an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,16 +104,22 @@ def pivotal_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: fl
     Returns doc_id, size, source_size, target, taken, copies and uid (a hash of the row, which tells repeated ids apart).
     """
     uid = F.xxhash64("doc_id", "source", "text")
-    rows = docs.select("doc_id", "source", word_count().alias("size"), uid.alias("uid"))
+    rows = docs.select("doc_id", "source", word_count().alias("size"), uid.alias("uid"), F.monotonically_increasing_id().alias("place"))
     rows = materialise(rows, "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = materialise(targets(sizes, weights, limit), "mix-targets")
     most = goal.agg(F.max("n")).first()[0] or 0
-    wide = rows.join(goal, rows.source.eqNullSafe(goal.source)).select("doc_id", rows.source, "size", "uid", "source_size", "target", "n")
+    wide = rows.join(goal, rows.source.eqNullSafe(goal.source)).select("doc_id", rows.source, "size", "uid", "place", "source_size", "target", "n")
     ratio = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(limit))
     wide = wide.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("part", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     blocks = F.ceil(F.col("n") / BLOCK_ROWS)
-    state = wide.select("uid", "doc_id", "source", "size", F.pmod(F.xxhash64("uid", "doc_id"), blocks).alias("node"), F.lit(0).alias("level"), "part", F.lit(0).cast("long").alias("up"), F.lit(False).alias("settled"))
+    # Rows that repeat more often than a block holds are told apart by the table's order; which of them is which does not matter.
+    repeated = rows.groupBy(F.col("uid").alias("twin")).agg(F.count("*").alias("times")).where(F.col("times") > BLOCK_ROWS)
+    salt = F.lit(0).cast("long")
+    if not repeated.isEmpty():
+        wide = wide.join(repeated, F.col("uid") == F.col("twin"), "left")
+        salt = F.when(F.col("times").isNotNull(), F.pmod("place", F.ceil(F.col("times") / BLOCK_ROWS))).otherwise(salt)
+    state = wide.select("uid", "doc_id", "source", "size", F.pmod(F.xxhash64("uid", "doc_id", salt), blocks).alias("node"), F.lit(0).alias("level"), "part", F.lit(0).cast("long").alias("up"), F.lit(False).alias("settled"))
     done = []
     # One round rounds the blocks, each further one the left-overs of FAN_IN nodes.
     for level in range(1 + (math.ceil(math.log(max(1, math.ceil(most / BLOCK_ROWS)), FAN_IN)) if most else 0)):
