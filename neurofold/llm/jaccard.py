@@ -25,6 +25,8 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -210,7 +212,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     plain = rows.drop("sketch")
     # Under each prefix shingle, a few classes of similar size and a few at random.
     chain = neighbours(plain, ["n", "id"], 3, percent).union(neighbours(plain, [F.xxhash64("id"), "id"], 2, percent)).distinct()
-    links = materialise(verified(chain, sets, percent), "links")
+    # What was verified once is not verified again.
+    tried = materialise(chain, "tried")
+    links = materialise(verified(tried, sets, percent), "links")
     for attempt in range(ATTACH + 1):
         joined = components(links).select("id", "component")
         # The rest: pairs of different components under a shingle; one side is not of the shingle's largest component.
@@ -223,10 +227,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
         others = materialise(named.join(mixed, "token").where("component <> main").drop("main"), "others")
         if attempt < ATTACH:
             star = others.where(may_reach("n", "place", "hub_n", "hub_place", percent)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-            links = links.union(materialise(verified(star, sets, percent), "links"))
-    a, b = others.alias("a"), named.alias("b")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & may_reach("a.n", "a.place", "b.n", "b.place", percent) & may_differ("a", "b", percent))
-    pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+            star = materialise(star.join(tried, ["a", "b"], "left_anti"), "tried")
+            tried, links = tried.union(star), links.union(materialise(verified(star, sets, percent), "links"))
+    # Sizes of linked sets differ by a bounded factor: a shingle's postings are dealt by bands of size as well.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.01 * 100 / percent))
+    a = others.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("a")
+    b = named.withColumn("band", band).alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & may_reach("a.n", "a.place", "b.n", "b.place", percent) & may_differ("a", "b", percent))
+    pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialise(verified(pairs, sets, percent), "links")
     whole = components(links.union(more))
     inside = classes.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -460,3 +460,28 @@ def test_shards_prune_metadata(spark):
     curve, chance = touched(lambda r: r["shard"]), touched(lambda r: zlib.crc32(repr(tuple(r)[1:]).encode()) % 16)
     print("shards that a point of (source, lang, size) meets:", curve, "dealt at random:", chance)
     assert curve < 0.5 * chance
+
+
+def test_decontaminate_ties_and_long_items(spark):
+    """Equal items, items of several kilobytes, a null item id, repeated rows, matches at both ends."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    long, short = say(700), say(9)
+    items = [(1, long), (2, long.upper()), (None, short), (3, short + " " + say(4))]
+    near = list(long)
+    for at in range(0, len(near), 40):
+        near[at] = "#"
+    rows = [(1, long), (1, long), (2, "".join(near) + say(3)), (3, say(5) + " " + short), (4, short + say(2)), (5, say(200))]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in got}
+    assert len(got) == len(found) and found == {(1, 1): 0, (1, 2): 0, (2, 1): len(range(0, len(near), 40)), (2, 2): len(range(0, len(near), 40)), (3, None): 0, (4, None): 0}
+
+
+def test_mix_of_rows_that_repeat_beyond_a_block(spark, monkeypatch):
+    monkeypatch.setattr(mix, "BLOCK_ROWS", 20)
+    rows = [(1, "one two three", "a")] * 150 + [(k, "four five", "b") for k in range(40)] + [(None, "six", None)] * 30
+    got = mix.pivotal_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] and r["taken"] % max(r["size"], 1) == 0 for r in got)
+    for size in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
