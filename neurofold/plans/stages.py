@@ -104,6 +104,9 @@ class Pipeline:
             length = int(-(-info["frame_rate"] * p.baseline_window_seconds // 1))
             points = traces.bleach_fit(points, length).select("cell_id", "t", "f")
         out = traces.rolling_dff(points, p.detrend_window_frames, p.detrend_percentile, p.detrend_offset) if p.enable_detrending else points
+        # All cells' traces are written once: the raw stacks are not read again for the pairs of duplicates.
+        self.write("all_traces", out)
+        out = self.spark.read.parquet(self.path("all_traces"))
         keep = self.cells()
         h, w = info["stack_height"], info["stack_width"]
         if p.enable_remove_duplicates and not info["is_single_plane"]:
