@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from ..functions.semantics import correlation, mround, slope
 
 
+#: Windows that are partitioned at once.
+WINDOWS = 2048
+
+
 class BadWindow(ValueError):
     """A rolling window below one sample."""
 
@@ -39,7 +43,9 @@ def rolling_rank(f: np.ndarray, window: int, percentile: float) -> np.ndarray:
     if w < 1:
         raise BadWindow("the window must hold a sample")
     k = min(max(mround(w * percentile / 100), 1), w)
-    full = np.partition(np.lib.stride_tricks.sliding_window_view(f, w), k - 1, axis=1)[:, k - 1]
+    windows = np.lib.stride_tricks.sliding_window_view(f, w)
+    # Partitioning copies windows: a bounded number at once.
+    full = np.concatenate([np.partition(windows[a : a + WINDOWS], k - 1, axis=1)[:, k - 1] for a in range(0, len(windows), WINDOWS)])
     j = np.arange(1, n + 1).clip(-(-w // 2), n - w // 2)
     return full[j - (-(-w // 2))]
 
@@ -116,20 +122,21 @@ def window_low_mean(points: DataFrame, length: int, level: float = 0.0) -> DataF
 
 
 def bleach_fit(points: DataFrame, length: int, level: float = 0.0) -> DataFrame:
-    """(cell_id, t, fitted, f): exponential bleaching by the slope of log window baselines; needs two windows.
+    """(cell_id, t, fitted, f): exponential bleaching by the slope of log window baselines.
 
-    A baseline that is not positive makes the fit NaN.
+    A trace of less than two windows is an error; a baseline that is not positive makes the fit NaN.
     """
     base = window_low_mean(points, length, level)
     first = base.groupBy("cell_id").agg(F.avg(F.when(F.col("w") < 2, F.col("b"))).alias("b12"), F.min("b").alias("least"), F.count("*").alias("windows"))
-    short = first.where("windows < 2")
-    joined = base.join(first.where("windows >= 2"), "cell_id")
+    joined = base.join(first, "cell_id")
     centre = mround(length / 2) + F.col("w") * length
     log = F.when(F.col("least") > 0, F.ln(F.col("b") / F.col("b12")))
     fit = joined.groupBy("cell_id", "b12").agg(F.when(F.min("least") > 0, slope(log, centre)).otherwise(F.lit(float("nan"))).alias("slope"))
-    fit = fit.unionByName(short.select("cell_id", "b12", F.lit(float("nan")).alias("slope")))
+    fit = fit.join(first.select("cell_id", "windows"), "cell_id")
     fitted = F.exp(F.col("slope") * F.col("t")) * F.col("b12")
-    return points.join(fit, "cell_id").select("cell_id", "t", fitted.alias("fitted"), ((F.col("f") - F.lit(float(level))) / fitted).alias("f"))
+    enough = F.when(F.coalesce("windows", F.lit(0)) < 2, F.raise_error(F.concat(F.lit("bleaching fit: two windows are needed, cell "), F.col("cell_id").cast("string"))).cast("double"))
+    fitted = F.coalesce(enough, fitted)
+    return points.join(fit, "cell_id", "left").select("cell_id", "t", fitted.alias("fitted"), ((F.col("f") - F.lit(float(level))) / fitted).alias("f"))
 
 
 def epoch_demean(points: DataFrame, length: int) -> DataFrame:

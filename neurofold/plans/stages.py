@@ -169,21 +169,21 @@ def crop(pixels: DataFrame, top: float, left: float, height: float, width: float
     return pixels.where(F.col("y").between(max(y[0], 1), min(y[1], stack_height)) & F.col("x").between(max(x[0], 1), min(x[1], stack_width)))
 
 
-def run_list(spark: SparkSession, list_file: str, params: Params | None = None, abort=lambda: False) -> DataFrame:
+def run_list(spark: SparkSession, list_file: str, params: Params | None = None, abort=lambda: False, **options) -> DataFrame:
     """run_all over the directories of a batch file; those that are not there are dropped with a warning."""
     named = [r["directory"] for r in sidecar.batch_list(spark, list_file).collect()]
     there = [d for d in named if sidecar._exists(spark, d)]
     for d in named:
         if d not in there:
             warnings.warn(f"{d}: no such directory, it is left out", sidecar.MissingDirectoryWarning, stacklevel=2)
-    return run_all(spark, there, params, abort)
+    return run_all(spark, there, params, abort, **options)
 
 
-def run_all(spark: SparkSession, directories: list[str], params: Params | None = None, abort=lambda: False) -> DataFrame:
-    """run_status of all stages over all directories; finished ones are skipped unless forced."""
+def run_all(spark: SparkSession, directories: list[str], params: Params | None = None, abort=lambda: False, **options) -> DataFrame:
+    """run_status of all stages over all directories; finished ones are skipped unless forced.  Options: workers and notify of ``run_batch``."""
     p = params or Params()
     pipe = {d: Pipeline(spark, d, p) for d in directories}
     stages = {"segmentation": lambda d: pipe[d].run_segmentation(), "motion": lambda d: pipe[d].run_motion(), "timecourse": lambda d: pipe[d].run_timecourse()}
     done = lambda s, d: sidecar._exists(spark, os.path.join(pipe[d].path(TABLES[s]), "_SUCCESS"))
     skip = ("segmentation",) * p.skip_segmentation + ("motion",) * p.skip_motion
-    return run_batch(spark, directories, stages, done, skip, p.force_rerun, abort)
+    return run_batch(spark, directories, stages, done, skip, p.force_rerun, abort, **options)
