@@ -50,14 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that ``materialise`` has written in this process and nobody has discarded.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The table stays until ``discard``, as results are lazy and may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that ``materialise`` has written.  What reads them can no longer run."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        WRITTEN.remove(path)
+
+
 def text_size(docs: DataFrame, text: str = "text") -> int:
     """All bytes of a text column."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
