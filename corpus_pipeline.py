@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurofold.llm.common import crc_fold, materialise
+from neurofold.llm.common import WRITTEN, crc_fold, discard, materialise
 from neurofold.llm.decontaminate import contaminated
 from neurofold.llm.jaccard import near_duplicates
 from neurofold.llm.mix import pivotal_mix
@@ -101,8 +101,13 @@ STAGES = [("quality", quality), ("near_duplicates", one_of_each), ("decontaminat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; a stage's rows are written as Parquet and read again as the next one's."""
+    """All stages over documents; a stage's rows are written as Parquet and read again as the next one's.
+
+    What a stage wrote on the way, and the rows that it read, are deleted once its own rows are written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = len(WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, WRITTEN[before:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
