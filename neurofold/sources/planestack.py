@@ -45,18 +45,30 @@ def size_of(path: str) -> int:
     return os.path.getsize(local(path))
 
 
-def stacks(path: str) -> list[tuple[int, str]]:
-    """(z, file) of a stack file, or of all PlaneNN.stack of a directory on any store, by name."""
+def listing(path: str) -> list[tuple[str, str]]:
+    """(name, path) of a file, or of the files of a directory in name order, on any store; nothing if it is not there."""
     if "://" in path and not path.startswith("file:"):
         fs, at = pa.fs.FileSystem.from_uri(path)
-        root = path[: len(path) - len(at.lstrip("/"))] if path.endswith(at.lstrip("/")) else ""
-        inside = fs.get_file_info(pa.fs.FileSelector(at)) if fs.get_file_info(at).type == pa.fs.FileType.Directory else None
-        names = None if inside is None else {f.base_name: root + f.path.lstrip("/") for f in inside}
+        found = fs.get_file_info(at)
+        if found.type == pa.fs.FileType.NotFound:
+            return []
+        if found.type == pa.fs.FileType.Directory:
+            return sorted((f.base_name, f"{path.rstrip('/')}/{f.base_name}") for f in fs.get_file_info(pa.fs.FileSelector(at)) if f.is_file)
     else:
-        names = {n: os.path.join(local(path), n) for n in os.listdir(local(path))} if os.path.isdir(local(path)) else None
-    if names is None:
+        where = local(path)
+        if not os.path.exists(where):
+            return []
+        if os.path.isdir(where):
+            return sorted((n, os.path.join(where, n)) for n in os.listdir(where) if os.path.isfile(os.path.join(where, n)))
+    return [(path.rstrip("/").rsplit("/", 1)[-1], path)]
+
+
+def stacks(path: str) -> list[tuple[int, str]]:
+    """(z, file) of a stack file, or of all PlaneNN.stack of a directory, by name."""
+    found = listing(path)
+    if len(found) == 1 and found[0][1] == path:
         return [(int((re.search(r"(\d+)\.stack$", path) or [0, 1])[1]), path)]
-    return [(int(re.search(r"\d+", n)[0]), names[n]) for n in sorted(names) if re.fullmatch(r"Plane\d+\.stack", n)]
+    return [(int(re.search(r"\d+", name)[0]), file) for name, file in found if re.fullmatch(r"Plane\d+\.stack", name)]
 
 
 def frame_count(path: str, h: int, w: int) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,11 @@ def leica_order(name: Column) -> Column:
     return F.regexp_replace(name, r"_t(\d{3})_ch", "_t0$1_ch")
 
 
+def leica_name(name: str) -> str:
+    """``leica_order`` of one name, for planning on the driver."""
+    return re.sub(r"_t(\d{3})_ch", r"_t0\1_ch", name)
+
+
 def join_path(*parts: Column) -> Column:
     return F.regexp_replace(F.concat_ws("/", *(F.regexp_replace(p, "/+$", "") for p in parts)), "/+$", "")
 

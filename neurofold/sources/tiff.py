@@ -1,8 +1,10 @@
-"""Uncompressed baseline TIFF: multi-page grey images of 8, 16 or 32 bits and 8-bit RGB."""
+"""Uncompressed baseline TIFF: multi-page grey images of 8, 16 or 32 bits and 8-bit RGB; one input partition a page."""
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import shutil
 import struct
 import uuid
@@ -11,40 +13,66 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .sidecar import leica_order
+from .planestack import listing, open_file
+from .sidecar import leica_name
 
 IMAGES = "path string, page int, h int, w int, bits int, px binary"
 # TIFF tag numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
 
 
-def decode(content: bytes) -> list[np.ndarray]:
-    """Pages as height x width (x 3) arrays."""
-    order = {b"II": "<", b"MM": ">"}[content[:2]]
-    at = struct.unpack_from(order + "I", content, 4)[0]
-    out = []
-    while at:
-        n = struct.unpack_from(order + "H", content, at)[0]
+class Page:
+    """Where a page's pixels lie in a file: the byte order, the image's shape and its strips."""
+
+    def __init__(self, order: str, tags: dict[int, tuple]):
+        if tags.get(COMPRESSION, (1,))[0] != 1:
+            raise ValueError("compressed TIFF")
+        self.h, self.w, self.samples = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
+        self.kind = np.dtype({8: "u1", 16: "u2", 32: "u4"}[tags.get(BITS, (8,))[0]]).newbyteorder(order)
+        self.strips = list(zip(tags[OFFSETS], tags[COUNTS], strict=True))
+
+    def read(self, f) -> np.ndarray:
+        """The height x width (x 3) array, strip by strip."""
+        data = bytearray()
+        for offset, count in self.strips:
+            f.seek(offset)
+            data += f.read(count)
+        image = np.frombuffer(data, self.kind, self.h * self.w * self.samples)
+        return image.reshape((self.h, self.w, self.samples) if self.samples > 1 else (self.h, self.w)).astype(self.kind.newbyteorder("<"))
+
+
+def pages_of(f) -> list[Page]:
+    """All pages of an open file.  Only headers and tags are read."""
+
+    def at(offset: int, form: str) -> tuple:
+        f.seek(offset)
+        return struct.unpack(form, f.read(struct.calcsize(form)))
+
+    order = {b"II": "<", b"MM": ">"}[at(0, "2s")[0]]
+    where, out = at(4, order + "I")[0], []
+    while where:
+        n = at(where, order + "H")[0]
         tags = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", content, at + 2 + 12 * k)
+            place = where + 2 + 12 * k
+            tag, kind, count = at(place, order + "HHI")
             code = {1: "B", 3: "H", 4: "I"}.get(kind)
             if code:
-                size = struct.calcsize(code) * count
-                where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", content, at + 10 + 12 * k)[0]
-                tags[tag] = struct.unpack_from(f"{order}{count}{code}", content, where)
-        if tags.get(COMPRESSION, (1,))[0] != 1:
-            raise ValueError("compressed TIFF")
-        h, w, samples = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
-        kind = np.dtype({8: "u1", 16: "u2", 32: "u4"}[tags.get(BITS, (8,))[0]]).newbyteorder(order)
-        data = b"".join(content[o : o + c] for o, c in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-        image = np.frombuffer(data, kind, h * w * samples).reshape((h, w, samples) if samples > 1 else (h, w))
-        out.append(image.astype(kind.newbyteorder("<")))
-        at = struct.unpack_from(order + "I", content, at + 2 + 12 * n)[0]
+                form = f"{order}{count}{code}"
+                tags[tag] = at(place + 8 if struct.calcsize(form) <= 4 else at(place + 8, order + "I")[0], form)
+        out.append(Page(order, tags))
+        where = at(where + 2 + 12 * n, order + "I")[0]
     return out
 
 
+def decode(content: bytes) -> list[np.ndarray]:
+    """Pages as height x width (x 3) arrays."""
+    f = io.BytesIO(content)
+    return [p.read(f) for p in pages_of(f)]
+
+
 def directory(image: np.ndarray, at: int, last: bool) -> bytes:
     """A page as it stands from byte ``at`` of a file on: its tags, then its one strip; the next page follows unless it is the last."""
     rgb = image.ndim == 3
@@ -73,21 +101,60 @@ def encode(pages: list[np.ndarray]) -> bytes:
     return out
 
 
-def read(spark: SparkSession, path: str, include: str = ".*", indices: list[int] | None = None, leica: bool = False) -> DataFrame:
-    """Pages of a file or of a directory's files in name order: (path, page, h, w, bits, px row-major)."""
-    name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").load(path).where(name.rlike(r"(?i)\.tiff?$") & name.rlike(f"(?i){include}"))
-    key = leica_order(name) if leica else name
-    if indices:
-        files = files.withColumn("k", F.row_number().over(Window.orderBy(key))).where(F.col("k").isin(indices)).drop("k")
+class Part(InputPartition):
+    def __init__(self, path: str, number: int, page: Page):
+        self.path, self.number, self.page = path, number, page
 
-    def run(batches):
-        for batch in batches:
-            for where, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for k, image in enumerate(decode(content)):
-                    yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([k + 1], pa.int32()), *(pa.array([x], pa.int32()) for x in (*image.shape[:2], image.dtype.itemsize * 8)), pa.array([image.tobytes()], pa.binary())], ["path", "page", "h", "w", "bits", "px"])
 
-    return files.select("path", "content").mapInArrow(run, IMAGES)
+class PageReader(DataSourceReader):
+    """Options: path (a file or a directory of them), include (pattern of names), indices (1-based positions), leica."""
+
+    def __init__(self, options):
+        self.path, self.include = options["path"], options.get("include", ".*")
+        self.indices = [int(k) for k in options.get("indices", "").split(",") if k]
+        self.leica = options.get("leica", "false") == "true"
+
+    def partitions(self):
+        files = [(n, p) for n, p in listing(self.path) if re.search(r"(?i)\.tiff?$", n) and re.search(f"(?i){self.include}", n)]
+        files.sort(key=lambda f: leica_name(f[0]) if self.leica else f[0])
+        out = []
+        for k, (_, path) in enumerate(files, 1):
+            if not self.indices or k in self.indices:
+                with open_file(path) as f:
+                    out += [Part(path, number, page) for number, page in enumerate(pages_of(f), 1)]
+        return out
+
+    def read(self, part):
+        if part is None:  # Spark's stand-in where there are no partitions
+            return
+        with open_file(part.path) as f:
+            image = part.page.read(f)
+        cells = [part.path, part.number, *image.shape[:2], image.dtype.itemsize * 8, image.tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(cells, (pa.string(), *[pa.int32()] * 4, pa.binary()), strict=True)], ["path", "page", "h", "w", "bits", "px"])
+
+
+class TiffPages(DataSource):
+    @classmethod
+    def name(cls):
+        return "tiffpages"
+
+    def schema(self):
+        return IMAGES
+
+    def reader(self, schema):
+        return PageReader(self.options)
+
+
+def read(spark: SparkSession, path: str, include: str = ".*", indices: list[int] | None = None, leica: bool = False) -> DataFrame:
+    """Pages of a file or of a directory's files in name order: (path, page, h, w, bits, px row-major).
+
+    A partition is a page, read by its strips, so that a file may be larger than a task's memory.
+    """
+    if not listing(path):
+        raise FileNotFoundError(path)
+    spark.dataSource.register(TiffPages)
+    options = {"include": include, "leica": str(leica).lower(), "indices": ",".join(map(str, indices or []))}
+    return spark.read.format("tiffpages").options(**options).load(path)
 
 
 def pixels(images: DataFrame) -> DataFrame:

@@ -92,6 +92,31 @@ def test_tiff_round_trip(spark, tmp_path):
     assert len(rows) == 24 and all(r["v"] == pages[r["z"] - 1][r["y"] - 1, r["x"] - 1] for r in rows)
 
 
+def test_tiff_directory_by_name_position_and_instrument_order(spark, tmp_path):
+    names = ["a_t1000_ch00.tif", "a_t998_ch00.tif", "a_t999_ch00.TIFF", "notes.txt", "b_t001_ch01.tif"]
+    for k, n in enumerate(names):
+        (tmp_path / n).write_bytes(tiff.encode([np.full((2, 2), k, np.uint16)]))
+    value = lambda df: [int(np.frombuffer(bytes(r["px"]), "<u2")[0]) for r in df.collect()]
+    assert value(tiff.read(spark, str(tmp_path), include="^a_")) == [0, 1, 2]
+    assert value(tiff.read(spark, str(tmp_path), include="^A_", leica=True)) == [1, 2, 0]
+    assert value(tiff.read(spark, str(tmp_path), indices=[2, 4])) == [1, 4]
+    assert tiff.read(spark, str(tmp_path), include="nothing").count() == 0
+    with pytest.raises(FileNotFoundError):
+        tiff.read(spark, str(tmp_path / "gone.tif"))
+    big_endian = b"MM\x00*" + struct.pack(">IH", 8, 7) + b"".join(struct.pack(">HHIHH", t, 3, 1, v, 0) for t, v in ((256, 2), (257, 1), (258, 16), (259, 1))) + b"".join(struct.pack(">HHII", t, 4, 1, v) for t, v in ((273, 98), (278, 1), (279, 4))) + struct.pack(">I", 0) + struct.pack(">2H", 7, 300)
+    assert tiff.decode(big_endian)[0].tolist() == [[7, 300]]
+
+
+def test_names_and_paths(spark, tmp_path):
+    for n in ("Plane02.stack", "Plane01.stack", "skip.stack", "other.log"):
+        (tmp_path / n).write_bytes(b"\0" * (2 * H * W * 3 + 5))
+    assert [r["name"] for r in sidecar.files(spark, str(tmp_path), "STACK$", "^skip").orderBy("k").collect()] == ["Plane01.stack", "Plane02.stack"]
+    assert [r["name"] for r in sidecar.files(spark, str(tmp_path), indices=[2]).collect()] == ["Plane02.stack"]
+    assert planestack.frame_count(str(tmp_path / "Plane01.stack"), H, W) == 3
+    assert planestack.stacks(f"file://{tmp_path}") == [(1, str(tmp_path / "Plane01.stack")), (2, str(tmp_path / "Plane02.stack"))]
+    assert spark.range(1).select(sidecar.join_path(F.lit("/a/"), F.lit("b//"), F.lit("c/"))).first()[0] == "/a/b/c"
+
+
 def test_mbif3(spark, tmp_path):
     head = struct.pack("<II8x4f", 2, 3, 1.0, 2.0, 3.0, 4.0)
     px = [np.arange(6, dtype="<u2") + k for k in (0, 10)]
