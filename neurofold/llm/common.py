@@ -6,7 +6,8 @@ batch, so tokenising and hashing are a few numpy passes and no per-word Python.
 ``counted`` is the distributed key count: documents are dealt into parts of
 bounded text, each part sends every distinct key once to the key's range, ranges
 add the counts up, and the totals go back to the parts that asked.  A key that
-occurs in a third of all rows costs one entry a part, so no task is hot.
+occurs in a third of all rows costs one entry a part, so no task is hot.  Where parts
+are so many that their messages would hold few keys, runs of parts are added up first.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 #: Text bytes that one part of a document table holds, and the least number of parts.
 PART_BYTES = 8 << 20
 LEAST_PARTS = 64
+#: Ranges up to which parts send their keys to them at once; beyond, in two levels.
+MANY = 4096
 #: Text bytes handled at once inside a task; bounds the numpy temporaries.
 CHUNK = 2 << 20
 
@@ -206,60 +209,55 @@ def expand(blob: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(rest[8:], size * kind.itemsize, codec="zstd", asbytes=True), kind)
 
 
-def ranges_of(keys: np.ndarray, count: int) -> np.ndarray:
-    """Where each of ``count`` equal ranges of the 64-bit keys begins among sorted keys (one more entry at the end)."""
-    width = np.uint64(((1 << 64) - 1) // count)
-    return np.append(np.searchsorted(keys, np.arange(count, dtype=np.uint64) * width, "left"), len(keys))
-
-
 ASK = "range int, part int, keys binary, counts array<binary>"
 TOLD = "part int, range int, counts array<binary>"
 
 
 def ask(part: int, keys: np.ndarray, counts: list[np.ndarray], ranges: int) -> pa.Table:
     """Rows that send a part's sorted distinct keys with counts (of one or several kinds) to their ranges."""
-    at = ranges_of(keys, ranges)
-    full = np.flatnonzero(np.diff(at)).tolist()
+    # Ranges are equal shares of the 64-bit keys; only those that are met cost anything.
+    width = np.uint64(((1 << 64) - 1) // ranges)
+    owner = np.minimum(keys // width, np.uint64(ranges - 1)).astype(np.int64)
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(keys) else np.zeros(0, np.int64)
+    cuts = np.append(at, len(keys))
+    runs = list(zip(cuts[:-1], cuts[1:], strict=True))
     return pa.table(
         {
-            "range": pa.array(full, pa.int32()),
-            "part": pa.array([part] * len(full), pa.int32()),
-            "keys": pa.array([pack(keys[at[r] : at[r + 1]]) for r in full], pa.binary()),
-            "counts": pa.array([[pack_counts(c[at[r] : at[r + 1]]) for c in counts] for r in full], pa.list_(pa.binary())),
+            "range": pa.array(owner[at], pa.int32()),
+            "part": pa.array([part] * len(at), pa.int32()),
+            "keys": pa.array([pack(keys[i:j]) for i, j in runs], pa.binary()),
+            "counts": pa.array([[pack_counts(c[i:j]) for c in counts] for i, j in runs], pa.list_(pa.binary())),
         }
     )
 
 
-def told_total(table: pa.Table, told: int, elect: bool) -> pa.Table:
-    """Adds up one range: for each part that asked, the totals of its keys in order (of the first ``told`` kinds).
+class Messages:
+    """What several parts ask of one range: their keys, and the counts of each kind added up by key."""
 
-    elect: one more column, 1 where the part is the least that asked for the key.
-    """
-    table = table.sort_by("part")
-    part, blobs, counts = (table.column(c).to_pylist() for c in ("part", "keys", "counts"))
-    keys = [unpack(b) for b in blobs]
-    ends = np.cumsum([0, *map(len, keys)])
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    slot = np.empty(len(every), np.int64)
-    slot[order] = np.cumsum(new) - 1
-    totals = []
-    for kind in range(len(counts[0])):
-        n = np.bincount(slot, np.concatenate([unpack_counts(c[kind]) for c in counts])).astype(np.int64)
-        totals.append(n)
-    first = np.zeros(len(every), np.int64)
-    first[order[new]] = 1
-    given = lambda i: [pack_counts(n[slot[ends[i] : ends[i + 1]]]) for n in totals[:told]] + [pack_counts(first[ends[i] : ends[i + 1]])] * elect
-    return pa.table(
-        {
-            "part": pa.array(part, pa.int32()),
-            "range": pa.array(table.column("range").to_pylist(), pa.int32()),
-            "counts": pa.array([given(i) for i in range(len(part))], pa.list_(pa.binary())),
-        }
-    )
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by("part")
+        keys = [unpack(b) for b in self.table.column("keys").to_pylist()]
+        self.ends = np.cumsum([0, *map(len, keys)])
+        every = np.concatenate(keys)
+        self.distinct, self.place, self.slot = np.unique(every, return_index=True, return_inverse=True)
+        kinds = zip(*self.table.column("counts").to_pylist(), strict=True)
+        self.sums = [np.bincount(self.slot, np.concatenate([unpack_counts(b) for b in kind]), len(self.distinct)).astype(np.int64) for kind in kinds]
+
+    def answers(self, totals: list[np.ndarray], elected: np.ndarray | None) -> pa.Table:
+        """For each part the totals of its keys in order; where keys are elected, 1 more for the least part that asked."""
+        columns = [t[self.slot] for t in totals]
+        if elected is not None:
+            first = np.zeros(len(self.slot), np.int64)
+            first[self.place] = elected
+            columns.append(first)
+        blobs = [[pack_counts(c[i:j]) for c in columns] for i, j in zip(self.ends[:-1], self.ends[1:], strict=True)]
+        return pa.table({"part": self.table.column("part"), "range": self.table.column("range"), "counts": pa.array(blobs, pa.list_(pa.binary()))})
+
+
+def told_total(table: pa.Table, told: int, elect: bool) -> pa.Table:
+    """Adds up one range: for each part that asked, the totals of its keys (of the first ``told`` kinds)."""
+    m = Messages(table)
+    return m.answers(m.sums[:told], np.ones(len(m.distinct), np.int64) if elect else None)
 
 
 def totals_of(answer: pa.Table, told: int) -> list[np.ndarray]:
@@ -271,13 +269,13 @@ def totals_of(answer: pa.Table, told: int) -> list[np.ndarray]:
     return [np.concatenate([unpack_counts(c[k]) for c in counts]) for k in range(told)]
 
 
-def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, told: int = 1, elect: bool = False) -> DataFrame:
+def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, told: int = 1, elect: bool = False, many: int | None = None) -> DataFrame:
     """Counts keys over all parts of ``dealt`` (which has an int column ``part``) and hands each part its totals.
 
     keys_of(table) -> (sorted distinct uint64 keys, [counts of each kind]); use(table, totals) -> Arrow table of ``schema``.
     Totals come back for the first ``told`` kinds;
     elect adds a 0/1 column that is 1 for one part of those that have the key.
-    Both see the whole part, which holds a bounded amount of text.
+    Both see the whole part, which holds a bounded amount of text.  Up to ``many`` ranges (MANY) are asked directly.
     """
 
     def send(table: pa.Table) -> pa.Table:
@@ -287,8 +285,28 @@ def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, told: int
     def receive(table: pa.Table, answer: pa.Table) -> pa.Table:
         return use(table, totals_of(answer, told + elect))
 
-    asked = dealt.groupBy("part").applyInArrow(send, ASK)
-    answers = asked.groupBy("range").applyInArrow(lambda table: told_total(table, told, elect), TOLD)
+    if ranges <= (many or MANY):
+        asked = dealt.groupBy("part").applyInArrow(send, ASK)
+        answers = asked.groupBy("range").applyInArrow(lambda table: told_total(table, told, elect), TOLD)
+    else:
+        # Two levels: runs of parts first add up what they ask of a coarse range, and each such sum is a part of the count by fine ranges.
+        coarse, run = math.isqrt(ranges), math.isqrt(ranges)
+
+        def send_coarse(table: pa.Table) -> pa.Table:
+            keys, counts = keys_of(table)
+            return ask(table.column("part")[0].as_py(), keys, counts, coarse)
+
+        def merged(table: pa.Table):
+            m = Messages(table.select(["range", "asker", "keys", "counts"]).rename_columns(["range", "part", "keys", "counts"]))
+            return m.distinct, m.sums
+
+        def spread(table: pa.Table, totals) -> pa.Table:
+            m = Messages(table.select(["range", "asker", "keys", "counts"]).rename_columns(["range", "part", "keys", "counts"]))
+            return m.answers(totals[:told], totals[told] if elect else None)
+
+        asked = dealt.groupBy("part").applyInArrow(send_coarse, ASK).withColumnRenamed("part", "asker")
+        asked = asked.withColumn("part", (F.floor(F.col("asker") / run) * coarse + F.col("range")).cast("int"))
+        answers = counted(asked, merged, spread, TOLD, ranges, told, elect, ranges)
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(receive, schema)
 
 

@@ -485,3 +485,14 @@ def test_mix_of_rows_that_repeat_beyond_a_block(spark, monkeypatch):
     for size in {r["source_size"] for r in got}:
         own = [r for r in got if r["source_size"] == size]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+
+
+def test_trie_of_long_words_and_a_bound_on_nodes(monkeypatch):
+    """A word of 100,000 characters, and a trie that is begun anew on the way: the same counts as word by word."""
+    scores = {"a": -1.0, "b": -1.5, "ab": -1.2, "abc": -4.0, "bab": -2.0}
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(300)] + ["ab" * 50_000]
+    alone = [token_counts.Trie(scores).count(t) for t in tokens]
+    assert alone[-1] == 50_000 and token_counts.Trie(scores).counts(tokens) == alone
+    monkeypatch.setattr(token_counts, "NODES", 40)
+    assert token_counts.Trie(scores).counts(tokens) == alone
