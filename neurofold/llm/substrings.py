@@ -249,15 +249,17 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
         return table.column("part")[0].as_py()
 
     # 1. Triggers whose following bytes occur again.
-    def follow_keys(table: pa.Table):
-        return _unique(entries(*flat(unparcel(table).column("text")), length)[3])
+    def parse(table: pa.Table) -> pa.Table:
+        _, low, high, key, whole = entries(*flat(unparcel(table).column("text")), length)
+        return _state(number(table), low, high, key=key, whole=whole)
 
     def follow_use(table: pa.Table, totals):
-        _, low, high, key, whole = entries(*flat(unparcel(table).column("text")), length)
-        again = totals[0][np.searchsorted(np.unique(key), key)] > 1
-        return _state(number(table), low[again], high[again], key=key[again], whole=whole[again])
+        x = _held(table)
+        again = totals[0][np.searchsorted(np.unique(x["key"]), x["key"])] > 1
+        return _state(number(table), x["low"][again], x["high"][again], key=x["key"][again], whole=x["whole"][again])
 
-    state = materialise(counted(dealt, follow_keys, follow_use, STATE, parts), "parse")
+    parsed = materialise(dealt.groupBy("part").applyInArrow(parse, STATE), "parse")
+    state = materialise(counted(parsed, lambda t: _unique(_held(t)["key"]), follow_use, STATE, parts), "repeated-parse")
 
     # 2. Entries that occur again; one occurrence of each is chosen.
     def whole_use(table: pa.Table, totals):
