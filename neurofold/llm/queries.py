@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licences, lm, mix, quality, shard, substrings, token_counts, vectors
-from .common import crc_fold
+from . import decontaminate, fim, jaccard, licences, lm, mix, quality, resample, shard, substrings, token_counts, token_ids, vectors
+from .common import crc_fold, shared_dir
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -56,4 +58,22 @@ def op10_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op3_attention_quality, op4_deleted_interpolation, op5_trie_token_counts, op6_subspace_pigeonhole, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences, op10_pigeonhole_edits)}
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restore(fim.fill_in_middle(_read(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    token_ids.write_ids(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_ids.documents(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_prefix_free_substrings, op2_ngram_jaccard, op3_attention_quality, op4_deleted_interpolation, op5_trie_token_counts, op6_subspace_pigeonhole, op7_pivotal_mix, op8_hilbert_shards, op9_rare_token_licences, op10_pigeonhole_edits, op11_importance_resample, op12_fill_in_middle, op13_patched_frames)}
