@@ -87,9 +87,44 @@ def substrings(length: int = 200) -> str:
     FROM d LEFT JOIN cut USING (rid)"""
 
 
+def importance_resample(percent: int = 25, least_words: int = 20, buckets: int = 10_000, seed: int = 7) -> str:
+    """Features as rows; crc32 by its table, made by its rule, over the bytes of every distinct feature."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""WITH tb AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWERED}, '{word}') AS w FROM documents),
+    m AS (SELECT regexp_extract_all({LOWERED}, '{word}') AS w FROM benchmark),
+    f AS (SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+    g AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM m),
+    h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM f UNION SELECT f FROM g)),
+    b AS (SELECT f, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS b FROM h, tb),
+    s AS (SELECT b, count(*) AS s FROM f JOIN b USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM g JOIN b USING (f) GROUP BY b),
+    total AS (SELECT CAST((SELECT count(*) FROM f) AS DOUBLE) + {buckets} AS s, CAST((SELECT count(*) FROM g) AS DOUBLE) + {buckets} AS t),
+    gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1.0::DOUBLE) * total.s / ((s.s + 1.0::DOUBLE) * total.t))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), total),
+    own AS (SELECT rid, count(*) AS n, CAST(sum(gain) AS BIGINT) AS sum FROM f JOIN b USING (f) JOIN gain USING (b) GROUP BY rid),
+    scored AS (SELECT rid, doc_id, len(w) >= {least_words} AS eligible, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN (sum - ((sum % n) + n) % n) // n ELSE 0 END AS weight,
+      CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise FROM d LEFT JOIN own USING (rid)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY weight + noise DESC, doc_id) AS place, (SELECT count(*) FROM scored WHERE eligible) * {percent} // 100 AS draw FROM scored)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score, CASE WHEN eligible AND place <= draw THEN CAST(place AS BIGINT) END AS rank FROM ranked"""
+
+
+def fill_in_middle(seed: int = 1) -> str:
+    """Cuts and forms by string functions over code points."""
+    h = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    e AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {h} FROM d),
+    f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+    g AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM g"""
+
+
 ORACLE_SQL = {
     "op1_prefix_free_substrings": substrings(),
     "op2_ngram_jaccard": near_duplicates(),
     "op6_subspace_pigeonhole": vectors(),
     "op9_rare_token_licences": licences(),
+    "op11_importance_resample": importance_resample(),
+    "op12_fill_in_middle": fill_in_middle(),
 }

@@ -193,8 +193,8 @@ def scored(docs: DataFrame, gain: np.ndarray, least_words: int, seed: int, run_r
 
 def sort_keys(columns: list[np.ndarray]) -> list[bytes]:
     """Rows of 64-bit integers as byte strings in the same order."""
-    wide = np.stack([(c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for c in columns], 1)
-    raw, size = np.ascontiguousarray(wide).tobytes(), 8 * len(columns)
+    wide = np.stack([c.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63) for c in columns], 1)
+    raw, size = wide.astype(">u8").tobytes(), 8 * len(columns)
     return [raw[i : i + size] for i in range(0, len(raw), size)]
 
 
