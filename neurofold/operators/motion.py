@@ -44,15 +44,15 @@ def block_images(blocks: DataFrame, cycle: int, limit: int | None = None) -> Dat
 
 
 def page_images(pages: DataFrame) -> DataFrame:
-    """(z, h, w, image) of grey pages (page, h, w, bits, px row-major)."""
+    """(z, h, w, image) of grey pages (page, h, w, bits, kind, px row-major)."""
 
     def turn(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                image = np.frombuffer(row["px"], f"<u{row['bits'] // 8}").reshape(row["h"], row["w"])
+                image = np.frombuffer(row["px"], f"<{row['kind']}{row['bits'] // 8}").reshape(row["h"], row["w"])
                 yield pa.RecordBatch.from_arrays([pa.array([row["page"]], pa.int64()), pa.array([row["h"]], pa.int32()), pa.array([row["w"]], pa.int32()), pa.array([image.astype("<f8").tobytes(order="F")], pa.binary())], ["z", "h", "w", "image"])
 
-    return pages.select("page", "h", "w", "bits", "px").mapInArrow(turn, "z bigint, h int, w int, image binary")
+    return pages.select("page", "h", "w", "bits", "kind", "px").mapInArrow(turn, "z bigint, h int, w int, image binary")
 
 
 def patch_index(ind: np.ndarray, height: int, radius: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.semantics import mround
+from ..sources.tiff import image_of, whole
 from . import stencil as S
 
 
@@ -74,16 +75,16 @@ def labels(pixels: DataFrame, p: Params) -> DataFrame:
 
 
 def labels_of_pages(pages: DataFrame, p: Params) -> DataFrame:
-    """``labels`` from grey pages (page, h, w, bits, px row-major), one page a group: only cell pixels become rows."""
+    """``labels`` from grey pages (page, h, w, bits, kind, px row-major), one page a group: only cell pixels become rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        z, h, w, bits = (table.column(c)[0].as_py() for c in ("page", "h", "w", "bits"))
-        image = np.frombuffer(table.column("px")[0].as_py(), f"<u{bits // 8}").reshape(h, w).astype(np.int64)
+        z, *page = (table.column(c)[0].as_py() for c in ("page", "h", "w", "bits", "kind", "px"))
+        image, (h, w) = whole(image_of(*page)), page[:2]
         label = segment_plane(image, p)["label"]
         y, x = np.nonzero(label)
         return pa.table({"z": pa.array(np.full(len(y), z, np.int64)), "y": pa.array(y + 1), "x": pa.array(x + 1), "ind": pa.array(x * h + y + 1), "label": pa.array(label[y, x])})
 
-    return pages.select("page", "h", "w", "bits", "px").groupBy("page").applyInArrow(run, S.PIXEL + ", label bigint")
+    return pages.select("page", "h", "w", "bits", "kind", "px").groupBy("page").applyInArrow(run, S.PIXEL + ", label bigint")
 
 
 def region_properties(labelled: DataFrame) -> DataFrame:
