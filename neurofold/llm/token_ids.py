@@ -48,7 +48,7 @@ PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 1.0)
 #: Ids of a file, beyond which a task begins another; text bytes of a range; text bytes tokenised at once.
 FILE_IDS, RANGE_BYTES, CHUNK = 16 << 20, 32 << 20, 8 << 20
 #: Distinct pieces and their ids that a worker remembers.
-PIECES, POOL = 400_000, 8 << 20
+PIECES, POOL = 1_000_000, 8 << 20
 FOOTER = struct.Struct("<QQQQ8s")
 
 
@@ -199,9 +199,9 @@ class Pieces:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
-        """Places where the tokenizer is certain to cut, whatever is around them."""
+        """For each place inside the data whether the tokenizer is certain to cut there, whatever is around it."""
         if not self.cuttable or len(data) < 2:
-            return np.zeros(0, np.int64)
+            return np.zeros(max(len(data) - 1, 0), bool)
         kind = _CLASS[data]
         # U+00C0 to U+017F are letters but for the signs of multiplication and division.
         lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
@@ -216,17 +216,18 @@ class Pieces:
             while at >= 0:
                 sure[at : at + len(token) - 1] = False
                 at = raw.find(token, at + 1)
-        return np.flatnonzero(sure) + 1
+        return sure
 
     def learn(self, new: list[bytes]) -> None:
         """Remembers the ids of pieces."""
-        lines = [p for p in new if self.line is not None and _LINE.fullmatch(p)]
-        rest = new if self.line is None else [p for p in new if not _LINE.fullmatch(p)]
+        lines, rest = [], []
+        for piece in new:
+            (lines if self.line is not None and _LINE.fullmatch(piece) else rest).append(piece)
         for group in (lines[i : i + 2000] for i in range(0, len(lines), 2000)):
             ids = np.array(self.encode([b"\n".join(group).decode()])[0], np.uint32)
             ends = np.append(np.flatnonzero(ids == self.line), len(ids))
             if len(ends) != len(group):
-                rest = rest + group
+                rest += group
                 continue
             for piece, a, b in zip(group, np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True):
                 self.keep(piece, ids[a:b].tolist())
@@ -243,7 +244,10 @@ class Pieces:
         """Ids of all texts one after another, and how many each has."""
         if len(self.slots) > PIECES or len(self.pool) > POOL:
             self.clear()
-        ends = np.unique(np.concatenate([self.cuts(data), offsets]))
+        at = np.zeros(len(data) + 1, bool)
+        at[1:-1] = self.cuts(data)
+        at[offsets] = True
+        ends = np.flatnonzero(at)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         self.learn([p for p in distinct if p not in self.slots])
