@@ -98,7 +98,8 @@ class Pipeline:
         """(cell_id, t, f0, dff) or, without detrending, (cell_id, t, f)."""
         info, p = self.acquisition(), self.params
         options = {} if self.limit(info) is None else {"t1": self.limit(info)}
-        raw = planestack.cell_means(self.frames(info, **options), self.cells())
+        cells = planestack.by_plane(self.cells(), self.path("cells_by_plane"))
+        raw = planestack.read_cells(self.spark, self.directory, info["stack_height"], info["stack_width"], cells, **options)
         points = traces.subtract(raw, self.background())
         if p.enable_photobleach_fit:
             length = int(-(-info["frame_rate"] * p.baseline_window_seconds // 1))

@@ -5,23 +5,30 @@ loaded whole; filters on ``z`` and ``t0`` leave out whole blocks, whose bounds s
 of the unfiltered table, and Spark applies them to the rest.  Local and mounted paths are
 read with seeks, others through the file system that pyarrow finds for them.
 
-Writers put every partition's frames into a file of its own and only the driver's commit
-renames those into place, so a task that runs twice leaves nothing behind.
+Cells are read by their pixels: a partition is a plane's run of frames, its task loads the
+plane's cells and turns their pixels into merged byte ranges, so no frame is shuffled and
+what is read grows with the pixels asked for.
+
+Writers place every block of frames at its offset of one file (``store.Placed``), by as many
+tasks as there are blocks; appends go on behind a file's end.  Files appear when the job commits.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
-import shutil
-import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from . import store
+from .store import Committed, Placed, Written
 
 FRAMES = "z int, t0 int, n int, h int, w int, px binary"
 TRACES = "cell_id bigint, trace array<float>"
@@ -39,10 +46,8 @@ def open_file(path: str):
 
 
 def size_of(path: str) -> int:
-    if "://" in path and not path.startswith("file:"):
-        fs, at = pa.fs.FileSystem.from_uri(path)
-        return fs.get_file_info(at).size
-    return os.path.getsize(local(path))
+    """Bytes of a file, without those of an append that is not committed."""
+    return store.size_of(path)
 
 
 def listing(path: str) -> list[tuple[str, str]]:
@@ -118,64 +123,6 @@ class StackReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([*cols, pa.array([px], pa.binary())], ["z", "t0", "n", "h", "w", "px"])
 
 
-class Written(WriterCommitMessage):
-    """Files that a task has written, each with where it belongs."""
-
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
-
-
-class Committed(DataSourceArrowWriter):
-    """Tasks write files below a folder of this job; the driver moves those of successful tasks into place."""
-
-    def __init__(self, options, overwrite: bool):
-        self.path, self.overwrite = local(options["path"]), overwrite
-        self.staging = os.path.join(self.path, f"_job-{uuid.uuid4().hex}")
-        os.makedirs(self.staging, exist_ok=True)
-
-    def place(self, files: list[tuple[str, str]]) -> None:
-        raise NotImplementedError
-
-    def commit(self, messages):
-        self.place([f for m in messages if m is not None for f in m.files])
-        shutil.rmtree(self.staging)
-
-    def abort(self, messages):
-        shutil.rmtree(self.staging, ignore_errors=True)
-
-
-class StackWriter(Committed):
-    """Writes frame blocks to PlaneNN.stack; a plane's blocks must be in one task, in order (see ``write``)."""
-
-    def write(self, batches):
-        opened = {}
-        try:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    name = f"Plane{row['z']:02d}.stack"
-                    if name not in opened:
-                        opened[name] = open(os.path.join(self.staging, f"{name}-{uuid.uuid4().hex}"), "wb")
-                    opened[name].write(row["px"])
-        finally:
-            for f in opened.values():
-                f.close()
-        return Written([(f.name, name) for name, f in opened.items()])
-
-    def place(self, files):
-        for file, name in files:
-            target = os.path.join(self.path, name)
-            if self.overwrite or not os.path.exists(target):
-                os.replace(file, target)
-            else:
-                # The longer stack is made beside the old one and takes its place at once.
-                longer = f"{file}-longer"
-                with open(longer, "wb") as out:
-                    for part in (target, file):
-                        with open(part, "rb") as f:
-                            shutil.copyfileobj(f, out, 16 << 20)
-                os.replace(longer, target)
-
-
 class PlaneStack(DataSource):
     @classmethod
     def name(cls):
@@ -187,9 +134,6 @@ class PlaneStack(DataSource):
     def reader(self, schema):
         return StackReader(self.options)
 
-    def writer(self, schema, overwrite):
-        return StackWriter(self.options, overwrite)
-
 
 class FloatReader(DataSourceReader):
     """Options: path, n_cells; the matrix is cells x times, cells fastest; a partition is a run of times."""
@@ -263,8 +207,103 @@ def voxels(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "z bigint, t bigint, y bigint, x bigint, ind bigint, v bigint")
 
 
+#: Bytes between two pixels that are read through rather than skipped, and of a row group of cells.
+GAP, GROUP = 32 << 10, 4 << 20
+
+
+def byte_ranges(inds: np.ndarray, gap: int = GAP) -> np.ndarray:
+    """(first, last) pixels, 0-based and exclusive, of the ranges that cover sorted distinct linear indices, gaps of up to ``gap`` bytes included."""
+    at = inds - 1
+    new = np.flatnonzero(np.diff(at) > 1 + gap // 2) + 1
+    return np.stack([at[np.append(0, new)], at[np.append(new, len(at)) - 1] + 1], 1)
+
+
+def read_pixels(f, inds: np.ndarray, frames: range, size: int, gap: int = GAP) -> np.ndarray:
+    """Values (frames x inds) of sorted distinct pixels, by a seek and a read for each range of each frame.
+
+    Where ranges cover most of a frame, whole frames are read in runs.
+    """
+    ranges = byte_ranges(inds, gap)
+    out = np.empty((len(frames), len(inds)), "<u2")
+    if 2 * (ranges[:, 1] - ranges[:, 0]).sum() > size:
+        f.seek(2 * size * (frames.start - 1))
+        for k in range(len(frames)):
+            out[k] = np.frombuffer(f.read(2 * size), "<u2")[inds - 1]
+        return out
+    cuts = np.searchsorted(inds - 1, ranges[:, 0])
+    cuts = np.append(cuts, len(inds))
+    for k, t in enumerate(frames):
+        for (a, b), i, j in zip(ranges.tolist(), cuts[:-1], cuts[1:], strict=True):
+            f.seek(2 * (size * (t - 1) + a))
+            out[k, i:j] = np.frombuffer(f.read(2 * (b - a)), "<u2")[inds[i:j] - 1 - a]
+    return out
+
+
+@functools.lru_cache(maxsize=8)
+def plane_cells(cells: str, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell ids, where each one's pixels begin, pixels) of one plane of a table written by plane; a worker keeps the last planes."""
+    fs, at = store.store_of(cells)
+    rows = pa.dataset.dataset(at, filesystem=fs, format="parquet")
+    table = rows.to_table(columns=["cell_id", "inds"], filter=pa.dataset.field("z") == z).sort_by("cell_id").combine_chunks()
+    inds = table.column("inds").chunk(0) if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    return table.column("cell_id").to_numpy(), np.append(0, np.cumsum(inds.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64), inds.flatten().to_numpy().astype(np.int64)
+
+
+class CellReader(StackReader):
+    """Options of ``StackReader`` and cells (a table that ``by_plane`` has written): partitions are its blocks, rows are means of cells."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.cells, self.gap = options["cells"], int(options.get("gap", GAP))
+
+    def read(self, part):
+        if part is None:
+            return
+        ids, begin, inds = plane_cells(self.cells, part.z)
+        filled = np.diff(begin) > 0
+        ids, starts = ids[filled], begin[:-1][filled]
+        if not len(ids):
+            return
+        every, place = np.unique(inds, return_inverse=True)
+        frames = range(part.first, part.last)
+        with open_file(part.path) as f:
+            x = read_pixels(f, every, frames, self.h * self.w, self.gap)
+        for k, t in enumerate(frames):
+            f_ = (np.add.reduceat(x[k][place].astype(np.int64), starts) / np.diff(begin)[filled]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), t, np.int64)), pa.array(f_)], ["cell_id", "t", "f"])
+
+
+class CellMeans(DataSource):
+    @classmethod
+    def name(cls):
+        return "cellmeans"
+
+    def schema(self):
+        return "cell_id bigint, t bigint, f float"
+
+    def reader(self, schema):
+        return CellReader(self.options)
+
+
+def by_plane(cells: DataFrame, path: str) -> str:
+    """Writes cells (cell_id, z, inds) in the order of their planes: a task of ``read_cells`` loads its plane's row groups alone."""
+    rows = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("inds").cast("array<int>").alias("inds"), F.col("z").cast("int").alias("z"))
+    ordered = rows.repartitionByRange("z", "cell_id").sortWithinPartitions("z", "cell_id")
+    ordered.write.mode("overwrite").option("parquet.block.size", GROUP).parquet(path)
+    return path
+
+
+def read_cells(spark: SparkSession, path: str, h: int, w: int, cells: str, **options) -> DataFrame:
+    """(cell_id, t, f): mean of each cell's pixels in every frame of the stacks below path, without moving frames.
+
+    cells: the path of a table written by ``by_plane``.
+    """
+    spark.dataSource.register(CellMeans)
+    return spark.read.format("cellmeans").options(h=h, w=w, cells=cells, **options).load(path)
+
+
 def cell_means(blocks: DataFrame, cells: DataFrame) -> DataFrame:
-    """(cell_id, t, f): mean of each cell's pixels in every frame, straight from blocks; cells: (cell_id, z, inds), joined to the blocks of their plane."""
+    """``read_cells`` from blocks of frames that are no stack files: cells are joined to the blocks of their plane."""
     by_plane = cells.groupBy("z").agg(F.collect_list(F.struct(F.col("cell_id").cast("long").alias("cell_id"), F.col("inds").cast("array<int>").alias("inds"))).alias("cells"))
 
     def run(batches):
@@ -286,19 +325,58 @@ def read_float(spark: SparkSession, path: str, n_cells: int) -> DataFrame:
     return spark.read.format("stackf").options(n_cells=n_cells).load(path)
 
 
-def write(blocks: DataFrame, path: str, append: bool = False) -> None:
-    """Frame blocks to raw stacks; a plane is written by one task in frame order."""
-    blocks.sparkSession.dataSource.register(PlaneStack)
-    ordered = blocks.select("z", "t0", "n", "h", "w", "px").repartition("z").sortWithinPartitions("z", "t0")
-    ordered.write.format("planestack").mode("append" if append else "overwrite").save(path)
+def write(blocks: DataFrame, path: str, append: bool = False, stream: bool = False) -> None:
+    """Frame blocks (z, t0, n, h, w, px) to raw stacks PlaneNN.stack below path, each block where it stands.
+
+    A plane's blocks must follow one another without a gap; the least frame comes first, or after the frames that a file
+    has when appending.  One light pass over the blocks' numbers checks that before anything is written; nothing is shuffled.
+    ``stream`` treats a local folder as a store that takes whole files only.
+    """
+    size = F.lit(2).cast("long") * F.col("h") * F.col("w")
+    ends = F.col("t0") + F.col("n")
+    planes = blocks.groupBy("z").agg(F.min("t0").alias("first"), F.max(ends).alias("end"), F.sum("n").alias("n"), F.min(size).alias("size"), F.max(size).alias("most"), F.sum(F.octet_length("px")).alias("bytes")).collect()
+    for p in planes:
+        if p["end"] - p["first"] != p["n"] or p["size"] != p["most"] or p["bytes"] != p["size"] * p["n"]:
+            raise ValueError(f"plane {p['z']}: blocks overlap, leave gaps, or are not of one size")
+    targets, begins = {}, {p["z"]: p["first"] for p in planes}
+    try:
+        for p in planes:
+            targets[p["z"]] = Placed(f"{path.rstrip('/')}/Plane{p['z']:02d}.stack", append, stream)
+
+        def put(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    z, t0, h, w = (batch.column(c)[k].as_py() for c in ("z", "t0", "h", "w"))
+                    at = 2 * h * w * (t0 - begins[z])
+                    done = targets[z].put(at, batch.column("px")[k].as_buffer())
+                    yield done.append_column("z", pa.array([z], pa.int32())).to_batches()[0]
+
+        written = blocks.select("z", "t0", "h", "w", "px").mapInArrow(put, f"{Placed.ROWS}, z int")
+        if all(t.random for t in targets.values()):
+            written.count()
+        else:
+
+            def join(table: pa.Table) -> pa.Table:
+                z = table.column("z")[0].as_py()
+                targets[z].stream(table.sort_by("at").column("file").to_pylist())
+                return pa.table({"z": pa.array([z], pa.int32())})
+
+            written.groupBy("z").applyInArrow(join, "z int").count()
+        for target in targets.values():
+            target.finish()
+    except BaseException:
+        for target in targets.values():
+            target.abort()
+        raise
 
 
 class FloatWriter(Committed):
     """Writes (cell_id, t, f) as files of a run of times each, cells fastest; a task's rows must be in order (see ``write_float``)."""
 
     def write(self, batches):
-        file, first = os.path.join(self.staging, uuid.uuid4().hex), None
-        with open(file, "wb") as f:
+        fs, file = self.fresh()
+        first = None
+        with fs.open_output_stream(file) as f:
             for batch in batches:
                 if batch.num_rows:
                     first = batch.column("t")[0].as_py() if first is None else first
@@ -306,11 +384,47 @@ class FloatWriter(Committed):
         return Written([] if first is None else [(file, f"part-{first:012d}.stackf")])
 
     def place(self, files):
-        for old in os.listdir(self.path) if self.overwrite else []:
-            if re.fullmatch(r"part-\d+\.stackf", old):
-                os.remove(os.path.join(self.path, old))
-        for file, name in files:
-            os.replace(file, os.path.join(self.path, name))
+        fs, at = store.store_of(self.path)
+        for old in fs.get_file_info(pa.fs.FileSelector(at)) if self.overwrite else []:
+            if re.fullmatch(r"part-\d+\.stackf", old.base_name):
+                fs.delete_file(old.path)
+        super().place(files)
+
+
+def write_float_file(points: DataFrame, path: str, n_cells: int) -> None:
+    """(cell_id, t, f) with ids from 1 to n_cells as one float32 matrix, cells fastest; values that are missing are NaN.
+
+    Ranges of times are written side by side, each at its place.
+    """
+    target = Placed(path)
+    dealt = points.select("cell_id", F.col("t").cast("long").alias("t"), F.col("f").cast("float").alias("f")).repartitionByRange("t").sortWithinPartitions("t")
+
+    def put(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            # The last time of a batch may go on in the next one.
+            t = rows.column("t").to_numpy()
+            cut = int(np.searchsorted(t, t[-1])) if len(t) else 0
+            if cut:
+                yield from matrix(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield from matrix(held)
+
+    def matrix(rows: pa.Table):
+        t, cell, f = (rows.column(c).to_numpy() for c in ("t", "cell_id", "f"))
+        runs = np.append(np.flatnonzero(np.append(True, np.diff(t) > 1)), len(t))
+        for a, b in zip(runs[:-1], runs[1:], strict=True):
+            out = np.full((t[b - 1] - t[a] + 1, n_cells), np.nan, "<f4")
+            out[t[a:b] - t[a], cell[a:b] - 1] = f[a:b]
+            yield from target.put(4 * n_cells * int(t[a] - 1), out.tobytes()).to_batches()
+
+    try:
+        target.commit(dealt.mapInArrow(put, Placed.ROWS))
+    except BaseException:
+        target.abort()
+        raise
 
 
 def write_float(points: DataFrame, path: str) -> None:

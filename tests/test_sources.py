@@ -140,3 +140,82 @@ def test_missing_sidecar(spark, tmp_path):
 def test_batch_isolates_failures(spark, tmp_path):
     status = stages.run_all(spark, [str(tmp_path / "none")], Params()).collect()
     assert [tuple(r)[1:4] for r in status] == [("FAIL", "SKIP", "SKIP")]
+
+
+def random_cells(rng, size, n):
+    return [(k + 1, int(rng.integers(1, 4)), sorted((rng.choice(size, rng.integers(1, 9), False) + 1).tolist())) for k in range(n)]
+
+
+@pytest.mark.parametrize("gap", [0, 40, 1 << 20])
+def test_cells_are_read_by_their_pixels(spark, tmp_path, gap):
+    """Equal to the join of blocks and cells, whatever gaps are read through; planes without cells or files give nothing."""
+    rng = np.random.default_rng(2)
+    for z in (1, 2, 4):
+        (tmp_path / f"Plane{z:02d}.stack").write_bytes(rng.integers(0, 60_000, 40 * H * W).astype("<u2").tobytes())
+    cells = spark.createDataFrame([*random_cells(rng, H * W, 30), (99, 2, [])], "cell_id long, z int, inds array<int>")
+    table = planestack.by_plane(cells, f"file://{tmp_path}/cells")
+    found = planestack.read_cells(spark, str(tmp_path), H, W, table, gap=gap, block=7, t0=3, t1=38)
+    expected = planestack.cell_means(planestack.read(spark, str(tmp_path), H, W, t0=3, t1=38), cells.where("size(inds) > 0"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_no_frame_is_moved(spark, stack):
+    path, _ = stack
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = planestack.by_plane(spark.createDataFrame([(1, 1, [1, 2])], "cell_id long, z int, inds array<int>"), f"file://{path}/cells")
+        plan = planestack.read_cells(spark, str(path), H, W, table)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+class Counting:
+    def __init__(self, raw):
+        self.raw, self.at, self.read_bytes = raw, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        self.at, self.read_bytes = self.at + n, self.read_bytes + n
+        return self.raw[self.at - n : self.at]
+
+
+def test_bytes_read_grow_with_the_pixels():
+    size, frames = 10_000, 5
+    x = np.arange(size * frames, dtype="<u2")
+    for inds, gap, bound in (([5, 6, 7, 9_000], 8, 8), ([5, 6, 7, 12], 100, 16), (list(range(1, 9_001)), 8, 2 * size)):
+        f, at = Counting(x.tobytes()), np.array(inds)
+        got = planestack.read_pixels(f, at, range(2, 5), size, gap)
+        assert (got == np.stack([x[size * (t - 1) :][at - 1] for t in range(2, 5)])).all()
+        assert f.read_bytes == 3 * bound
+    assert planestack.byte_ranges(np.array([1, 2, 5, 100]), 4).tolist() == [[0, 5], [99, 100]]
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_blocks_are_placed_by_many_tasks(spark, tmp_path, stream):
+    """A plane's blocks lie in several tasks, out of order; an append goes on behind them."""
+    raw = {z: np.random.default_rng(z).integers(0, 9, 20 * H * W).astype("<u2").tobytes() for z in (1, 12)}
+    for z, x in raw.items():
+        (tmp_path / f"Plane{z:02d}.stack").write_bytes(x)
+    blocks = planestack.read(spark, str(tmp_path), H, W, block=3, t0=5)
+    shuffled = blocks.repartition(6, "t0").cache()
+    for append in (False, True):
+        planestack.write(shuffled, f"file://{tmp_path}/out", append, stream)
+    for z, x in raw.items():
+        assert (tmp_path / "out" / f"Plane{z:02d}.stack").read_bytes() == 2 * x[2 * H * W * 4 :]
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    with pytest.raises(ValueError, match="overlap"):
+        planestack.write(shuffled.where("t0 <> 8"), f"file://{tmp_path}/out")
+    shuffled.unpersist()
+
+
+def test_float_matrix_in_one_file(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 7)).astype("<f4")
+    rows = spark.createDataFrame([(c + 1, t + 1, float(x[t, c])) for t in range(300) for c in range(7) if (t, c) != (40, 2)], "cell_id long, t int, f double")
+    planestack.write_float_file(rows.repartition(5), f"file://{tmp_path}/m.stackf", 7)
+    x[40, 2] = np.nan
+    assert np.array_equal(np.frombuffer((tmp_path / "m.stackf").read_bytes(), "<f4").reshape(300, 7), x, equal_nan=True)
