@@ -12,12 +12,15 @@ are so many that their messages would hold few keys, runs of parts are added up
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import math
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tables that ``materialise`` has written in this process and nobody has discarded.
 WRITTEN: list[str] = []
+_NOTED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
+
+
+@contextlib.contextmanager
+def noted():
+    """The tables that ``materialise`` writes inside, in this thread alone: what may be discarded once nothing reads them."""
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +81,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     WRITTEN.append(path)
+    if (paths := _NOTED.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,10 +103,6 @@ def part_count(size: int, part_bytes: int = PART_BYTES, least: int = LEAST_PARTS
     return max(least, math.ceil(size / part_bytes))
 
 
-def part_of(key: list[str], parts: int) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
-
-
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i <= n, kept between calls."""
     have = _POWERS.get(base)
@@ -311,21 +324,42 @@ def counted(dealt: DataFrame, keys_of, use, schema: str, ranges: int, told: int
 
 
 PARCEL = "part int, parcel binary"
+#: Equal rows of one task that are dealt together.
+REPEATS = 16
+
+
+def occurrences(keys: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """For each key how often it came before, here or in earlier calls with the same ``seen``."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    size = np.diff(np.append(first, len(keys)))
+    distinct = keys[order][first].tolist()
+    before = np.array([seen.get(k, 0) for k in distinct], np.int64)
+    seen.update(zip(distinct, (before + size).tolist(), strict=True))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(first, size) + np.repeat(before, size)
+    return out
 
 
 def parcels(docs: DataFrame, parts: int) -> DataFrame:
     """Deals rows into parts by a hash of doc_id and text, as compressed Arrow batches, so that a text crosses the network once and small.
 
-    A part is fixed by the row alone, so a task that is run again deals the same rows to the same parts.
+    Rows that repeat would all go to one part: what a task has met before is dealt by the task's number and how often it was
+    met as well, so that of equal rows, however many, at most one a task goes to the common part.  Rows of a task are dealt
+    alike whatever their order, so a task that is run again deals the same rows to the same parts.
     """
     columns = docs.columns
 
     def deal(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options, seen = pa.ipc.IpcWriteOptions(compression="zstd"), {}
+        task = np.uint64(TaskContext.get().partitionId() + 1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = batch.column(len(columns)).to_numpy(zero_copy_only=False)
+            key = batch.column(len(columns)).to_numpy(zero_copy_only=False)
+            part, again = (key % parts).astype(np.int32), occurrences(key, seen).astype(np.uint64)
+            salted = mix(mix(key.view(np.uint64) ^ mix(task << np.uint64(32))) ^ (again // np.uint64(REPEATS)))
+            part = np.where(again > 0, salted % np.uint64(parts), part).astype(np.int32)
             order = np.argsort(part, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
             table = pa.Table.from_batches([batch.select(columns)]).take(pa.array(order))
@@ -338,7 +372,7 @@ def parcels(docs: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part[order][first], pa.int32()), pa.array(blobs, pa.binary())], ["part", "parcel"])
 
     # Rows of one doc_id, or of none, are told apart by their texts.
-    return docs.withColumn("__part", part_of(["doc_id", "text"], parts)).mapInArrow(deal, PARCEL)
+    return docs.withColumn("__part", F.xxhash64("doc_id", "text")).mapInArrow(deal, PARCEL)
 
 
 def unparcel(table: pa.Table) -> pa.Table:

@@ -104,6 +104,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFram
         F.xxhash64(text).alias("text_key"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("lang", F.lit("")).alias("lang"),
+        F.monotonically_increasing_id().alias("place"),
     )
     # Texts are read once; from here on only their figures.
     rows = materialise(rows, "shard-rows")
@@ -141,12 +142,12 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFram
     cut = grouped.withColumn("shard", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int"))
     firsts = cut.groupBy("shard").agg(F.min("rows_before").alias("shard_start"))
     cut = cut.join(F.broadcast(firsts), "shard").select(*group, "curve", "shard", (F.col("rows_before") - F.col("shard_start")).alias("slot0"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("copies"))
-    # Rows of a group are numbered in blocks too: a group may hold a third of all rows.
-    joined = rows.select("doc_id", *group).join(cut, group).withColumn("copy_block", F.pmod(F.xxhash64("doc_id"), F.col("copies")))
+    # Rows of a group are numbered in blocks too: a group may hold a third of all rows, all of them with one id or none.
+    joined = rows.select("doc_id", "place", *group).join(cut, group).withColumn("copy_block", F.pmod(F.xxhash64("doc_id", "place"), F.col("copies")))
     many = joined.where("copies > 1").groupBy(*group, "copy_block").agg(F.count("*").alias("n"))
     run = W.partitionBy(*group).orderBy("copy_block").rowsBetween(W.unboundedPreceding, -1)
     many = many.select(*group, "copy_block", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("block_start"))
-    number = F.row_number().over(W.partitionBy(*group, "copy_block").orderBy("doc_id")) - 1
+    number = F.row_number().over(W.partitionBy(*group, "copy_block").orderBy("doc_id", "place")) - 1
     return joined.join(many, [*group, "copy_block"], "left").select(
         "doc_id",
         "size",

@@ -43,3 +43,37 @@ def test_discarded_tables_are_gone(spark):
     assert kept.count() == 3 and len(C.WRITTEN) == before + 1
     with pytest.raises(Exception):
         gone.collect()
+
+
+def test_repeated_rows_are_dealt_to_many_parts(spark):
+    """A third of all rows are equal, without an id: no part holds much more than its share, and reruns and other orders deal alike."""
+    rows = [(None, "the same text")] * 20_000 + [(i, f"text {i}") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).sortWithinPartitions("doc_id")
+    plain = lambda x: sorted((p, -1 if d is None else d) for p, d in x)
+
+    def _numbered(table):
+        rows = C.unparcel(table)
+        return pa.table({"doc_id": rows.column("doc_id"), "part": pa.array([table.column("part")[0].as_py()] * rows.num_rows, pa.int32())})
+
+    found = plain([(r["part"], r["doc_id"]) for r in C.parcels(docs, 64).groupBy("part").applyInArrow(_numbered, "doc_id long, part int").collect()])
+    sizes = Counter(p for p, _ in found)
+    assert len(found) == 60_000 and len(sizes) == 64 and max(sizes.values()) < 2 * 60_000 / 64
+    again = docs.sortWithinPartitions("text", ascending=False)
+    assert plain([(r["part"], r["doc_id"]) for r in C.parcels(again, 64).groupBy("part").applyInArrow(_numbered, "doc_id long, part int").collect()]) == found
+
+
+def test_occurrences_count_over_calls():
+    seen = {}
+    assert C.occurrences(np.array([5, 7, 5, 5]), seen).tolist() == [0, 0, 1, 2]
+    assert C.occurrences(np.array([7, 5, 9]), seen).tolist() == [1, 3, 0]
+
+
+def test_tables_of_one_thread_are_noted(spark):
+    import threading
+
+    with C.noted() as mine:
+        C.materialise(spark.range(1), "a")
+        other = threading.Thread(target=lambda: C.materialise(spark.range(1), "b"))
+        other.start()
+        other.join()
+    assert len(mine) == 1 and "/a-" in mine[0]

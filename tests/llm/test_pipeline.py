@@ -42,3 +42,32 @@ def test_decisions_are_about_rows(spark):
     assert P.mix(spark, odd, sf).columns == docs.columns and P.shard(spark, odd, sf).count() == len(rows)
     kept = P.quality(spark, odd, sf)
     assert kept.columns == docs.columns and {t for _, t in listed(kept)} <= {t for _, t in rows}
+
+
+def test_clashing_columns(spark):
+    """Columns named as what the stages make of documents come through with their values; rows that differ in them alone are rows of their own."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["k", "n", "part", "__id", "__key", "__copies", "__text_key", "row", "one", "two", "id", "whole", "uid", "times", "every", "m", "r"]
+    wide = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in names))
+    twice = wide.union(wide.selectExpr(*docs.columns, *(f"'other' AS {c}" for c in names)))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, twice, sf)
+        assert out.columns == wide.columns
+        assert out.where(" OR ".join(f"{c} NOT IN ('other', concat('{c}', doc_id))" for c in names)).count() == 0
+        assert out.where("(k = 'other') <> (uid = 'other')").count() == 0
+    assert P.STAGES[-1][1](spark, twice, sf).count() == twice.count()
+    once = P.one_of_each(spark, twice, sf)
+    assert once.where("text <> ''").count() == P.one_of_each(spark, docs, sf).where("text <> ''").count()
+
+
+def test_two_runs_at_once(spark):
+    import threading
+
+    sizes = []
+    runs = [threading.Thread(target=lambda: sizes.append(P.run(spark, "/root/testdata/sf0.001").count())) for _ in range(2)]
+    for r in runs:
+        r.start()
+    for r in runs:
+        r.join()
+    assert len(sizes) == 2 and sizes[0] == sizes[1] > 0
