@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurofold.llm.common import WRITTEN, crc_fold, discard, materialise
+from neurofold.llm.common import crc_fold, discard, materialise, noted
 from neurofold.llm.decontaminate import contaminated
 from neurofold.llm.jaccard import near_duplicates
 from neurofold.llm.mix import pivotal_mix
@@ -33,22 +33,27 @@ ORACLE_SQL = None
 SHARDS = 16
 
 
-KEY = "__text_key"
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows as one struct ``row`` beside fields of fixed names, so that no column of docs clashes with them: doc_id, source and
+    text, two hashes of the text (null counts as empty, as in every operator) and one of the whole row."""
+    text = F.coalesce("text", F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), F.col("doc_id").alias("id"), "source", "text", F.xxhash64(text).alias("one"), F.xxhash64(text, F.lit(1), text).alias("two"), F.xxhash64(row).alias("whole"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of the text; null counts as empty, as in every operator."""
-    return docs.withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The column ``row`` as the columns of docs."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def by_key(docs: DataFrame) -> DataFrame:
-    """A document for each row, that goes by its text's key."""
-    return keyed(docs).select(F.col(KEY).alias("doc_id"), "text")
+    """A document for each row, that goes by its text's first hash."""
+    return packed(docs).select(F.col("one").alias("doc_id"), "text")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the texts whose keys are the doc_ids of ``gone``."""
-    return keyed(docs).join(gone.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(docs.columns)
+    """docs without the texts whose hashes are the doc_ids of ``gone``."""
+    return unpacked(packed(docs).join(gone.select(F.col("doc_id").alias("one")).distinct(), "one", "left_anti"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,20 +64,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates."""
-    found = near_duplicates(by_key(docs)).select(F.col("doc_id").alias(KEY), "n_shingles", "component_id").distinct()
+    """One row of each component of near duplicates; of rows that differ in other columns alone, the least by a hash of all of them."""
+    found = near_duplicates(by_key(docs)).select(F.col("doc_id").alias("one"), "n_shingles", "component_id").distinct()
     found = materialise(found, "near-duplicates")
-    rows = keyed(docs).groupBy("doc_id", KEY).agg(F.count("*").alias("k")).join(found.where("n_shingles > 0"), KEY)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(KEY).alias("key"), "k")).alias("m")
-    kept = rows.groupBy("component_id").agg(first).select(F.col("m.key").alias("__key"), F.col("m.id").alias("__id"), "m.k", F.lit(False).alias("__all"))
-    wordless = found.where("n_shingles = 0").select(KEY, F.lit(None).cast("bigint"), F.lit(1).cast("bigint"), F.lit(True))
+    rows = packed(docs)
+    kinds = rows.groupBy("id", "one", "two", "whole").agg(F.count("*").alias("k")).join(found.where("n_shingles > 0"), "one")
+    order = F.struct(F.col("id").isNull(), "id", "one", "two", "whole")
+    kept = kinds.groupBy("component_id").agg(F.min_by(F.struct("id", "one", "two", "whole", "k"), order).alias("m")).select("m.*", F.lit(False).alias("every"))
+    none = lambda c: F.lit(None).cast("bigint").alias(c)
+    wordless = found.where("n_shingles = 0").select(none("id"), "one", none("two"), none("whole"), F.lit(1).cast("bigint").alias("k"), F.lit(True).alias("every"))
     kept = materialise(kept.union(wordless), "near-duplicates-kept")
-    stays = (F.col(KEY) == F.col("__key")) & (F.col("__all") | F.col("doc_id").eqNullSafe(F.col("__id")))
-    stay = lambda which: keyed(docs).join(kept.where(which), stays)
-    out = stay("k = 1").select(docs.columns)
+    match = F.col("m.every") | (F.col("r.id").eqNullSafe(F.col("m.id")) & (F.col("r.two") == F.col("m.two")) & (F.col("r.whole") == F.col("m.whole")))
+    stay = lambda which: rows.alias("r").join(kept.where(which).alias("m"), F.col("r.one") == F.col("m.one")).where(match)
+    out = unpacked(stay("k = 1").select("r.row"), docs)
     # A row that stays may itself be repeated.
     if not kept.where("k > 1").isEmpty():
-        out = out.union(stay("k > 1").dropDuplicates([KEY, "doc_id"]).select(docs.columns))
+        out = out.union(unpacked(stay("k > 1").groupBy("m.one").agg(F.first("r.row").alias("row")), docs))
     return out
 
 
@@ -83,13 +90,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    taken = pivotal_mix(docs).where("taken > 0")
-    # Rows that repeat are taken together: once in the join, as often as all of them are taken in the result.
-    copies = taken.groupBy(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid")).agg(F.sum("copies").cast("int").alias("__copies"))
-    keyed = docs.withColumn("__uid2", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["__uid2", "doc_id"])
-    joined = keyed.join(copies, (F.col("__uid2") == F.col("__uid")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """Documents as often as the mix takes them.  A row goes by a hash of all its columns; rows that repeat are taken together."""
+    rows = packed(docs)
+    mixed = pivotal_mix(rows.select(F.col("whole").alias("doc_id"), "source", "text"))
+    taken = mixed.groupBy(F.col("doc_id").alias("whole"), "uid").agg(F.sum("copies").cast("int").alias("times"), F.count("*").alias("n")).where("times > 0")
+    taken = materialise(taken, "mix-taken")
+    uid = F.xxhash64("whole", "source", "text")
+    found = lambda which: rows.withColumn("uid", uid).join(taken.where(which), ["whole", "uid"])
+    out = found("n = 1").select("row", "times")
+    if not taken.where("n > 1").isEmpty():
+        out = out.union(found("n > 1").groupBy("whole", "uid").agg(F.first("row").alias("row"), F.max("times").alias("times")).select("row", "times"))
+    return unpacked(out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,9 +116,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote on the way, and the rows that it read, are deleted once its own rows are written.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = len(WRITTEN)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard(spark, WRITTEN[before:-1])
+        with noted() as paths:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, last + paths[:-1])
+        last = paths[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
