@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
+from .components import components
 from .stencil import label8
 from .traces import pair_correlation
 
@@ -22,10 +24,7 @@ def cell_pixels(cells: DataFrame) -> DataFrame:
 
 def stamps(cells: DataFrame, height: int, width: int) -> DataFrame:
     """(z, ind, cell_id): 5 x 5 pixels around each centre; a later cell overwrites; the last pixel of a plane is out of bounds."""
-    offsets = F.explode(F.array(*(F.lit(c * height + r) for c in range(-2, 3) for r in range(-2, 3)))).alias("o")
-    centre = (F.col("cx") - 1) * height + F.col("cy")
-    spots = cells.select("cell_id", "z", centre.alias("centre"), offsets).select("cell_id", "z", (F.col("centre") + F.col("o")).alias("ind"))
-    return spots.where((F.col("ind") > 0) & (F.col("ind") < height * width)).groupBy("z", "ind").agg(F.max("cell_id").alias("cell_id"))
+    return _stamped(cells, height, width).groupBy("z", "ind").agg(F.max("cell_id").alias("cell_id"))
 
 
 def overlaps(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -65,19 +64,66 @@ def duplicate_pairs(cells: DataFrame, points: DataFrame, height: int, width: int
     return pair_correlation(left.join(right, ["z", "label"]).select("a", "b").distinct(), points)
 
 
-def greedy_duplicates(cells: DataFrame, correlations: DataFrame, height: int, width: int, threshold: float) -> DataFrame:
+def interactions(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """(a, b): pairs of cells, of one plane or of neighbouring ones, whose stamps share or touch at a pixel, and each cell with itself.
+
+    Whether a cell is removed depends on cells that such pairs reach, and on no others.
+    """
+    s = _stamped(cells, height, width)
+    y, x = F.pmod(F.col("ind") - 1, F.lit(height)), F.floor((F.col("ind") - 1) / height)
+    around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for dz in (0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))).alias("d")
+    reached = s.select("z", "cell_id", "ind", y.alias("y"), x.alias("x"), around)
+    inside = (F.col("y") + F.col("d.dy")).between(0, height - 1) & (F.col("x") + F.col("d.dx")).between(0, width - 1)
+    reached = reached.where(inside).select((F.col("z") + F.col("d.dz")).alias("z"), (F.col("ind") + F.col("d.dx") * height + F.col("d.dy")).alias("ind"), F.col("cell_id").alias("a")).distinct()
+    pairs = reached.join(s.withColumnRenamed("cell_id", "b"), ["z", "ind"]).select("a", "b").distinct()
+    return pairs.union(cells.select(F.col("cell_id").alias("a"), F.col("cell_id").alias("b"))).distinct()
+
+
+def _stamped(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """(z, ind, cell_id): the pixels of every cell's 5 x 5 stamp, whoever else has them."""
+    offsets = F.explode(F.array(*(F.lit(c * height + r) for c in range(-2, 3) for r in range(-2, 3)))).alias("o")
+    centre = (F.col("cx") - 1) * height + F.col("cy")
+    spots = cells.select("cell_id", "z", centre.alias("centre"), offsets).select("cell_id", "z", (F.col("centre") + F.col("o")).alias("ind"))
+    return spots.where((F.col("ind") > 0) & (F.col("ind") < height * width))
+
+
+def touching_labels(ind: np.ndarray, height: int) -> np.ndarray:
+    """For sorted distinct linear indices the least index of their 8-connected region, by the pixels alone."""
+    label = np.arange(len(ind))
+    y = (ind - 1) % height
+    sides = []
+    for step, ok in ((1, y < height - 1), (height - 1, y > 0), (height, y >= 0), (height + 1, y < height - 1)):
+        at = np.minimum(np.searchsorted(ind, ind + step), len(ind) - 1)
+        i = np.flatnonzero(ok & (ind[at] == ind + step))
+        sides.append((i, at[i]))
+    i, j = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
+    while True:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        if (low == high).all():
+            return label
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+#: Cells that are folded together.
+FOLD = 20_000
+
+
+def greedy_duplicates(cells: DataFrame, correlations: DataFrame, height: int, width: int, threshold: float, fold: int = FOLD) -> DataFrame:
     """cell_ids that duplicate removal drops, plane by plane: a dropped cell drops no other.
 
-    A group is one chain of neighbouring planes that hold cells (an empty plane ends it); it holds centres and the pairs
-    above the threshold, never traces or images of more than two planes.
+    Cells are grouped by the connected components of ``interactions`` over all planes: what happens in one has no bearing on
+    another.  Components are dealt to groups of about ``fold`` cells (one group is at least one component); a group holds
+    centres and the pairs above the threshold, never traces or images, and folds its planes in order.
     """
-    order = Window.orderBy("z")
-    planes = cells.select(F.col("z").cast("long").alias("z")).distinct()
-    # One row a plane: runs of planes without a gap.
-    chains = planes.withColumn("chain", F.col("z") - F.row_number().over(order))
-    own = cells.join(F.broadcast(chains), "z").select("chain", "cell_id", "z", F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx"))
+    cells = cells.select("cell_id", F.col("z").cast("long").alias("z"), F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx"))
+    found = materialise(components(interactions(cells, height, width)), "cell-components")
+    groups = max(1, -(-found.count() // fold))
+    grouped = found.select(F.col("id").alias("cell_id"), F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group"))
+    own = cells.join(grouped, "cell_id").select("group", "cell_id", "z", "cy", "cx")
     high = correlations.where((F.col("r") > threshold) & ~F.isnan("r")).select(F.col("a").alias("cell_id"), F.col("b").alias("other"))
-    high = high.join(own.select("cell_id", "chain"), "cell_id").select(F.col("chain").alias("own_chain"), "cell_id", "other")
+    high = high.join(grouped, "cell_id").select(F.col("group").alias("own_group"), "cell_id", "other")
     offset = (np.arange(-2, 3)[None, :] * height + np.arange(-2, 3)[:, None]).ravel()
 
     def run(cell: pa.Table, pair: pa.Table) -> pa.Table:
@@ -86,27 +132,32 @@ def greedy_duplicates(cells: DataFrame, correlations: DataFrame, height: int, wi
         ids, z, centre = ids[order], z[order], ((cx - 1) * height + cy)[order]
         linked = set(zip(pair.column("cell_id").to_pylist(), pair.column("other").to_pylist(), strict=True))
         alive = np.ones(len(ids), bool)
-        ends = np.searchsorted(z, np.arange(z.min(), z.max() + 2)) if len(z) else np.zeros(1, np.int64)
 
-        def plane(k: int) -> np.ndarray:
-            """The largest living id that stamps each pixel."""
-            out = np.zeros(height * width, np.int64)
-            here = np.flatnonzero(alive[ends[k] : ends[k + 1]]) + ends[k]
-            at = (centre[here][:, None] + offset).ravel()
+        def plane(k: int) -> tuple[np.ndarray, np.ndarray]:
+            """Pixels of the living stamps of a plane, and the largest id at each."""
+            first, last = np.searchsorted(z, (k, k + 1))
+            here = np.flatnonzero(alive[first:last]) + first
+            at, who = (centre[here][:, None] + offset).ravel(), np.repeat(ids[here], len(offset))
             ok = (at > 0) & (at < height * width)
-            np.maximum.at(out, at[ok] - 1, np.repeat(ids[here], len(offset))[ok])
-            return out
-
-        for k in range(len(ends) - 2):
-            above, below = plane(k), plane(k + 1)
-            label = label8(((above > 0) & (below > 0)).reshape(height, width, order="F")).ravel(order="F")
-            at = np.flatnonzero(label)
-            tops = np.zeros((2, label.max(initial=0) + 1), np.int64)
-            for side, image in zip(tops, (above, below), strict=True):
-                np.maximum.at(side, label[at], image[at])
-            for pair_ in zip(*tops[:, 1:].tolist(), strict=True):
+            at, who = at[ok], who[ok]
+            by = np.lexsort((who, at))
+            at, who = at[by], who[by]
+            top = np.append(at[1:] != at[:-1], True)[: len(at)]
+            return at[top], who[top]
+
+        for k in np.unique(z).tolist():
+            (a, above), (b, below) = plane(k), plane(k + 1)
+            shared, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            if not len(shared):
+                continue
+            label = touching_labels(shared, height)
+            tops = np.zeros((2, len(shared)), np.int64)
+            for side, image in zip(tops, (above[i], below[j]), strict=True):
+                np.maximum.at(side, label, image)
+            first, last = np.searchsorted(z, (k + 1, k + 2))
+            for pair_ in zip(*tops[:, np.unique(label)].tolist(), strict=True):
                 if pair_ in linked:
-                    alive[ends[k + 1] + np.searchsorted(ids[ends[k + 1] : ends[k + 2]], pair_[1])] = False
+                    alive[first + np.searchsorted(ids[first:last], pair_[1])] = False
         return pa.table({"cell_id": pa.array(ids[~alive], pa.int64())})
 
-    return own.groupBy("chain").cogroup(high.groupBy("own_chain")).applyInArrow(run, "cell_id bigint")
+    return own.groupBy("group").cogroup(high.groupBy("own_group")).applyInArrow(run, "cell_id bigint")

@@ -539,7 +539,27 @@ def dedup_pairs(spark, sf_dir):
     return traces.pair_correlation(pairs, _cell_points(spark, sf_dir)).select("a", "b", r6("r", "r"))
 
 
-@query()
+def labels_sql(rounds: int) -> str:
+    """Least pixel of each 8-connected region of o, by rounds of: least label around, then that label's label."""
+    steps = [f"l{k} AS MATERIALIZED (SELECT n.i AS ind, min(l.l) AS l FROM n JOIN j{k - 1} l ON l.ind = n.j GROUP BY n.i), j{k} AS MATERIALIZED (SELECT a.ind, b.l FROM l{k} a JOIN l{k} b ON b.ind = a.l)" for k in range(1, rounds + 1)]
+    return "j0 AS (SELECT ind, ind AS l FROM o), " + ", ".join(steps)
+
+
+#: Planes one after another: regions that living stamps of z and z + 1 share, their largest cells, and who goes.
+FOLDED = f"""{CELLS}, sp AS MATERIALIZED (SELECT cell_id, z, ind FROM (SELECT cell_id, z, (cx - 1) * 100 + cy + dx * 100 + dy AS ind FROM cells, range(-2, 3) a(dy), range(-2, 3) b(dx)) WHERE ind > 0 AND ind < 6400),
+    cp AS MATERIALIZED (SELECT cell_id, cells.z, x AS t, v AS f FROM px JOIN cells ON cells.z = px.z AND cells.cy = px.y),
+    hp AS MATERIALIZED (SELECT x.cell_id AS a, y.cell_id AS b FROM cp x JOIN cp y ON y.z = x.z + 1 AND y.t = x.t GROUP BY ALL HAVING corr(x.f, y.f) > 0.15 AND NOT isnan(corr(x.f, y.f))),
+    fold(z, gone) AS (SELECT min(z), CAST([] AS BIGINT[]) FROM cells UNION ALL (WITH
+      up AS (SELECT ind, max(cell_id) AS above FROM sp JOIN fold ON sp.z = fold.z AND NOT list_contains(gone, cell_id) GROUP BY ind),
+      down AS (SELECT ind, max(cell_id) AS below FROM sp JOIN fold ON sp.z = fold.z + 1 AND NOT list_contains(gone, cell_id) GROUP BY ind),
+      o AS MATERIALIZED (SELECT ind, above, below FROM up JOIN down USING (ind)),
+      n AS MATERIALIZED (SELECT p.ind AS i, q.ind AS j FROM o p, range(-1, 2) a(dy), range(-1, 2) b(dx), o q WHERE q.ind = p.ind + dx * 100 + dy AND (p.ind - 1) % 100 + dy BETWEEN 0 AND 99),
+      {labels_sql(8)}, c AS (SELECT max(above) AS above, max(below) AS below FROM o JOIN j8 USING (ind) GROUP BY l),
+      r AS (SELECT list(DISTINCT below) AS more FROM c JOIN hp ON hp.a = above AND hp.b = below)
+      SELECT fold.z + 1, list_concat(gone, coalesce((SELECT more FROM r), [])) FROM fold WHERE fold.z < (SELECT max(z) FROM cells)))"""
+
+
+@query(f"WITH {FOLDED} SELECT unnest(gone) AS cell_id FROM fold QUALIFY row_number() OVER (ORDER BY fold.z DESC) = 1", "px")
 def dedup_greedy(spark, sf_dir):
     cells = _cells(spark, sf_dir)
     pairs = extract.duplicate_pairs(cells, _cell_points(spark, sf_dir), H, W)

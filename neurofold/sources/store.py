@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 #: Files that the driver puts into place at once; each is one rename, whatever its size.
@@ -186,3 +187,21 @@ class Placed:
             fs.delete_file(f"{self.target}.appending")
         if fs.get_file_info(self.staging).type != pa.fs.FileType.NotFound:
             fs.delete_dir(self.staging)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one takes a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes rows below the shared folder and reads them back: cuts lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

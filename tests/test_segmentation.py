@@ -84,3 +84,26 @@ def test_overlay_panels_and_colour_file(spark, tmp_path):
         page = np.frombuffer(bytes(r["px"]), np.uint8).reshape(4, 11, 3)
         assert all(tuple(page[y - 1, x - 1]) == c for (z, y, x), c in rows.items() if z == r["page"])
     assert image.select(F.max("red")).first()[0] == 255
+
+
+def test_components_of_links(spark):
+    """A long chain, a star, a ring, a lone node and links twice over."""
+    from neurofold.operators.components import components
+
+    links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 540)] + [(20, 30), (30, 10), (10, 20)] + [(7, 7)] + [(30, 20), (101, 100)]
+    got, contracted = ({r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), few).collect()} for few in (1000, 20))
+    assert got == contracted == {**{k: 100 for k in range(100, 161)}, **{k: 500 for k in range(500, 540)}, 10: 10, 20: 10, 30: 10, 7: 7}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0 == components(spark.createDataFrame([], "a long, b long"), 0).count()
+
+
+def test_duplicates_fall_into_groups(spark):
+    """Far cells are folded apart, and the result is that of one fold over all planes."""
+    rng = random.Random(7)
+    cells = [(k + 1, z, rng.randint(1, H), rng.randint(1, W)) for k, z in enumerate(sorted(rng.randint(1, 9) for _ in range(120)))]
+    high = {(a, b) for a, za, *_ in cells for b, zb, *_ in cells if zb == za + 1 and rng.random() < 0.6}
+    df = spark.createDataFrame(cells, "cell_id long, z long, cy long, cx long")
+    pairs = spark.createDataFrame([(a, b, 0.9) for a, b in high], "a long, b long, r double")
+    got = sorted(r["cell_id"] for r in extract.greedy_duplicates(df, pairs, H, W, 0.5, fold=5).collect())
+    assert got == brute_duplicates(cells, high)
+    groups = extract.components(extract.interactions(df, H, W))
+    assert groups.count() == len(cells) and groups.select("component").distinct().count() > 3
