@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import mean0, mround, slope, std0
+from ..sources.store import materialise
 
 #: A mean image a row: little-endian doubles in the order of the linear index.
 IMAGE = "z bigint, tp bigint, h int, w int, image binary"
@@ -269,12 +270,53 @@ def timecourse(shifts: DataFrame, cycle: int) -> DataFrame:
     return shifts.groupBy("z", "tp").agg(mean0(xy).alias("xy_av"), std0(xy).alias("xy_sd"), mean0(F.col("dz")).alias("z_av"), std0(F.col("dz")).alias("z_sd")).withColumn("frame_center", centre)
 
 
+#: Rings of buckets around a cell's own that are looked at first.
+RINGS = 2
+
+
 def nearest(cells: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
-    """Each cell (cell_id, z, cy, cx) with its k nearest points (z, grid_idx, py, px, ...) of the plane; ties by grid_idx."""
-    joined = cells.join(F.broadcast(points), "z")
-    distance = (F.col("cy") - F.col("py")) ** 2 + (F.col("cx") - F.col("px")) ** 2
-    order = W.partitionBy("cell_id").orderBy("d2", "grid_idx")
-    return joined.withColumn("d2", distance.cast("double")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    """Each cell (cell_id, z, cy, cx) with its k nearest points (z, grid_idx, py, px, ...) of the plane; ties by grid_idx.
+
+    A plane's points lie in square buckets of about one point each.  A cell meets the points of the rings around its bucket;
+    it is done once its k-th point is nearer than any point outside them can be, or nothing is outside.  The others look
+    twice as far.  Cells of planes without points have no rows.
+    """
+    extent = [F.min("py").alias("y0"), F.min("px").alias("x0"), F.max("py").alias("y1"), F.max("px").alias("x1"), F.count("*").alias("n")]
+    side = F.greatest(F.lit(1.0), F.ceil(F.sqrt((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1) / F.col("n"))))
+    planes = points.groupBy("z").agg(*extent).withColumn("side", side)
+    bucket = lambda v, at: F.floor((F.col(v) - F.col(at)) / F.col("side"))
+    inside = points.join(planes.select("z", "y0", "x0", "side"), "z").withColumns({"by": bucket("py", "y0"), "bx": bucket("px", "x0")}).drop("y0", "x0", "side")
+    held = lambda v, top: F.least(F.greatest(v, F.lit(0)), top)
+    placed = cells.join(planes.drop("n"), "z").withColumns({"ny": bucket("y1", "y0"), "nx": bucket("x1", "x0")})
+    left = placed.withColumns({"oy": held(bucket("cy", "y0"), F.col("ny")), "ox": held(bucket("cx", "x0"), F.col("nx"))})
+    own, work = cells.columns, ["y0", "x0", "y1", "x1", "side", "ny", "nx", "oy", "ox"]
+    found, rings = None, RINGS
+    while True:
+        span = lambda o, n: F.sequence(F.greatest(F.col(o) - rings, F.lit(0)), F.least(F.col(o) + rings, F.col(n)))  # noqa: B023, E731
+        met = left.withColumn("by", F.explode(span("oy", "ny"))).withColumn("bx", F.explode(span("ox", "nx"))).join(inside, ["z", "by", "bx"]).drop("by", "bx")
+        d2 = ((F.col("cy") - F.col("py")) ** 2 + (F.col("cx") - F.col("px")) ** 2).cast("double")
+        ranked = met.withColumn("d2", d2).withColumn("k", F.row_number().over(W.partitionBy("cell_id").orderBy("d2", "grid_idx"))).where(F.col("k") <= k)
+        every = F.max("d2").over(W.partitionBy("cell_id")), F.count("*").over(W.partitionBy("cell_id"))
+        ranked = materialise(ranked.withColumn("sure", (every[1] == k) & (every[0] < _beyond(rings)) | _beyond(rings).isNull()), "nearest")
+        done = ranked.where("sure").drop("sure", *work)
+        found = done if found is None else found.unionByName(done)
+        left = left.join(ranked.where("sure").select("cell_id").distinct(), "cell_id", "left_anti")
+        if left.isEmpty():
+            return found.select(*own, *(c for c in found.columns if c not in own))
+        left, rings = materialise(left, "nearest-left"), 2 * rings
+
+
+def _beyond(rings: int) -> Column:
+    """Squared distance that points outside the rings are at least away; null if there are none."""
+    out = []
+    for c, other in (("y", "x"), ("x", "y")):
+        o, n, at, start = F.col(f"o{c}"), F.col(f"n{c}"), F.col(f"c{c}"), F.col(f"{c}0")
+        # Along the other axis no point is nearer than the points' extent.
+        aside = F.greatest(F.lit(0.0), F.col(f"{other}0") - F.col(f"c{other}"), F.col(f"c{other}") - F.col(f"{other}1"))
+        below = F.when(o - rings > 0, at - (start + (o - rings) * F.col("side")))
+        above = F.when(o + rings < n, start + (o + rings + 1) * F.col("side") - at)
+        out += [F.when(g.isNotNull(), F.greatest(g, F.lit(0.0)) ** 2 + aside**2) for g in (below, above)]
+    return F.least(*out)
 
 
 def cell_motion(cells: DataFrame, points: DataFrame) -> DataFrame:

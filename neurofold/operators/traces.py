@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from ..functions.semantics import correlation, mround, slope
 
 
-#: Windows that are partitioned at once.
-WINDOWS = 2048
+#: Windows that are ranked at once; samples of a run of a long trace.
+WINDOWS, RUN = 1 << 16, 1 << 13
 
 
 class BadWindow(ValueError):
@@ -34,6 +34,32 @@ def as_points(traces: DataFrame, column: str, name: str) -> DataFrame:
     return traces.select("cell_id", F.posexplode(column).alias("p", name)).select("cell_id", (F.col("p") + 1).cast("long").alias("t"), name)
 
 
+def window_ranks(f: np.ndarray, start: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th smallest of f[start:end] for many windows (NaN sorts last), in as many passes as the samples' ranks have bits.
+
+    A pass splits all samples by one bit of their rank, stably, and each window goes on in the half that holds its k-th.
+    """
+    order = np.argsort(f, kind="stable")
+    rank = np.empty(len(f), np.int64)
+    rank[order] = np.arange(len(f))
+    a, b, k, found = start.copy(), end.copy(), k - 1, np.zeros(len(start), np.int64)
+    for bit in range(max(len(f) - 1, 1).bit_length() - 1, -1, -1):
+        low = (rank >> bit) & 1 == 0
+        zeros = np.append(0, np.cumsum(low))
+        za, zb = zeros[a], zeros[b]
+        up = k >= zb - za
+        k = k - np.where(up, zb - za, 0)
+        a, b = np.where(up, zeros[-1] + a - za, za), np.where(up, zeros[-1] + b - zb, zb)
+        found |= up.astype(np.int64) << bit
+        rank = np.concatenate([rank[low], rank[~low]])
+    return f[order[found]]
+
+
+def window_rank(w: int, percentile: float) -> int:
+    """Which smallest sample of a window of w is its percentile."""
+    return min(max(mround(w * percentile / 100), 1), w)
+
+
 def rolling_rank(f: np.ndarray, window: int, percentile: float) -> np.ndarray:
     """The k-th smallest value of each full window; positions near the ends repeat the first and last full window's."""
     if f.ndim != 1:
@@ -42,12 +68,54 @@ def rolling_rank(f: np.ndarray, window: int, percentile: float) -> np.ndarray:
     w = min(window, n)
     if w < 1:
         raise BadWindow("the window must hold a sample")
-    k = min(max(mround(w * percentile / 100), 1), w)
-    windows = np.lib.stride_tricks.sliding_window_view(f, w)
-    # Partitioning copies windows: a bounded number at once.
-    full = np.concatenate([np.partition(windows[a : a + WINDOWS], k - 1, axis=1)[:, k - 1] for a in range(0, len(windows), WINDOWS)])
+    k, step, full = window_rank(w, percentile), max(WINDOWS, w), []
+    for first in range(0, n - w + 1, step):
+        start = np.arange(min(step, n - w + 1 - first))
+        full.append(window_ranks(f[first : first + len(start) + w - 1], start, start + w, np.full(len(start), k)))
     j = np.arange(1, n + 1).clip(-(-w // 2), n - w // 2)
-    return full[j - (-(-w // 2))]
+    return np.concatenate(full)[j - (-(-w // 2))]
+
+
+def rolling_percentile_runs(points: DataFrame, window: int, percentile: float, run: int = RUN) -> DataFrame:
+    """(cell_id, t, f, f0) from points (cell_id, t, f) whose t counts a trace's samples from 1 without gaps.
+
+    Traces are cut in runs, each with the samples around it that its windows need, so no row or group holds a long trace.
+    A group is one run of many cells.
+    """
+    if window < 1:
+        raise BadWindow("the window must hold a sample")
+    length, low, high = max(run, 2 * window), -(-window // 2), window // 2
+    own = F.floor((F.col("t") - 1) / length)
+    after = F.when(F.col("t") > (own + 1) * length - window, own + 1)
+    before = F.when((F.col("t") <= own * length + high) & (own > 0), own - 1)
+    buckets = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.select("cell_id", F.col("t").cast("long").alias("t"), F.col("f").cast("double").alias("f"), F.explode(F.array_compact(F.array(before, own, after))).alias("run"), F.pmod(F.xxhash64("cell_id"), F.lit(buckets)).alias("bucket"))
+
+    def rank(table: pa.Table) -> pa.Table:
+        first_t = table.column("run")[0].as_py() * length + 1
+        cell, t, f = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cell_id", "t", "f"))
+        order = np.lexsort((t, cell))
+        cell, t, f = cell[order], t[order], f[order].astype(np.float64)
+        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        size = np.diff(np.append(begin, len(cell)))
+        first, last = t[begin], t[begin + size - 1]
+        if (last - first != size - 1).any() or (first_t == 1 and (first != 1).any()):
+            raise ValueError(f"cell {cell[begin][(last - first != size - 1) | (first > first_t)][:1]}: samples must count from 1 without gaps")
+        # Where a trace goes on beyond this run's windows, its end does not matter here.
+        ends = last < first_t + length - 1 + high
+        w = np.where(ends & (first_t == 1), np.minimum(window, last), window)
+        k = np.array([window_rank(v, percentile) for v in range(1, window + 1)])[w - 1] if window <= 1 << 16 else np.array([window_rank(v, percentile) for v in w.tolist()])
+        each = np.repeat(np.arange(len(begin)), size)
+        at = np.flatnonzero((t >= first_t) & (t < first_t + length))
+        each = each[at]
+        middle = np.maximum(t[at], -(-w // 2)[each])
+        middle = np.where(ends[each], np.minimum(middle, (last - w // 2)[each]), middle)
+        start = begin[each] + middle - (-(-w // 2))[each] + 1 - 1 - (first[each] - 1)
+        out = window_ranks(f, start, start + w[each], k[each]) if len(at) else np.zeros(0)
+        return pa.table({"cell_id": pa.array(cell[at], table.schema.field("cell_id").type), "t": t[at], "f": f[at], "f0": out})
+
+    kind = points.schema["cell_id"].dataType.simpleString()
+    return rows.groupBy("run", "bucket").applyInArrow(rank, f"cell_id {kind}, t bigint, f double, f0 double")
 
 
 def rolling_percentile(traces: DataFrame, window: int, percentile: float, column: str = "trace") -> DataFrame:
@@ -106,9 +174,8 @@ def dff(f: Column, f0: Column, offset: float) -> Column:
 
 def rolling_dff(points: DataFrame, window: int, percentile: float, offset: float) -> DataFrame:
     """(cell_id, t, f0, dff) from background-free points."""
-    based = rolling_percentile(as_arrays(points), window, percentile)
-    zipped = based.select("cell_id", F.posexplode(F.arrays_zip("trace", "f0")).alias("p", "x"))
-    return zipped.select("cell_id", (F.col("p") + 1).cast("long").alias("t"), F.col("x.f0").alias("f0"), dff(F.col("x.trace").cast("double"), F.col("x.f0"), offset).alias("dff"))
+    based = rolling_percentile_runs(points.select("cell_id", "t", "f"), window, percentile)
+    return based.select("cell_id", "t", "f0", dff(F.col("f"), F.col("f0"), offset).alias("dff"))
 
 
 def window_low_mean(points: DataFrame, length: int, level: float = 0.0) -> DataFrame:
@@ -200,9 +267,59 @@ def debounce(edge_rows: DataFrame, ends: DataFrame, least: int, strict: bool = F
     return folded.select("cell_id", F.posexplode("out").alias("p", "s")).select("cell_id", (F.col("p") + 1).cast("long").alias("frame"), "s.begin", "s.end")
 
 
-def align(frames: DataFrame, samples: DataFrame) -> DataFrame:
-    """(cell_id, frame, med, mean): samples inside each frame [begin, end]; 0 for frames of one sample or fewer."""
-    f = frames.select("cell_id", "frame", "begin", "end", F.explode(F.sequence("begin", F.greatest("begin", "end"))).alias("t"))
-    joined = f.join(samples.select("cell_id", "t", "f"), ["cell_id", "t"], "left").where("t <= end")
-    long = F.max(F.col("end") - F.col("begin") + 1) > 1
-    return joined.groupBy("cell_id", "frame").agg(F.when(long, F.median("f")).otherwise(F.lit(0.0)).alias("med"), F.when(long, F.avg("f")).otherwise(F.lit(0.0)).alias("mean"))
+#: Sets of frames that do not overlap among themselves; samples of a stretch that is swept in one piece.
+LANES, STRETCH = 2, 1 << 16
+
+
+def lanes_of(frames: DataFrame) -> DataFrame:
+    """frames with a lane, so that frames of a lane do not overlap: those that begin after all before them, then the rest alike."""
+    left, out = frames, None
+    before = W.partitionBy("cell_id").orderBy("begin", "frame").rowsBetween(W.unboundedPreceding, -1)
+    for lane in range(LANES):
+        marked = left.withColumn("clear", F.coalesce(F.col("begin") > F.max("end").over(before), F.lit(True)))
+        if lane + 1 == LANES:
+            fine = F.when(F.col("clear"), F.lit(lane)).otherwise(F.raise_error(F.concat(F.lit(f"more than {LANES} frames overlap, cell "), F.col("cell_id").cast("string"))).cast("int"))
+            taken = marked.withColumn("lane", fine)
+        else:
+            taken, left = marked.where("clear").withColumn("lane", F.lit(lane)), marked.where("NOT clear").drop("clear")
+        out = taken.drop("clear") if out is None else out.union(taken.drop("clear"))
+    return out
+
+
+def align(frames: DataFrame, samples: DataFrame, stats: dict[str, tuple[str, str]] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """(cell_id, frame, ...): medians or means of channels of the samples (cell_id, t, ...) inside each frame [begin, end].
+
+    stats: output name -> (median or mean, channel); by default ``med`` and ``mean`` of f.  0 for frames of one sample or fewer,
+    null for longer ones without samples; a frame that ends before it begins is left out.
+
+    A sweep: starts and samples in order, each sample takes the last start before it.  Samples are swept in stretches, to
+    which the start that is open at their begin is carried, so a recording is not one group.  At most ``LANES`` frames may overlap.
+    """
+    stats = stats or {"med": ("median", "f"), "mean": ("mean", "f")}
+    channels = sorted({c for _, c in stats.values()})
+    laned = lanes_of(frames.select("cell_id", "frame", "begin", "end").where("begin <= end"))
+    open_ = F.struct("frame", "end").alias("open")
+    at = lambda t: F.floor((t - 1) / stretch)
+    starts = laned.select("cell_id", "lane", at(F.col("begin")).alias("stretch"), F.col("begin").alias("t"), F.lit(1).alias("kind"), open_)
+    none = F.lit(None).cast(starts.schema["open"].dataType).alias("open")
+    # The start that is open where a stretch begins: a row a stretch.
+    heads = samples.select("cell_id", at(F.col("t")).alias("stretch")).distinct()
+    heads = _each_lane(heads.select("cell_id", "stretch", (F.col("stretch") * stretch + 1).alias("t"), F.lit(0).alias("kind"), none))
+    order = ["t", "kind", F.col("open.frame")]
+    last = lambda *by: F.last("open", ignorenulls=True).over(W.partitionBy("cell_id", "lane", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    carried = heads.unionByName(starts).withColumn("open", last()).where("kind = 0 and open is not null")
+    rows = _each_lane(samples.select("cell_id", at(F.col("t")).alias("stretch"), "t", F.lit(2).alias("kind"), none, *channels))
+    events = rows.unionByName(starts, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    inside = events.withColumn("open", last("stretch")).where("kind = 2 and t <= open.end")
+    make = {"median": F.median, "mean": F.avg}
+    found = inside.groupBy("cell_id", F.col("open.frame").alias("frame")).agg(*(make[how](c).alias(name) for name, (how, c) in stats.items()))
+    long = F.col("end") > F.col("begin")
+    kept = frames.select("cell_id", "frame", "begin", "end").where("begin <= end").join(found, ["cell_id", "frame"], "left")
+    return kept.select("cell_id", "frame", *(F.when(long, F.col(name)).otherwise(F.lit(0.0)).alias(name) for name in stats))
+
+
+def _each_lane(df: DataFrame) -> DataFrame:
+    out = df.withColumn("lane", F.lit(0))
+    for lane in range(1, LANES):
+        out = out.union(df.withColumn("lane", F.lit(lane)))
+    return out

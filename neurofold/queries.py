@@ -172,6 +172,28 @@ def frame_stim_align(spark, sf_dir):
     return traces.align(_segments(spark, sf_dir), A.tr(spark, sf_dir)).select("cell_id", "frame", r6("med", "med"), r6("mean", "mean"))
 
 
+#: Five channels of a recording beside its traces: what an event and its time hold.
+CHANNELS = "ch AS (SELECT user_id AS cell_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, value AS s1, CAST(second(ts) AS DOUBLE) AS s2, CAST(length(event_type) AS DOUBLE) AS s3, CAST(minute(ts) AS DOUBLE) AS s4, CAST(event_id % 7 AS DOUBLE) AS bl FROM events)"
+
+
+def _channels(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    other = {"s2": F.second("ts"), "s3": F.length("event_type"), "s4": F.minute("ts"), "bl": F.col("event_id") % 7}
+    return A.table(spark, sf_dir, "events").select(F.col("user_id").alias("cell_id"), F.row_number().over(order).cast("long").alias("t"), F.col("value").alias("s1"), *(c.cast("double").alias(name) for name, c in other.items()))
+
+
+DUCK = {"median": "median", "mean": "avg"}
+ALIGNED = {"s1": ("median", "s1"), "s2": ("mean", "s2"), "s3": ("median", "s3"), "s4": ("median", "s4"), "bl": ("median", "bl")}
+
+
+@query(f"WITH {SEGMENTS}, {CHANNELS} SELECT cell_id, frame, {', '.join(f'round(CASE WHEN any_value(e_ - b) > 0 THEN {DUCK[how]}({c}) ELSE 0 END, 6) AS {c}' for c, (how, _) in ALIGNED.items())} FROM seg JOIN ch USING (cell_id) WHERE t BETWEEN b AND e_ GROUP BY cell_id, frame", "tr")
+def frame_stim_channels(spark, sf_dir):
+    """Stimulus parameters and block of every frame: medians of four channels, mean of one."""
+    return traces.align(_segments(spark, sf_dir), _channels(spark, sf_dir), ALIGNED).select("cell_id", "frame", *(r6(c, c) for c in ALIGNED))
+
+
 @query("SELECT cell_id, round(regr_slope(f, CAST(t AS DOUBLE)) * (max(t) - 1), 6) AS tilt FROM tr GROUP BY ALL", "tr")
 def linear_tilt(spark, sf_dir):
     return A.tr(spark, sf_dir).groupBy("cell_id").agg(r6(slope(F.col("f"), F.col("t").cast("double")) * (F.max("t") - 1), "tilt"))
