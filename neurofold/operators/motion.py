@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,12 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import mean0, mround, slope, std0
-from ..sources.store import materialise
+from ..sources.store import keep_planes, materialise, plane_rows
 
 #: A mean image a row: little-endian doubles in the order of the linear index.
 IMAGE = "z bigint, tp bigint, h int, w int, image binary"
 #: Patches that are transformed at once.
 PATCHES = 256
+#: Planes whose images a worker keeps.
+PLANES = 8
 
 
 def block_images(blocks: DataFrame, cycle: int, limit: int | None = None) -> DataFrame:
@@ -91,46 +95,79 @@ def shifts_of_patches(source: np.ndarray, target: np.ndarray, radius: int) -> tu
     return np.where(dy == -radius - 1, radius, dy), -(-(-p // roi) - radius - 1)
 
 
+@functools.lru_cache(maxsize=PLANES)
+def plane_image(path: str, z: int) -> np.ndarray | None:
+    """The image of a plane of a table that ``keep_planes`` has written, if it has one; a worker keeps the last planes."""
+    rows = plane_rows(path, z)
+    return np.frombuffer(rows.column("image")[0].as_py(), "<f8") if rows.num_rows else None
+
+
+@functools.lru_cache(maxsize=PLANES)
+def plane_points(path: str, z: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = plane_rows(path, z)
+    points = rows.column("points")[0].values if rows.num_rows else None
+    return tuple(points.field(c).to_numpy().astype(np.int64) for c in ("grid_idx", "ind")) if points is not None else (np.zeros(0, np.int64),) * 2
+
+
 def displacements_of_images(images: DataFrame, references: DataFrame, points: DataFrame, radius: int, single_plane: bool = False) -> DataFrame:
     """``displacements`` from images: (z, tp, h, w, image), reference images (z, h, w, image) and bright points (z, grid_idx, ind).
 
-    A group is one plane at one timepoint: its image, the plane's first one and up to five references, whatever the recording's length.
+    No image is shuffled: a task reads its plane's points, first image and references from written tables, and keeps them from
+    row to row.  The images should therefore come in the order of their planes.
     """
-    asked = points.groupBy("z").agg(F.sort_array(F.collect_list(F.struct("grid_idx", "ind"))).alias("points"))
-    own = images.join(asked, "z")
-    times = own.select("z", "tp", "points")
-    kind = lambda df, name, s: df.select("z", "tp", F.lit(name).alias("kind"), s.alias("s"), "h", "image", "points")
-    rows = kind(own, "own", F.lit(0)).union(kind(images.where("tp = 1").drop("tp").join(times, "z"), "first", F.lit(0)))
-    if not single_plane:
-        sides = references.withColumnRenamed("z", "plane").withColumn("s", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("z", F.col("plane") - F.col("s"))
-        rows = rows.union(kind(sides.join(times, "z"), "side", F.col("s")))
+    asked = points.select(F.col("z").cast("long").alias("z"), F.struct(F.col("grid_idx").cast("long").alias("grid_idx"), F.col("ind").cast("long").alias("ind")).alias("p"))
+    asked = keep_planes(asked.groupBy("z").agg(F.sort_array(F.collect_list("p")).alias("points")), "motion-points")
+    whole = lambda df: df.select(F.col("z").cast("long").alias("z"), "image")
+    firsts = keep_planes(whole(images.where("tp = 1")), "motion-firsts")
+    sides = None if single_plane else keep_planes(whole(references), "motion-references")
 
-    def run(table: pa.Table) -> pa.Table:
-        kinds, s = table.column("kind").to_pylist(), table.column("s").to_pylist()
-        image = {(k, d): np.frombuffer(table.column("image")[i].as_py(), "<f8") for i, (k, d) in enumerate(zip(kinds, s, strict=True))}
-        h, at = table.column("h")[0].as_py(), kinds.index("own")
-        z, tp, asked = (table.column(c)[at].as_py() for c in ("z", "tp", "points"))
-        grid, ind = (np.array([p[c] for p in asked], np.int64) for c in ("grid_idx", "ind"))
-        found = [[np.zeros(0)] * 3]
-        for a in range(0, len(ind), PATCHES):
-            place = patch_index(ind[a : a + PATCHES], h, radius)
-            target = image["own", 0][place]
-            dy, dx = shifts_of_patches(image["first", 0][place], target, radius)
-            moved, best, dz = place - (dx * h + dy)[:, None], np.full(len(place), -np.inf), np.zeros(len(place))
-            for d in range(-2, 3):
-                side = image.get(("side", d))
-                if side is None:
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z, tp, h = (batch.column(c)[i].as_py() for c in ("z", "tp", "h"))
+                grid, ind = plane_points(asked, z)
+                first = plane_image(firsts, z) if len(ind) else None
+                if first is None:
                     continue
-                there = (moved.min(1) >= 0) & (moved.max(1) < len(side))
-                r = np.full(len(place), np.nan)
-                r[there] = correlations(target[there], side[moved[there]])
-                better = r > best
-                best, dz = np.where(better, r, best), np.where(better, d, dz)
-            found.append([dy.astype(float), dx.astype(float), dz.astype(float)])
-        dy, dx, dz = map(np.concatenate, zip(*found, strict=True))
-        return pa.table({"z": pa.array(np.full(len(ind), z)), "grid_idx": grid, "ind": ind, "tp": pa.array(np.full(len(ind), tp)), "dy": dy, "dx": dx, "dz": dz})
+                own = np.frombuffer(batch.column("image")[i].as_buffer(), "<f8")
+                found = shifts_at(own, first, {d: plane_image(sides, z + d) for d in range(-2, 3)} if sides else {}, ind, h, radius)
+                same = lambda v: pa.array(np.full(len(ind), v, np.int64))
+                yield pa.RecordBatch.from_arrays([same(z), pa.array(grid), pa.array(ind), same(tp), *map(pa.array, found)], [c.split()[0] for c in SHIFTS.split(", ")])
 
-    return rows.groupBy("z", "tp").applyInArrow(run, SHIFTS)
+    return images.select("z", "tp", "h", "image").mapInArrow(run, SHIFTS)
+
+
+def shifts_at(own: np.ndarray, first: np.ndarray, sides: dict[int, np.ndarray | None], ind: np.ndarray, h: int, radius: int) -> list[np.ndarray]:
+    """dy, dx and dz of the patches of an image at start indices, against the plane's first image and the planes around."""
+    out = []
+    for a in range(0, len(ind), PATCHES):
+        place = patch_index(ind[a : a + PATCHES], h, radius)
+        target = own[place]
+        dy, dx = shifts_of_patches(first[place], target, radius)
+        moved, best, dz = place - (dx * h + dy)[:, None], np.full(len(place), -np.inf), np.zeros(len(place))
+        for d, side in sorted(sides.items()):
+            if side is None:
+                continue
+            there = (moved.min(1) >= 0) & (moved.max(1) < len(side))
+            r = np.full(len(place), np.nan)
+            r[there] = correlations(target[there], side[moved[there]])
+            better = r > best
+            best, dz = np.where(better, r, best), np.where(better, d, dz)
+        out.append([dy.astype(float), dx.astype(float), dz.astype(float)])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def images_of(pixels: DataFrame, height: int, width: int, time: str = "t") -> DataFrame:
+    """(z, time, h, w, image) from pixels (z, time, y, x, v), one image a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", "v"))
+        image = np.zeros(height * width)
+        image[(x - 1) * height + y - 1] = v
+        keys = {c: table.column(c)[:1].cast(pa.int64()) for c in ("z", time)}
+        return pa.table(keys | {"h": pa.array([height], pa.int32()), "w": pa.array([width], pa.int32()), "image": pa.array([image.astype("<f8").tobytes()], pa.binary())})
+
+    return pixels.select("z", time, "y", "x", F.col("v").cast("double").alias("v")).groupBy("z", time).applyInArrow(run, f"z bigint, {time} bigint, h int, w int, image binary")
 
 
 def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -366,3 +403,50 @@ def apply_shift(frames: DataFrame, shifts: DataFrame) -> DataFrame:
     s = frames.join(F.broadcast(shifts.where("dy <> 0 and dx <> 0")), ["z", "t"])
     moved = s.select("z", "t", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("v").alias("moved"))
     return frames.join(moved, ["z", "t", "y", "x"], "left").select("z", "t", "y", "x", F.coalesce("moved", "v").alias("v"))
+
+
+def shifted(image: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """``apply_shift`` of one image: moved where both shifts differ from 0; what nothing moves onto keeps its value."""
+    out, (h, w) = image.copy(), image.shape
+    if dy and dx and abs(dy) < h and abs(dx) < w:
+        out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = image[max(-dy, 0) : h - max(dy, 0), max(-dx, 0) : w - max(dx, 0)]
+    return out
+
+
+def register_images(images: DataFrame, reference_t: int, move: bool = False) -> DataFrame:
+    """(z, t, dy, dx) of images (z, t, h, w, image) against image ``reference_t`` of their plane; with ``move`` the moved images too.
+
+    The references are a written table; a task reads its plane's and keeps it from row to row, so no image is shuffled.
+    """
+    targets = keep_planes(images.where(F.col("t") == reference_t).select(F.col("z").cast("long").alias("z"), "image"), "register-targets")
+    schema = "z bigint, t bigint, dy bigint, dx bigint" + (", h int, w int, image binary" if move else "")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z, t, h, w = (batch.column(c)[i].as_py() for c in ("z", "t", "h", "w"))
+                target = plane_image(targets, z)
+                if target is None:
+                    continue
+                own = np.frombuffer(batch.column("image")[i].as_buffer(), "<f8").reshape(h, w, order="F")
+                dy, dx = frame_shift(target.reshape(h, w, order="F"), own)
+                cells = [pa.array([int(v)], pa.int64()) for v in (z, t, dy, dx)]
+                if move:
+                    moved = shifted(own, dy, dx).tobytes(order="F")
+                    cells += [pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([moved], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, [c.split()[0] for c in schema.split(", ")])
+
+    return images.select("z", "t", "h", "w", "image").mapInArrow(run, schema)
+
+
+def pixels_of(images: DataFrame) -> DataFrame:
+    """(z, t, y, x, v) of images (z, t, h, w, image)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z, t, h, w = (batch.column(c)[i].as_py() for c in ("z", "t", "h", "w"))
+                k, same = np.arange(h * w), lambda v: np.full(h * w, v, np.int64)  # noqa: B023
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (same(z), same(t), k % h + 1, k // h + 1, np.frombuffer(batch.column("image")[i].as_buffer(), "<f8"))], ["z", "t", "y", "x", "v"])
+
+    return images.select("z", "t", "h", "w", "image").mapInArrow(run, "z bigint, t bigint, y bigint, x bigint, v double")

@@ -652,7 +652,16 @@ REGISTER = "p AS (SELECT b.t, (a.y - b.y + 100) % 100 AS sy, (a.x - b.x + 64) %
 
 @query(f"WITH {REGISTER} SELECT CAST(1 AS BIGINT) AS z, t, CASE WHEN sy >= 50 THEN sy - 100 ELSE sy END AS dy, CASE WHEN sx >= 32 THEN sx - 64 ELSE sx END AS dx FROM best", "stk")
 def stack_register(spark, sf_dir):
-    return motion.register(A.stk(spark, sf_dir), 1, H, W)
+    return motion.register_images(motion.images_of(A.stk(spark, sf_dir), H, W), 1)
+
+
+@query(f"""WITH {REGISTER}, s AS (SELECT t, CASE WHEN sy >= 50 THEN sy - 100 ELSE sy END AS dy, CASE WHEN sx >= 32 THEN sx - 64 ELSE sx END AS dx FROM best),
+    m AS (SELECT stk.t, y + dy AS y, x + dx AS x, v FROM stk JOIN s ON s.t = stk.t WHERE dy <> 0 AND dx <> 0)
+    SELECT stk.z, stk.t, stk.y, stk.x, coalesce(m.v, stk.v) AS v FROM stk LEFT JOIN m ON m.t = stk.t AND m.y = stk.y AND m.x = stk.x""", "stk")
+def stacks_registered(spark, sf_dir):
+    """Every frame moved onto the first one."""
+    moved = motion.register_images(motion.images_of(A.stk(spark, sf_dir), H, W), 1, move=True)
+    return motion.pixels_of(moved).withColumn("v", F.col("v").cast("long"))
 
 
 #: Patches of all grid points in all frames, all their circular shifts, then the correlations with the planes around.
@@ -673,6 +682,15 @@ def xcorr_shift(spark, sf_dir):
     return motion.displacements(frames, A.px(spark, sf_dir).select("z", "y", "x", "v"), points, H, W, RADIUS)
 
 
+@query(f"WITH {XCORR} SELECT * FROM xc", "px", "stk")
+def xcorr_shift_images(spark, sf_dir):
+    """The same on images, as the motion stage runs it: references are read by the tasks, no image is shuffled."""
+    images = motion.images_of(A.stk(spark, sf_dir).withColumnRenamed("t", "tp"), H, W, "tp")
+    references = motion.images_of(A.px(spark, sf_dir).withColumn("t", F.lit(1)), H, W)
+    points = motion.grid(spark, H, W, RADIUS).select(F.lit(1).cast("long").alias("z"), "grid_idx", "ind")
+    return motion.displacements_of_images(images, references, points, RADIUS)
+
+
 @query(f"WITH {XCORR} SELECT z, tp, (tp - 1) * 150 + 75 AS frame_center, round(avg(sqrt(dy * dy + dx * dx)), 6) AS xy_av, round(stddev_samp(sqrt(dy * dy + dx * dx)), 6) AS xy_sd, round(avg(dz), 6) AS z_av, round(stddev_samp(dz), 6) AS z_sd FROM xc GROUP BY ALL", "px", "stk")
 def motion_timecourse(spark, sf_dir):
     out = motion.timecourse(xcorr_shift(spark, sf_dir), 150)

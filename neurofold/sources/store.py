@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+import pyarrow.dataset
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
@@ -200,6 +202,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def keep_planes(df: DataFrame, name: str) -> str:
+    """Writes rows with a plane ``z`` in its order, a row group a row, for tasks that load a plane by ``plane_rows``; the table's path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    ordered = df.repartitionByRange("z").sortWithinPartitions("z")
+    ordered.write.option("parquet.block.row.count.limit", 1).parquet(path)
+    return path
+
+
+@functools.lru_cache(maxsize=16)
+def _planes(path: str) -> pa.dataset.Dataset:
+    fs, at = store_of(path)
+    return pa.dataset.dataset(at, filesystem=fs, format="parquet")
+
+
+def plane_rows(path: str, z: int) -> pa.Table:
+    """The rows of a plane, by the row groups whose bounds hold it."""
+    return _planes(path).to_table(filter=pa.dataset.field("z") == z)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes rows below the shared folder and reads them back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

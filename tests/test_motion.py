@@ -115,3 +115,50 @@ def test_displacement_groups_hold_one_patch(spark):
     plan = Q.QUERIES["xcorr_shift"](spark, SMALL)._jdf.queryExecution().toString()
     groups = [x.split("]")[0] for x in plan.split("FlatMapGroupsInArrow [")[1:]]
     assert groups and all("grid_idx" in g and "tp" in g for g in groups), groups
+
+
+def images_table(spark, images, time):
+    rows = [(z, t, *v.shape, v.astype("<f8").tobytes(order="F")) for (z, t), v in images.items()]
+    return spark.createDataFrame(rows, f"z long, {time} long, h int, w int, image binary")
+
+
+def test_no_image_is_shuffled(spark, planes):
+    """References and first images are read by the tasks: whatever the broadcast threshold, no Exchange lies above the images."""
+    base, frames = planes
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        images = images_table(spark, frames, "tp")
+        references = images_table(spark, {(z, 0): v for z, v in base.items()}, "t")
+        points = [(z, r["grid_idx"], r["ind"]) for z in base for r in motion.grid(spark, 41, 37, 3).collect()]
+        for df in (motion.displacements_of_images(images, references, spark.createDataFrame(points, "z long, grid_idx long, ind long"), 3), motion.register_images(images.withColumnRenamed("tp", "t"), 1, move=True)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" not in plan
+        got = motion.displacements_of_images(images, references, spark.createDataFrame(points, "z long, grid_idx long, ind long"), 3)
+        assert found(got) == brute_displacements(frames, base, points, 3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_images_are_moved_as_pixels_are(spark):
+    rng = np.random.default_rng(8)
+    image = rng.integers(0, 99, (12, 9)).astype(float)
+    pixels = table(spark, {(1, 1): image}, ("z", "t"))
+    for dy, dx in ((3, 2), (-4, 1), (2, -8), (-11, -1), (0, 4), (5, 0), (0, 0), (30, 2)):
+        shifts = spark.createDataFrame([(1, 1, dy, dx)], "z long, t long, dy long, dx long")
+        expected = np.zeros(image.shape)
+        for r in motion.apply_shift(pixels, shifts).where("y between 1 and 12 and x between 1 and 9").collect():
+            expected[r["y"] - 1, r["x"] - 1] = r["v"]
+        assert (motion.shifted(image, dy, dx) == expected).all(), (dy, dx)
+
+
+def test_registered_stacks_line_up(spark):
+    """Frames that are their plane's first one moved round come back onto it, plane by plane; planes without the reference have none."""
+    rng = np.random.default_rng(9)
+    base = {z: rng.integers(0, 900, (30, 26)).astype(float) for z in (1, 2)}
+    frames = {(z, t): np.roll(base[z], (t - 1, 2 * (t - 1)), (0, 1)) for z in base for t in (1, 2, 3)} | {(3, 2): base[1]}
+    got = motion.register_images(images_table(spark, frames, "t"), 1, move=True).collect()
+    assert {(r["z"], r["t"]): (r["dy"], r["dx"]) for r in got} == {(z, t): (1 - t, 2 - 2 * t) for z, t in frames if z < 3}
+    for r in got:
+        image, d = np.frombuffer(r["image"], "<f8").reshape(30, 26, order="F"), r["t"] - 1
+        assert (image[: 30 - d, : 26 - 2 * d] == base[r["z"]][: 30 - d, : 26 - 2 * d]).all()
