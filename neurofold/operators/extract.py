@@ -24,7 +24,7 @@ def cell_pixels(cells: DataFrame) -> DataFrame:
 
 def stamps(cells: DataFrame, height: int, width: int) -> DataFrame:
     """(z, ind, cell_id): 5 x 5 pixels around each centre; a later cell overwrites; the last pixel of a plane is out of bounds."""
-    return _stamped(cells, height, width).groupBy("z", "ind").agg(F.max("cell_id").alias("cell_id"))
+    return stamped(cells, height, width).groupBy("z", "ind").agg(F.max("cell_id").alias("cell_id"))
 
 
 def overlaps(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -69,7 +69,7 @@ def interactions(cells: DataFrame, height: int, width: int) -> DataFrame:
 
     Whether a cell is removed depends on cells that such pairs reach, and on no others.
     """
-    s = _stamped(cells, height, width)
+    s = stamped(cells, height, width)
     y, x = F.pmod(F.col("ind") - 1, F.lit(height)), F.floor((F.col("ind") - 1) / height)
     around = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dz).alias("dz")) for dz in (0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))).alias("d")
     reached = s.select("z", "cell_id", "ind", y.alias("y"), x.alias("x"), around)
@@ -79,7 +79,7 @@ def interactions(cells: DataFrame, height: int, width: int) -> DataFrame:
     return pairs.union(cells.select(F.col("cell_id").alias("a"), F.col("cell_id").alias("b"))).distinct()
 
 
-def _stamped(cells: DataFrame, height: int, width: int) -> DataFrame:
+def stamped(cells: DataFrame, height: int, width: int) -> DataFrame:
     """(z, ind, cell_id): the pixels of every cell's 5 x 5 stamp, whoever else has them."""
     offsets = F.explode(F.array(*(F.lit(c * height + r) for c in range(-2, 3) for r in range(-2, 3)))).alias("o")
     centre = (F.col("cx") - 1) * height + F.col("cy")

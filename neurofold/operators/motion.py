@@ -48,6 +48,32 @@ def block_images(blocks: DataFrame, cycle: int, limit: int | None = None) -> Dat
     return sums.groupBy("z", "tp").applyInArrow(join, IMAGE)
 
 
+def mean_images(blocks: DataFrame) -> DataFrame:
+    """(z, h, w, image): mean image of all frames of each plane's stack, from frame blocks (z, t0, n, h, w, px).
+
+    Blocks are added up where they are read and a task keeps one sum a plane, so a stack of any length sends a sum a task.
+    """
+
+    def add(batches):
+        sums: dict[tuple[int, int, int], list] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                z, n, h, w = (batch.column(c)[i].as_py() for c in ("z", "n", "h", "w"))
+                held = sums.setdefault((z, h, w), [0, np.zeros(h * w, np.int64)])
+                held[0] += n
+                held[1] += np.frombuffer(batch.column("px")[i].as_buffer(), "<u2").reshape(n, -1).sum(0, dtype=np.int64)
+        for (z, h, w), (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((z, pa.int64()), (h, pa.int32()), (w, pa.int32()), (n, pa.int64()), (total.tobytes(), pa.binary()))], ["z", "h", "w", "n", "image"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_buffer(), np.int64) for b in table.column("image"))
+        mean = total / sum(table.column("n").to_pylist())
+        return table.select(["z", "h", "w"])[:1].append_column("image", pa.array([mean.astype("<f8").tobytes()], pa.binary()))
+
+    sums = blocks.select("z", "n", "h", "w", "px").mapInArrow(add, "z bigint, h int, w int, n bigint, image binary")
+    return sums.groupBy("z").applyInArrow(join, "z bigint, h int, w int, image binary")
+
+
 def page_images(pages: DataFrame) -> DataFrame:
     """(z, h, w, image) of grey pages (page, h, w, bits, kind, px row-major)."""
 
@@ -318,6 +344,8 @@ def nearest(cells: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     it is done once its k-th point is nearer than any point outside them can be, or nothing is outside.  The others look
     twice as far.  Cells of planes without points have no rows.
     """
+    # Both sides are met more than once: made once.
+    points = materialise(points, "nearest-points")
     extent = [F.min("py").alias("y0"), F.min("px").alias("x0"), F.max("py").alias("y1"), F.max("px").alias("x1"), F.count("*").alias("n")]
     side = F.greatest(F.lit(1.0), F.ceil(F.sqrt((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1) / F.col("n"))))
     planes = points.groupBy("z").agg(*extent).withColumn("side", side)
@@ -326,6 +354,7 @@ def nearest(cells: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     held = lambda v, top: F.least(F.greatest(v, F.lit(0)), top)
     placed = cells.join(planes.drop("n"), "z").withColumns({"ny": bucket("y1", "y0"), "nx": bucket("x1", "x0")})
     left = placed.withColumns({"oy": held(bucket("cy", "y0"), F.col("ny")), "ox": held(bucket("cx", "x0"), F.col("nx"))})
+    left = materialise(left, "nearest-left")
     own, work = cells.columns, ["y0", "x0", "y1", "x1", "side", "ny", "nx", "oy", "ox"]
     found, rings = None, RINGS
     while True:

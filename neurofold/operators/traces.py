@@ -227,6 +227,13 @@ def trial_average(points: DataFrame, lengths: list[int]) -> DataFrame:
     return points.where(F.col("t") <= ends[-1]).groupBy("cell_id", trial.cast("long").alias("trial")).agg(F.avg("f").alias("mean"))
 
 
+def trial_means(points: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(cell_id, trial, mean): trials follow each other in their order, with the lengths (cell_id, trial, length) that a table gives."""
+    upto = F.sum("length").over(W.partitionBy("cell_id").orderBy("trial"))
+    spans = lengths.where("length > 0").select("cell_id", F.col("trial").alias("frame"), (upto - F.col("length") + 1).alias("begin"), upto.alias("end"))
+    return align(spans, points, {"mean": ("mean", "f")}, least=1).withColumnRenamed("frame", "trial")
+
+
 def pair_correlation(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """(a, b, r): correlation of the traces of each pair; 0 where their lengths differ, NaN for constant ones."""
     a = points.select(F.col("cell_id").alias("a"), "t", F.col("f").alias("fa"))
@@ -286,10 +293,10 @@ def lanes_of(frames: DataFrame) -> DataFrame:
     return out
 
 
-def align(frames: DataFrame, samples: DataFrame, stats: dict[str, tuple[str, str]] | None = None, stretch: int = STRETCH) -> DataFrame:
+def align(frames: DataFrame, samples: DataFrame, stats: dict[str, tuple[str, str]] | None = None, stretch: int = STRETCH, least: int = 2) -> DataFrame:
     """(cell_id, frame, ...): medians or means of channels of the samples (cell_id, t, ...) inside each frame [begin, end].
 
-    stats: output name -> (median or mean, channel); by default ``med`` and ``mean`` of f.  0 for frames of one sample or fewer,
+    stats: output name -> (median or mean, channel); by default ``med`` and ``mean`` of f.  0 for frames of fewer than ``least`` samples,
     null for longer ones without samples; a frame that ends before it begins is left out.
 
     A sweep: starts and samples in order, each sample takes the last start before it.  Samples are swept in stretches, to
@@ -313,7 +320,7 @@ def align(frames: DataFrame, samples: DataFrame, stats: dict[str, tuple[str, str
     inside = events.withColumn("open", last("stretch")).where("kind = 2 and t <= open.end")
     make = {"median": F.median, "mean": F.avg}
     found = inside.groupBy("cell_id", F.col("open.frame").alias("frame")).agg(*(make[how](c).alias(name) for name, (how, c) in stats.items()))
-    long = F.col("end") > F.col("begin")
+    long = F.col("end") - F.col("begin") + 1 >= least
     kept = frames.select("cell_id", "frame", "begin", "end").where("begin <= end").join(found, ["cell_id", "frame"], "left")
     return kept.select("cell_id", "frame", *(F.when(long, F.col(name)).otherwise(F.lit(0.0)).alias(name) for name in stats))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime
 import functools
+import logging
 import os
 import warnings
 
@@ -77,6 +78,8 @@ class Pipeline:
     def move(self) -> tuple[DataFrame, DataFrame]:
         """Motion points with tilts, and the shifts of every timepoint."""
         info, p = self.acquisition(), self.params
+        if p.use_gpu:
+            logging.getLogger("neurofold").warning("%s: use_gpu is set, the motion stage runs on the executors' processors", self.directory)
         h, r = info["stack_height"], p.grid_radius
         # Means of frame blocks are written: the raw stacks are read once.
         self.write("block_means", motion.block_images(self.frames(info), self.cycle(info), self.limit(info)))

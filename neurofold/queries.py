@@ -6,6 +6,7 @@ are rounded on both sides, integers are 64 bits wide.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from .config import Params
 from .functions.semantics import exceeds, mround, slope, to_index, to_yx
 from .operators import extract, motion, segment, stencil, traces
 from .plans import batch
+from .sources import planestack, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,6 +132,17 @@ def trial_average(spark, sf_dir):
     return traces.trial_average(A.tr(spark, sf_dir), [10, 15, 5, 15]).select("cell_id", "trial", r6("mean", "mean"))
 
 
+#: Trials by the data: a user's events of a month are a trial, so its length is their number.
+TRIALS = "ev AS (SELECT user_id AS cell_id, CAST(month(ts) AS BIGINT) AS trial, count(*) AS n FROM events GROUP BY ALL), span AS (SELECT cell_id, trial, sum(n) OVER (PARTITION BY cell_id ORDER BY trial) AS last, n FROM ev)"
+
+
+@query(f"WITH {TRIALS} SELECT tr.cell_id, trial, round(avg(f), 6) AS mean FROM span JOIN tr ON tr.cell_id = span.cell_id AND t BETWEEN last - n + 1 AND last GROUP BY ALL", "tr")
+def trial_means(spark, sf_dir):
+    """Trials of the lengths that a table gives, over whole traces."""
+    lengths = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cell_id"), F.month("ts").cast("long").alias("trial")).agg(F.count("*").alias("length"))
+    return traces.trial_means(A.tr(spark, sf_dir), lengths).select("cell_id", "trial", r6("mean", "mean"))
+
+
 @query("WITH n AS (SELECT cell_id, count(*) AS n FROM tr GROUP BY ALL), p AS (SELECT a.cell_id AS a, b.cell_id AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON b.cell_id = a.cell_id + 1) SELECT a, b, round(CASE WHEN na <> nb THEN 0 ELSE corr(x.f, y.f) END, 6) AS r FROM p JOIN tr x ON x.cell_id = a JOIN tr y ON y.cell_id = b AND y.t = x.t GROUP BY a, b, na, nb", "tr")
 def pair_corr(spark, sf_dir):
     points = A.tr(spark, sf_dir)
@@ -290,13 +303,16 @@ def lin_index_roundtrip(spark, sf_dir):
     return p.select("z", "ind", y.alias("y"), x.alias("x"))
 
 
-@query("SELECT r AS radius, dy, dx FROM (VALUES (3), (4), (7), (10)) t(r), range(-10, 11) a(dy), range(-10, 11) b(dx) WHERE dy * dy + dx * dx <= r * r")
+@query("SELECT z, r AS radius, dy, dx, count(*) AS pixels FROM px, (VALUES (3), (4), (7), (10)) t(r), range(-10, 11) a(dy), range(-10, 11) b(dx) WHERE dy * dy + dx * dx <= r * r AND y + dy BETWEEN 1 AND 100 AND x + dx BETWEEN 1 AND 64 GROUP BY ALL", "px")
 def disk_offsets(spark, sf_dir):
+    """For each plane the offsets of the disks, and how many of its pixels have a neighbour there."""
+    sizes = A.px(spark, sf_dir).groupBy("z").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     out = None
     for r in (3, 4, 7, 10):
         one = stencil.disk_table(spark, r).select(F.lit(r).alias("radius"), "dy", "dx")
         out = one if out is None else out.union(one)
-    return out
+    pixels = (F.col("h") - F.abs("dy")) * (F.col("w") - F.abs("dx"))
+    return sizes.join(F.broadcast(out)).select("z", "radius", "dy", "dx", pixels.cast("long").alias("pixels"))
 
 
 @query("SELECT least(199, CAST(floor((v - lo) * 200.0 / (hi - lo)) AS BIGINT)) AS bin, count(*) AS n FROM px, (SELECT min(v) AS lo, max(v) AS hi FROM px) GROUP BY 1", "px")
@@ -513,6 +529,22 @@ def segment_cells(spark, sf_dir):
     return cells.select(F.col("cell_id").cast("long").alias("cell_id"), "z", "cy", "cx", "area", F.array_join(F.col("inds").cast("array<string>"), " ").alias("inds"), "y_min", "y_max", "x_min", "x_max")
 
 
+# Stacks as files: planes are written as raw stacks below the shared folder and read again by their offsets
+
+
+def _stack_files(spark, sf_dir) -> str:
+    path = f"{store.shared_dir(spark)}/stacks-{uuid.uuid4().hex}"
+    planestack.write(planestack.blocks_of(motion.images_of(A.stk(spark, sf_dir), H, W)), path)
+    return path
+
+
+@query("SELECT z, y, x, round(avg(v), 6) AS mean FROM stk GROUP BY ALL", "stk")
+def mean_stack(spark, sf_dir):
+    """Mean image of a stack of any length, from partial sums of its blocks."""
+    means = motion.mean_images(planestack.read(spark, _stack_files(spark, sf_dir), H, W, block=3))
+    return motion.pixels_of(means.withColumn("t", F.lit(0).cast("long"))).select("z", "y", "x", r6("v", "mean"))
+
+
 # Joins
 
 
@@ -546,6 +578,15 @@ def roi_mean_trace(spark, sf_dir):
     return extract.roi_means(A.stk(spark, sf_dir), pixels).select("cell_id", "t", F.round(F.col("f").cast("double"), 3).alias("f"))
 
 
+@query(f"WITH {CELLS}, sp AS (SELECT cell_id, (cx - 1) * 100 + cy + dx * 100 + dy AS ind FROM cells, range(-2, 3) a(dy), range(-2, 3) b(dx)) SELECT cell_id, t, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 3) AS f FROM sp JOIN stk USING (ind) WHERE ind > 0 AND ind < 6400 GROUP BY ALL", "px", "stk")
+def stack_cells(spark, sf_dir):
+    """Traces of the cells of all planes over the stack's frames, by seeks to their pixels in its file."""
+    stamps = extract.stamped(_cells(spark, sf_dir), H, W).groupBy("cell_id").agg(F.lit(1).alias("z"), F.collect_list("ind").alias("inds"))
+    cells = planestack.by_plane(stamps, f"{store.shared_dir(spark)}/cells-{uuid.uuid4().hex}")
+    found = planestack.read_cells(spark, _stack_files(spark, sf_dir), H, W, cells, block=3)
+    return found.select("cell_id", "t", F.round(F.col("f").cast("double"), 3).alias("f"))
+
+
 def _cell_points(spark, sf_dir):
     """Traces of the lattice cells: the brightness around each centre, along columns."""
     cells = _cells(spark, sf_dir).select("cell_id", "z", "cy")
@@ -592,9 +633,10 @@ GRID = "gp AS (SELECT (gx - 1) * 15 + gy AS grid_idx, gy, gx, (11 + (gx - 1) * 5
 RADIUS = 5
 
 
-@query(f"WITH {GRID} SELECT grid_idx, gy, gx, ind FROM gp", "px")
+@query(f"WITH {GRID} SELECT z, grid_idx, gy, gx, ind, v FROM gp JOIN px USING (ind)", "px")
 def grid_points(spark, sf_dir):
-    return motion.grid(spark, H, W, RADIUS)
+    """The grid's points on every plane, with the pixels they stand on."""
+    return motion.grid(spark, H, W, RADIUS).join(A.px(spark, sf_dir).select("z", "ind", "v"), "ind").select("z", "grid_idx", "gy", "gx", "ind", "v")
 
 
 PATCH = f"{GRID}, pc AS MATERIALIZED (SELECT grid_idx, ind AS start, ind + (c - 1) * 100 + r AS ind FROM gp, range(-5, 6) a(c), range(-5, 6) b(r)), pm AS (SELECT z, grid_idx, start AS ind, avg(v) AS m FROM pc JOIN px USING (ind) GROUP BY ALL)"
@@ -710,6 +752,31 @@ def motion_points(spark, sf_dir):
     return found.select("z", "grid_idx", "ind", *(r6(c, c) for c in ("tilt_y", "tilt_x", "tilt_z", "med_y", "med_x", "med_z")))
 
 
+TILTS = f"""{XCORR}, tl AS (SELECT grid_idx, regr_slope(dy, tp) * (max(tp) - 1) AS y, regr_slope(dx, tp) * (max(tp) - 1) AS x, regr_slope(dz, tp) * (max(tp) - 1) AS z FROM xc GROUP BY ALL),
+    md AS MATERIALIZED (SELECT a.grid_idx, median(b.y) AS y, median(b.x) AS x, median(b.z) AS z FROM tl a, range(-1, 2) p(u), range(-1, 2) q(w), tl b WHERE b.grid_idx = a.grid_idx + u + w * 15 GROUP BY ALL)"""
+
+
+def _median_tilts(spark, sf_dir):
+    tilts = store.materialise(motion.tilts(xcorr_shift_images(spark, sf_dir)), "tilts")
+    return motion.median_tilts(tilts, 15)
+
+
+@query(f"WITH {TILTS} SELECT CAST(1 AS BIGINT) AS z, round(avg(sqrt(y * y + x * x) * 0.406), 6) AS xymove_av, round(stddev_samp(sqrt(y * y + x * x) * 0.406), 6) AS xymove_sd, round(avg(abs(z) * 5), 6) AS zmove_av, round(stddev_samp(abs(z) * 5), 6) AS zmove_sd FROM md", "px", "stk")
+def motion_summary_found(spark, sf_dir):
+    """The summary of the shifts that the stage finds."""
+    return motion.summary(_median_tilts(spark, sf_dir), 0.406, 5.0).select("z", *(r6(c, c) for c in ("xymove_av", "xymove_sd", "zmove_av", "zmove_sd")))
+
+
+@query(f"""WITH {CELLS}, {TILTS}, pg AS (SELECT grid_idx, (ind - 1) % 100 + 1 AS py, (ind - 1) // 100 + 1 AS px_, md.y, md.x, md.z FROM md JOIN gp USING (grid_idx)),
+    nn AS (SELECT cell_id, y, x, z FROM (SELECT cell_id, cy, cx FROM cells WHERE z = 1) c, pg QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY (cy - py) * (cy - py) + (cx - px_) * (cx - px_), grid_idx) <= 5)
+    SELECT cell_id, round(avg(y), 6) AS my, round(avg(x), 6) AS mx, round(avg(z), 6) AS mz FROM nn GROUP BY cell_id UNION ALL SELECT cell_id, NULL, NULL, NULL FROM cells WHERE z <> 1""", "px", "stk")
+def cell_motion_found(spark, sf_dir):
+    """Mean tilt of each cell's five nearest grid points, as found; null on planes without any."""
+    ind = F.col("ind") - 1
+    placed = _median_tilts(spark, sf_dir).select("z", "grid_idx", (F.pmod(ind, F.lit(H)) + 1).alias("py"), (F.floor(ind / H) + 1).alias("px"), "med_y", "med_x", "med_z")
+    return motion.cell_motion(_cells(spark, sf_dir), placed).select("cell_id", *(r6(c, c) for c in ("my", "mx", "mz")))
+
+
 @query("SELECT z, y, x FROM px WHERE v > 350 AND NOT (v % 3 = 0)", "px")
 def setdiff_keep(spark, sf_dir):
     p = A.px(spark, sf_dir).where("v > 350")
@@ -725,29 +792,45 @@ def candidate_semi(spark, sf_dir):
 # Orchestration tables
 
 
-@query("SELECT * FROM (VALUES ('/a', 'OK', 'OK', 'OK'), ('/b', 'FAIL', 'SKIP', 'SKIP'), ('/c', 'OK', 'FAIL', 'SKIP'), ('/d', 'skipped', 'skipped', 'FAIL')) t(directory, segmentation, motion, timecourse)")
+#: A nation's customers as a dataset: what its three stages came to follows from their number, keys and names.
+RAN = """ran AS (SELECT n_name AS directory, ['OK', 'FAIL', 'skipped'][CAST(count(*) % 3 AS INT) + 1] AS segmentation, ['OK', 'OK', 'FAIL', 'skipped'][CAST(sum(c_custkey) % 4 AS INT) + 1] AS motion, ['OK', 'FAIL'][CAST(sum(length(c_mktsegment)) % 2 AS INT) + 1] AS timecourse FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name),
+    gated AS (SELECT directory, segmentation, CASE WHEN segmentation = 'FAIL' THEN 'SKIP' ELSE motion END AS motion, CASE WHEN segmentation = 'FAIL' OR motion = 'FAIL' THEN 'SKIP' ELSE timecourse END AS timecourse FROM ran)"""
+
+
+@query(f"WITH {RAN} SELECT * FROM gated")
 def batch_status(spark, sf_dir):
-    ran = spark.createDataFrame([("/a", "OK", "OK", "OK"), ("/b", "FAIL", "pending", "pending"), ("/c", "OK", "FAIL", "pending"), ("/d", "skipped", "skipped", "FAIL")], "directory string, segmentation string, motion string, timecourse string")
+    named = A.table(spark, sf_dir, "customer").join(A.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pick = lambda names, k: F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))
+    ran = named.groupBy(F.col("n_name").alias("directory")).agg(
+        pick(["OK", "FAIL", "skipped"], F.count("*")).alias("segmentation"), pick(["OK", "OK", "FAIL", "skipped"], F.sum("c_custkey")).alias("motion"), pick(["OK", "FAIL"], F.sum(F.length("c_mktsegment"))).alias("timecourse")
+    )
     return batch.gated(ran)
 
 
-@query("SELECT * FROM (VALUES ('motion', 1::BIGINT, 1::BIGINT, 1::BIGINT), ('segmentation', 2, 1, 1), ('timecourse', 1, 0, 1)) t(stage, ok, skipped, fail)")
+@query(f"WITH {RAN}, long AS (SELECT 'segmentation' AS stage, segmentation AS s FROM gated UNION ALL SELECT 'motion', motion FROM gated UNION ALL SELECT 'timecourse', timecourse FROM gated) SELECT stage, count(*) FILTER (s = 'OK') AS ok, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'FAIL') AS fail FROM long GROUP BY stage")
 def status_counts(spark, sf_dir):
     return batch.status_counts(batch_status(spark, sf_dir))
 
 
-@query("SELECT 120.0::DOUBLE AS threshold, true AS known UNION ALL SELECT NULL, false")
+@query("SELECT p_brand, CASE WHEN count(DISTINCT p_size) = 1 THEN CAST(min(p_size) AS DOUBLE) END AS threshold FROM (SELECT p_brand, p_size FROM part UNION ALL SELECT 'largest', max(p_size) FROM part) GROUP BY p_brand")
 def infer_threshold(spark, sf_dir):
-    from .sources.sidecar import infer_threshold as infer
+    """Parts as mask files of their brand; the largest ones agree, a brand's may not."""
+    from .sources.sidecar import agreed_threshold
 
-    names = spark.createDataFrame([("cellmask_120_5_5.tif",), ("cellmask_120.tif",), ("ave.tif",)], "name string")
-    mixed = spark.createDataFrame([("cellmask_120_5_5.tif",), ("cellmask_90.tif",)], "name string")
-    return infer(names).union(infer(mixed)).select("threshold", F.col("threshold").isNotNull().alias("known"))
+    part = A.table(spark, sf_dir, "part").select("p_brand", "p_size")
+    named = part.union(part.agg(F.lit("largest").alias("p_brand"), F.max("p_size").alias("p_size"))).select("p_brand", F.format_string("cellmask_%d_5_5.tif", "p_size").alias("name"))
+    return named.groupBy("p_brand").agg(agreed_threshold().alias("threshold"))
 
 
-@query("SELECT 2.5::DOUBLE AS frame_rate, 600::BIGINT AS n_volumes, 2048::BIGINT AS h, 1084::BIGINT AS w, 41::BIGINT AS z, 5.0::DOUBLE AS z_step_um, 1::BIGINT AS frame_start, 600::BIGINT AS frame_end")
+@query("SELECT p_partkey, p_size + 0.5::DOUBLE AS frame_rate, p_partkey AS n_volumes, CAST(p_size AS BIGINT) AS h, p_partkey AS w, CAST(p_size + 1 AS BIGINT) AS z, p_retailprice AS z_step_um, CAST(p_size + 1 AS BIGINT) AS frame_start, CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 101 ELSE 600 END AS frame_end FROM part")
 def sidecar_parse(spark, sf_dir):
+    """Parts as acquisition files: every field is read back from text."""
     from .sources import sidecar
 
-    text = spark.createDataFrame([('2.5\n240\n600\n', '<a dimensions="2048x1084x41"/><info z_step="5.0"/>', "minframe = 0\nmaxframe = 599")], "rate string, xml string, frames string")
-    return text.select(*sidecar.frame_rate(F.col("rate")), *sidecar.xml_dimensions(F.col("xml")), sidecar.z_step(F.col("xml")), *sidecar.frame_range(F.col("frames"), F.lit(600)))
+    text = A.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat("p_size", F.lit(".5\n240\n"), "p_partkey", F.lit("\n")).alias("rate"),
+        F.concat(F.lit('<a dimensions="'), "p_size", F.lit("x"), "p_partkey", F.lit("x"), F.col("p_size") + 1, F.lit('"/><info z_step="'), "p_retailprice", F.lit('">')).alias("xml"),
+        F.concat(F.lit("minframe = "), "p_size", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\nmaxframe = "), F.col("p_partkey") + 100)).otherwise("")).alias("frames"),
+    )
+    return text.select("p_partkey", *sidecar.frame_rate(F.col("rate")), *sidecar.xml_dimensions(F.col("xml")), sidecar.z_step(F.col("xml")), *sidecar.frame_range(F.col("frames"), F.lit(600)))

@@ -97,11 +97,16 @@ def join_path(*parts: Column) -> Column:
     return F.regexp_replace(F.concat_ws("/", *(F.regexp_replace(p, "/+$", "") for p in parts)), "/+$", "")
 
 
-def infer_threshold(names: DataFrame) -> DataFrame:
-    """The brightness threshold that mask file names (name) agree on; null if they name none or several."""
+def agreed_threshold() -> Column:
+    """Over mask file names (name): the brightness threshold that they agree on; null if they name none or several."""
     value = F.regexp_extract("name", r"^cellmask_(\d+(?:\.\d+)?)(?:_\d+(?:\.\d+)?_\d+(?:\.\d+)?)?\.tif$", 1)
-    found = names.where(value != "").select(value.cast("double").alias("t"))
-    return found.agg(F.when(F.count_distinct("t") == 1, F.min("t")).alias("threshold"))
+    found = F.when(value != "", value.cast("double"))
+    return F.when(F.min(found) == F.max(found), F.min(found))
+
+
+def infer_threshold(names: DataFrame) -> DataFrame:
+    """``agreed_threshold`` of all names."""
+    return names.agg(agreed_threshold().alias("threshold"))
 
 
 def is_single_plane(names: DataFrame, pages: int) -> DataFrame:

@@ -137,3 +137,20 @@ def test_registration_leaves_frames_that_move_along_one_axis(spark):
     shifts = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 1, 0)], "z long, t long, dy long, dx long")
     got = {(r["t"], r["y"], r["x"]): r["v"] for r in motion.apply_shift(frames, shifts).collect()}
     assert got[1, 3, 3] == 22 and got[1, 1, 1] == 11 and all(got[2, y, x] == 10 * y + x for y in range(1, 5) for x in range(1, 5))
+
+
+def test_use_gpu_is_said_to_have_no_effect(spark, volume, caplog):
+    folder, _ = volume
+    stages.Pipeline(spark, str(folder), Params(**vars(PARAMS) | {"use_gpu": True})).move()
+    assert any("use_gpu" in r.getMessage() for r in caplog.records)
+
+
+def test_mean_images_of_long_stacks(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    frames = {z: rng.integers(0, 60_000, (53, 4, 6)).astype("<u2") for z in (1, 3)}
+    for z, x in frames.items():
+        (tmp_path / f"Plane{z:02d}.stack").write_bytes(x.tobytes())
+    rows = motion.mean_images(planestack.read(spark, str(tmp_path), 6, 4, block=5)).collect()
+    assert {r["z"] for r in rows} == {1, 3}
+    for r in rows:
+        assert np.allclose(np.frombuffer(r["image"], "<f8"), frames[r["z"]].reshape(53, -1).mean(0))
