@@ -229,7 +229,7 @@ def patch_means(pixels: DataFrame, points: DataFrame, height: int, radius: int)
     """(z, grid_idx, ind, m): mean of each patch; patches are centred one column left of the start index."""
     offsets = F.explode(F.array(*(F.lit((c - 1) * height + r) for c in range(-radius, radius + 1) for r in range(-radius, radius + 1)))).alias("o")
     asked = points.select("grid_idx", F.col("ind").alias("start"), offsets).select("grid_idx", "start", (F.col("start") + F.col("o")).alias("ind"))
-    return pixels.join(F.broadcast(asked), "ind").groupBy("z", "grid_idx", F.col("start").alias("ind")).agg(F.avg("v").alias("m"))
+    return pixels.join(asked, "ind").groupBy("z", "grid_idx", F.col("start").alias("ind")).agg(F.avg("v").alias("m"))
 
 
 def patch_shift(source_fft: np.ndarray, target: np.ndarray, radius: int) -> tuple[int, int]:
@@ -429,7 +429,7 @@ def apply_shift(frames: DataFrame, shifts: DataFrame) -> DataFrame:
 
     Pixels that nothing moves onto keep their value.
     """
-    s = frames.join(F.broadcast(shifts.where("dy <> 0 and dx <> 0")), ["z", "t"])
+    s = frames.join(shifts.where("dy <> 0 and dx <> 0"), ["z", "t"])
     moved = s.select("z", "t", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.col("v").alias("moved"))
     return frames.join(moved, ["z", "t", "y", "x"], "left").select("z", "t", "y", "x", F.coalesce("moved", "v").alias("v"))
 

@@ -166,7 +166,7 @@ def local_contrast(pixels: DataFrame, threshold: float = 5, size: int = 32) -> D
     asked = minima.select("z", "gy", "gx", "gh", "g", around).select("z", "gy", "gx", (F.col("g") + F.col("d.dx") * F.col("gh") + F.col("d.dy")).alias("g"))
     mean = asked.join(minima.select("z", "g", "m"), ["z", "g"]).groupBy("z", "gy", "gx").agg(F.avg("m").alias("m"))
     keyed = pixels.withColumn("gy", F.floor((F.col("y") - 1) / size)).withColumn("gx", F.floor((F.col("x") - 1) / size))
-    return keyed.join(F.broadcast(mean), ["z", "gy", "gx"]).where(F.col("v") - F.col("m") > threshold).select("z", "y", "x", "ind", "v", "m")
+    return keyed.join(mean, ["z", "gy", "gx"]).where(F.col("v") - F.col("m") > threshold).select("z", "y", "x", "ind", "v", "m")
 
 
 def offset_join(pixels: DataFrame, radius: int, height: int, width: int) -> DataFrame:

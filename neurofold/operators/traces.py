@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.semantics import correlation, mround, slope
+from ..functions.semantics import mround
+from ..sources.store import materialise
 
 
 #: Windows that are ranked at once; samples of a run of a long trace.
@@ -146,21 +147,36 @@ def rolling_percentile_points(points: DataFrame, window: int, percentile: float)
     return inside.select("cell_id", "t", at.alias("at")).join(inside.select("cell_id", F.col("t").alias("at"), "f0"), ["cell_id", "at"]).select("cell_id", "t", "f0")
 
 
-def lowest_mean(df: DataFrame, value: str, share: int = 20) -> DataFrame:
-    """Mean of the lowest round(N / share) values, from a table of value counts (few values: integer images)."""
+def _counted(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
+    """(v, c, b, n): distinct values, how often each occurs, how many values come before it in the order, and all of them.
+
+    Whole numbers of images are few.  Fractions may be as many as the rows: they are cut in ranges, and only sums of ranges
+    meet in one place.
+    """
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    before = W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.select("v", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"), F.sum("c").over(W.partitionBy()).alias("n"))
+    order = F.desc("v") if descending else F.asc("v")
+    before = lambda by: F.coalesce(F.sum("c").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("c").over(W.partitionBy())
+    if df.schema[value].dataType.simpleString() not in ("float", "double"):
+        return counts.select("v", "c", before(W.orderBy(order)).alias("b"), total.alias("n"))
+    ranged = materialise(counts.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "value-counts")
+    sums = ranged.groupBy("range").agg(F.sum("c").alias("c"))
+    starts = sums.select("range", before(W.orderBy("range")).alias("start"), total.alias("n"))
+    inside = ranged.withColumn("inside", before(W.partitionBy("range").orderBy(order)))
+    return inside.join(starts, "range").select("v", "c", (F.col("start") + F.col("inside")).alias("b"), "n")
+
+
+def lowest_mean(df: DataFrame, value: str, share: int = 20) -> DataFrame:
+    """Mean of the lowest round(N / share) values."""
+    ranked = _counted(df, value)
     take = F.greatest(F.least(F.col("c"), F.round(F.col("n") / share) - F.col("b")), F.lit(0))
     return ranked.agg(F.try_divide(F.sum(F.col("v") * take), F.sum(take)).alias("level"))
 
 
 def ranked_value(df: DataFrame, value: str, position: Column, descending: bool = False) -> DataFrame:
-    """The value at a 1-based rank (an expression of the count ``n``), from a table of value counts."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    order = F.desc("v") if descending else F.asc("v")
-    ranked = counts.select("v", F.sum("c").over(W.orderBy(order)).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
-    return ranked.where(F.col("upto") >= position).agg((F.max("v") if descending else F.min("v")).alias("value"))
+    """The value at a 1-based rank (an expression of the count ``n``)."""
+    ranked = _counted(df, value, descending)
+    return ranked.where(F.col("b") + F.col("c") >= position).agg((F.max("v") if descending else F.min("v")).alias("value"))
 
 
 def subtract(points: DataFrame, level: DataFrame) -> DataFrame:
@@ -193,13 +209,19 @@ def bleach_fit(points: DataFrame, length: int, level: float = 0.0) -> DataFrame:
 
     A trace of less than two windows is an error; a baseline that is not positive makes the fit NaN.
     """
-    base = window_low_mean(points, length, level)
-    first = base.groupBy("cell_id").agg(F.avg(F.when(F.col("w") < 2, F.col("b"))).alias("b12"), F.min("b").alias("least"), F.count("*").alias("windows"))
-    joined = base.join(first, "cell_id")
-    centre = mround(length / 2) + F.col("w") * length
-    log = F.when(F.col("least") > 0, F.ln(F.col("b") / F.col("b12")))
-    fit = joined.groupBy("cell_id", "b12").agg(F.when(F.min("least") > 0, slope(log, centre)).otherwise(F.lit(float("nan"))).alias("slope"))
-    fit = fit.join(first.select("cell_id", "windows"), "cell_id")
+    # A cell's window baselines are few: one array a cell gives slope and level in one pass.
+    base = window_low_mean(points, length, level).groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("base"))
+    part = lambda f: F.aggregate("base", F.lit(0.0), f)
+    n = F.size("base").cast("double")
+    centre = lambda x: (mround(length / 2) + x["w"] * length).cast("double")
+    base = base.withColumn("b12", part(lambda s, x: s + F.when(x["w"] < 2, x["b"]).otherwise(0.0)) / F.least(n, F.lit(2.0)))
+    base = base.withColumn("fits", F.forall("base", lambda x: x["b"] > 0)).withColumn("mx", part(lambda s, x: s + centre(x)) / n)
+    log = lambda x: F.ln(x["b"] / F.col("b12"))
+    base = base.withColumn("my", F.when(F.col("fits"), part(lambda s, x: s + log(x)) / n))
+    sxy = part(lambda s, x: s + (centre(x) - F.col("mx")) * (log(x) - F.col("my")))
+    sxx = part(lambda s, x: s + (centre(x) - F.col("mx")) * (centre(x) - F.col("mx")))
+    rate = F.when(F.col("fits"), F.coalesce(F.try_divide(sxy, sxx), F.lit(0.0))).otherwise(F.lit(float("nan")))
+    fit = base.select("cell_id", "b12", rate.alias("slope"), F.size("base").alias("windows"))
     fitted = F.exp(F.col("slope") * F.col("t")) * F.col("b12")
     enough = F.when(F.coalesce("windows", F.lit(0)) < 2, F.raise_error(F.concat(F.lit("bleaching fit: two windows are needed, cell "), F.col("cell_id").cast("string"))).cast("double"))
     fitted = F.coalesce(enough, fitted)
@@ -235,15 +257,40 @@ def trial_means(points: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def pair_correlation(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """(a, b, r): correlation of the traces of each pair; 0 where their lengths differ, NaN for constant ones."""
-    a = points.select(F.col("cell_id").alias("a"), "t", F.col("f").alias("fa"))
-    b = points.select(F.col("cell_id").alias("b"), F.col("t").alias("u"), F.col("f").alias("fb"))
-    sizes = points.groupBy("cell_id").agg(F.count("*").alias("n"))
-    na, nb = sizes.withColumnsRenamed({"cell_id": "a", "n": "na"}), sizes.withColumnsRenamed({"cell_id": "b", "n": "nb"})
-    sized = pairs.join(na, "a").join(nb, "b")
-    joined = sized.join(a, "a").join(b.withColumnRenamed("u", "t"), ["b", "t"])
-    r = F.when(F.min("na") == F.min("nb"), correlation(F.col("fa"), F.col("fb"))).otherwise(F.lit(0.0))
-    return joined.groupBy("a", "b").agg(r.alias("r"))
+    """(a, b, r): correlation of the traces of each pair; 0 where their lengths differ, NaN for constant ones.
+
+    A trace travels once for each of its pairs as one array, not sample by sample; samples of a pair are matched by their time.
+    """
+    ordered = points.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("t", F.col("f").cast("double").alias("f")))).alias("s"))
+    side = lambda c: ordered.select(F.col("cell_id").alias(c), F.col("s.t").alias(f"t{c}"), F.col("s.f").alias(f"f{c}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            columns = {c: batch.column(c) for c in ("ta", "fa", "tb", "fb")}
+            r = []
+            for i in range(batch.num_rows):
+                ta, fa, tb, fb = (columns[c][i].values.to_numpy(zero_copy_only=False) for c in ("ta", "fa", "tb", "fb"))
+                r.append(_correlation(ta, fa, tb, fb))
+            keep = pa.array([v is not None for v in r], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(r, pa.float64())], ["a", "b", "r"]).filter(keep)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    return joined.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, r double")
+
+
+def _correlation(ta: np.ndarray, fa: np.ndarray, tb: np.ndarray, fb: np.ndarray) -> float | None:
+    """Of two traces by their times; None where they have no time in common."""
+    if len(ta) != len(tb) or (ta != tb).any():
+        _, i, j = np.intersect1d(ta, tb, return_indices=True)
+        if not len(i):
+            return None
+        if len(ta) != len(tb):
+            return 0.0
+        fa, fb = fa[i], fb[j]
+    x, y = fa - fa.mean(), fb - fb.mean()
+    sxx, syy = (x * x).sum(), (y * y).sum()
+    return float((x * y).sum() / np.sqrt(sxx * syy)) if sxx > 0 and syy > 0 else float("nan")
 
 
 def edges(samples: DataFrame, step: float = 0.05) -> DataFrame:
