@@ -496,3 +496,24 @@ def test_trie_of_long_words_and_a_bound_on_nodes(monkeypatch):
     assert alone[-1] == 50_000 and token_counts.Trie(scores).counts(tokens) == alone
     monkeypatch.setattr(token_counts, "NODES", 40)
     assert token_counts.Trie(scores).counts(tokens) == alone
+
+
+def test_long_words_are_scored_beyond_the_trie(spark, monkeypatch):
+    """A word longer than the trie keeps is counted as by one that keeps all of it; the trie stays small."""
+    scores = token_counts.pieces()
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeést") for _ in range(n)) for n in (255, 256, 257, 300, 5000)] + ["the" * 400, "漢" * 500]
+    plain = token_counts.Trie(scores)
+    monkeypatch.setattr(token_counts, "DEPTH", 1 << 30)
+    whole = plain.counts([token_counts.MARK + w for w in words])
+    monkeypatch.undo()
+    bounded = token_counts.Trie(scores)
+    assert bounded.counts([token_counts.MARK + w for w in words]) == whole
+    assert len(bounded.best) <= 1 + token_counts.DEPTH * len(words) < len(plain.best)
+
+
+def test_distinct_words_are_told_apart_by_bytes():
+    data = np.frombuffer(b"  aa b aa  \tb aa", np.uint8)
+    begin, stop, _ = token_counts.words(data, np.array([0, len(data)]))
+    distinct, slot = token_counts.distinct_words(data, begin, stop)
+    assert [distinct[k] for k in slot] == [b"aa", b"b", b"aa", b"b", b"aa"] and sorted(distinct) == [b"aa", b"b"]
