@@ -162,11 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Attention:
     known = labels.where(may_learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     text = F.coalesce("text", F.lit(""))
-    shortest = F.min(F.struct(F.octet_length(text).alias("size"), text.alias("text"))).alias("m")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(shortest).where(F.col("m.size") <= LARGEST)
-    # At most SAMPLE rows are added up.
-    so_far = F.sum("m.size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
+    size = F.octet_length(text).alias("size")
+    # Sizes alone choose the texts: at most SAMPLE rows of figures are added up in one place.
+    sizes = docs.select("doc_id", size).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("size").alias("size")).where(F.col("size") <= LARGEST)
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far")
+    rows = docs.select("doc_id", text.alias("text"), size).join(F.broadcast(chosen), ["doc_id", "size"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def encode(batches):
         for batch in batches:
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Attention:
             blobs = [x[i:j].tobytes() for i, j in zip(bags.first[:-1], bags.first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(blobs, pa.binary())], ["doc_id", "quality", "x"])
 
-    found = rows.select("doc_id", F.col("m.text").alias("text"), F.col("quality").cast("int").alias("quality")).repartition(16, "doc_id").mapInArrow(encode, "doc_id bigint, quality int, x binary").collect()
+    found = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).repartition(16, "doc_id").mapInArrow(encode, "doc_id bigint, quality int, x binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["x"]))
     model = Attention()
     if not found:
