@@ -21,6 +21,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -119,21 +120,20 @@ class Pieces:
 
     def __init__(self, items: list[tuple]):
         self.items = [(i, t, budget(len(t))) for i, t in items if t]
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        # An item's pieces are of one length: their keys are picked from the hashes of all its places.
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
-            data = np.frombuffer(text, np.uint8)
-            for p in range(edits + 1):
-                a = p * len(text) // (edits + 1)
-                q = len(text) // (edits + 1)
-                found.setdefault(q, []).append((int(grams(data[a : a + q], q)[0]), k, a))
+            q, at = len(text) // (edits + 1), np.arange(edits + 1) * len(text) // (edits + 1)
+            found.setdefault(q, []).append((grams(np.frombuffer(text, np.uint8), q)[at], np.full(edits + 1, k, np.int32), at.astype(np.int32)))
         self.tables = {}
         for q, rows in found.items():
-            rows.sort()
-            key = np.array([r[0] for r in rows], np.uint64)
+            key, item, offset = map(np.concatenate, zip(*rows, strict=True))
+            order = np.lexsort((offset, item, key))
+            key, item, offset = key[order], item[order], offset[order]
             shift = np.uint64(64 - max(BITMAP, len(key).bit_length() + SPARSE))
             bitmap = np.zeros(1 << (64 - int(shift)), bool)
             bitmap[key >> shift] = True
-            self.tables[q] = (key, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32), bitmap, shift)
+            self.tables[q] = (key, item, offset, bitmap, shift)
         self.length, self.edits = np.array([len(t) for _, t, _ in self.items], np.int64), np.array([e for *_, e in self.items], np.int64)
         # Which grams an item has, as one bitmap of hashes of both: a clash can only pass a window that the distance then rejects.
         own = [np.unique(self.marks(grams(np.frombuffer(t, np.uint8), GRAM), np.full(1, k, np.uint64))) for k, (_, t, _) in enumerate(self.items)]
@@ -214,6 +214,17 @@ class Pieces:
                 yield int(doc[a]), int(item[a]), best, int(low + end - offsets[doc[a]])
 
 
+_BUILT: dict[str, Pieces] = {}
+
+
+def kept(block: str, named: dict[bytes, list[int | None]]) -> Pieces:
+    """The pieces of a block of items; a worker builds them once and keeps those of its last block."""
+    if block not in _BUILT:
+        _BUILT.clear()
+        _BUILT[block] = Pieces([(ids, text) for text, ids in named.items()])
+    return _BUILT[block]
+
+
 MATCHES = "doc_id bigint, item_id bigint, distance int, budget int, match_end bigint"
 
 
@@ -233,8 +244,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             data = np.frombuffer(r["text"].encode(), np.uint8)
             named.setdefault(normal(data, np.array([0, len(data)]))[0].tobytes(), []).append(r["item_id"])
 
-        def scan(batches, named=named):
-            pieces = Pieces([(ids, text) for text, ids in named.items()])
+        def scan(batches, named=named, block=uuid.uuid4().hex):
+            pieces = kept(block, named)
             for batch in batches:
                 ids = batch.column("doc_id")
                 data, offsets = flat(batch.column("text"))
