@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Spans, chunks, flat, materialise, words
+from .common import CHUNK, LOWER, chunks, flat, materialise, words
 
 BUCKETS, SCALE = 10_000, 1000
 #: Rows of a run at most, rows from fence to fence, rows of a range, and how many ranges there are at least and at most.
@@ -109,15 +109,40 @@ def feature_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pair
 
 
 def featured(batch: pa.RecordBatch, buckets: int):
-    """For runs [i, j) of a batch's texts: buckets of their words and pairs, which words begin pairs, and where each text's words begin."""
+    """For runs of a batch's texts: buckets of their words and of their pairs, and the text (its row) of each word and pair.
+
+    A text longer than a run is cut between words, and a stretch begins with the last word of the one before it, so that no
+    pair is lost; the word itself is counted once.
+    """
     data, offsets = flat(batch.column("text"))
     for i, j in chunks(offsets):
-        part, own = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-        starts, ends, index = words(part, own, OUTSIDE)
-        follows = np.ones(len(starts), bool)
-        follows[index[1:][index[1:] > 0] - 1] = False  # a text's last word begins no pair
-        paired = np.flatnonzero(follows)
-        yield i, j, *feature_buckets(part, starts, ends, paired, buckets), paired, index
+        at, stop, again = int(offsets[i]), int(offsets[j]), False
+        stretched = j == i + 1 and stop - at > 2 * CHUNK
+        while True:
+            end = stretch_end(data, at, stop, 1 + again) if stretched else stop
+            part = LOWER[data[at:end]]
+            starts, ends, index = words(part, np.array([0, len(part)]) if stretched else offsets[i : j + 1] - at, OUTSIDE)
+            follows = np.ones(len(starts), bool)
+            follows[index[1:][index[1:] > 0] - 1] = False  # a text's last word begins no pair
+            paired = np.flatnonzero(follows)
+            one, two = feature_buckets(part, starts, ends, paired, buckets)
+            text = i + np.repeat(np.arange(len(index) - 1), np.diff(index))
+            yield one[again:], two, text[again:], text[paired]
+            if end == stop:
+                break
+            at, again = at + int(starts[-1]), True
+
+
+def stretch_end(data: np.ndarray, at: int, stop: int, least: int) -> int:
+    """The last place within about CHUNK bytes that no word covers and that ``least`` words begin before; else further on, or the end."""
+    reach = CHUNK
+    while at + reach < stop:
+        outside = OUTSIDE[LOWER[data[at : at + reach]]]
+        last = reach - 1 - int(outside[::-1].argmax())
+        if outside[last] and np.count_nonzero(outside[:last] & ~outside[1 : last + 1]) + (not outside[0]) >= least and last:
+            return at + last
+        reach *= 2
+    return stop
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -126,7 +151,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def count(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, _, one, two, _, _ in featured(batch, buckets):
+            for one, two, _, _ in featured(batch, buckets):
                 total += np.bincount(one, minlength=buckets) + np.bincount(two, minlength=buckets)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["bucket", "n"])
@@ -162,22 +187,19 @@ def scored(docs: DataFrame, gain: np.ndarray, least_words: int, seed: int, run_r
         for batch in batches:
             ids = batch.column("doc_id")
             numbers, valid = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-            data, offsets = flat(batch.column("text"))
-            for i, j, one, two, paired, index in featured(batch, len(gain)):
-                n_words = np.diff(index)
-                each = gain[one]
-                each[paired] += gain[two]
-                sums = np.append(0, np.cumsum(each))
-                n = np.where(n_words > 0, 2 * n_words - 1, 0)
-                weight = (sums[index[1:]] - sums[index[:-1]]) // np.maximum(n, 1)
-                drawn = np.array([noise(d if v else None, seed) for d, v in zip(numbers[i:j].tolist(), valid[i:j].tolist(), strict=True)], np.int64)
-                own = offsets[i : j + 1] - offsets[i]
-                tie = Spans(data[offsets[i] : offsets[j]])(own[:-1], own[1:]).view(np.int64)
-                held.append([numbers[i:j], n, weight, weight + drawn, n_words >= least_words, ~valid[i:j], tie])
-                size += j - i
-                if size >= run_rows:
-                    yield ordered(held, run)
-                    run, held, size = run + 1, [], 0
+            n_words, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for one, two, word_text, pair_text in featured(batch, len(gain)):
+                n_words += np.bincount(word_text, minlength=len(n_words))
+                np.add.at(total, word_text, gain[one])
+                np.add.at(total, pair_text, gain[two])
+            n = np.where(n_words > 0, 2 * n_words - 1, 0)
+            weight = total // np.maximum(n, 1)
+            drawn = np.array([noise(d if v else None, seed) for d, v in zip(numbers.tolist(), valid.tolist(), strict=True)], np.int64)
+            held.append([numbers, n, weight, weight + drawn, n_words >= least_words, ~valid, batch.column("tie").to_numpy()])
+            size += batch.num_rows
+            if size >= run_rows:
+                yield ordered(held, run)
+                run, held, size = run + 1, [], 0
         if held:
             yield ordered(held, run)
 
@@ -188,7 +210,7 @@ def scored(docs: DataFrame, gain: np.ndarray, least_words: int, seed: int, run_r
         columns = [pa.array(doc_id, mask=none), n, weight, total, pa.array(eligible), -total, none.astype(np.int64), doc_id, tie, np.full(len(n), run, np.int64), np.arange(len(n))]
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], [c.split()[0] for c in SCORED.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(score, SCORED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(score, SCORED)
 
 
 def sort_keys(columns: list[np.ndarray]) -> list[bytes]:

@@ -240,8 +240,31 @@ class Pieces:
         self.pool.extend(ids)
         self.first.append(len(self.pool))
 
-    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each has."""
+    def stretches(self, data: np.ndarray, limit: int):
+        """(begin, end) of parts of one text of about ``limit`` bytes, cut where the tokenizer is certain to cut."""
+        at, longest = 0, max(map(len, self.special), default=0)
+        while self.cuttable and len(data) - at > 2 * limit:
+            reach = limit
+            while at + reach < len(data):
+                # A special token that goes on behind the window is not cut.
+                sure = np.flatnonzero(self.cuts(data[at : at + reach])[: max(0, reach - longest - 1)])
+                if len(sure):
+                    break
+                reach *= 2
+            else:
+                break
+            yield at, at + int(sure[-1]) + 1
+            at += int(sure[-1]) + 1
+        yield at, len(data)
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has.  A single long text is taken in stretches."""
+        if len(offsets) == 2 and len(data) > 2 * limit:
+            parts = [self.ids_of(data[a:b], np.array([0, b - a]))[0] for a, b in self.stretches(data, limit)]
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
+        return self.ids_of(data, offsets)
+
+    def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.slots) > PIECES or len(self.pool) > POOL:
             self.clear()
         at = np.zeros(len(data) + 1, bool)

@@ -247,6 +247,32 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == whole
 
 
+def test_long_texts_are_taken_in_stretches(monkeypatch):
+    """Cut between words and where the tokenizer cuts, special tokens and words longer than a stretch whole."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pieces = token_ids.pieces_of(VOCABULARY)
+    monkeypatch.setattr(resample, "CHUNK", 40)
+    monkeypatch.setattr("neurofold.llm.common.CHUNK", 40)
+    monkeypatch.setattr(resample, "chunks", lambda o: resample_chunks(o, 40))
+    from neurofold.llm.common import chunks as resample_chunks
+
+    for _ in range(60):
+        text = "".join(rng.choice(["the cat", " sat", "<|endoftext|>", "é" * 30, " " * 12, "x" * 150, ", ", "don't ", "\n", "漢字"]) for _ in range(60))
+        data, offsets = flat(pa.array([text]))
+        assert pieces.texts(data, offsets, 40)[0].tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+        texts = ["a b", text, None, "c", text[:100]]
+        counts, of_words, of_pairs = Counter(), Counter(), Counter()
+        for one, two, word_text, pair_text in resample.featured(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 10_000):
+            counts.update(one.tolist() + two.tolist())
+            of_words.update(word_text.tolist())
+            of_pairs.update(pair_text.tolist())
+        whole = [features(t) for t in texts]
+        assert counts == Counter(zlib.crc32(f) % 10_000 for _, fs in whole for f in fs)
+        assert [of_words[k] for k in range(5)] == [len(w) for w, _ in whole] and [of_pairs[k] for k in range(5)] == [len(f) - len(w) for w, f in whole]
+
+
 def test_other_tokenizers_get_whole_texts():
     import pyarrow as pa
 
