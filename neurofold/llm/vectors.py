@@ -4,21 +4,24 @@ Unit vectors with cosine c differ by a squared distance of 2 - 2c.  After a fixe
 rotation the coordinates are split into blocks; if the squared distances of all blocks
 were above their share of the total (in proportion to their size) the total would be
 exceeded, so a pair must be within budget in at least one block.  Each block is joined
-by range over a grid: every vector lies in one cell, and as a probe it visits each cell
-to which its squared gaps, summed over the cut coordinates, stay within the block's
-budget.  Cells are cut at quantiles of a bounded sample, which may cut as finely as the
-input needs; the number of blocks and of cells is the one that costs least by probes
-counted on the sample.
-
-A cell's vectors and probes meet as matrices of block coordinates.  Only vectors that
-have a partner within a block's budget go on; their whole vectors meet once more in the
-same tile, where cosines are taken in double precision, every pair is counted in the
+by range in two levels.  Coarse cells are cut so that one holds about ``TILE`` vectors:
+a vector is sent to its own cell and, as a probe, to each later cell to which its squared
+gaps, summed over the cut coordinates, stay within the block's budget, so that a pair
+meets once.  Inside a cell a fine grid, cut at quantiles of the vectors that are there,
+picks the leaves that a probe visits.  So traffic follows the number of coarse cells, not
+of leaves, and one cell is all there is up to ``TILE`` vectors.  The number of blocks and
+of leaves is the one that costs least by visits counted on a bounded sample.
+
+A leaf's vectors and its visitors meet as matrices of block coordinates.  Only vectors
+that have a partner within a block's budget go on; their whole vectors meet once more in
+the same tile, where cosines are taken in double precision, every pair is counted in the
 lowest block that holds it, and a spanning forest stands for the links.  So nothing that
 leaves a task grows with the number of pairs, no link is missed and none is added.
 
-Equal vectors are one class, joined once.  Cells are cut into tiles of bounded rows, so
-a cell in which a third of all vectors fall is many tasks; the links of such a cluster
-are counted all the same (n_links is exact), which is work in proportion to the links.
+Equal vectors are one class, joined once.  Cells beyond ``TILE`` vectors are cut into
+tiles, so a cell in which a third of all vectors fall is many tasks; the links of such a
+cluster are counted all the same (n_links is exact), which is work in proportion to the
+links.
 
 Defined results: vectors that are null, of another length than most, zero, or hold null
 or non-finite components have no links and are kept; magnitudes from 1e-300 to 1e300 are
@@ -38,10 +41,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import components, forest
 
-#: Numbers of blocks to choose from; vectors in the sample that the grids are cut by; sample rows that count probes.
-BLOCKS, SAMPLE, TRIED = (4, 8, 16), 20_000, 512
-#: Most levels of a grid (2**levels cells); rows of a tile; rows that travel together; cost of sending a row, in comparisons.
-LEVELS, TILE, PACK, SEND = 24, 4096, 256, 500
+#: Numbers of blocks to choose from; vectors in the sample that the grids are cut by; sample rows that count visits.
+BLOCKS, SAMPLE, TRIED = (4, 8, 16), 20_000, 256
+#: Most levels of a grid (2**levels cells); most rows of a tile and most bytes of its whole vectors; rows that travel together.
+LEVELS, TILE, TILE_BYTES, PACK = 24, 1 << 16, 32 << 20, 256
+#: In comparisons: cost of sending a row to a coarse cell, of a visit to a leaf, of sending a whole vector.
+SEND, VISIT, WHOLE = 500, 50, 5_000
+#: Visits held at once inside a task, and visitors of a leaf that are compared together.
+VISITS, TOGETHER = 1 << 20, 4096
 #: Margins for rounding: of block distances in single precision, and in double.
 LOOSE, TIGHT = 1e-5, 1e-9
 
@@ -61,13 +68,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def bits(dims: int, first: int, last: int) -> list[int]:
+    """How often each coordinate is cut in two at levels first to last - 1: coordinates take turns."""
+    return [(last - k + dims - 1) // dims - (first - k + dims - 1) // dims for k in range(dims)]
+
+
 class Grid:
-    """Cells of one block: its coordinates are cut in turn at quantiles of a sample, 2**levels cells together."""
+    """Cells of one block: each coordinate is cut at quantiles of a sample into 2**times parts."""
 
-    def __init__(self, x: np.ndarray, levels: int):
-        dims = x.shape[1]
-        bits = [levels // dims + (k < levels % dims) for k in range(dims)]
-        self.cuts = [np.quantile(x[:, k], np.arange(1, 1 << b) / (1 << b)) if b and len(x) else np.zeros(0) for k, b in enumerate(bits)]
+    def __init__(self, x: np.ndarray, times: list[int]):
+        self.cuts = [np.quantile(x[:, k], np.arange(1, 1 << b) / (1 << b)) if b and len(x) else np.zeros(0) for k, b in enumerate(times)]
 
     def own(self, x: np.ndarray) -> np.ndarray:
         cell = np.zeros(len(x), np.int64)
@@ -89,35 +99,90 @@ class Grid:
         return row, cell
 
 
-def plan(sample: np.ndarray, count: int, total: float) -> tuple[list[np.ndarray], np.ndarray, list[Grid]]:
-    """Blocks, budgets and grids that cost least for ``count`` vectors: a probe is sent once and compared with a cell's vectors."""
+def tile_rows(dims: int) -> int:
+    return max(1, min(TILE, TILE_BYTES // (8 * dims)))
+
+
+def plan(sample: np.ndarray, count: int, total: float) -> tuple[list[np.ndarray], np.ndarray, int, float]:
+    """Blocks, budgets, levels of coarse cells and rows of a leaf that cost least for ``count`` vectors."""
     dims, best = sample.shape[1], None
     tried = sample[:: max(1, len(sample) // TRIED)]
+    coarse = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, count) / tile_rows(dims))))))
     for number in sorted({min(b, dims) for b in BLOCKS}):
         blocks = np.array_split(np.arange(dims), number)
         budgets = np.array([total * len(b) / dims for b in blocks])
-        for levels in range(LEVELS + 1):
-            if levels and count >> levels < 64:
+        # Blocks are alike after the rotation: the first one stands for all.
+        x, mine = sample[:, blocks[0]], tried[:, blocks[0]]
+        partners = sum(int(close(augmented(mine[k : k + 64]), x, budgets[0]).sum()) for k in range(0, len(mine), 64)) - len(mine)
+        partners *= count / max(1, len(mine) * len(x))
+        sends = 0.0
+        for levels in range(coarse, LEVELS + 1):
+            if levels > coarse and count >> levels < 16:
                 break
-            # Blocks are alike after the rotation: the first one stands for all.
-            grid = Grid(sample[:, blocks[0]], levels)
-            probes = sum(len(grid.near(tried[k : k + 64][:, blocks[0]], budgets[0] + LOOSE)[0]) for k in range(0, len(tried), 64)) / max(1, len(tried))
-            cost = number * probes * (SEND + count / 2**levels)
+            grid = Grid(x, bits(x.shape[1], 0, levels))
+            visits = sum(len(grid.near(mine[k : k + 64], budgets[0] + LOOSE)[0]) for k in range(0, len(mine), 64)) / max(1, len(mine))
+            if levels == coarse:
+                sends = SEND * visits + WHOLE * min(partners, visits)
+            cost = number * (sends + visits * (VISIT + count / 2**levels))
             if best is None or cost < best[0]:
-                best = cost, blocks, budgets, levels
+                best = cost, blocks, budgets, count / 2**levels
             elif cost > 4 * best[0]:
                 break
-    _, blocks, budgets, levels = best
-    return blocks, budgets, [Grid(sample[:, b], levels) for b in blocks]
+    _, blocks, budgets, leaf = best
+    return blocks, budgets, coarse, leaf
+
 
+def augmented(probes: np.ndarray) -> np.ndarray:
+    return np.concatenate([probes, (probes * probes).sum(1)[:, None], np.ones((len(probes), 1), probes.dtype)], 1)
 
-def close(probes: np.ndarray, own: np.ndarray, budget: float) -> np.ndarray:
-    """Which probes and vectors are within a squared distance, by one matrix product."""
-    left = np.concatenate([probes, (probes * probes).sum(1)[:, None], np.ones((len(probes), 1), probes.dtype)], 1)
+
+def close(left: np.ndarray, own: np.ndarray, budget: float) -> np.ndarray:
+    """Which (augmented) probes and vectors are within a squared distance, by one matrix product."""
     right = np.concatenate([-2 * own, np.ones((len(own), 1), own.dtype), (own * own).sum(1)[:, None]], 1)
     return left @ right.T <= budget
 
 
+def meetings(probes: np.ndarray | None, own: np.ndarray, budget: float, first: int, leaf: float):
+    """Places (i, j) of probes and own vectors within a squared distance, a bounded run of visits at a time, each pair once.
+
+    Without probes the own vectors meet each other.  Cuts go on from level ``first``, down to leaves of about ``leaf`` rows.
+    """
+    if not len(own) or (probes is not None and not len(probes)):
+        return
+    levels = max(0, int(np.log2(max(1.0, len(own) / max(leaf, 1.0)))))
+    grid = Grid(own, bits(own.shape[1], first, first + levels))
+    at = grid.own(own)
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    ends = np.searchsorted(at, np.arange((1 << levels) + 1))
+    alone = probes is None
+    probes = own if alone else probes
+    left = augmented(probes)
+    step = max(1, VISITS >> levels)
+    for k in range(0, len(probes), step):
+        row, cell = grid.near(probes[k : k + step], budget)
+        row += k
+        if alone:
+            row, cell = row[cell >= at[row]], cell[cell >= at[row]]
+        if not len(cell):
+            continue
+        by = np.argsort(cell, kind="stable")
+        row, cell = row[by], cell[by]
+        cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        for a, b in zip(cuts, [*cuts[1:], len(cell)], strict=True):
+            start, stop = ends[cell[a]], ends[cell[a] + 1]
+            for m in range(start, stop, TOGETHER):
+                n = min(stop, m + TOGETHER)
+                for c in range(a, b, TOGETHER):
+                    visitors = row[c : min(b, c + TOGETHER)]
+                    i, j = np.nonzero(close(left[visitors], own[m:n], budget))
+                    i, j = visitors[i], m + j
+                    if alone:
+                        i, j = i[i < j], j[i < j]
+                    if len(i):
+                        yield (order[i] if alone else i), order[j]
+
+
 TILES = "block int, cell bigint, i int, j int"
 
 
@@ -138,7 +203,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     turn = rotation(dims)
     count = classes.count()
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    blocks, budgets, grids = plan(unit(scaled(sample, dims)) @ turn if len(sample) else np.zeros((0, dims)), count, 2 - 2 * cosine)
+    sample = unit(scaled(sample, dims)) @ turn if len(sample) else np.zeros((0, dims))
+    blocks, budgets, coarse, leaf = plan(sample, count, 2 - 2 * cosine)
+    grids = [Grid(sample[:, b], bits(len(b), 0, coarse)) for b in blocks]
 
     def deal(batches):
         """Packs of ids and block coordinates by cell, of the vectors that lie there and of those that probe it."""
@@ -148,10 +215,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
             for k, b in enumerate(blocks):
                 for a in range(0, len(every), 1024):
                     ids, x = every[a : a + 1024], turned[a : a + 1024, b]
-                    for probe, (row, cell) in ((False, (np.arange(len(x)), grids[k].own(x))), (True, grids[k].near(x, budgets[k] + LOOSE))):
+                    at = grids[k].own(x)
+                    near, cells = grids[k].near(x, budgets[k] + LOOSE)
+                    later = cells > at[near]
+                    for probe, row, cell in ((False, np.arange(len(x)), at), (True, near[later], cells[later])):
+                        if not len(cell):
+                            continue
                         order = np.argsort(cell, kind="stable")
                         row, cell = row[order], cell[order]
-                        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+                        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
                         size = np.diff(np.append(first, len(cell)))
                         pieces = -(-size // PACK)
                         first = np.repeat(first, pieces) + PACK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
@@ -161,37 +233,32 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(cell[first]), pa.array(np.full(len(first), probe)), pa.array((ends - first).astype(np.int32)), pa.array(ids[row[first]]), pa.array(packs, pa.binary())], ["block", "cell", "probe", "n", "head", "pack"])
 
     dealt = materialise(classes.select("id", "v").mapInArrow(deal, "block int, cell bigint, probe boolean, n int, head bigint, pack binary"), "vector-cells")
-    # A cell's vectors and probes are cut into tiles of bounded rows; every tile of probes meets every tile of vectors.
-    in_tiles = lambda kind: F.ceil(F.sum(F.when(kind, F.col("n"))) / TILE).cast("int")
-    counts = dealt.groupBy("block", "cell").agg(in_tiles(~F.col("probe")).alias("own"), in_tiles(F.col("probe")).alias("probes")).where("own > 0 and probes > 0")
+    # Tiles of bounded rows: each tile of a cell's vectors meets itself, the later ones (j below ``own``) and every tile of probes (j from there).
+    in_tiles = lambda kind: F.ceil(F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)) / tile_rows(dims)).cast("int")
+    counts = dealt.groupBy("block", "cell").agg(in_tiles(~F.col("probe")).alias("own"), in_tiles(F.col("probe")).alias("probes")).where("own > 0")
     joined = dealt.join(materialise(counts, "cell-sizes"), ["block", "cell"])
     tile = F.pmod(F.xxhash64("head"), F.when(F.col("probe"), F.col("probes")).otherwise(F.col("own"))).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(F.col("probe"), F.col("own")).otherwise(F.col("probes")) - 1))
-    tiled = joined.withColumn("mine", tile).withColumn("theirs", others)
-    tiled = tiled.select("block", "cell", F.when(F.col("probe"), F.col("theirs")).otherwise(F.col("mine")).alias("i"), F.when(F.col("probe"), F.col("mine")).otherwise(F.col("theirs")).alias("j"), "probe", "n", "pack")
+    place = lambda i, j, probe: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(probe).alias("probe"))
+    as_own = F.transform(F.sequence("mine", F.col("own") + F.col("probes") - 1), lambda j: place(F.col("mine"), j, False))
+    to_earlier = F.when(F.col("mine") > 0, F.transform(F.sequence(F.lit(0), F.col("mine") - 1), lambda i: place(i, F.col("mine"), True))).otherwise(F.array().cast("array<struct<i:int,j:int,probe:boolean>>"))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: place(i, F.col("own") + F.col("mine"), True))
+    places = F.when(F.col("probe"), as_probe).otherwise(F.concat(as_own, to_earlier))
+    tiled = joined.withColumn("mine", tile).select("block", "cell", F.explode(places).alias("at"), "n", "pack").select("block", "cell", "at.i", "at.j", "at.probe", "n", "pack")
 
     def partners(table: pa.Table) -> pa.Table:
         """The vectors and probes of a tile that have a partner within the block's budget."""
-        block = table.column("block")[0].as_py()
+        block, alone = table.column("block")[0].as_py(), table.column("i")[0] == table.column("j")[0]
         probe, sizes = table.column("probe").to_numpy(), table.column("n").to_pylist()
         packs = table.column("pack").to_pylist()
         ids = [np.frombuffer(p, "<i8", n) for p, n in zip(packs, sizes, strict=True)]
         points = [np.frombuffer(p, "<f4", offset=8 * n).reshape(n, -1) for p, n in zip(packs, sizes, strict=True)]
         pick = lambda x, kind, empty: np.concatenate([v for v, p in zip(x, probe, strict=True) if p == kind] or [empty])
         none, flat = np.zeros(0, np.int64), np.zeros((0, len(blocks[block])), np.float32)
-        own_ids, own = pick(ids, False, none), pick(points, False, flat)
-        order = np.argsort(own_ids)
-        own_ids, own = own_ids[order], own[order]
-        probe_ids, probes = pick(ids, True, none), pick(points, True, flat)
+        own_ids, own, probe_ids, probes = pick(ids, False, none), pick(points, False, flat), pick(ids, True, none), pick(points, True, flat)
         met, meets = np.zeros(len(own_ids), bool), np.zeros(len(probe_ids), bool)
-        for k in range(0, len(probes) if len(own) else 0, 1024):
-            hit = close(probes[k : k + 1024], own, budgets[block] + LOOSE)
-            at = np.minimum(np.searchsorted(own_ids, probe_ids[k : k + 1024]), len(own_ids) - 1)
-            itself = np.flatnonzero(own_ids[at] == probe_ids[k : k + 1024])
-            hit[itself, at[itself]] = False
-            meets[k : k + 1024] = hit.any(1)
-            if meets[k : k + 1024].any():
-                met |= hit.any(0)
+        for i, j in meetings(None if alone else probes, own, budgets[block] + LOOSE, coarse, leaf):
+            (met if alone else meets)[i] = True
+            met[j] = True
         found = np.concatenate([own_ids[met], probe_ids[meets]])
         same = lambda c, kind: pa.array([table.column(c)[0].as_py()] * len(found), kind)
         return pa.table({"block": same("block", pa.int32()), "cell": same("cell", pa.int64()), "i": same("i", pa.int32()), "j": same("j", pa.int32()), "probe": pa.array(np.arange(len(found)) >= met.sum()), "id": pa.array(found)})
@@ -200,30 +267,40 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     starts = np.array([b[0] for b in blocks])
 
     def verify(table: pa.Table) -> pa.Table:
-        """For each vector of a tile that is linked: links from it as a probe, and the root of its tree in a spanning forest."""
-        block, probe = table.column("block")[0].as_py(), table.column("probe").to_numpy()
-        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        """For each vector of a tile that is linked: its links there, and the root of its tree in a spanning forest."""
+        block, alone = table.column("block")[0].as_py(), table.column("i")[0] == table.column("j")[0]
+        ids, copies, probe = table.column("id").to_numpy(), table.column("copies").to_numpy(), table.column("probe").to_numpy()
         x = scaled(table.column("v").combine_chunks(), dims)
         norm, turned = (x * x).sum(1), unit(x) @ turn
         mine, theirs = np.flatnonzero(probe), np.flatnonzero(~probe)
-        n, a, b = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(0, len(mine), 256):
-            hit = np.argwhere(close(turned[mine[k : k + 256]][:, blocks[block]], turned[theirs][:, blocks[block]], budgets[block] + LOOSE))
-            for m in range(0, len(hit), 1 << 15):
-                i, j = mine[k + hit[m : m + (1 << 15), 0]], theirs[hit[m : m + (1 << 15), 1]]
-                i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
-                apart = np.add.reduceat((turned[i] - turned[j]) ** 2, starts, 1) if len(i) else np.zeros((0, len(starts)))
+        points = turned[:, blocks[block]].astype(np.float32)
+        n, a, b = np.zeros(len(ids), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def judge(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal n, a, b
+            for m in range(0, len(i), 1 << 15):
+                p, q = i[m : m + (1 << 15)], j[m : m + (1 << 15)]
+                apart = np.add.reduceat((turned[p] - turned[q]) ** 2, starts, 1)
                 # Every block decides alike wherever the pair meets: the lowest one that holds it counts it.
                 within = apart <= budgets + TIGHT
-                linked = (x[i] * x[j]).sum(1) / np.sqrt(norm[i] * norm[j]) >= cosine
+                linked = (x[p] * x[q]).sum(1) / np.sqrt(norm[p] * norm[q]) >= cosine
                 good = within[:, block] & ~within[:, :block].any(1) & linked
-                n += np.bincount(i[good], copies[j[good]], len(ids)).astype(np.int64)
-                nodes, roots = forest(np.append(a[-1], ids[i[good]]), np.append(b[-1], ids[j[good]]))
-                a, b = [nodes], [roots]
-        nodes, roots = a[-1], b[-1]
-        degree = np.zeros(len(nodes), np.int64)
-        np.add.at(degree, np.searchsorted(nodes, ids[n > 0]), n[n > 0])
-        return pa.table({"id": pa.array(nodes), "root": pa.array(roots), "n": pa.array(degree)})
+                p, q = p[good], q[good]
+                n += (np.bincount(p, copies[q], len(ids)) + np.bincount(q, copies[p], len(ids))).astype(np.int64)
+                a, b = forest(np.append(a, ids[p]), np.append(b, ids[q]))
+
+        held, size = [], 0
+        for i, j in meetings(None if alone else points[mine], points[theirs], budgets[block] + LOOSE, coarse, leaf):
+            held.append((theirs[i] if alone else mine[i], theirs[j]))
+            size += len(i)
+            if size >= 1 << 17:
+                judge(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            judge(*map(np.concatenate, zip(*held, strict=True)))
+        degree = np.zeros(len(a), np.int64)
+        np.add.at(degree, np.searchsorted(a, ids[n > 0]), n[n > 0])
+        return pa.table({"id": pa.array(a), "root": pa.array(b), "n": pa.array(degree)})
 
     whole = close_by.join(classes, "id").select("block", "cell", "i", "j", "probe", "id", "copies", "v")
     links = materialise(whole.groupBy("block", "cell", "i", "j").applyInArrow(verify, "id bigint, root bigint, n bigint"), "vector-links")

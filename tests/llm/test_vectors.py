@@ -78,9 +78,40 @@ def test_null_ids(spark):
 def test_grid_probes_every_cell_in_reach():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 4))
-    grid = vectors.Grid(x, 6)
+    grid = vectors.Grid(x, vectors.bits(4, 0, 6))
     row, cell = grid.near(x, 0.3)
     probed, own = set(zip(row.tolist(), cell.tolist())), grid.own(x)
     near = np.argwhere(((x[:, None] - x[None]) ** 2).sum(2) <= 0.3)
     assert len(near) > 600 and all((int(i), int(own[j])) in probed for i, j in near)
     assert len(probed) < 400 * 64 / 2
+
+
+def test_levels_add_up():
+    for dims in (1, 3, 16):
+        for a, b, c in ((0, 0, 5), (0, 7, 24), (4, 4, 4), (2, 5, 19)):
+            assert [x + y for x, y in zip(vectors.bits(dims, a, b), vectors.bits(dims, b, c))] == vectors.bits(dims, a, c)
+            assert sum(vectors.bits(dims, a, c)) == c - a
+
+
+def test_meetings_are_all_pairs_in_reach_once(monkeypatch):
+    monkeypatch.setattr(vectors, "VISITS", 1 << 9)
+    monkeypatch.setattr(vectors, "TOGETHER", 16)
+    rng = np.random.default_rng(9)
+    own, probes = (np.concatenate([rng.standard_normal((n, 5)), np.ones((30, 5))]).astype(np.float32) for n in (300, 200))
+    apart = lambda x, y: ((x[:, None] - y[None]) ** 2).sum(2)
+    for leaf in (1, 8, 1000):
+        got = [p for i, j in vectors.meetings(probes, own, 0.5, 3, leaf) for p in zip(i.tolist(), j.tolist())]
+        assert sorted(got) == [tuple(p) for p in np.argwhere(apart(probes, own) <= 0.5).tolist()] and len(got) > 900
+        got = [tuple(sorted(p)) for i, j in vectors.meetings(None, own, 0.5, 3, leaf) for p in zip(i.tolist(), j.tolist())]
+        assert sorted(got) == [tuple(p) for p in np.argwhere(np.triu(apart(own, own) <= 0.5, 1)).tolist()]
+
+
+def test_traffic_follows_coarse_cells():
+    """Cells that vectors are sent to: one up to a tile, and far fewer than leaves beyond."""
+    x = np.random.default_rng(10).standard_normal((4000, 64))
+    x = vectors.unit(x)
+    for count, most in ((10_000, 1), (60_000, 1), (1_000_000, 16), (30_000_000, 250)):
+        blocks, budgets, coarse, leaf = vectors.plan(x, count, 0.1)
+        assert count / 2**coarse <= vectors.tile_rows(64) and leaf <= count / 2**coarse
+        grid = vectors.Grid(x[:, blocks[0]], vectors.bits(len(blocks[0]), 0, coarse))
+        assert len(grid.near(x[:64, blocks[0]], budgets[0])[0]) <= 64 * most
