@@ -13,7 +13,9 @@ have an equal neighbour in it:
 1. equal windows have equal triggers with equal bytes after them, so triggers whose
    following bytes are unique in the corpus leave the parse (most of it does);
 2. the dictionary holds each remaining entry once: an entry that the parse has twice
-   makes all its windows repeated, and one occurrence is elected to stand for it;
+   makes all its windows repeated, and one occurrence is elected to stand for it; where
+   a check beside the key tells that different entries share a key, all of them are
+   elected and none counts as repeated, so that step 4 decides by their bytes;
 3. entries that are alone under their following bytes are settled;
 4. the others are spelled out.  An entry carries the bytes that follow its phrase as far
    as a window reaches, so the order of the parse's suffixes is part of the order of the
@@ -21,7 +23,9 @@ have an equal neighbour in it:
    doubling from exact eight-byte words; windows that are equal over their whole length
    are neighbours in it, so repeats are decided by bytes.
 
-Steps 1 to 3 are distributed counts of 64-bit keys (``common.counted``); step 4 deals
+Steps 1 to 3 are distributed counts of 64-bit keys (``common.counted``), with the sum of
+a 24-bit check of each entry in step 2.  In steps 1 and 3 a clash of keys only leaves
+more to compare.  Step 4 deals
 entries by their following bytes, and where more than ``CLASS`` entries share them, their
 windows by content, so no passage that a third of all documents share meets in one task.
 
@@ -48,6 +52,8 @@ TRIGGER, PERIOD, REACH = 16, 96, 132
 STRETCH = 1 << 20
 #: Entries of one class that are ordered together; shares of a range that are ordered one after another.
 CLASS, LANES = 20_000, 16
+#: Bits of an entry's check; sums of them are exact for 2**29 occurrences, beyond which an entry is compared by its bytes.
+CHECK = 24
 
 
 def least_within(h: np.ndarray, n: int) -> np.ndarray:
@@ -82,8 +88,8 @@ def stretches(offsets: np.ndarray, length: int, limit: int = STRETCH):
 
 
 def entries(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Triggers that own windows: place, first and last owned start, key of the bytes that follow, key of the whole entry."""
-    out = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2]
+    """Triggers that own windows: place, first and last owned start, key of the bytes that follow, key and check of the whole entry."""
+    out = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int32)]]
     for a, b, ends in stretches(offsets, length):
         part = data[a:b]
         if len(part) < length:
@@ -103,8 +109,10 @@ def entries(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
         low, high, own = start[first], start[np.append(first[1:], len(start)) - 1], owner[first]
-        whole = mix(more(low, high + length) ^ mix((own - low).astype(np.uint64)) ^ spans(low, high + length))
-        out.append([own + a, low + a, high + a, spans(own, own + length - REACH), whole])
+        covered = spans(low, high + length)
+        whole = mix(more(low, high + length) ^ mix((own - low).astype(np.uint64)) ^ covered)
+        check = (mix(covered ^ np.uint64(CHECK)) >> np.uint64(64 - CHECK)).astype(np.int32)
+        out.append([own + a, low + a, high + a, spans(own, own + length - REACH), whole, check])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -215,7 +223,7 @@ def settled(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"part": table.column("part"), "range": table.column("range"), "again": pa.array([np.packbits(a).tobytes() for a in again], pa.binary())})
 
 
-COLUMNS = ("low", "high", "key", "whole", "twice", "chosen", "split")
+COLUMNS = ("low", "high", "key", "whole", "check", "twice", "chosen", "split")
 STATE = "part int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
@@ -250,26 +258,34 @@ def repeated_substrings(docs: DataFrame, length: int = 200) -> DataFrame:
 
     # 1. Triggers whose following bytes occur again.
     def parse(table: pa.Table) -> pa.Table:
-        _, low, high, key, whole = entries(*flat(unparcel(table).column("text")), length)
-        return _state(number(table), low, high, key=key, whole=whole)
+        _, low, high, key, whole, check = entries(*flat(unparcel(table).column("text")), length)
+        return _state(number(table), low, high, key=key, whole=whole, check=check)
 
     def follow_use(table: pa.Table, totals):
         x = _held(table)
         again = totals[0][np.searchsorted(np.unique(x["key"]), x["key"])] > 1
-        return _state(number(table), x["low"][again], x["high"][again], key=x["key"][again], whole=x["whole"][again])
+        return _state(number(table), x["low"][again], x["high"][again], key=x["key"][again], whole=x["whole"][again], check=x["check"][again])
 
     parsed = materialise(dealt.groupBy("part").applyInArrow(parse, STATE), "parse")
     state = materialise(counted(parsed, lambda t: _unique(_held(t)["key"]), follow_use, STATE, parts), "repeated-parse")
 
     # 2. Entries that occur again; one occurrence of each is chosen.
+    def whole_keys(table: pa.Table):
+        x = _held(table)
+        every, slot, count = np.unique(x["whole"], return_inverse=True, return_counts=True)
+        return every, [count, np.bincount(slot, x["check"], len(every)).astype(np.int64)]
+
     def whole_use(table: pa.Table, totals):
         x = _held(table)
         every, first, slot = np.unique(x["whole"], return_index=True, return_inverse=True)
-        chosen = np.zeros(len(slot), bool)
-        chosen[first] = totals[1] > 0
-        return _state(number(table), x["low"], x["high"], key=x["key"], twice=(totals[0] > 1)[slot] if len(slot) else np.zeros(0, bool), chosen=chosen)
-
-    state = materialise(counted(state, lambda t: _unique(_held(t)["whole"]), whole_use, STATE, parts, elect=True), "dictionary")
+        count, checks, elected = totals
+        # Entries of one key are equal if the sum of their checks is that of so many equal ones.
+        same = checks == count * x["check"][first]
+        chosen = ~same[slot]
+        chosen[first] |= elected > 0
+        return _state(number(table), x["low"], x["high"], key=x["key"], twice=(same & (count > 1))[slot], chosen=chosen)
+
+    state = materialise(counted(state, whole_keys, whole_use, STATE, parts, told=2, elect=True), "dictionary")
 
     # 3. Chosen entries that are not alone under their following bytes need their windows compared.
     def chosen_keys(table: pa.Table):

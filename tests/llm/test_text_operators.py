@@ -77,6 +77,24 @@ def test_repeated_substrings(docs, empty):
     assert substrings.repeated_substrings(empty).count() == 0
 
 
+def test_repeated_substrings_where_keys_clash(docs, monkeypatch):
+    """Entries with keys of two bits: nearly all clash, and their bytes decide.  Without their checks the keys alone would."""
+    real = substrings.entries
+
+    def few_keys(checks):
+        def entries(data, offsets, length):
+            own, low, high, key, whole, check = real(data, offsets, length)
+            return own, low, high, key, whole >> np.uint64(62), check * checks
+
+        return entries
+
+    columns = ("doc_id", "n_removed", "n_spans", "kept_sha256")
+    expected = listed(substrings.repeated_substrings(docs), *columns)
+    for checks in (1, 0):
+        monkeypatch.setattr(substrings, "entries", few_keys(np.int32(checks)))
+        assert (listed(substrings.repeated_substrings(docs), *columns) == expected) == (checks == 1)
+
+
 def test_repeated_substrings_of_long_texts_and_large_classes(spark, monkeypatch):
     """Texts over a stretch, repeats across its cuts, and a passage with many contexts whose class is dealt by content."""
     monkeypatch.setattr(substrings, "CLASS", 3)
