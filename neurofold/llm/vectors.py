@@ -308,6 +308,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     joins = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = classes.join(degree, "id", "left").join(joins, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = materialise(named.groupBy("component").agg(F.min("named").alias("least")), "vector-least")
-    named = named.join(least, "component", "left").select("v", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least").alias("component_id"))
-    out = rows.join(materialise(named, "vector-components"), "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = named.join(least, "component", "left").select("v", F.xxhash64("v").alias("key"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least").alias("component_id"))
+    # Arrays are slow to sort by: a hash goes before them.
+    out = rows.withColumn("key", F.xxhash64("v")).join(materialise(named, "vector-components"), ["key", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
