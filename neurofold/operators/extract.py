@@ -15,7 +15,8 @@ from .traces import pair_correlation
 
 def roi_means(frames: DataFrame, cell_pixels: DataFrame) -> DataFrame:
     """(cell_id, t, f): mean of each cell's pixels (cell_id, z, ind) in every frame (z, t, ind, v), in single precision."""
-    return frames.join(cell_pixels, ["z", "ind"]).groupBy("cell_id", "t").agg(F.avg("v").cast("float").alias("f"))
+    # Merged: sizes estimated from the files do not see that both sides are exploded, so either might be broadcast.
+    return frames.join(cell_pixels.hint("merge"), ["z", "ind"]).groupBy("cell_id", "t").agg(F.avg("v").cast("float").alias("f"))
 
 
 def cell_pixels(cells: DataFrame) -> DataFrame:

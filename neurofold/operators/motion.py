@@ -303,7 +303,7 @@ def displacements(blocks: DataFrame, references: DataFrame, points: DataFrame, h
                     best, dz = value, step
         return pa.table({c: table.column(c)[:1] for c in ("z", "grid_idx", "ind", "tp", "dy", "dx")} | {"dz": pa.array([float(dz)])})
 
-    return moved.join(sides, ["plane", "pixel"], "left").groupBy("z", "grid_idx", "ind", "tp").applyInArrow(depth, SHIFTS)
+    return moved.join(sides.hint("merge"), ["plane", "pixel"], "left").groupBy("z", "grid_idx", "ind", "tp").applyInArrow(depth, SHIFTS)
 
 
 def tilts(shifts: DataFrame) -> DataFrame:

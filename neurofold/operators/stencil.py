@@ -166,15 +166,20 @@ def local_contrast(pixels: DataFrame, threshold: float = 5, size: int = 32) -> D
     asked = minima.select("z", "gy", "gx", "gh", "g", around).select("z", "gy", "gx", (F.col("g") + F.col("d.dx") * F.col("gh") + F.col("d.dy")).alias("g"))
     mean = asked.join(minima.select("z", "g", "m"), ["z", "g"]).groupBy("z", "gy", "gx").agg(F.avg("m").alias("m"))
     keyed = pixels.withColumn("gy", F.floor((F.col("y") - 1) / size)).withColumn("gx", F.floor((F.col("x") - 1) / size))
-    return keyed.join(mean, ["z", "gy", "gx"]).where(F.col("v") - F.col("m") > threshold).select("z", "y", "x", "ind", "v", "m")
+    # Merged: sizes estimated from the files do not see that pixels are exploded from rows, so they might be broadcast.
+    return keyed.join(mean.hint("merge"), ["z", "gy", "gx"]).where(F.col("v") - F.col("m") > threshold).select("z", "y", "x", "ind", "v", "m")
 
 
 def offset_join(pixels: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    """Each pixel with the values of its in-image disk neighbours: (z, y, x, ind, v, nv).  The declared form of the kernels."""
+    """Each pixel with the values of its in-image disk neighbours: (z, y, x, ind, v, nv).  The declared form of the kernels.
+
+    Always a merge join: sizes estimated from the files do not see the rows that pixels and offsets make, and would have
+    the driver collect them for a broadcast.
+    """
     offsets = F.explode(F.array(*(F.struct(F.lit(int(a)).alias("dy"), F.lit(int(b)).alias("dx")) for a, b in disk(radius)))).alias("d")
     asked = pixels.select("z", "y", "x", "ind", "v", offsets).select("z", "y", "x", "ind", "v", (F.col("y") + F.col("d.dy")).alias("ny"), (F.col("x") + F.col("d.dx")).alias("nx"))
     asked = asked.where(F.col("ny").between(1, height) & F.col("nx").between(1, width))
-    return asked.join(pixels.select("z", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv")), ["z", "ny", "nx"])
+    return asked.join(pixels.select("z", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv")).hint("merge"), ["z", "ny", "nx"])
 
 
 def median3x3(points: DataFrame, rows: int) -> DataFrame:

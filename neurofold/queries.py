@@ -780,13 +780,13 @@ def cell_motion_found(spark, sf_dir):
 @query("SELECT z, y, x FROM px WHERE v > 350 AND NOT (v % 3 = 0)", "px")
 def setdiff_keep(spark, sf_dir):
     p = A.px(spark, sf_dir).where("v > 350")
-    return p.select("z", "y", "x").join(p.where("v % 3 = 0").select("z", "y", "x"), ["z", "y", "x"], "left_anti")
+    return p.select("z", "y", "x").join(p.where("v % 3 = 0").select("z", "y", "x").hint("merge"), ["z", "y", "x"], "left_anti")
 
 
 @query("SELECT z, y, x, v FROM px WHERE v > 350 AND y <= 96", "px")
 def candidate_semi(spark, sf_dir):
     p = A.px(spark, sf_dir)
-    return p.select("z", "y", "x", "v").join(p.where("v > 350 AND y <= 96").select("z", "y", "x"), ["z", "y", "x"], "left_semi")
+    return p.select("z", "y", "x", "v").join(p.where("v > 350 AND y <= 96").select("z", "y", "x").hint("merge"), ["z", "y", "x"], "left_semi")
 
 
 # Orchestration tables
