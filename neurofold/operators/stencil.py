@@ -149,14 +149,37 @@ def kernel(pixels: DataFrame, make, columns: dict[str, str], value: str = "v", k
     return pixels.select("z", "y", "x", value).groupBy("z").applyInArrow(run, schema)
 
 
-def grid_minima(pixels: DataFrame, size: int = 32) -> DataFrame:
-    """(z, gy, gx, m): least value of each grid cell; rows below the last full cell have none, a partial last column has."""
-    height = pixels.groupBy("z").agg(F.max("y").alias("h"))
-    rows = pixels.join(F.broadcast(height), "z").where(F.col("y") <= F.floor(F.col("h") / size) * size)
+def offset_counts(pixels: DataFrame, radii: list[int], height: int, width: int) -> DataFrame:
+    """(z, radius, dy, dx, pixels): how many pixels of a plane have a place of the image at each offset of the disks."""
+    offsets = np.concatenate([np.insert(disk(r), 0, r, 1) for r in radii])
+
+    def run(table: pa.Table) -> pa.Table:
+        z, y, x = (table.column(c).to_numpy() for c in ("z", "y", "x"))
+        # Sums of all pixels above and left of a corner; four of them give a rectangle's.
+        corner = np.zeros((height + 1, width + 1), np.int64)
+        np.add.at(corner, (y, x), 1)
+        corner = corner.cumsum(0).cumsum(1)
+        r, dy, dx = offsets.T
+        (y0, y1), (x0, x1) = ((np.clip(-d, 0, n), np.clip(n - d, 0, n)) for d, n in ((dy, height), (dx, width)))
+        count = np.where((y0 < y1) & (x0 < x1), corner[y1, x1] - corner[y0, x1] - corner[y1, x0] + corner[y0, x0], 0)
+        some = count > 0
+        columns = {"radius": r, "dy": dy, "dx": dx, "pixels": count}
+        return pa.table({"z": pa.array(np.full(some.sum(), z[0]))} | {n: pa.array(c[some], pa.int32() if n == "radius" else pa.int64()) for n, c in columns.items()})
+
+    return pixels.select("z", "y", "x").groupBy("z").applyInArrow(run, "z bigint, radius int, dy bigint, dx bigint, pixels bigint")
+
+
+def grid_minima(pixels: DataFrame, size: int = 32, height: int | None = None) -> DataFrame:
+    """(z, gy, gx, m): least value of each grid cell; rows below the last full cell have none, a partial last column has.
+
+    height: of all planes; without it a plane ends with its last pixel.
+    """
+    sized = pixels.withColumn("h", F.lit(height)) if height else pixels.join(F.broadcast(pixels.groupBy("z").agg(F.max("y").alias("h"))), "z")
+    rows = sized.where(F.col("y") <= F.floor(F.col("h") / size) * size)
     return rows.groupBy("z", F.floor((F.col("y") - 1) / size).alias("gy"), F.floor((F.col("x") - 1) / size).alias("gx")).agg(F.min("v").alias("m"), F.floor(F.first("h") / size).alias("gh"))
 
 
-def local_contrast(pixels: DataFrame, threshold: float = 5, size: int = 32) -> DataFrame:
+def local_contrast(pixels: DataFrame, threshold: float = 5, size: int = 32, height: int | None = None) -> DataFrame:
     """Pixels (z, y, x, ind, v, m) brighter by more than ``threshold`` than the mean of the 3 x 3 grid minima around.
 
     The neighbours are taken at linear grid positions, so they wrap between grid columns; positions off the grid are left out.

@@ -346,7 +346,7 @@ def mean_z_large(spark, sf_dir):
 
 @query("SELECT z, (y - 1) // 32 AS gy, (x - 1) // 32 AS gx, min(v) AS m FROM px WHERE y <= 96 GROUP BY ALL", "px")
 def grid_min(spark, sf_dir):
-    return stencil.grid_minima(A.px(spark, sf_dir)).select("z", "gy", "gx", "m")
+    return stencil.grid_minima(A.px(spark, sf_dir), height=H).select("z", "gy", "gx", "m")
 
 
 CONTRAST = "g AS (SELECT z, (y - 1) // 32 AS gy, (x - 1) // 32 AS gx, (x - 1) // 32 * 3 + (y - 1) // 32 AS g, min(v) AS m FROM px WHERE y <= 96 GROUP BY ALL), o AS (SELECT a.z, a.gy, a.gx, avg(b.m) AS m FROM g a, (SELECT dy, dx FROM range(-1, 2) p(dy), range(-1, 2) q(dx)) d, g b WHERE b.z = a.z AND b.g = a.g + d.dx * 3 + d.dy GROUP BY ALL)"
