@@ -184,7 +184,7 @@ def local_contrast(pixels: DataFrame, threshold: float = 5, size: int = 32, heig
 
     The neighbours are taken at linear grid positions, so they wrap between grid columns; positions off the grid are left out.
     """
-    minima = grid_minima(pixels, size).withColumn("g", F.col("gx") * F.col("gh") + F.col("gy"))
+    minima = grid_minima(pixels, size, height).withColumn("g", F.col("gx") * F.col("gh") + F.col("gy"))
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("d")
     asked = minima.select("z", "gy", "gx", "gh", "g", around).select("z", "gy", "gx", (F.col("g") + F.col("d.dx") * F.col("gh") + F.col("d.dy")).alias("g"))
     mean = asked.join(minima.select("z", "g", "m"), ["z", "g"]).groupBy("z", "gy", "gx").agg(F.avg("m").alias("m"))

@@ -354,7 +354,7 @@ CONTRAST = "g AS (SELECT z, (y - 1) // 32 AS gy, (x - 1) // 32 AS gx, (x - 1) //
 
 @query(f"WITH {CONTRAST} SELECT p.z, y, x, round(m, 6) AS m FROM px p JOIN o ON o.z = p.z AND gy = (y - 1) // 32 AND gx = (x - 1) // 32 WHERE v - m > 5", "px")
 def local_contrast(spark, sf_dir):
-    return stencil.local_contrast(A.px(spark, sf_dir)).select("z", "y", "x", r6("m", "m"))
+    return stencil.local_contrast(A.px(spark, sf_dir), height=H).select("z", "y", "x", r6("m", "m"))
 
 
 def neighbours_sql(r: int, source: str = "px") -> str:
