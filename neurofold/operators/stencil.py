@@ -4,13 +4,16 @@ Small stencils and everything relational are joins of pixels with an offset tabl
 stencils run as shifted-array kernels on one plane a group (``kernel``), which spares a
 row per pixel and offset.  Both address pixels by the 1-based column-major index, and
 those that the reference semantics wrap between columns do so here unless strict.
+
+A plane need not have all its pixels: kernels take ``there``, which says what pixels it has
+(None: all), and the others neither count as neighbours nor become rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIXEL = "z bigint, y bigint, x bigint, ind bigint"
@@ -24,12 +27,6 @@ def disk(radius: float) -> np.ndarray:
     return np.stack([dy[keep], dx[keep]], 1)
 
 
-def disk_table(spark: SparkSession, radius: int) -> DataFrame:
-    """The disk as a table, declared: a sequence against itself with the circle as the filter."""
-    axis = spark.range(-radius, radius + 1)
-    return axis.select(F.col("id").alias("dy")).crossJoin(axis.select(F.col("id").alias("dx"))).where(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx") <= radius * radius)
-
-
 def shifted(image: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
     """image[y + dy, x + dx], ``fill`` outside."""
     out = np.full_like(image, fill)
@@ -46,29 +43,39 @@ def wrapped(image: np.ndarray, dy: int, dx: int) -> np.ndarray:
     return np.roll(image.ravel(order="F"), -(dx * h + dy)).reshape(image.shape, order="F")
 
 
-def erode(image: np.ndarray, radius: int) -> np.ndarray:
-    return np.minimum.reduce([shifted(image, dy, dx, np.iinfo(np.int64).max) for dy, dx in disk(radius)])
+def known(image: np.ndarray, there: np.ndarray | None, fill) -> np.ndarray:
+    """The image with ``fill`` where it has no pixel."""
+    return image if there is None else np.where(there, image, fill)
+
+
+def erode(image: np.ndarray, radius: int, there: np.ndarray | None = None) -> np.ndarray:
+    high = np.iinfo(np.int64).max
+    own = known(image, there, high)
+    return np.minimum.reduce([shifted(own, dy, dx, high) for dy, dx in disk(radius)])
 
 
-def dilate(image: np.ndarray, radius: int) -> np.ndarray:
-    return np.maximum.reduce([shifted(image, dy, dx, np.iinfo(np.int64).min) for dy, dx in disk(radius)])
+def dilate(image: np.ndarray, radius: int, there: np.ndarray | None = None) -> np.ndarray:
+    low = np.iinfo(np.int64).min
+    own = known(image, there, low)
+    return np.maximum.reduce([shifted(own, dy, dx, low) for dy, dx in disk(radius)])
 
 
-def opening(image: np.ndarray, radius: int) -> np.ndarray:
-    return dilate(erode(image, radius), radius)
+def opening(image: np.ndarray, radius: int, there: np.ndarray | None = None) -> np.ndarray:
+    return dilate(erode(image, radius, there), radius, there)
 
 
-def inside_count(shape: tuple[int, int], radius: int) -> np.ndarray:
+def inside_count(shape: tuple[int, int], radius: int, there: np.ndarray | None = None) -> np.ndarray:
     """How many of the disk's offsets lie inside the image."""
-    one = np.ones(shape, np.int64)
+    one = known(np.ones(shape, np.int64), there, 0)
     return sum(shifted(one, dy, dx, 0) for dy, dx in disk(radius))
 
 
-def local_rank(image: np.ndarray, candidate: np.ndarray, radius: int) -> np.ndarray:
+def local_rank(image: np.ndarray, candidate: np.ndarray, radius: int, there: np.ndarray | None = None) -> np.ndarray:
     """Share of in-image neighbours (itself included) that are not brighter; 0 where not a candidate."""
-    low = np.iinfo(np.int64).max
-    below = sum((image >= shifted(image, dy, dx, low)).astype(np.int64) for dy, dx in disk(radius))
-    return np.where(candidate, below / inside_count(image.shape, radius), 0.0)
+    high = np.iinfo(np.int64).max
+    own = known(image, there, high)
+    below = sum((image >= shifted(own, dy, dx, high)).astype(np.int64) for dy, dx in disk(radius))
+    return np.where(candidate, below / np.maximum(inside_count(image.shape, radius, there), 1), 0.0)
 
 
 def local_average(values: np.ndarray, candidate: np.ndarray, radius: int, strict: bool = False) -> np.ndarray:
@@ -131,7 +138,7 @@ def kernel(pixels: DataFrame, make, columns: dict[str, str], value: str = "v", k
     """Runs make(image) -> {name: array} on each plane z of pixels (z, y, x, value); rows of the pixels with the results.
 
     keep(results) may say which pixels become rows.  size: height and width of the planes, which only pixels that fill
-    their planes may leave out.
+    their planes may leave out; with it, make also gets which pixels the plane has, and without keep these become rows.
     """
     schema = PIXEL + "".join(f", {n} {t}" for n, t in columns.items())
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -140,8 +147,10 @@ def kernel(pixels: DataFrame, make, columns: dict[str, str], value: str = "v", k
         z, y, x, v = (table.column(c).to_numpy() for c in ("z", "y", "x", value))
         image = np.zeros(size or (int(y.max()), int(x.max())), np.int64 if np.issubdtype(v.dtype, np.integer) else np.float64)
         image[y - 1, x - 1] = v
-        made = make(image)
-        pick = np.ones(image.shape, bool) if keep is None else keep(made)
+        there = np.full(image.shape, size is None)
+        there[y - 1, x - 1] = True
+        made = make(image) if size is None else make(image, there)
+        pick = there if keep is None else keep(made)
         ys, xs = np.nonzero(pick)
         out = {"z": pa.array(np.full(len(ys), z[0])), "y": pa.array(ys + 1), "x": pa.array(xs + 1), "ind": pa.array(xs * image.shape[0] + ys + 1)}
         return pa.table(out | {n: pa.array(made[n][ys, xs].astype({"bigint": np.int64, "double": np.float64, "boolean": bool}[t]), kinds[t]) for n, t in columns.items()})

@@ -363,22 +363,22 @@ def neighbours_sql(r: int, source: str = "px") -> str:
 
 
 def _plane(name, make, kind="bigint"):
-    return lambda spark, sf_dir: stencil.kernel(A.px(spark, sf_dir), lambda image: {name: make(image)}, {name: kind}).select("z", "y", "x", name)
+    return lambda spark, sf_dir: stencil.kernel(A.px(spark, sf_dir), lambda image, there: {name: make(image, there)}, {name: kind}, size=(H, W)).select("z", "y", "x", name)
 
 
 @query(f"WITH {neighbours_sql(3)} SELECT z, y, x, min(nv) AS v FROM n GROUP BY ALL", "px")
 def erode_r3(spark, sf_dir):
-    return _plane("v", lambda i: stencil.erode(i, 3))(spark, sf_dir)
+    return _plane("v", lambda i, there: stencil.erode(i, 3, there))(spark, sf_dir)
 
 
 @query(f"WITH {neighbours_sql(3)} SELECT z, y, x, max(nv) AS v FROM n GROUP BY ALL", "px")
 def dilate_r3(spark, sf_dir):
-    return _plane("v", lambda i: stencil.dilate(i, 3))(spark, sf_dir)
+    return _plane("v", lambda i, there: stencil.dilate(i, 3, there))(spark, sf_dir)
 
 
 @query(f"WITH {neighbours_sql(7)} SELECT z, y, x, max(nv) AS v FROM n GROUP BY ALL", "px")
 def dilate_r7(spark, sf_dir):
-    return _plane("v", lambda i: stencil.dilate(i, 7))(spark, sf_dir)
+    return _plane("v", lambda i, there: stencil.dilate(i, 7, there))(spark, sf_dir)
 
 
 @query(f"WITH {neighbours_sql(3)} SELECT z, y, x, max(nv) AS v FROM n GROUP BY ALL", "px")
@@ -388,12 +388,12 @@ def dilate_r3_joined(spark, sf_dir):
 
 @query(f"WITH {neighbours_sql(3)}, e AS MATERIALIZED (SELECT z, y, x, min(nv) AS v FROM n GROUP BY ALL), c2 AS MATERIALIZED (SELECT z, y, x, y + dy AS ny, x + dx AS nx FROM e, d) SELECT c2.z, c2.y, c2.x, max(e.v) AS v FROM c2 JOIN e ON e.z = c2.z AND e.y = c2.ny AND e.x = c2.nx GROUP BY ALL", "px")
 def opening_r3(spark, sf_dir):
-    return _plane("v", lambda i: stencil.opening(i, 3))(spark, sf_dir)
+    return _plane("v", lambda i, there: stencil.opening(i, 3, there))(spark, sf_dir)
 
 
 @query(f"WITH {neighbours_sql(10)} SELECT z, y, x, count(*) AS n FROM n GROUP BY ALL", "px")
 def maskones_r10(spark, sf_dir):
-    return _plane("n", lambda i: stencil.inside_count(i.shape, 10))(spark, sf_dir)
+    return _plane("n", lambda i, there: stencil.inside_count(i.shape, 10, there))(spark, sf_dir)
 
 
 RANK = neighbours_sql(10) + ", k AS MATERIALIZED (SELECT z, y, x, (x - 1) * 100 + y AS ind, CASE WHEN v > 250 THEN CAST(sum(CASE WHEN v >= nv THEN 1 ELSE 0 END) AS DOUBLE) / count(*) ELSE 0 END AS rank, v > 250 AS cand FROM n GROUP BY z, y, x, v)"
@@ -401,20 +401,20 @@ RANK = neighbours_sql(10) + ", k AS MATERIALIZED (SELECT z, y, x, (x - 1) * 100
 
 @query(f"WITH {RANK} SELECT z, y, x, round(rank, 6) AS rank FROM k", "px")
 def local_rank_r10(spark, sf_dir):
-    return stencil.kernel(A.px(spark, sf_dir), lambda i: {"rank": stencil.local_rank(i, i > 250, 10)}, {"rank": "double"}).select("z", "y", "x", r6("rank", "rank"))
+    return stencil.kernel(A.px(spark, sf_dir), lambda i, there: {"rank": stencil.local_rank(i, i > 250, 10, there)}, {"rank": "double"}, size=(H, W)).select("z", "y", "x", r6("rank", "rank"))
 
 
 AVERAGE = RANK + ", d4 AS (SELECT dy, dx FROM d WHERE dy * dy + dx * dx <= 16), c4 AS MATERIALIZED (SELECT z, y, x, ind, (ind - 1 + dx * 100 + dy + 6400) % 6400 + 1 AS ni FROM k, d4 WHERE cand), av AS MATERIALIZED (SELECT c4.z, c4.y, c4.x, c4.ind, CAST(sum(k.rank) / 49 AS FLOAT) AS av FROM c4 JOIN k ON k.z = c4.z AND k.ind = c4.ni GROUP BY ALL)"
 
 
-def _ranked(i):
-    rank = stencil.local_rank(i, i > 250, 10)
+def _ranked(i, there):
+    rank = stencil.local_rank(i, i > 250, 10, there)
     return stencil.local_average(rank, i > 250, 4)
 
 
 @query(f"WITH {AVERAGE} SELECT z, y, x, round(CAST(av AS DOUBLE), 5) AS average FROM av", "px")
 def local_average_r4(spark, sf_dir):
-    out = stencil.kernel(A.px(spark, sf_dir), lambda i: {"average": _ranked(i).astype(float), "cand": i > 250}, {"average": "double"}, keep=lambda m: m["cand"])
+    out = stencil.kernel(A.px(spark, sf_dir), lambda i, there: {"average": _ranked(i, there).astype(float), "cand": i > 250}, {"average": "double"}, keep=lambda m: m["cand"], size=(H, W))
     return out.select("z", "y", "x", F.round("average", 5).alias("average"))
 
 
@@ -435,7 +435,7 @@ def stamp_round1(spark, sf_dir):
 def _stage(name):
     def run(spark, sf_dir):
         keep = lambda m: m[name] > 0
-        return stencil.kernel(A.px(spark, sf_dir), lambda i: segment.segment_plane(i, SEGMENT), {}, keep=keep).select("z", "y", "x")
+        return stencil.kernel(A.px(spark, sf_dir), lambda i, there: segment.segment_plane(i, SEGMENT, there), {}, keep=keep, size=(H, W)).select("z", "y", "x")
 
     return run
 
