@@ -306,13 +306,7 @@ def lin_index_roundtrip(spark, sf_dir):
 @query("SELECT z, r AS radius, dy, dx, count(*) AS pixels FROM px, (VALUES (3), (4), (7), (10)) t(r), range(-10, 11) a(dy), range(-10, 11) b(dx) WHERE dy * dy + dx * dx <= r * r AND y + dy BETWEEN 1 AND 100 AND x + dx BETWEEN 1 AND 64 GROUP BY ALL", "px")
 def disk_offsets(spark, sf_dir):
     """For each plane the offsets of the disks, and how many of its pixels have a neighbour there."""
-    sizes = A.px(spark, sf_dir).groupBy("z").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    out = None
-    for r in (3, 4, 7, 10):
-        one = stencil.disk_table(spark, r).select(F.lit(r).alias("radius"), "dy", "dx")
-        out = one if out is None else out.union(one)
-    pixels = (F.col("h") - F.abs("dy")) * (F.col("w") - F.abs("dx"))
-    return sizes.join(F.broadcast(out)).select("z", "radius", "dy", "dx", pixels.cast("long").alias("pixels"))
+    return stencil.offset_counts(A.px(spark, sf_dir), [3, 4, 7, 10], H, W)
 
 
 @query("SELECT least(199, CAST(floor((v - lo) * 200.0 / (hi - lo)) AS BIGINT)) AS bin, count(*) AS n FROM px, (SELECT min(v) AS lo, max(v) AS hi FROM px) GROUP BY 1", "px")
