@@ -423,7 +423,7 @@ def local_max_r7(spark, sf_dir):
 
 @query("WITH d AS (SELECT dy, dx FROM range(-4, 5) a(dy), range(-4, 5) b(dx) WHERE dy * dy + dx * dx <= 16) SELECT DISTINCT z, ind + dx * 100 + dy AS ind FROM px, d WHERE v > 450 AND ind + dx * 100 + dy BETWEEN 1 AND 6400", "px")
 def stamp_round1(spark, sf_dir):
-    return stencil.kernel(A.px(spark, sf_dir), lambda i: {"on": stencil.stamp(i > 450, 4)}, {"on": "boolean"}, keep=lambda m: m["on"]).select("z", "ind")
+    return stencil.kernel(A.px(spark, sf_dir), lambda i, there: {"on": stencil.stamp(i > 450, 4)}, {"on": "boolean"}, keep=lambda m: m["on"], size=(H, W)).select("z", "ind")
 
 
 def _stage(name):
