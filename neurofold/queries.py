@@ -414,11 +414,11 @@ def local_average_r4(spark, sf_dir):
 
 @query(f"WITH {neighbours_sql(10)}, d7 AS (SELECT dy, dx FROM d WHERE dy * dy + dx * dx <= 49), p AS MATERIALIZED (SELECT z, y, x, ind, CASE WHEN v > 250 THEN v ELSE 0 END AS v FROM px), c7 AS MATERIALIZED (SELECT z, y, x, ind, v, (ind - 1 + dx * 100 + dy + 6400) % 6400 + 1 AS ni FROM p, d7 WHERE v > 0) SELECT c7.z, c7.y, c7.x FROM c7 JOIN p ON p.z = c7.z AND p.ind = c7.ni GROUP BY c7.z, c7.y, c7.x, c7.v HAVING max(p.v) <= c7.v", "px")
 def local_max_r7(spark, sf_dir):
-    def make(i):
+    def make(i, there):
         own = (i > 250) * i.astype(float)
         return {"top": stencil.local_max(own, i > 250, 7)}
 
-    return stencil.kernel(A.px(spark, sf_dir), make, {"top": "boolean"}, keep=lambda m: m["top"]).select("z", "y", "x")
+    return stencil.kernel(A.px(spark, sf_dir), make, {"top": "boolean"}, keep=lambda m: m["top"], size=(H, W)).select("z", "y", "x")
 
 
 @query("WITH d AS (SELECT dy, dx FROM range(-4, 5) a(dy), range(-4, 5) b(dx) WHERE dy * dy + dx * dx <= 16) SELECT DISTINCT z, ind + dx * 100 + dy AS ind FROM px, d WHERE v > 450 AND ind + dx * 100 + dy BETWEEN 1 AND 6400", "px")
