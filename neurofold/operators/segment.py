@@ -19,59 +19,63 @@ def radii(p: Params) -> dict[str, int]:
     return {"rank": 2 * p.cell_radius, "average": mround(p.cell_radius / 2) + 1, "max": p.cell_radius + 2, "clean": 3}
 
 
-def contrast_mask(image: np.ndarray, threshold: float, size: int = 32) -> np.ndarray:
+def contrast_mask(image: np.ndarray, threshold: float, size: int = 32, there: np.ndarray | None = None) -> np.ndarray:
     """Pixels brighter than the mean of the grid minima around by more than the threshold, in array form."""
     h, w = image.shape
     gh, gw = h // size, -(-w // size)
     out = np.zeros(image.shape, bool)
     if not gh:
         return out
-    padded = np.full((gh * size, gw * size), np.iinfo(np.int64).max, image.dtype)
-    padded[:, :w] = image[: gh * size]
+    high = np.iinfo(np.int64).max
+    padded = np.full((gh * size, gw * size), high, image.dtype)
+    padded[:, :w] = S.known(image, there, high)[: gh * size]
     minima = padded.reshape(gh, size, gw, size).min((1, 3)).ravel(order="F").astype(float)
+    filled = minima < float(high)
     total, n = np.zeros(gh * gw), np.zeros(gh * gw)
     for d in (a + b * gh for a in (-1, 0, 1) for b in (-1, 0, 1)):
         at = np.arange(gh * gw) + d
         ok = (at >= 0) & (at < gh * gw)
+        ok[ok] = filled[at[ok]]
         total[ok] += minima[at[ok]]
         n[ok] += 1
-    mean = (total / n).reshape(gh, gw, order="F")
+    mean = (total / np.maximum(n, 1)).reshape(gh, gw, order="F")
     wide = np.repeat(np.repeat(mean, size, 0), size, 1)[:, :w]
     out[: gh * size] = image[: gh * size] - wide > threshold
     return out
 
 
-def seeds(image: np.ndarray, candidate: np.ndarray, max_radius: int, r: dict[str, int], strict: bool):
+def seeds(image: np.ndarray, candidate: np.ndarray, max_radius: int, r: dict[str, int], strict: bool, there: np.ndarray | None = None):
     """Rank, averaged rank and the local maxima of it above 0.4."""
-    rank = S.local_rank(image, candidate, r["rank"])
+    rank = S.local_rank(image, candidate, r["rank"], there)
     average = S.local_average(rank, candidate, r["average"], strict)
     return rank, average, S.local_max(average.astype(float), candidate, max_radius, strict) & (average > 0.4)
 
 
-def segment_plane(image: np.ndarray, p: Params) -> dict[str, np.ndarray]:
-    """All stages on one plane; ``label`` numbers the cells."""
+def segment_plane(image: np.ndarray, p: Params, there: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """All stages on one plane; ``label`` numbers the cells.  Pixels that are not there are no neighbours, candidates or cell pixels."""
     r, strict = radii(p), p.edge_mode == "strict"
-    contrast = S.opening(contrast_mask(image, p.cont_threshold).astype(np.int64), r["clean"]) > 0
-    candidate = contrast & (image > p.br_threshold)
+    contrast = S.opening(contrast_mask(image, p.cont_threshold, there=there).astype(np.int64), r["clean"], there) > 0
+    candidate = S.known(contrast & (image > p.br_threshold), there, False)
     none = np.zeros(image.shape, bool)
     out = {"candidate": candidate, "seed1": none, "seed2": none, "remaining": none, "mask1": none, "mask2": none, "label": np.zeros(image.shape, np.int64)}
     if not candidate.any():
         return out
-    *_, out["seed1"] = seeds(image, candidate, r["max"], r, strict)
+    *_, out["seed1"] = seeds(image, candidate, r["max"], r, strict, there)
     out["mask1"] = S.stamp(out["seed1"], r["average"], strict)
-    free = S.opening(1 - S.dilate(out["mask1"].astype(np.int64), r["max"]), r["clean"]) > 0
+    wide = S.known(S.dilate(out["mask1"].astype(np.int64), r["max"], there), there, 1)
+    free = S.opening(1 - wide, r["clean"], there) > 0
     out["remaining"] = candidate & free
     if out["remaining"].any():
         # The second round takes maxima over the averaging disk.
-        *_, out["seed2"] = seeds(image, out["remaining"], r["average"], r, strict)
+        *_, out["seed2"] = seeds(image, out["remaining"], r["average"], r, strict, there)
         out["mask2"] = S.stamp(out["seed2"], r["average"], strict)
-    out["label"] = S.label8(out["mask1"] | out["mask2"])
+    out["label"] = S.label8(S.known(out["mask1"] | out["mask2"], there, False))
     return out
 
 
-def labels(pixels: DataFrame, p: Params) -> DataFrame:
-    """(z, y, x, ind, label) of all cell pixels."""
-    return S.kernel(pixels, lambda image: segment_plane(image, p), {"label": "bigint"}, keep=lambda m: m["label"] > 0)
+def labels(pixels: DataFrame, p: Params, size: tuple[int, int] | None = None) -> DataFrame:
+    """(z, y, x, ind, label) of all cell pixels; size: height and width of planes that may lack pixels."""
+    return S.kernel(pixels, lambda image, there=None: segment_plane(image, p, there), {"label": "bigint"}, keep=lambda m: m["label"] > 0, size=size)
 
 
 def labels_of_pages(pages: DataFrame, p: Params) -> DataFrame:
@@ -110,7 +114,7 @@ def region_properties(labelled: DataFrame) -> DataFrame:
 
 def components(mask: DataFrame, height: int, width: int) -> DataFrame:
     """(z, y, x, ind, label) of the 8-connected components of mask pixels (z, y, x) of planes of one size."""
-    return S.kernel(mask.withColumn("v", F.lit(1).cast("long")), lambda image: {"label": S.label8(image > 0)}, {"label": "bigint"}, keep=lambda m: m["label"] > 0, size=(height, width))
+    return S.kernel(mask.withColumn("v", F.lit(1).cast("long")), lambda image, there: {"label": S.label8(there)}, {"label": "bigint"}, keep=lambda m: m["label"] > 0, size=(height, width))
 
 
 # The ten overlay colours, by label modulo 10.
