@@ -519,7 +519,7 @@ def palette_label(spark, sf_dir):
     "px",
 )
 def segment_cells(spark, sf_dir):
-    cells = segment.region_properties(segment.labels(A.px(spark, sf_dir), SEGMENT))
+    cells = segment.region_properties(segment.labels(A.px(spark, sf_dir), SEGMENT, (H, W)))
     return cells.select(F.col("cell_id").cast("long").alias("cell_id"), "z", "cy", "cx", "area", F.array_join(F.col("inds").cast("array<string>"), " ").alias("inds"), "y_min", "y_max", "x_min", "x_max")
 
 
