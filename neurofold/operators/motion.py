@@ -111,11 +111,28 @@ def patch_means_of_images(images: DataFrame, radius: int) -> DataFrame:
     return images.select("z", "h", "w", "image").mapInArrow(run, "z bigint, grid_idx bigint, ind bigint, m double")
 
 
+def circular(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Plain cross-correlation of images (the last two axes) over all circular shifts.
+
+    NaN stands for pixels that an image lacks: they add nothing, and a shift that brings no two pixels together never wins.
+    """
+    cross = lambda a, b: np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b)))
+    there = [~np.isnan(x) for x in (source, target)]
+    if all(x.all() for x in there):
+        return cross(source, target)
+    power = cross(np.nan_to_num(source), np.nan_to_num(target))
+    return np.where(cross(*(x.astype(float) for x in there)).real > 0.5, power, np.nan)
+
+
 def shifts_of_patches(source: np.ndarray, target: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """``patch_shift`` of many patches (one a row, columns of a patch first)."""
+    """(dy, dx) of the greatest plain cross-correlation, first in column-major order, of patches (one a row, columns of a patch first).
+
+    The wrap of dy is taken over as it is: a shift of -radius comes out as radius + 1.  Pixels that are missing (NaN) add nothing.
+    """
     roi = 2 * radius + 1
-    flat = lambda x: np.fft.fft2(x.reshape(-1, roi, roi))
-    power = np.abs(np.fft.fftshift(np.fft.ifft2(flat(source) * np.conj(flat(target))), (1, 2)))
+    power = np.abs(np.fft.fftshift(circular(source.reshape(-1, roi, roi), target.reshape(-1, roi, roi)), (1, 2)))
+    # Sums of whole numbers that are equal stay equal.
+    power = np.round(np.nan_to_num(power, nan=-1.0), 6)
     p = power.reshape(len(source), -1).argmax(1) + 1
     dy = -(p % roi - radius - 1)
     return np.where(dy == -radius - 1, radius, dy), -(-(-p // roi) - radius - 1)
@@ -139,7 +156,8 @@ def displacements_of_images(images: DataFrame, references: DataFrame, points: Da
     """``displacements`` from images: (z, tp, h, w, image), reference images (z, h, w, image) and bright points (z, grid_idx, ind).
 
     No image is shuffled: a task reads its plane's points, first image and references from written tables, and keeps them from
-    row to row.  The images should therefore come in the order of their planes.
+    row to row.  The images should therefore come in the order of their planes.  NaN stands for missing pixels: a patch that
+    has none at all, here or in the first image, has no row, and only patches without missing pixels are searched in z.
     """
     asked = points.select(F.col("z").cast("long").alias("z"), F.struct(F.col("grid_idx").cast("long").alias("grid_idx"), F.col("ind").cast("long").alias("ind")).alias("p"))
     asked = keep_planes(asked.groupBy("z").agg(F.sort_array(F.collect_list("p")).alias("points")), "motion-points")
@@ -156,6 +174,11 @@ def displacements_of_images(images: DataFrame, references: DataFrame, points: Da
                 if first is None:
                     continue
                 own = np.frombuffer(batch.column("image")[i].as_buffer(), "<f8")
+                if np.isnan(own).any() or np.isnan(first).any():
+                    some = np.concatenate([~(np.isnan(own[p]).all(1) | np.isnan(first[p]).all(1)) for p in (patch_index(ind[a : a + PATCHES], h, radius) for a in range(0, len(ind), PATCHES))])
+                    grid, ind = grid[some], ind[some]
+                    if not len(ind):
+                        continue
                 found = shifts_at(own, first, {d: plane_image(sides, z + d) for d in range(-2, 3)} if sides else {}, ind, h, radius)
                 same = lambda v: pa.array(np.full(len(ind), v, np.int64))
                 yield pa.RecordBatch.from_arrays([same(z), pa.array(grid), pa.array(ind), same(tp), *map(pa.array, found)], [c.split()[0] for c in SHIFTS.split(", ")])
@@ -184,11 +207,11 @@ def shifts_at(own: np.ndarray, first: np.ndarray, sides: dict[int, np.ndarray |
 
 
 def images_of(pixels: DataFrame, height: int, width: int, time: str = "t") -> DataFrame:
-    """(z, time, h, w, image) from pixels (z, time, y, x, v), one image a group."""
+    """(z, time, h, w, image) from pixels (z, time, y, x, v), one image a group; NaN where an image lacks a pixel."""
 
     def run(table: pa.Table) -> pa.Table:
         y, x, v = (table.column(c).to_numpy() for c in ("y", "x", "v"))
-        image = np.zeros(height * width)
+        image = np.full(height * width, np.nan)
         image[(x - 1) * height + y - 1] = v
         keys = {c: table.column(c)[:1].cast(pa.int64()) for c in ("z", time)}
         return pa.table(keys | {"h": pa.array([height], pa.int32()), "w": pa.array([width], pa.int32()), "image": pa.array([image.astype("<f8").tobytes()], pa.binary())})
@@ -232,18 +255,6 @@ def patch_means(pixels: DataFrame, points: DataFrame, height: int, radius: int)
     return pixels.join(asked, "ind").groupBy("z", "grid_idx", F.col("start").alias("ind")).agg(F.avg("v").alias("m"))
 
 
-def patch_shift(source_fft: np.ndarray, target: np.ndarray, radius: int) -> tuple[int, int]:
-    """(dy, dx) of the greatest plain cross-correlation, first in column-major order.
-
-    The wrap of dy is taken over as it is: a shift of -radius comes out as radius + 1.
-    """
-    roi = 2 * radius + 1
-    power = np.abs(np.fft.fftshift(np.fft.ifft2(source_fft * np.conj(np.fft.fft2(target)))))
-    p = int(np.argmax(power.ravel(order="F"))) + 1
-    dy = -(p % roi - radius - 1)
-    return (radius if dy == -radius - 1 else dy), -(-(-p // roi) - radius - 1)
-
-
 def correlation(a: np.ndarray, b: np.ndarray) -> float:
     a, b = a - a.mean(), b - b.mean()
     low = np.sqrt((a * a).sum() * (b * b).sum())
@@ -257,9 +268,9 @@ SHIFTS = "z bigint, grid_idx bigint, ind bigint, tp bigint, dy double, dx double
 def displacements(blocks: DataFrame, references: DataFrame, points: DataFrame, height: int, width: int, radius: int, single_plane: bool = False) -> DataFrame:
     """Shift of every bright grid point at every timepoint.
 
-    blocks: (z, tp, y, x, v); references: (z, y, x, v) mean images; points: bright (z, grid_idx, ind).  A group is one patch
-    at one timepoint with the first timepoint's, then with the reference patches that its shift asks for, so it is bounded
-    by the patch and not by the plane or the recording.
+    blocks: (z, tp, y, x, v); references: (z, y, x, v) mean images; points: bright (z, grid_idx, ind).  A row is one patch
+    at one timepoint with the first timepoint's, a group one with the reference patches that its shift asks for, so both are
+    bounded by the patch and not by the plane or the recording.  Missing pixels: as in ``displacements_of_images``.
     """
     roi = 2 * radius + 1
     index = ((F.col("x") - 1) * height + F.col("y")).cast("long")
@@ -267,22 +278,32 @@ def displacements(blocks: DataFrame, references: DataFrame, points: DataFrame, h
     place = lambda k: (F.floor(k / roi) - radius - 1) * height + k % roi - radius
     pixels = blocks.select("z", "tp", index.alias("pixel"), F.col("v").cast("double").alias("v"))
     asked = points.select("z", "grid_idx", "ind", F.explode(F.sequence(F.lit(0), F.lit(roi * roi - 1))).alias("k")).withColumn("pixel", F.col("ind") + place(F.col("k")))
-    first = pixels.where("tp = 1").select("z", "pixel", F.col("v").alias("v1")).join(asked, ["z", "pixel"])
-    patches = pixels.join(first, ["z", "pixel"]).select("z", "grid_idx", "ind", "tp", "k", "v", "v1")
+    patch = lambda df, *keys: df.join(asked, ["z", "pixel"]).groupBy(*keys).agg(F.collect_list(F.struct("k", "v")).alias("patch"))
+    first = patch(pixels.where("tp = 1"), "z", "grid_idx").withColumnRenamed("patch", "source")
+    patches = patch(pixels, "z", "grid_idx", "ind", "tp").join(first, ["z", "grid_idx"])
 
     def filled(table: pa.Table, column: str) -> np.ndarray:
         out = np.full(roi * roi, np.nan)
         out[table.column("k").to_numpy()] = table.column(column).to_numpy(zero_copy_only=False)
         return out
 
-    def shift(table: pa.Table) -> pa.Table:
-        target, source = filled(table, "v"), filled(table, "v1")
-        image = lambda patch: patch.reshape(roi, roi, order="F")
-        dy, dx = patch_shift(np.fft.fft2(image(source)), image(target), radius)
-        found = {"dy": pa.array([float(dy)]), "dx": pa.array([float(dx)]), "patch": pa.array([target], pa.list_(pa.float64()))}
-        return pa.table({c: table.column(c)[:1].cast(pa.int64()) for c in ("z", "grid_idx", "ind", "tp")} | found)
+    def spread(column: pa.Array) -> np.ndarray:
+        """Patches (a row each) from lists of (k, v)."""
+        out, n = np.full((len(column), roi * roi), np.nan), column.value_lengths().to_numpy()
+        held = column.flatten()
+        out[np.repeat(np.arange(len(column)), n), held.field("k").to_numpy()] = held.field("v").to_numpy()
+        return out
+
+    def shift(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            target = spread(batch.column("patch"))
+            found = [pa.array(d.astype(float)) for d in shifts_of_patches(spread(batch.column("source")), target, radius)]
+            keys = [batch.column(c).cast(pa.int64()) for c in ("z", "grid_idx", "ind", "tp")]
+            yield pa.RecordBatch.from_arrays([*keys, *found, pa.array(list(target), pa.list_(pa.float64()))], [c.split()[0] for c in SHIFTED.split(", ")])
 
-    shifted = patches.groupBy("z", "grid_idx", "ind", "tp").applyInArrow(shift, SHIFTED)
+    shifted = patches.select("z", "grid_idx", "ind", "tp", "patch", "source").mapInArrow(shift, SHIFTED)
     if single_plane:
         return shifted.select("z", "grid_idx", "ind", "tp", "dy", "dx", F.lit(0.0).alias("dz"))
 
@@ -398,8 +419,8 @@ def motion_filter(cells: DataFrame, points: DataFrame, threshold: float) -> Data
 
 
 def frame_shift(target: np.ndarray, frame: np.ndarray) -> tuple[int, int]:
-    """Whole-frame integer shift (dy, dx) that best aligns the frame to the target."""
-    power = np.fft.ifft2(np.fft.fft2(target) * np.conj(np.fft.fft2(frame))).real
+    """Whole-frame integer shift (dy, dx) that best aligns the frame to the target; missing pixels are NaN."""
+    power = np.nan_to_num(circular(target, frame).real, nan=-np.inf)
     p = int(np.argmax(np.round(power, 6).ravel(order="F")))
     h, w = target.shape
     r, c = p % h + 1, p // h + 1
@@ -435,10 +456,11 @@ def apply_shift(frames: DataFrame, shifts: DataFrame) -> DataFrame:
 
 
 def shifted(image: np.ndarray, dy: int, dx: int) -> np.ndarray:
-    """``apply_shift`` of one image: moved where both shifts differ from 0; what nothing moves onto keeps its value."""
+    """``apply_shift`` of one image: moved where both shifts differ from 0; what nothing moves onto, and missing pixels (NaN), keep their value."""
     out, (h, w) = image.copy(), image.shape
     if dy and dx and abs(dy) < h and abs(dx) < w:
         out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = image[max(-dy, 0) : h - max(dy, 0), max(-dx, 0) : w - max(dx, 0)]
+        out = np.where(np.isnan(out) | np.isnan(image), image, out)
     return out
 
 
@@ -469,13 +491,15 @@ def register_images(images: DataFrame, reference_t: int, move: bool = False) ->
 
 
 def pixels_of(images: DataFrame) -> DataFrame:
-    """(z, t, y, x, v) of images (z, t, h, w, image)."""
+    """(z, t, y, x, v) of images (z, t, h, w, image), without the pixels that they lack (NaN)."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 z, t, h, w = (batch.column(c)[i].as_py() for c in ("z", "t", "h", "w"))
-                k, same = np.arange(h * w), lambda v: np.full(h * w, v, np.int64)  # noqa: B023
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (same(z), same(t), k % h + 1, k // h + 1, np.frombuffer(batch.column("image")[i].as_buffer(), "<f8"))], ["z", "t", "y", "x", "v"])
+                v = np.frombuffer(batch.column("image")[i].as_buffer(), "<f8")
+                k = np.flatnonzero(~np.isnan(v))
+                same = lambda key: np.full(len(k), key, np.int64)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (same(z), same(t), k % h + 1, k // h + 1, v[k])], ["z", "t", "y", "x", "v"])
 
     return images.select("z", "t", "h", "w", "image").mapInArrow(run, "z bigint, t bigint, y bigint, x bigint, v double")
