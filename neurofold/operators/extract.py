@@ -25,29 +25,70 @@ def cell_pixels(cells: DataFrame) -> DataFrame:
 
 def stamps(cells: DataFrame, height: int, width: int) -> DataFrame:
     """(z, ind, cell_id): 5 x 5 pixels around each centre; a later cell overwrites; the last pixel of a plane is out of bounds."""
-    return stamped(cells, height, width).groupBy("z", "ind").agg(F.max("cell_id").alias("cell_id"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        ind, who = _painted(cell, height, width)
+        return pa.table({"z": pa.array(np.full(len(ind), cell.column("z")[0].as_py(), np.int64)), "ind": ind, "cell_id": who})
+
+    return _centres(cells).groupBy("z").applyInArrow(run, "z bigint, ind bigint, cell_id bigint")
+
+
+def _centres(cells: DataFrame) -> DataFrame:
+    return cells.select(*(F.col(c).cast("long").alias(c) for c in ("cell_id", "z", "cy", "cx")))
+
+
+def _painted(cell: pa.Table, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, cy, cx = (cell.column(c).to_numpy() for c in ("cell_id", "cy", "cx"))
+    return painted(ids, (cx - 1) * height + cy, height, width)
+
+
+def painted(ids: np.ndarray, centre: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels of the stamps around a plane's centres (linear indices), in order, and the largest id at each."""
+    at = (centre[:, None] + (np.arange(-2, 3)[None, :] * height + np.arange(-2, 3)[:, None]).ravel()).ravel()
+    who = np.repeat(ids, 25)
+    ok = (at > 0) & (at < height * width)
+    at, who = at[ok], who[ok]
+    by = np.lexsort((who, at))
+    at, who = at[by], who[by]
+    top = np.append(at[1:] != at[:-1], True)[: len(at)]
+    return at[top], who[top]
+
+
+def _shared(cells: DataFrame, height: int, width: int, make, schema: str) -> DataFrame:
+    """make(z, ind, a, b) on the pixels that stamps of z and z + 1 share: two planes' centres meet, their pixels are no rows."""
+    own = _centres(cells)
+    # Columns of its own: a side that shares them with the other loses them where the result meets itself.
+    below = own.select((F.col("z") - 1).alias("above"), *(F.col(c).alias(f"low_{c}") for c in ("cell_id", "cy", "cx")))
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(upper: pa.Table, lower: pa.Table) -> pa.Table:
+        if not upper.num_rows or not lower.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in columns})
+        lower = lower.rename_columns([c.removeprefix("low_") for c in lower.column_names])
+        (i, a), (j, b) = _painted(upper, height, width), _painted(lower, height, width)
+        ind, p, q = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+        return pa.table(dict(zip(columns, make(upper.column("z")[0].as_py(), ind, a[p], b[q]), strict=True)))
+
+    return own.groupBy("z").cogroup(below.groupBy("above")).applyInArrow(run, schema)
 
 
 def overlaps(cells: DataFrame, height: int, width: int) -> DataFrame:
     """(a, b): cells of plane z and z + 1 whose stamps share a pixel."""
-    s = stamps(cells, height, width)
-    below = s.select((F.col("z") - 1).alias("z"), "ind", F.col("cell_id").alias("b"))
-    return s.withColumnRenamed("cell_id", "a").join(below, ["z", "ind"]).select("a", "b").distinct()
+    return _shared(cells, height, width, lambda z, ind, a, b: np.unique(np.stack([a, b]), axis=1), "a bigint, b bigint")
 
 
 def _overlap_labels(cells: DataFrame, height: int, width: int) -> DataFrame:
     """(z, label, a, b): pixels that stamps of z and z + 1 share, by their component, no cell removed."""
-    s = stamps(cells, height, width)
-    both = s.withColumnRenamed("cell_id", "a").join(s.select((F.col("z") - 1).alias("z"), "ind", F.col("cell_id").alias("b")), ["z", "ind"])
 
-    def run(table: pa.Table) -> pa.Table:
-        z, ind, a, b = (table.column(c).to_numpy() for c in ("z", "ind", "a", "b"))
-        mask = np.zeros(height * width, bool)
-        mask[ind - 1] = True
-        label = label8(mask.reshape(height, width, order="F")).ravel(order="F")[ind - 1]
-        return pa.table({"z": z, "label": label, "a": a, "b": b})
+    make = lambda z, ind, a, b: (np.full(len(ind), z, np.int64), _region(ind, height, width), a, b)
+    return _shared(cells, height, width, make, "z bigint, label bigint, a bigint, b bigint")
+
 
-    return both.select("z", "ind", "a", "b").groupBy("z").applyInArrow(run, "z bigint, label bigint, a bigint, b bigint")
+def _region(ind: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The 8-connected component of each of a plane's pixels."""
+    mask = np.zeros(height * width, bool)
+    mask[ind - 1] = True
+    return label8(mask.reshape(height, width, order="F")).ravel(order="F")[ind - 1]
 
 
 def overlap_components(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -60,9 +101,17 @@ def duplicate_pairs(cells: DataFrame, points: DataFrame, height: int, width: int
 
     Removals only shrink or split components, so these pairs are enough whatever is removed on the way.
     """
-    labelled = _overlap_labels(cells, height, width)
-    left, right = labelled.select("z", "label", "a").distinct(), labelled.select("z", "label", "b").distinct()
-    return pair_correlation(left.join(right, ["z", "label"]).select("a", "b").distinct(), points)
+
+    def make(z: int, ind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        label = _region(ind, height, width)
+        sides = [np.unique(np.stack([label, c]), axis=1) for c in (a, b)]
+        # Every a of a region with every b of it.
+        first, last = (np.searchsorted(sides[1][0], sides[0][0], s) for s in ("left", "right"))
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.unique(np.stack([np.repeat(sides[0][1], n), sides[1][1][at]]), axis=1)
+
+    return pair_correlation(_shared(cells, height, width, make, "a bigint, b bigint"), points)
 
 
 def interactions(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -82,10 +131,14 @@ def interactions(cells: DataFrame, height: int, width: int) -> DataFrame:
 
 def stamped(cells: DataFrame, height: int, width: int) -> DataFrame:
     """(z, ind, cell_id): the pixels of every cell's 5 x 5 stamp, whoever else has them."""
-    offsets = F.explode(F.array(*(F.lit(c * height + r) for c in range(-2, 3) for r in range(-2, 3)))).alias("o")
+    return stamp_inds(cells, height, width).select("z", F.explode("inds").alias("ind"), "cell_id")
+
+
+def stamp_inds(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """(cell_id, z, inds): the same as an array for each cell."""
+    offsets = F.array(*(F.lit(c * height + r) for c in range(-2, 3) for r in range(-2, 3)))
     centre = (F.col("cx") - 1) * height + F.col("cy")
-    spots = cells.select("cell_id", "z", centre.alias("centre"), offsets).select("cell_id", "z", (F.col("centre") + F.col("o")).alias("ind"))
-    return spots.where((F.col("ind") > 0) & (F.col("ind") < height * width))
+    return cells.select("cell_id", "z", F.filter(F.transform(offsets, lambda o: centre + o), lambda i: (i > 0) & (i < height * width)).alias("inds"))
 
 
 def touching_labels(ind: np.ndarray, height: int) -> np.ndarray:
@@ -118,14 +171,13 @@ def greedy_duplicates(cells: DataFrame, correlations: DataFrame, height: int, wi
     another.  Components are dealt to groups of about ``fold`` cells (one group is at least one component); a group holds
     centres and the pairs above the threshold, never traces or images, and folds its planes in order.
     """
-    cells = cells.select("cell_id", F.col("z").cast("long").alias("z"), F.col("cy").cast("long").alias("cy"), F.col("cx").cast("long").alias("cx"))
+    cells = cells.select("cell_id", *(F.col(c).cast("long").alias(c) for c in ("z", "cy", "cx")))
     found = materialise(components(interactions(cells, height, width)), "cell-components")
     groups = max(1, -(-found.count() // fold))
     grouped = found.select(F.col("id").alias("cell_id"), F.pmod(F.xxhash64("component"), F.lit(groups)).alias("group"))
     own = cells.join(grouped, "cell_id").select("group", "cell_id", "z", "cy", "cx")
     high = correlations.where((F.col("r") > threshold) & ~F.isnan("r")).select(F.col("a").alias("cell_id"), F.col("b").alias("other"))
     high = high.join(grouped, "cell_id").select(F.col("group").alias("own_group"), "cell_id", "other")
-    offset = (np.arange(-2, 3)[None, :] * height + np.arange(-2, 3)[:, None]).ravel()
 
     def run(cell: pa.Table, pair: pa.Table) -> pa.Table:
         ids, z, cy, cx = (cell.column(c).to_numpy() for c in ("cell_id", "z", "cy", "cx"))
@@ -138,13 +190,7 @@ def greedy_duplicates(cells: DataFrame, correlations: DataFrame, height: int, wi
             """Pixels of the living stamps of a plane, and the largest id at each."""
             first, last = np.searchsorted(z, (k, k + 1))
             here = np.flatnonzero(alive[first:last]) + first
-            at, who = (centre[here][:, None] + offset).ravel(), np.repeat(ids[here], len(offset))
-            ok = (at > 0) & (at < height * width)
-            at, who = at[ok], who[ok]
-            by = np.lexsort((who, at))
-            at, who = at[by], who[by]
-            top = np.append(at[1:] != at[:-1], True)[: len(at)]
-            return at[top], who[top]
+            return painted(ids[here], centre[here], height, width)
 
         for k in np.unique(z).tolist():
             (a, above), (b, below) = plane(k), plane(k + 1)
