@@ -48,10 +48,11 @@ def block_images(blocks: DataFrame, cycle: int, limit: int | None = None) -> Dat
     return sums.groupBy("z", "tp").applyInArrow(join, IMAGE)
 
 
-def mean_images(blocks: DataFrame) -> DataFrame:
+def mean_images(blocks: DataFrame, base: int = 0) -> DataFrame:
     """(z, h, w, image): mean image of all frames of each plane's stack, from frame blocks (z, t0, n, h, w, px).
 
     Blocks are added up where they are read and a task keeps one sum a plane, so a stack of any length sends a sum a task.
+    base: as in ``planestack.blocks_of``; a pixel's mean is over the frames that have it, NaN if none has.
     """
 
     def add(batches):
@@ -59,18 +60,20 @@ def mean_images(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 z, n, h, w = (batch.column(c)[i].as_py() for c in ("z", "n", "h", "w"))
-                held = sums.setdefault((z, h, w), [0, np.zeros(h * w, np.int64)])
-                held[0] += n
-                held[1] += np.frombuffer(batch.column("px")[i].as_buffer(), "<u2").reshape(n, -1).sum(0, dtype=np.int64)
+                held = sums.setdefault((z, h, w), [np.zeros(h * w if base else 1, np.int64), np.zeros(h * w, np.int64)])
+                x = np.frombuffer(batch.column("px")[i].as_buffer(), "<u2").reshape(n, -1)
+                held[0] += (x > 0).sum(0) if base else n
+                held[1] += x.sum(0, dtype=np.int64)
         for (z, h, w), (n, total) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((z, pa.int64()), (h, pa.int32()), (w, pa.int32()), (n, pa.int64()), (total.tobytes(), pa.binary()))], ["z", "h", "w", "n", "image"])
+            total -= base * n
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((z, pa.int64()), (h, pa.int32()), (w, pa.int32()), (n.tobytes(), pa.binary()), (total.tobytes(), pa.binary()))], ["z", "h", "w", "n", "image"])
 
     def join(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_buffer(), np.int64) for b in table.column("image"))
-        mean = total / sum(table.column("n").to_pylist())
+        n, total = (sum(np.frombuffer(b.as_buffer(), np.int64) for b in table.column(c)) for c in ("n", "image"))
+        mean = np.where(n > 0, total / np.maximum(n, 1), np.nan)
         return table.select(["z", "h", "w"])[:1].append_column("image", pa.array([mean.astype("<f8").tobytes()], pa.binary()))
 
-    sums = blocks.select("z", "n", "h", "w", "px").mapInArrow(add, "z bigint, h int, w int, n bigint, image binary")
+    sums = blocks.select("z", "n", "h", "w", "px").mapInArrow(add, "z bigint, h int, w int, n binary, image binary")
     return sums.groupBy("z").applyInArrow(join, "z bigint, h int, w int, image binary")
 
 

@@ -526,16 +526,20 @@ def segment_cells(spark, sf_dir):
 # Stacks as files: planes are written as raw stacks below the shared folder and read again by their offsets
 
 
+#: Stored for 0: values of ``stk`` may be negative, and its frames may lack pixels, for which a stack file has 0.
+BASE = 1 << 15
+
+
 def _stack_files(spark, sf_dir) -> str:
     path = f"{store.shared_dir(spark)}/stacks-{uuid.uuid4().hex}"
-    planestack.write(planestack.blocks_of(motion.images_of(A.stk(spark, sf_dir), H, W)), path)
+    planestack.write(planestack.blocks_of(motion.images_of(A.stk(spark, sf_dir), H, W), BASE), path)
     return path
 
 
 @query("SELECT z, y, x, round(avg(v), 6) AS mean FROM stk GROUP BY ALL", "stk")
 def mean_stack(spark, sf_dir):
     """Mean image of a stack of any length, from partial sums of its blocks."""
-    means = motion.mean_images(planestack.read(spark, _stack_files(spark, sf_dir), H, W, block=3))
+    means = motion.mean_images(planestack.read(spark, _stack_files(spark, sf_dir), H, W, block=3), BASE)
     return motion.pixels_of(means.withColumn("t", F.lit(0).cast("long"))).select("z", "y", "x", r6("v", "mean"))
 
 

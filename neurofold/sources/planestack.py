@@ -325,14 +325,21 @@ def read_float(spark: SparkSession, path: str, n_cells: int) -> DataFrame:
     return spark.read.format("stackf").options(n_cells=n_cells).load(path)
 
 
-def blocks_of(images: DataFrame) -> DataFrame:
-    """Frame blocks of one frame each from images (z, t, h, w, image) of whole numbers, held in the range of 16 bits."""
+def blocks_of(images: DataFrame, base: int = 0) -> DataFrame:
+    """Frame blocks of one frame each from images (z, t, h, w, image) of whole numbers, held in the range of 16 bits.
+
+    With a base, what is stored are values plus base, and 0 for pixels that an image lacks (NaN); values that do not fit
+    are an error.
+    """
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 z, t, h, w = (batch.column(c)[i].as_py() for c in ("z", "t", "h", "w"))
-                px = np.clip(np.floor(np.frombuffer(batch.column("image")[i].as_buffer(), "<f8") + 0.5), 0, 65535).astype("<u2").tobytes()
+                v = np.floor(np.frombuffer(batch.column("image")[i].as_buffer(), "<f8") + 0.5) + base
+                if base and ((v < 1) | (v > 65535)).any():
+                    raise ValueError(f"plane {z}, frame {t}: values do not fit in 16 bits around {base}")
+                px = np.clip(np.nan_to_num(v), 0, 65535).astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.int32()) for v in (z, t, 1, h, w)), pa.array([px], pa.binary())], ["z", "t0", "n", "h", "w", "px"])
 
     return images.select("z", "t", "h", "w", "image").mapInArrow(run, FRAMES)
