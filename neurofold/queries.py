@@ -579,9 +579,9 @@ def roi_mean_trace(spark, sf_dir):
 @query(f"WITH {CELLS}, sp AS (SELECT cell_id, (cx - 1) * 100 + cy + dx * 100 + dy AS ind FROM cells, range(-2, 3) a(dy), range(-2, 3) b(dx)) SELECT cell_id, t, round(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 3) AS f FROM sp JOIN stk USING (ind) WHERE ind > 0 AND ind < 6400 GROUP BY ALL", "px", "stk")
 def stack_cells(spark, sf_dir):
     """Traces of the cells of all planes over the stack's frames, by seeks to their pixels in its file."""
-    stamps = extract.stamped(_cells(spark, sf_dir), H, W).groupBy("cell_id").agg(F.lit(1).alias("z"), F.collect_list("ind").alias("inds"))
+    stamps = extract.stamp_inds(_cells(spark, sf_dir), H, W).where("size(inds) > 0").withColumn("z", F.lit(1))
     cells = planestack.by_plane(stamps, f"{store.shared_dir(spark)}/cells-{uuid.uuid4().hex}")
-    found = planestack.read_cells(spark, _stack_files(spark, sf_dir), H, W, cells, block=3)
+    found = planestack.read_cells(spark, _stack_files(spark, sf_dir), H, W, cells, block=3, base=BASE)
     return found.select("cell_id", "t", F.round(F.col("f").cast("double"), 3).alias("f"))
 
 

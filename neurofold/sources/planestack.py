@@ -179,11 +179,16 @@ class StackF(DataSource):
         return FloatWriter(self.options, overwrite)
 
 
-def read(spark: SparkSession, path: str, h: int, w: int, **options) -> DataFrame:
-    """Frame blocks (z, t0, n, h, w, px).  Switches on Spark's filter pushdown to Python sources, which this source needs to prune blocks."""
+def _source(spark: SparkSession, source: type[DataSource]):
+    """A reader of a source that prunes blocks: Spark refuses such sources unless its filter pushdown to Python is on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(PlaneStack)
-    return spark.read.format("planestack").options(h=h, w=w, **options).load(path)
+    spark.dataSource.register(source)
+    return spark.read.format(source.name())
+
+
+def read(spark: SparkSession, path: str, h: int, w: int, **options) -> DataFrame:
+    """Frame blocks (z, t0, n, h, w, px).  Switches on Spark's filter pushdown to Python sources."""
+    return _source(spark, PlaneStack).options(h=h, w=w, **options).load(path)
 
 
 def read_frame(spark: SparkSession, path: str, h: int, w: int, t: int) -> DataFrame:
@@ -254,7 +259,7 @@ class CellReader(StackReader):
 
     def __init__(self, options):
         super().__init__(options)
-        self.cells, self.gap = options["cells"], int(options.get("gap", GAP))
+        self.cells, self.gap, self.base = options["cells"], int(options.get("gap", GAP)), int(options.get("base", 0))
 
     def read(self, part):
         if part is None:
@@ -268,9 +273,14 @@ class CellReader(StackReader):
         frames = range(part.first, part.last)
         with open_file(part.path) as f:
             x = read_pixels(f, every, frames, self.h * self.w, self.gap)
+        n, some = np.diff(begin)[filled], np.ones(len(ids), bool)
         for k, t in enumerate(frames):
-            f_ = (np.add.reduceat(x[k][place].astype(np.int64), starts) / np.diff(begin)[filled]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), t, np.int64)), pa.array(f_)], ["cell_id", "t", "f"])
+            v = x[k][place].astype(np.int64)
+            if self.base:
+                n = np.add.reduceat((v > 0).astype(np.int64), starts)
+                v, some = np.where(v > 0, v - self.base, 0), n > 0
+            f_ = (np.add.reduceat(v, starts)[some] / n[some]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(np.full(some.sum(), t, np.int64)), pa.array(f_)], ["cell_id", "t", "f"])
 
 
 class CellMeans(DataSource):
@@ -296,10 +306,10 @@ def by_plane(cells: DataFrame, path: str) -> str:
 def read_cells(spark: SparkSession, path: str, h: int, w: int, cells: str, **options) -> DataFrame:
     """(cell_id, t, f): mean of each cell's pixels in every frame of the stacks below path, without moving frames.
 
-    cells: the path of a table written by ``by_plane``.
+    cells: the path of a table written by ``by_plane``.  base: as in ``blocks_of``; a cell has no row for frames that have
+    none of its pixels.  Switches on Spark's filter pushdown to Python sources.
     """
-    spark.dataSource.register(CellMeans)
-    return spark.read.format("cellmeans").options(h=h, w=w, cells=cells, **options).load(path)
+    return _source(spark, CellMeans).options(h=h, w=w, cells=cells, **options).load(path)
 
 
 def cell_means(blocks: DataFrame, cells: DataFrame) -> DataFrame:
