@@ -359,6 +359,8 @@ def timecourse(shifts: DataFrame, cycle: int) -> DataFrame:
 
 #: Rings of buckets around a cell's own that are looked at first.
 RINGS = 2
+#: Cells and points that a task of a round deals with.
+DEALT = 10_000
 
 
 def nearest(cells: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
@@ -367,9 +369,13 @@ def nearest(cells: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     A plane's points lie in square buckets of about one point each.  A cell meets the points of the rings around its bucket;
     it is done once its k-th point is nearer than any point outside them can be, or nothing is outside.  The others look
     twice as far.  Cells of planes without points have no rows.
+
+    The rows of a round are dealt to a number of tasks that follows from the cells and points: by their size as shuffled,
+    all of them might go to one.
     """
     # Both sides are met more than once: made once.
     points = materialise(points, "nearest-points")
+    n_points = points.count()
     extent = [F.min("py").alias("y0"), F.min("px").alias("x0"), F.max("py").alias("y1"), F.max("px").alias("x1"), F.count("*").alias("n")]
     side = F.greatest(F.lit(1.0), F.ceil(F.sqrt((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1) / F.col("n"))))
     planes = points.groupBy("z").agg(*extent).withColumn("side", side)
@@ -382,8 +388,12 @@ def nearest(cells: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     own, work = cells.columns, ["y0", "x0", "y1", "x1", "side", "ny", "nx", "oy", "ox"]
     found, rings = None, RINGS
     while True:
+        parts = max(1, -(-(left.count() + n_points) // DEALT))
+        deal = lambda df, *keys: df.repartition(parts, *keys) if parts > 1 else df  # noqa: B023, E731
         span = lambda o, n: F.sequence(F.greatest(F.col(o) - rings, F.lit(0)), F.least(F.col(o) + rings, F.col(n)))  # noqa: B023, E731
-        met = left.withColumn("by", F.explode(span("oy", "ny"))).withColumn("bx", F.explode(span("ox", "nx"))).join(inside, ["z", "by", "bx"]).drop("by", "bx")
+        asked = deal(left, "cell_id").withColumn("by", F.explode(span("oy", "ny"))).withColumn("bx", F.explode(span("ox", "nx")))
+        met = deal(asked, "z", "by", "bx").join(deal(inside, "z", "by", "bx").hint("merge"), ["z", "by", "bx"]).drop("by", "bx")
+        met = deal(met, "cell_id")
         d2 = ((F.col("cy") - F.col("py")) ** 2 + (F.col("cx") - F.col("px")) ** 2).cast("double")
         ranked = met.withColumn("d2", d2).withColumn("k", F.row_number().over(W.partitionBy("cell_id").orderBy("d2", "grid_idx"))).where(F.col("k") <= k)
         every = F.max("d2").over(W.partitionBy("cell_id")), F.count("*").over(W.partitionBy("cell_id"))
