@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.semantics import mean0, mround, slope, std0
+from ..functions.semantics import mean0, mround, std0
 from ..sources.store import keep_planes, materialise, plane_rows
 
 #: A mean image a row: little-endian doubles in the order of the linear index.
@@ -331,8 +331,16 @@ def displacements(blocks: DataFrame, references: DataFrame, points: DataFrame, h
 
 
 def tilts(shifts: DataFrame) -> DataFrame:
-    """(z, grid_idx, ind, tilt_y, tilt_x, tilt_z): fitted shift over the whole recording."""
-    fit = lambda c: (slope(F.col(c), F.col("tp").cast("double")) * (F.max("tp") - 1))
+    """(z, grid_idx, ind, tilt_y, tilt_x, tilt_z): fitted shift over the whole recording, 0 of a single timepoint.
+
+    Shifts are whole numbers, whose sums are the same in any order; running means would leave the last bits to the order of rows.
+    """
+    t, n = F.col("tp").cast("double"), F.count("tp")
+
+    def fit(c: str) -> Column:
+        cov = n * F.sum(t * F.col(c)) - F.sum(t) * F.sum(c)
+        return F.coalesce(F.try_divide(cov * (F.max("tp") - 1), n * F.sum(t * t) - F.sum(t) ** 2), F.lit(0.0))
+
     return shifts.groupBy("z", "grid_idx", "ind").agg(fit("dy").alias("tilt_y"), fit("dx").alias("tilt_x"), fit("dz").alias("tilt_z"))
 
 

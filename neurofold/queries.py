@@ -45,6 +45,11 @@ def r6(c: Column | str, name: str) -> Column:
     return F.round(c.cast("double"), 6).alias(name)
 
 
+def r6_half(c: str, name: str) -> Column:
+    """``r6`` of a mean of fitted shifts: one half-way between two roundings goes away from 0, whatever its last bits are."""
+    return r6(F.round(c, 13), name)
+
+
 def rolling_sql(w: int, p: float, out: str) -> str:
     """The rolling percentile by sorted windows; a trace shorter than the window is its own window."""
     return f"""WITH s AS (SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM tr),
@@ -747,7 +752,7 @@ def motion_timecourse(spark, sf_dir):
 def motion_points(spark, sf_dir):
     """Displacements, their tilts and the medians around, over all grid points."""
     found = motion.median_tilts(motion.tilts(xcorr_shift(spark, sf_dir)), 15)
-    return found.select("z", "grid_idx", "ind", *(r6(c, c) for c in ("tilt_y", "tilt_x", "tilt_z", "med_y", "med_x", "med_z")))
+    return found.select("z", "grid_idx", "ind", *(r6_half(c, c) for c in ("tilt_y", "tilt_x", "tilt_z", "med_y", "med_x", "med_z")))
 
 
 TILTS = f"""{XCORR}, tl AS (SELECT grid_idx, regr_slope(dy, tp) * (max(tp) - 1) AS y, regr_slope(dx, tp) * (max(tp) - 1) AS x, regr_slope(dz, tp) * (max(tp) - 1) AS z FROM xc GROUP BY ALL),
@@ -772,7 +777,7 @@ def cell_motion_found(spark, sf_dir):
     """Mean tilt of each cell's five nearest grid points, as found; null on planes without any."""
     ind = F.col("ind") - 1
     placed = _median_tilts(spark, sf_dir).select("z", "grid_idx", (F.pmod(ind, F.lit(H)) + 1).alias("py"), (F.floor(ind / H) + 1).alias("px"), "med_y", "med_x", "med_z")
-    return motion.cell_motion(_cells(spark, sf_dir), placed).select("cell_id", *(r6(c, c) for c in ("my", "mx", "mz")))
+    return motion.cell_motion(_cells(spark, sf_dir), placed).select("cell_id", *(r6_half(c, c) for c in ("my", "mx", "mz")))
 
 
 @query("SELECT z, y, x FROM px WHERE v > 350 AND NOT (v % 3 = 0)", "px")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_queries import canonical
 
 from neurofold.operators import extract, motion, stencil
-from neurofold.queries import ORACLE_SQL, QUERIES
+from neurofold.queries import ORACLE_SQL, QUERIES, r6_half
 from neurofold.sources import planestack
 
 PARTIAL = "disk_offsets exclusion_mask grid_min seeds_round1 segment_cells stamp_round1 local_average_r4 local_contrast local_max_r7 opening_r3 maskones_r10 local_rank_r10 xcorr_shift xcorr_shift_images cell_motion_found mean_stack stack_cells stack_register stacks_registered dilate_r3_joined adjacent_overlap dedup_greedy knn5".split()
@@ -85,3 +85,16 @@ def test_pixels_that_are_missing_are_no_neighbours():
     image, there = np.array([[5, 0, 7], [1, 9, 0]]), np.array([[True, False, True], [True, True, False]])
     assert stencil.erode(image, 1, there)[there].tolist() == [1, 7, 1, 1] and stencil.dilate(image, 1, there)[there].tolist() == [5, 7, 9, 9]
     assert stencil.inside_count(image.shape, 1, there)[there].tolist() == [2, 1, 3, 2]
+
+
+def test_tilts_half_way_between_roundings(spark):
+    """Tilts of 3k/128 end at the 7th decimal; the order of rows must not decide how they are rounded."""
+    shifts = spark.range(1, 257).selectExpr("id AS tp", "CASE id WHEN 256 THEN 1 WHEN 129 THEN 2 ELSE 0 END AS d")
+    shifts = shifts.crossJoin(spark.range(1, 41).selectExpr("2 * id - 1 AS k")).selectExpr("1L AS z", "k AS grid_idx", "k AS ind", "tp", "CAST(d * k + 5 AS double) AS dy", "CAST(-d * k AS double) AS dx", "0D AS dz")
+    for parts in (1, 3, 7):
+        found = motion.tilts(shifts.orderBy(F.hash("tp", F.lit(parts))).repartition(parts, "tp"))
+        for c, sign in (("tilt_y", 1), ("tilt_x", -1), ("tilt_z", 0)):
+            assert {r["ind"]: r[c] for r in found.collect()} == {k: sign * 3 * k / 128 for k in range(1, 80, 2)}
+    # Five tilts whose mean is half-way, added up in any order.
+    means = spark.createDataFrame([(1, 0.0234375), (2, 0.023437499999999997), (3, -0.023437499999999993), (4, 0.0234374)], "id long, m double")
+    assert [r["m"] for r in means.select("id", r6_half("m", "m")).orderBy("id").collect()] == [0.023438, 0.023438, -0.023438, 0.023437]
